@@ -1,0 +1,69 @@
+import hashlib
+import re
+
+from pyspark.sql import functions as F
+
+from benchloom.llm import pii
+
+BASE = [
+    ("email", re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")),
+    ("ip", re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")),
+    ("card", re.compile(r"[0-9]([\x20-]?[0-9])+")),
+    ("phone", re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")),
+]
+
+
+def luhn(d):
+    total = 0
+    for i, c in enumerate(reversed(d)):
+        x = int(c) * (1 + i % 2)
+        total += x - 9 * (x > 9)
+    return total % 10 == 0
+
+
+def brute(text):
+    found = []
+    for order, (kind, pattern) in enumerate(BASE):
+        for m in pattern.finditer(text or ""):
+            d = re.sub("[^0-9]", "", m[0])
+            ok = {"email": True, "ip": all(int(p) <= 255 for p in m[0].split(".")) if kind == "ip" else 0, "card": 12 <= len(d) <= 19 and luhn(d), "phone": 9 <= len(d) <= 15}[kind]
+            if ok:
+                found.append((m.start(), order, m.end(), kind))
+    return sorted(found)
+
+
+TEXTS = [
+    None, "", "plain", "a@b.c%x@y.z..d@e.f and Q.w+1@é.com x@y", "1.2.3.4.5.6.7.8 999.1.1.1 0001.002.3.255",
+    "4111 1111 1111 1111, 4111-1111-1111-1111 41111111111111112 é4111111111111111", "+1 (068) 555-5010x +12 +1234567890123456 ++49.30.1234567",
+    "ab@cd.ef" * 300, "9" * 5000, "1.1.1.1 " * 3000, "ßä é mail: x@y.co\n" * 400, "a" * 20000 + "@b", "@" * 2000, "1 " * 4000,
+    "DE89 3704 0044 0532 0130 00 and GB82WEST12345698765432, DE89370400440532013001", "SSN: 123-45-6789 or 123-45-6789", "tel. 030 1234 5678",
+]
+
+
+def test_base_spans_match_the_plain_patterns(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")
+    for r in pii.digest(pii.find_pii(df)).collect():
+        expected = brute(TEXTS[r.doc_id])
+        lines = ",".join(f"{k}:{s}:{e}" for s, _, e, k in expected)
+        assert r.base_sha256 == hashlib.sha256(lines.encode()).hexdigest(), TEXTS[r.doc_id][:40]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(x[3] == k for x in expected) for k, _ in BASE]
+
+
+def test_checksums_and_context_add_spans(spark):
+    df = spark.createDataFrame([(0, TEXTS[-3]), (1, TEXTS[-2]), (2, TEXTS[-1]), (3, "order 030 1234 5678 and 123-45-6789")], "doc_id long, text string")
+    kinds = {r.doc_id: [s.kind for s in r.pii_spans if not s.base] for r in pii.find_pii(df).collect()}
+    assert kinds == {0: ["iban", "iban"], 1: ["national_id"], 2: ["local_phone"], 3: []}
+
+
+def test_redaction_keeps_the_rest(spark):
+    df = spark.createDataFrame([(0, "é a@b.co, +1 (068) 555-5010."), (1, None), (2, "none")], "doc_id long, text string")
+    found = pii.find_pii(df)
+    out = {r.doc_id: r.t for r in found.select("doc_id", pii.redact(found).alias("t")).collect()}
+    assert out == {0: "é [EMAIL], [PHONE].", 1: None, 2: "none"}
+
+
+def test_clashing_columns_and_empty_table(spark):
+    df = spark.createDataFrame([(1, "x@y.co", 7, "s")], "doc_id long, text string, start int, `kind.x` string")
+    row = pii.find_pii(df).collect()[0]
+    assert row.start == 7 and len(row.pii_spans) == 1
+    assert pii.find_pii(df.filter(F.lit(False))).count() == 0
