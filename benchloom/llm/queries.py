@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from benchloom.llm import pii
+from benchloom.llm import pii, warc
+from benchloom.llm.common import materialize, new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -26,3 +27,25 @@ def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFr
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every whole text of documents."""
     return pii.digest(pii.find_pii(_table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "pii_spans"))
+
+
+@_query
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as WARC records, read back and assembled to captures."""
+    path = warc.write_archives(_table(spark, sf_dir, "pages", "page_id", "url", "html"), new_path(spark, "warc"))
+    captures = warc.assemble(materialize(warc.read_archives(spark, path, payloads=False), "records"))
+    page = F.col("metadata.fields").getItem("page-id").cast("long")
+    rows = captures.select("capture_id", page.alias("page_id"), "response.*")
+    # The responses that revisits refer to, by record id.
+    named = rows.filter("record_type = 'response'").groupBy("capture_id").agg(F.max("page_id").alias("refers_to_page"))
+    return rows.join(named.withColumnRenamed("capture_id", "refers_to"), "refers_to", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("refers_to_page").alias("refers_to"))
+
+
+ORACLE_SQL["op9_warc"] = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+g AS (SELECT payload_digest, max(page_id) AS best FROM p WHERE payload_bytes >= 1000 GROUP BY 1)
+SELECT p.page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, p.payload_digest,
+  CASE WHEN best IS NOT NULL AND page_id IS DISTINCT FROM best THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN best IS NOT NULL AND page_id IS DISTINCT FROM best THEN best END AS refers_to
+FROM p LEFT JOIN g ON p.payload_digest = g.payload_digest
+"""
