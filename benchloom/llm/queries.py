@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from benchloom.llm import pii, warc
+from benchloom.llm import packing, pii, warc
 from benchloom.llm.common import materialize, new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,3 +49,11 @@ SELECT p.page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, p.payload_dige
   CASE WHEN best IS NOT NULL AND page_id IS DISTINCT FROM best THEN best END AS refers_to
 FROM p LEFT JOIN g ON p.payload_digest = g.payload_digest
 """
+
+
+@_query
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 2048 tokens."""
+    import public_tokenizers
+
+    return packing.pack(_table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), 2048)
