@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from benchloom.llm import packing, pii, warc
+from benchloom.llm import decontaminate, packing, pii, warc
 from benchloom.llm.common import materialize, new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +57,26 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return packing.pack(_table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), 2048)
+
+
+@_query
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items of which a document holds at least 0.8 of the five-word shingles."""
+    docs, items = _table(spark, sf_dir, "documents", "doc_id", "text"), _table(spark, sf_dir, "benchmark", "item_id", "text")
+    found = decontaminate.with_matches(docs, items, keep=["doc_id"])
+    return found.select("doc_id", F.explode("benchmark_matches").alias("m")).select("doc_id", "m.*")
+
+
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
+
+
+def _shingles_sql(table: str, key: str, k: int) -> str:
+    return f"SELECT DISTINCT {key}, array_to_string(w[i : i + {k - 1}], ' ') AS s FROM (SELECT {key}, {_WORDS} AS w FROM {table}) x, unnest(generate_series(1, greatest(len(w) - {k - 1}, least(len(w), 1)))) t(i)"
+
+
+ORACLE_SQL["op4_decontaminate"] = f"""
+WITH d AS ({_shingles_sql("documents", "doc_id", 5)}), b AS ({_shingles_sql("benchmark", "item_id", 5)}),
+n AS (SELECT item_id, count(*) AS item_shingles FROM b GROUP BY 1)
+SELECT doc_id, n.item_id, count(*) AS shared, any_value(item_shingles) AS item_shingles, count(*) / any_value(item_shingles) AS containment
+FROM b JOIN d USING (s) JOIN n USING (item_id) GROUP BY 1, 2 HAVING 100 * count(*) >= 80 * any_value(item_shingles)
+"""
