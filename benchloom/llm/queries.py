@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from benchloom.llm import decontaminate, packing, pii, warc
+from benchloom.llm import decontaminate, lm, packing, pii, warc
 from benchloom.llm.common import materialize, new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,9 @@ n AS (SELECT item_id, count(*) AS item_shingles FROM b GROUP BY 1)
 SELECT doc_id, n.item_id, count(*) AS shared, any_value(item_shingles) AS item_shingles, count(*) / any_value(item_shingles) AS containment
 FROM b JOIN d USING (s) JOIN n USING (item_id) GROUP BY 1, 2 HAVING 100 * count(*) >= 80 * any_value(item_shingles)
 """
+
+
+@_query
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-model and word-model scores of all documents, learned from six sevenths of them."""
+    return lm.score(_table(spark, sf_dir, "documents", "doc_id", "text"))
