@@ -81,13 +81,16 @@ def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["p"][:n], _powers["q"][:n]
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of rows of bytes, A-Z lower-cased: 64-bit hash, start, end, and words before each row."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words ``[^\\x20\\x09-\\x0D]+`` of rows of bytes, A-Z lower-cased: 64-bit hash, start, end, and words before each row.
+
+    ``gaps`` has for each byte whether it separates words.
+    """
     n = len(data)
     if not n:
         empty = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), empty, empty, np.zeros(len(offsets), np.int64)
-    solid = ~_SPACE[data]
+    solid = ~gaps[data]
     begins, ends = solid.copy(), solid.copy()
     begins[1:] &= ~solid[:-1]
     ends[:-1] &= ~solid[1:]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from benchloom.llm import decontaminate, lm, packing, pii, warc
+from benchloom.llm import decontaminate, lm, packing, pii, quality, warc
 from benchloom.llm.common import materialize, new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,10 @@ FROM b JOIN d USING (s) JOIN n USING (item_id) GROUP BY 1, 2 HAVING 100 * count(
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-model and word-model scores of all documents, learned from six sevenths of them."""
     return lm.score(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@_query
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that the quality classifier keeps, with their probabilities; rejected documents are absent."""
+    docs, labels = _table(spark, sf_dir, "documents", "doc_id", "text", "source", "lang"), _table(spark, sf_dir, "labels", "doc_id", "quality", "toxic")
+    return quality.classify(docs, labels, keep=["doc_id", "source"]).filter("accepted").drop("accepted")
