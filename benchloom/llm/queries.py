@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from benchloom.llm import decontaminate, lm, packing, pii, quality, warc
+from benchloom.llm import decontaminate, html, lm, packing, pii, quality, warc
 from benchloom.llm.common import materialize, new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that the quality classifier keeps, with their probabilities; rejected documents are absent."""
     docs, labels = _table(spark, sf_dir, "documents", "doc_id", "text", "source", "lang"), _table(spark, sf_dir, "labels", "doc_id", "quality", "toxic")
     return quality.classify(docs, labels, keep=["doc_id", "source"]).filter("accepted").drop("accepted")
+
+
+@_query
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    rows = html.main_text(_table(spark, sf_dir, "pages", "page_id", "url", "html"), keep=["page_id", "url"])
+    return rows.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("bigint").alias("n_chars"))
