@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from benchloom.llm import decontaminate, html, lm, packing, pii, quality, warc
+from benchloom.llm import decontaminate, html, jaccard, lm, packing, pii, quality, warc
 from benchloom.llm.common import materialize, new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,9 @@ def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     rows = html.main_text(_table(spark, sf_dir, "pages", "page_id", "url", "html"), keep=["page_id", "url"])
     return rows.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("bigint").alias("n_chars"))
+
+
+@_query
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents linked by a Jaccard similarity of three-word shingles of at least 0.9."""
+    return jaccard.link_components(_table(spark, sf_dir, "documents", "doc_id", "text"), k=3, num=90, den=100)
