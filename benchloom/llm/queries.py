@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from benchloom.llm import decontaminate, html, jaccard, lm, packing, pii, quality, warc
+from benchloom.llm import ann, decontaminate, html, jaccard, lm, packing, pii, quality, warc
 from benchloom.llm.common import materialize, new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,9 @@ def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents linked by a Jaccard similarity of three-word shingles of at least 0.9."""
     return jaccard.link_components(_table(spark, sf_dir, "documents", "doc_id", "text"), k=3, num=90, den=100)
+
+
+@_query
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every twentieth embedding by inner product."""
+    return ann.nearest(_table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 20 == 0, 20)
