@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from benchloom.llm import ann, decontaminate, html, jaccard, lm, packing, pii, quality, warc
+from benchloom.llm import ann, decontaminate, html, jaccard, lm, packing, pii, quality, substrings, warc
 from benchloom.llm.common import materialize, new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,3 +112,9 @@ def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest found of every twentieth embedding by inner product."""
     return ann.nearest(_table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 20 == 0, 20)
+
+
+@_query
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the bytes of 200-byte strings that appear elsewhere."""
+    return substrings.remove_repeats(_table(spark, sf_dir, "documents", "doc_id", "text"), 200)
