@@ -69,7 +69,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, lasso: float = 0.0, steps: int = 400) -> np.ndarray:
     """Weights with the intercept last: Newton steps with a ridge, or proximal gradient steps with a lasso."""
-    x = np.column_stack([x, np.ones(len(x))])
+    x = np.column_stack([x, np.ones(len(x), x.dtype)])
     w = np.zeros(x.shape[1])
     rate = (y.mean() * len(y) + 0.5) / (len(y) + 1)
     w[-1] = np.log(rate / (1 - rate))
@@ -80,7 +80,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, lasso: float = 0
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
             w -= np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(penalty), x.T @ (p - y) + penalty * w)
         return w
-    z, t, rate = w.copy(), 1.0, 4.0 / max(np.linalg.norm(x, 2) ** 2, 1e-9)
+    z, t, rate = w.copy(), 1.0, 4.0 / max(np.linalg.eigvalsh(x.T @ x)[-1], 1e-9)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ z, -30, 30)))
         new = z - rate * (x.T @ (p - y))
@@ -136,16 +136,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, doc_id: str =
         model.center, model.scale = shape.mean(0), shape.std(0) + 1e-3
         model.good, model.good_rate = _logistic(np.clip((shape - model.center) / model.scale, -8, 8), quality), float(quality.mean())
     if len(toxic) and 0 < toxic.mean() < 1:
-        # Words whose presence is associated with the label beyond 3.5 standard errors, at most 2000.
+        # Words whose presence is associated with the label beyond 3.5 standard errors, at most 400.
         n, total = int(toxic.sum()), len(toxic)
         expected = F.col("n") * (n / total)
         score = (F.col("a") - expected) / F.sqrt(expected * (1 - n / total) + 0.5)
         counts = seen.select("toxic", F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n"), F.sum("toxic").alias("a")).filter("n >= 3")
-        best = counts.withColumn("score", score).filter("score > 3.5").orderBy(F.desc("score"), "w").limit(2000).select("w")
+        best = counts.withColumn("score", score).filter("score > 3.5").orderBy(F.desc("score"), "w").limit(400).select("w")
         words = np.sort(np.array([r.w for r in best.collect()], np.int64).view(np.uint64))
-        held = seen.select("toxic", F.array_intersect("words", F.array(*[F.lit(int(w)) for w in words.view(np.int64)]) if len(words) else F.array().cast("array<bigint>")).alias("w")).toArrow()
+        present = F.filter("words", lambda w: w.isin([int(x) for x in words.view(np.int64)])) if len(words) else F.array().cast("array<bigint>")
+        held = seen.select("toxic", present.alias("w")).toArrow()
         y = held.column("toxic").to_numpy()
-        x = np.zeros((len(y), len(words)))
+        x = np.zeros((len(y), len(words)), np.float32)
         for i, own in enumerate(held.column("w").to_pylist()):
             x[i, np.searchsorted(words, np.array(own, np.int64).view(np.uint64))] = 1
         model.words, model.toxic, model.toxic_rate = words, _logistic(x, y, lasso=0.5), float(toxic.mean())
