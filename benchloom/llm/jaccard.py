@@ -64,20 +64,20 @@ def _profiles(docs: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        names = ["kind", "doc_id", "n", "cls"]
+        names = ["kind", "doc_id", "n", "cls", "text_hash"]
 
         def common(ids: pa.Array) -> pa.RecordBatch:
             values, n = np.unique(np.concatenate(held), return_counts=True)
             often = n >= max(3.0, size * COMMON)
             values, n = values[often], n[often].astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(n), np.int32)), pa.nulls(len(n), ids.type), pa.array(n), pa.array(values.view(np.int64))], names)
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(n), np.int32)), pa.nulls(len(n), ids.type), pa.array(n), pa.array(values.view(np.int64)), pa.nulls(len(n), pa.int64())], names)
 
         ids = None
         for batch in batches:
             for rows, data, offsets in text_chunks(batch, "text"):
                 sets, ids = _sets(data, offsets, k), rows.column(0)
                 n = np.array([len(s) for s in sets], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), ids, pa.array(n), pa.array([_class(s) for s in sets], pa.int64())], names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), ids, pa.array(n), pa.array([_class(s) for s in sets], pa.int64()), rows.column(2)], names)
                 held += sets
                 size += int(n.sum())
                 if size > 6_000_000:
@@ -86,7 +86,7 @@ def _profiles(docs: DataFrame, k: int) -> DataFrame:
         if size:
             yield common(ids)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"kind int, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n bigint, cls bigint")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, f"kind int, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n bigint, cls bigint, text_hash bigint")
 
 
 def _regions(docs: DataFrame, k: int, num: int, den: int, common: np.ndarray) -> DataFrame:
@@ -316,12 +316,11 @@ def _meet_pivots(rows: DataFrame, big: DataFrame, num: int, den: int, salts: int
     return links, rest
 
 
-def link_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id of every row: the smallest doc_id reachable by links, Jaccard of at least num/den."""
-    spark = docs.sparkSession
+def link_groups(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, text_hash, n and root of every row: rows with shingles are connected by links just if their roots are equal."""
     docs = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     profiles = materialize(_profiles(docs, k), "profiles")
-    own = profiles.filter("kind = 0").select("doc_id", "n", "cls")
+    own = profiles.filter("kind = 0").select("doc_id", "n", "cls", "text_hash")
     total = own.agg(F.sum("n")).first()[0] or 0
     common = profiles.filter("kind = 1").groupBy("cls").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(4.0, total * COMMON / 2)).select("cls").toArrow()  # at most 2/COMMON
     regions = materialize(_regions(docs, k, num, den, np.sort(common.column("cls").to_numpy().view(np.uint64))), "regions")
@@ -344,19 +343,42 @@ def link_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100,
             links.append(found)
             sets = materialize(small.unionByName(rest), "sets")
         links.append(_exact(sets, num, den))
-    table = own.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("first"))
-    if links:
-        joined = links[0]
-        for more in links[1:]:
-            joined = joined.unionByName(more)
-        roots = components(materialize(joined.distinct(), "links"))
-        grouped = table.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-        smallest = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
-        table = grouped.join(smallest, "root").select("cls", "component_id")
-    else:
-        table = table.select("cls", F.col("first").alias("component_id"))
-    out = own.join(table, "cls", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    if not links:
+        return own.select("doc_id", "text_hash", "n", F.col("cls").alias("root"))
+    joined = links[0]
+    for more in links[1:]:
+        joined = joined.unionByName(more)
+    roots = components(materialize(joined.distinct(), "links"))
+    return own.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("doc_id", "text_hash", "n", F.coalesce("root", "cls").alias("root"))
+
+
+def link_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id of every row: the smallest doc_id reachable by links, Jaccard of at least num/den."""
+    rows = link_groups(docs, k, num, den, doc_id, text)
+    smallest = rows.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(smallest, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def deduplicate(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each group, that of its smallest doc_id (nulls last), then text hash; rows without words stay."""
+    rows = materialize(link_groups(docs, k, num, den, doc_id, text).filter("n > 0"), "groups")
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    keepers = rows.groupBy("root").agg(F.min(own).alias("best"), F.count("*").alias("rows")).filter("rows > 1")
+    known = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_hash") == F.col("best.text_hash"))
+    pairs = rows.join(keepers, "root").withColumn("stays", known)
+    marks = materialize(pairs.groupBy("doc_id", "text_hash").agg(F.max("stays").alias("stays"), F.count("*").alias("times")).filter("not stays or times > 1"), "marks")
+    counts = marks.agg(F.count("*").alias("n"), F.sum(F.col("stays").cast("int")).alias("twice")).first()
+    sides = marks.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "stays")
+    sides = F.broadcast(sides) if counts.n <= BROADCAST else sides
+    hashed = docs.withColumn("__text_hash", F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
+    met = F.col(f"`{doc_id}`").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    out = hashed.join(sides, met, "left_anti").select(*columns)
+    if counts.twice:
+        # Repeated rows of one id and text, of which one stays.
+        again = hashed.join(sides.filter("stays"), met, "left_semi").dropDuplicates([doc_id, "__text_hash"]).select(*columns)
+        out = out.unionByName(again)
+    return out
 
 
 def _sets_of(texts: DataFrame, k: int) -> DataFrame:
