@@ -21,3 +21,14 @@ def query(name: str, sql: str | None = None):
         return f
 
     return add
+
+
+def load() -> None:
+    """Import every module that registers queries."""
+    from importlib import import_module
+    from pkgutil import iter_modules
+
+    from benchloom import plans
+
+    for m in iter_modules(plans.__path__):
+        import_module(f"benchloom.plans.{m.name}")
