@@ -180,5 +180,6 @@ def with_flag_columns(rec: Recording, flags: DataFrame, channels: Iterable[str]
     names = list(channels if channels is not None else rec.channels)
     text = F.array_join(F.sort_array(F.collect_set("flag")), ",")
     wide = flags.select(*rec.source, F.col("row").alias("__at"), F.concat(F.coalesce("channel", F.lit("row")), F.lit("_flags")).alias("c"), "flag")
-    wide = wide.groupBy(*rec.source, "__at").pivot("c", [f"{c}_flags" for c in [*names, "row"]]).agg(text).withColumnRenamed("__at", rec.row)
+    wide = wide.groupBy(*rec.source, "__at").pivot("c", [f"{c}_flags" for c in [*names, "row"]]).agg(text)
+    wide = wide.select(*rec.source, F.col("__at").alias(rec.row), *[F.nullif(f"{c}_flags", F.lit("")).alias(f"{c}_flags") for c in [*names, "row"]])
     return rec.df.join(wide, [*rec.source, rec.row], "left")

@@ -111,17 +111,17 @@ def _median_sql(x: str) -> str:
     return f"list_aggregate({x}, 'median')"
 
 
-HAMPEL = f"""(SELECT *, {_median_sql('list_transform(w, lambda x: abs(x - med))')} AS mad FROM (SELECT *, {_median_sql('w')} AS med FROM
+HAMPEL = f"""(SELECT *, {_median_sql('list_transform(w, lambda x: abs(x - mid))')} AS mad FROM (SELECT *, {_median_sql('w')} AS mid FROM
   (SELECT *, list(value) OVER (PARTITION BY user_id, segment ORDER BY us RANGE BETWEEN {_HALF} PRECEDING AND {_HALF} FOLLOWING) AS w FROM {SEG})))"""
 
 
-@query("hampel_spikes", f"SELECT user_id, row, 'value' AS channel, 'spike' AS flag FROM {HAMPEL} WHERE mad > 0 AND abs(value - med) > 3.0::DOUBLE * (1.4826::DOUBLE * mad)")
+@query("hampel_spikes", f"SELECT user_id, row, 'value' AS channel, 'spike' AS flag FROM {HAMPEL} WHERE mad > 0 AND abs(value - mid) > 3.0::DOUBLE * (1.4826::DOUBLE * mad)")
 def hampel_spikes(spark, d):
     rec = recording(spark, d)
     return quality.spike_flags(quality.with_segments(rec), rec, "value", _HALF)
 
 
-@query("spike_notes", f"SELECT 'value' AS channel, 'spike_mad_zero' AS note, count(*) AS n FROM {HAMPEL} WHERE mad = 0 AND value <> med HAVING count(*) > 0")
+@query("spike_notes", f"SELECT 'value' AS channel, 'spike_mad_zero' AS note, count(*) AS n FROM {HAMPEL} WHERE mad = 0 AND value <> mid HAVING count(*) > 0")
 def spike_notes(spark, d):
     rec = recording(spark, d)
     return quality.spike_notes(quality.with_segments(rec), rec, "value", _HALF)

@@ -128,7 +128,7 @@ def typed_integers(spark, d):
 
 @query("column_kinds", "SELECT c AS \"column\", n AS filled, x AS numeric, w AS whole, k AS kind FROM (SELECT 'o_order_key' AS c, count(*) AS n, count(*) AS x, count(*) AS w, 'identifier' AS k FROM orders UNION ALL SELECT 'o_totalprice', count(*), count(*), count(*) FILTER (WHERE CAST(o_totalprice AS VARCHAR) NOT LIKE '%.%'), 'numeric' FROM orders UNION ALL SELECT 'o_orderpriority', count(*), 0, 0, 'categorical' FROM orders)")
 def column_kinds(spark, d):
-    o = _t(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("o_order_key"), F.col("o_totalprice").cast("string").alias("o_totalprice"), "o_orderpriority")
+    o = _t(spark, d, "orders").select((F.col("o_orderkey") + 20000).cast("string").alias("o_order_key"), F.col("o_totalprice").cast("string").alias("o_totalprice"), "o_orderpriority")
     return typing.column_kinds(o, o.columns)
 
 
