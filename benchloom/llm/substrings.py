@@ -30,7 +30,7 @@ from benchloom.llm.jaccard import _bounds, _groups
 
 PIECE = 64
 #: Bytes of spans whose suffixes are sorted at once.
-SHARD = 8 << 20
+SHARD = 2 << 20
 #: Rows of text hashes that may be sent to all tasks.
 BROADCAST = 2_000_000
 
