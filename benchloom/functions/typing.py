@@ -48,13 +48,13 @@ def audit(df: DataFrame, row: str, cells: dict[str, Column]) -> DataFrame:
     return df.select(row, F.explode(parts).alias("a")).select(row, "a.*").filter("reason is not null")
 
 
-def column_kinds(df: DataFrame, columns: list[str], id_tokens: tuple[str, ...] = ("id", "key", "run", "number"), ratio: float = 0.5) -> DataFrame:
+def column_kinds(df: DataFrame, columns: list[str], id_tokens: tuple[str, ...] = ("id", "key", "run", "number"), ratio: float = 0.5, decimal: str = ".") -> DataFrame:
     """column, filled, numeric, whole, kind: all from one pass over the table."""
     sums = []
     for c in columns:
         col = F.col(f"`{c}`").cast("string")
         real = col.isNotNull() & ~is_sentinel(col)
-        sums.append(F.struct(F.lit(c).alias("column"), F.count_if(real).alias("filled"), F.count_if(real & parse_number(col).isNotNull()).alias("numeric"), F.count_if(real & col.rlike(r"^\s*[+-]?[0-9]+\s*$")).alias("whole")).alias(c))
+        sums.append(F.struct(F.lit(c).alias("column"), F.count_if(real).alias("filled"), F.count_if(real & parse_number(col, decimal).isNotNull()).alias("numeric"), F.count_if(real & col.rlike(r"^\s*[+-]?[0-9]+\s*$")).alias("whole")).alias(c))
     one = df.agg(*[s for s in sums])
     rows = one.select(F.explode(F.array(*[F.col(f"`{c}`") for c in columns])).alias("s")).select("s.*")
     is_id = F.arrays_overlap(F.split(F.regexp_replace(F.lower("column"), "[^a-z0-9]+", "_"), "_"), F.array(*[F.lit(t) for t in id_tokens]))
