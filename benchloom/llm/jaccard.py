@@ -229,10 +229,11 @@ def _linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
 
 
 def join_sets(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
-    """A label for each set, equal for sets connected by links. Sets come by falling need: any order is right.
+    """A label for each set, equal for sets connected by links.
 
-    Pivots: the first set of those left; its linked sets form a group with it, the rest keep their distance to it. Later
-    pairs are tried only between different groups, and only inside the window of their distances to every pivot.
+    Pivots: the first set of those left; its linked sets form a group with it, the rest keep their distance to it. Then the
+    regions are cut again, by the block's own rare shingles: sets of different groups are compared only where one of
+    their first shingles (by frequency in the block) is the same and their distances to every pivot allow a link.
     """
     n = len(sets)
     union = _Union(n)
@@ -243,27 +244,41 @@ def join_sets(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
     while len(left) and len(distances) < 8:
         pivot = sets[left[0]]
         shared = np.array([_shared(s, pivot) for s in sets])
-        d = 1 - shared / (sizes + len(pivot) - shared)
-        distances.append(d)
+        distances.append(1 - shared / (sizes + len(pivot) - shared))
         hit = np.flatnonzero(den * shared >= num * (sizes + len(pivot) - shared))
         union.join(int(left[0]), hit)
         left = left[1:][~np.isin(left[1:], hit)]
-        if len(left) < 2:
-            break
-    order = np.argsort(distances[0], kind="stable") if distances else np.arange(n)
-    first = distances[0][order]
-    ends = np.searchsorted(first, first + reach, "right")
-    d = np.array(distances)[:, order]
-    size = sizes[order]
-    for i in range(n - 1):
-        j = np.arange(i + 1, ends[i])
-        j = j[union.label[order[j]] != union.label[order[i]]]
-        j = j[(num * size[j] <= den * size[i]) & (num * size[i] <= den * size[j])]
-        if len(j):
+    if not len(left):
+        return union.label
+    d = np.array(distances)
+    counts = np.minimum([np.bincount((x & np.uint64(127)).astype(np.int64), minlength=128) for x in sets], 255).astype(np.int16)
+    owner = np.repeat(np.arange(n), sizes)
+    _, which, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.lexsort((which, often[which], owner))
+    place = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    order = order[place < np.repeat(sizes - -(-num * sizes // den) + 1, sizes)]
+    which, owner = which[order], owner[order]
+    order = np.argsort(which, kind="stable")
+    which, owner = which[order], owner[order]
+    bounds = _bounds(which)
+    several = np.flatnonzero(np.diff(bounds) > 1)
+    tried: set[int] = set()
+    for g in several[np.argsort(np.diff(bounds)[several], kind="stable")]:
+        members = owner[bounds[g] : bounds[g + 1]]
+        if (union.label[members] == union.label[members[0]]).all():
+            continue
+        for at in range(len(members) - 1):
+            i, j = int(members[at]), members[at + 1 :]
+            j = j[union.label[j] != union.label[i]]
+            j = j[(num * sizes[j] <= den * sizes[i]) & (num * sizes[i] <= den * sizes[j])]
             j = j[(np.abs(d[:, j] - d[:, i : i + 1]) <= reach).all(0)]
-        for k in j:
-            if union.label[order[k]] != union.label[order[i]] and _linked(sets[order[i]], sets[order[k]], num, den):
-                union.join(int(order[i]), order[k : k + 1])
+            j = j[(den + num) * np.abs(counts[j] - counts[i]).sum(1, dtype=np.int64) <= (den - num) * (sizes[j] + sizes[i])]
+            for k in j.tolist():
+                pair = min(i, k) * n + max(i, k)
+                if pair not in tried and union.label[i] != union.label[k]:
+                    tried.add(pair)
+                    if _linked(sets[i], sets[k], num, den):
+                        union.join(i, np.array([k]))
     return union.label
 
 
