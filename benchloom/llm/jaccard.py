@@ -6,7 +6,7 @@ then by hash) ranks these; a set stays only in the regions of its first |x| - ce
 share one of those (they can't miss more). That is the boundary window of this level, and it loses no link.
 
 Within a region, sets are compared by signatures, their shingle counts in 32 hash buckets: the L1 distance of signatures is
-a metric below the sets' symmetric difference, hence a pair beyond the bound on that isn't linked. Large regions are cut by
+a metric below the sets' symmetric difference (256 buckets for long sets), hence a pair beyond the bound on that isn't linked. Large regions are cut by
 distance to pivots among their signatures, each window replicating its boundary (triangle inequality), recursively. What
 is left are edges of possible links, at most one per set and region; their components (blocks) hold all links. Only
 documents of blocks are read again, each block's sets are joined exactly: against a pivot first, whose linked sets count as
@@ -21,6 +21,7 @@ repeated rows are linked; other columns are ignored; an empty table gives an emp
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,12 +33,16 @@ from benchloom.llm.common import materialize, mix, shingle_hashes, text_chunks,
 from benchloom.llm.graph import components
 
 BUCKETS = 32
+#: Sets of more than LONG shingles have LONG_BUCKETS counts, as noise grows slower than what a link may differ by.
+LONG, LONG_BUCKETS = 2000, 256
 #: A shingle is common from this share of all shingle occurrences on; at most twice its inverse are.
 COMMON = 2.0**-18
 #: Classes in a block that one task joins; larger ones meet their pivot in many tasks first.
 BLOCK = 20_000
 #: Rows of text hashes that may be sent to all tasks.
 BROADCAST = 2_000_000
+#: Ratio of the largest to the smallest size of a band.
+BAND = 1.25
 _FILTER = 20
 
 
@@ -115,7 +120,8 @@ def _regions(docs: DataFrame, k: int, num: int, den: int, common: np.ndarray) ->
                         s_ranked = np.concatenate([s[~often], s[often]])
                     else:
                         s_ranked = s
-                    signature = np.minimum(np.bincount((s & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8)
+                    buckets = LONG_BUCKETS if n > LONG else BUCKETS
+                    signature = np.minimum(np.bincount((s & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets), 255).astype(np.uint8)
                     for column, value in zip(out, (cls, n, hashes[i], s_ranked[:p].view(np.int64), signature.tobytes()), strict=True):
                         column.append(value)
                 if len(seen) > 1_000_000:
@@ -164,6 +170,19 @@ def _near(n: np.ndarray, signature: np.ndarray, at: np.ndarray, union: _Union, n
                 union.join(order[i], order[j])
 
 
+def _near_any(n: np.ndarray, signatures: list[bytes], union: _Union, num: int, den: int) -> None:
+    """_near among short and among long sets, and between both where sizes allow: there long signatures are folded."""
+    long = n > LONG
+    for own, width in ((np.flatnonzero(~long | (n * num <= LONG * den)), BUCKETS), (np.flatnonzero(long), LONG_BUCKETS)):
+        if len(own) < 2 or (width == BUCKETS and long[own].all()):
+            continue
+        table = np.zeros((len(n), width), np.uint8)
+        for i in own:
+            x = np.frombuffer(signatures[i], np.uint8)
+            table[i] = x if len(x) == width else np.minimum(x.reshape(-1, width).sum(0, dtype=np.int64), 255)
+        _near(n, table, own, union, num, den)
+
+
 def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Runs of rows with equal ``key`` of batches sorted by it; small groups come together in one table."""
     held: list[pa.RecordBatch] = []
@@ -196,7 +215,7 @@ def _possible(rows: DataFrame, num: int, den: int) -> DataFrame:
         done: set[int] = set()
         for table in _groups(batches, "s"):
             keys, cls, n = (table.column(c).to_numpy() for c in ("s", "cls", "n"))
-            signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(-1, BUCKETS)
+            signatures = table.column("signature").to_pylist()
             bounds = _bounds(keys)
             a, b = [], []
             for low, high in zip(bounds[:-1], bounds[1:], strict=True):
@@ -205,7 +224,7 @@ def _possible(rows: DataFrame, num: int, den: int) -> DataFrame:
                     continue
                 done.add(same)
                 union = _Union(high - low)
-                _near(n[low:high], signature[low:high], np.arange(high - low), union, num, den)
+                _near_any(n[low:high], signatures[low:high], union, num, den)
                 moved = np.flatnonzero(union.label != np.arange(high - low))
                 a.append(cls[low:high][moved])
                 b.append(cls[low:high][union.label[moved]])
@@ -283,11 +302,18 @@ def join_sets(sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
 
 
 def _exact(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): links that connect what is linked in each block of (block, cls, shingles)."""
+    """(a, b): links that connect what is linked in each block of (block, cls, shingles).
+
+    A block is cut into bands of sizes; a set that may be linked with smaller ones of the band below is in both.
+    """
+    size = F.octet_length("shingles") / 8
+    band = lambda x: F.floor(F.log(x) / F.lit(math.log(BAND)) + 1e-9)
+    bands = F.sequence(band(F.greatest(size * (num / den) - 1, F.lit(1.0))), band(size))
+    rows = rows.withColumn("__band", F.explode(bands)).withColumn("part", F.xxhash64("block", "__band"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _groups(batches, "block"):
-            keys, cls = table.column("block").to_numpy(), table.column("cls").to_numpy()
+        for table in _groups(batches, "part"):
+            keys, cls = table.column("part").to_numpy(), table.column("cls").to_numpy()
             shingles = table.column("shingles")
             bounds = _bounds(keys)
             a, b = [], []
@@ -299,7 +325,7 @@ def _exact(rows: DataFrame, num: int, den: int) -> DataFrame:
                 b.append(cls[low:high][label[moved]])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
-    return rows.select("block", "cls", "shingles").repartition(F.col("block")).sortWithinPartitions("block", "cls").mapInArrow(run, "a bigint, b bigint")
+    return rows.select("part", "cls", "shingles").repartition(F.col("part")).sortWithinPartitions("part", "cls").mapInArrow(run, "a bigint, b bigint")
 
 
 def _meet_pivots(rows: DataFrame, big: DataFrame, num: int, den: int, salts: int = 64) -> tuple[DataFrame, DataFrame]:

@@ -56,6 +56,14 @@ def test_matches_brute_force(spark, seed, k, num, den):
     assert got == brute(rows, k, num, den)
 
 
+@pytest.mark.parametrize("long", [0, 40])
+def test_long_sets(spark, monkeypatch, long):
+    monkeypatch.setattr(jaccard, "LONG", long)
+    rows = corpus(11)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted((tuple(r) for r in jaccard.link_components(df, 3, 80, 100).collect()), key=str) == brute(rows, 3, 80, 100)
+
+
 def test_large_blocks_and_regions(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 5)
     monkeypatch.setattr(jaccard, "BROADCAST", 0)
