@@ -59,24 +59,31 @@ def calculate(df: DataFrame, calculations: Mapping[str, str], inputs: Mapping[st
     """Adds for each calculation: name, u_name, u_name_random, u_name_systematic and b_name__input (contributions).
 
     First-order propagation: random parts add in squares; systematic ones add up inside a group, in squares between.
-    Derivatives are taken of the formulas, so all of it is one projection.
+    Derivatives are taken of the formulas, so all of it is a few projections.
     """
-    env = {name: i.value.cast("double") for name, i in inputs.items()}
+    own = df.columns
+    df = df.select("*", *[i.value.cast("double").alias(f"__x_{n}") for n, i in inputs.items()], *[i.u.cast("double").alias(f"__u_{n}") for n, i in inputs.items()])
+    env = {n: F.col(f"__x_{n}") for n in inputs}
+    held = {n: Input(env[n], F.col(f"__u_{n}"), i.kind, i.group) for n, i in inputs.items()}
     known: dict[str, Budget] = {}
-    columns: list[Column] = []
+    values: list[Column] = []
+    results: list[Column] = []
     for name, text in calculations.items():
         budget = differentiate(text, known, inputs)
-        parts = contributions(budget, inputs, env)
-        random = [c * c for n, c in parts.items() if inputs[n].kind == "random"]
+        parts = contributions(budget, held, env)
+        values += [formula.to_column(budget.node, env).alias(name), *[c.alias(f"b_{name}__{n}") for n, c in parts.items()]]
+        column = {n: F.col(f"b_{name}__{n}") for n in parts}
+        random = [c * c for n, c in column.items() if inputs[n].kind == "random"]
         groups: dict[str, list[Column]] = {}
-        for n, c in parts.items():
+        for n, c in column.items():
             if inputs[n].kind != "random":
                 groups.setdefault(inputs[n].group or f"\0{n}", []).append(c)
         shared = [reduce(lambda a, b: a + b, g) for g in groups.values()]
         u_random, u_systematic = _root(random), _root([s * s for s in shared])
-        columns += [formula.to_column(budget.node, env).alias(name), F.sqrt(u_random**2 + u_systematic**2).alias(f"u_{name}"), u_random.alias(f"u_{name}_random"), u_systematic.alias(f"u_{name}_systematic"), *[c.alias(f"b_{name}__{n}") for n, c in parts.items()]]
+        results += [F.col(name), F.sqrt(u_random**2 + u_systematic**2).alias(f"u_{name}"), u_random.alias(f"u_{name}_random"), u_systematic.alias(f"u_{name}_systematic"), *column.values()]
         known[name] = budget
-    return df.select("*", *columns)
+    # Values and contributions are columns before their squares are summed, so that no formula is written out twice.
+    return df.select(*own, *values).select(*own, *results)
 
 
 def criteria(df: DataFrame, tests: Mapping[str, str]) -> DataFrame:
