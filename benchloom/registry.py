@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from benchloom.rounding import DIGITS, DOUBLES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -12,12 +16,19 @@ FLAGSHIP = "quality_summary"
 
 
 def query(name: str, sql: str | None = None):
-    """Register a query under ``name``; ``sql`` is its DuckDB twin."""
+    """Register a query under ``name``; ``sql`` is its DuckDB twin. Doubles are rounded alike in both, -0 becomes 0."""
+    doubles = {c: int(n or DIGITS) for c, _, n in (x.partition(":") for x in DOUBLES.get(name, "").split())}
 
     def add(f):
-        QUERIES[name] = f
+        @wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            df = f(spark, sf_dir)
+            return df.withColumns({c: F.round(F.col(f"`{c}`"), n) + F.lit(0.0) for c, n in doubles.items()}) if sql and doubles else df
+
+        QUERIES[name] = run
         if sql:
-            ORACLE_SQL[name] = sql
+            rounded = ", ".join(f'round(CAST("{c}" AS DOUBLE), {n}) + 0.0 AS "{c}"' for c, n in doubles.items())
+            ORACLE_SQL[name] = f"SELECT * REPLACE ({rounded}) FROM ({sql})" if doubles else sql
         return f
 
     return add

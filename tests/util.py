@@ -18,7 +18,7 @@ def twin_rows(sql: str, d: str):
 def plain(rows):
     def value(x):
         if isinstance(x, float):
-            return "nan" if x != x else round(x, 5) + 0.0
+            return "nan" if x != x else x
         if isinstance(x, (list, tuple)):
             return tuple(value(y) for y in x)
         return x.replace(tzinfo=None) if hasattr(x, "tzinfo") else float(x) if type(x).__name__ == "Decimal" else x
