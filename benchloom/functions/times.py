@@ -5,15 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-#: Formats tried in order after ISO 8601.
-FORMATS = ("yyyy-MM-dd HH:mm:ss.SSS", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "dd.MM.yyyy HH:mm:ss", "dd.MM.yyyy HH:mm", "MM/dd/yyyy HH:mm:ss", "yyyy/MM/dd HH:mm:ss", "yyyyMMdd HHmmss")
+# Formats tried in order after ISO 8601.
+FORMATS = (
+    "dd.MM.yyyy HH:mm:ss", "dd.MM.yyyy HH:mm:ss.SSSSSS", "yyyy/MM/dd HH:mm:ss", "yyyy/MM/dd HH:mm:ss.SSSSSS",
+    "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm:ss.SSSSSS", "dd-MM-yyyy HH:mm:ss", "dd-MM-yyyy HH:mm:ss.SSSSSS",
+)
 
 
 def parse_datetime(c: Column, formats: tuple[str, ...] = FORMATS) -> Column:
     """A timestamp, or null where no format fits; offsets in the text count, else the session's zone."""
     s = F.trim(c)
     iso = F.when(s.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}(?:[T ][0-9]{2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]+)?)?(?:Z|[+-][0-9]{2}:?[0-9]{2})?)?$"), s.try_cast("timestamp"))
-    return F.coalesce(iso, *[F.try_to_timestamp(s, F.lit(f)) for f in formats])
+    # Fractions have any number of digits in texts: they are filled up to six.
+    full = F.when(s.rlike(r"\.[0-9]{1,6}$"), F.rpad(s, F.length(s) - F.length(F.regexp_extract(s, r"\.([0-9]{1,6})$", 1)) + 6, "0")).otherwise(s)
+    return F.coalesce(iso, *[F.try_to_timestamp(full, F.lit(f)) for f in formats])
 
 
 def clock_seconds(c: Column) -> Column:

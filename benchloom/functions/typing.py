@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Fixed words that stand for a missing value.
-SENTINELS = ("-999", "-999.0", "-9999", "-9999.0", "9999", "ERR", "ERROR", "#DIV/0!", "#N/A", "#VALUE!", "#REF!", "N/A", "NA", "NAN", "NULL", "NONE", "-", "--", "---", "?", "INVALID", "OVERFLOW")
+# Texts that stand for a missing value.
+SENTINELS = ("", "NA", "N/A", "null", "NULL", "NaN", "None", "-999", "ERR", "#N/A", "#VALUE!", "nan", "NAN", "error", "ERROR", "undef", "UNDEF", "overflow", "OVERFLOW", "#DIV/0!", "#REF!", "#NAME?", "#NUM!", "#NULL!")
 _PLAIN = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
 _WORDS = r"(?i)^[+-]?(?:inf|infinity|nan)$"
 
@@ -24,7 +24,8 @@ def parse_number(c: Column, decimal: str = ".") -> Column:
 
 
 def is_sentinel(c: Column) -> Column:
-    return F.upper(F.trim(c)).isin(*SENTINELS) | (F.trim(c) == "")
+    """Whether a cell is one of the words, as it stands or in capitals."""
+    return F.trim(c).isin(*SENTINELS) | F.upper(F.trim(c)).isin(*SENTINELS)
 
 
 def number_cell(c: Column, decimal: str = ".") -> Column:

@@ -88,7 +88,7 @@ def nearest_reference(df: DataFrame, match: list[str], row: str, start: str, end
     ok = is_reference & F.col(value).isNotNull() & ieee.is_finite(F.col(value))
     refs = df.filter(ok)
     ask = lambda t, side: df.select(*match, row, F.col(t).alias("t"), F.lit(side).alias("side"), F.lit(None).cast("struct<t:double,v:double>").alias("ref"))
-    tell = lambda t, side, sign: refs.select(*match, (F.col(row) * sign).alias(row), F.col(t).alias("t"), F.lit(side).alias("side"), F.struct(((F.col(start) + F.col(end)) / 2).cast("double").alias("t"), F.col(value).cast("double").alias("v"), F.col(row).alias("row")).alias("answer"))
+    tell = lambda t, side, sign: refs.select(*match, (F.col(row) * sign).alias(row), F.col(t).alias("t"), F.lit(side).alias("side"), F.struct(F.col(t).cast("double").alias("t"), F.col(value).cast("double").alias("v"), F.col(row).alias("row")).alias("answer"))
     # Backwards: answers by end come before questions at the same time; of equal ends the smallest row is the last read.
     back = ask(start, 1).unionByName(tell(end, 0, -1), allowMissingColumns=True)
     w = Window.partitionBy(*match).orderBy("t", "side", row)

@@ -135,7 +135,7 @@ def column_kinds(spark, d):
 @query("parse_times", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 < 3 THEN epoch_us(o_orderdate) END AS us FROM orders")
 def parse_times(spark, d):
     k, t = F.col("o_orderkey"), F.col("o_orderdate").cast("timestamp")
-    text = F.when(k % 4 == 0, F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(k % 4 == 1, F.date_format(t, "dd.MM.yyyy HH:mm:ss")).when(k % 4 == 2, F.date_format(t, "MM/dd/yyyy HH:mm:ss")).otherwise("gestern")
+    text = F.when(k % 4 == 0, F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(k % 4 == 1, F.date_format(t, "dd.MM.yyyy HH:mm:ss")).when(k % 4 == 2, F.date_format(t, "yyyy/MM/dd HH:mm:ss.S")).otherwise("gestern")
     return _t(spark, d, "orders").select("o_orderkey", F.unix_micros(times.parse_datetime(text)).alias("us"))
 
 

@@ -53,7 +53,7 @@ def load(spark: SparkSession, path: str, time_column: str | None = None, kinds:
     spec = spec or {}
     s = Sniffed(**spec["sniffed"]) if "sniffed" in spec else sniff(spark, path)
     raw = read_raw(spark, path, s)
-    names = unique_names([clean_name(split_unit(n)[0]) for n in s.names])
+    names = unique_names([clean_name(split_unit(n)[0], i) for i, n in enumerate(s.names)])
     units = {new: u for new, n in zip(names, s.names, strict=True) if (u := split_unit(n)[1])}
     raw = raw.toDF("row_index", *names)
     wanted = spec.get("time") or time_column

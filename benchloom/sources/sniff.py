@@ -96,7 +96,7 @@ def sniff_text(text: str, encoding: str = "utf-8", delimiter: str | None = None,
     at = header_row_of(lines, d)
     body = lines[at + 1 :]
     cells = {c.strip().strip('"') for x in body[:200] for c in x.split(d)}
-    return Sniffed(encoding, d, at, clean_headers(lines[at].split(d)) if lines else [], decimal or decimal_of(body, d), footer_of(body, d), sorted(c for c in cells if c.upper() in SENTINELS))
+    return Sniffed(encoding, d, at, clean_headers(lines[at].split(d)) if lines else [], decimal or decimal_of(body, d), footer_of(body, d), sorted(c for c in cells if c and (c in SENTINELS or c.upper() in SENTINELS)))
 
 
 def sniff(spark: SparkSession, path: str, sample_bytes: int = 1 << 20, **options) -> Sniffed:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from benchloom import registry
 from benchloom.functions import formula, ieee
-from benchloom.operators import analyses, quality, stats, steps
+from benchloom.operators import analyses, quality, reshape, stats, steps
 from benchloom.operators.recording import Recording
 from benchloom.plans.steps import inside
 from benchloom.streaming import live
@@ -50,6 +50,19 @@ def test_changed_moves_only_when_accepted(spark):
     assert got == [True, False, False, True, False, False]
 
 
+@pytest.mark.parametrize(("linear", "value"), [(False, 20.0), (True, 8.0)])
+def test_references_on_both_sides(spark, linear, value):
+    df = spark.createDataFrame([("a", 0, 0.0, 10.0, 0.0, True), ("a", 1, 12.0, 16.0, 5.0, False), ("a", 2, 30.0, 40.0, 40.0, True)], "m string, row long, s double, e double, v double, is_ref boolean")
+    rows = {r.row: r for r in steps.nearest_reference(df, ["m"], "row", "s", "e", "v", F.col("is_ref"), linear=linear).collect()}
+    assert rows[1].ref_kind == "both" and (rows[1].ref_before, rows[1].ref_after) == (0, 2)
+    assert rows[1].ref == pytest.approx(value) and rows[1].u_ref == pytest.approx(40 / (2 * 3**0.5)) and rows[0].ref_kind == "one"
+
+
+@pytest.mark.parametrize(("raw", "clean"), [("Kanal (1) [°C]", "kanal_1"), ("Letzte Wert Druck", "druck"), ("Größe", "groesse"), ("", "time"), ("{x}", "time"), ("\ufeffA-b", "a_b")])
+def test_clean_names(raw, clean):
+    assert reshape.clean_name(raw) == clean
+
+
 def test_claims_are_greedy_and_unique(spark):
     s = spark.createDataFrame([("a", 1, 0.0), ("a", 2, 1.0), ("a", 3, 50.0)], "g string, step_id long, start double")
     r = spark.createDataFrame([("a", 10, 0.9), ("a", 11, 3.0), ("a", 12, 100.0)], "g string, row_id long, time double")
