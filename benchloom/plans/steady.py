@@ -34,3 +34,14 @@ def window_checks(spark, d):
     rows = inside(spark, d).groupBy("step_id").agg(F.count("*").alias("n"), F.count_if(F.col("value") > 100).alias("x"))
     c = stationary.checks(F.col("n"), F.lit(1.0), F.col("x"), F.lit(0.0))
     return rows.withColumn("checks", c).select("step_id", "checks", stationary.level(F.col("checks")).alias("level"))
+
+
+@query("cross_correlation")
+def cross_correlation(spark, d):
+    """Clock offset of each user's signal against itself, three grid steps late; the tests hold curves against NumPy."""
+    from benchloom.operators import align, sync
+    from benchloom.plans.recordings import recording
+
+    hour = 3_600_000_000
+    g = align.resample(recording(spark, d), "value", hour, 48 * hour).filter("value is not null").select("user_id", F.floor(F.col("grid_us") / hour).alias("k"), "value")
+    return sync.cross_correlate(g, g.withColumn("k", F.col("k") + 3), ["user_id"], "k", "value", 24)
