@@ -5,8 +5,8 @@ has s, at 1 from all others, so a set lies in the Voronoi regions of its own shi
 then by hash) ranks these; a set stays only in the regions of its first |x| - ceil(t|x|) + 1 shingles, as linked sets
 share one of those (they can't miss more). That is the boundary window of this level, and it loses no link.
 
-Within a region, sets are compared by signatures, their shingle counts in 32 hash buckets: the L1 distance of signatures is
-a metric below the sets' symmetric difference (256 buckets for long sets), hence a pair beyond the bound on that isn't linked. Large regions are cut by
+Within a region, sets are compared by signatures, their shingle counts in hash buckets: the L1 distance of signatures is
+a metric below the sets' symmetric difference (more buckets for long sets), hence a pair beyond the bound on that isn't linked. Large regions are cut by
 distance to pivots among their signatures, each window replicating its boundary (triangle inequality), recursively. What
 is left are edges of possible links, at most one per set and region; their components (blocks) hold all links. Only
 documents of blocks are read again, each block's sets are joined exactly: against a pivot first, whose linked sets count as
@@ -32,13 +32,14 @@ from pyspark.sql import functions as F
 from benchloom.llm.common import materialize, mix, shingle_hashes, text_chunks, word_hashes
 from benchloom.llm.graph import components
 
-BUCKETS = 32
-#: Sets of more than LONG shingles have LONG_BUCKETS counts, as noise grows slower than what a link may differ by.
-LONG, LONG_BUCKETS = 2000, 256
+#: Counts in a signature, by size. Noise of unrelated sets' distance grows with the root of size times counts, what a link
+#: may differ by with the size: n shingles at a bound c = (1-t)/(1+t) need about NOISE * n * c² counts.
+BUCKETS = (32, 128, 512)
+NOISE = 12.5
 #: A shingle is common from this share of all shingle occurrences on; at most twice its inverse are.
 COMMON = 2.0**-18
-#: Classes in a block that one task joins; larger ones meet their pivot in many tasks first.
-BLOCK = 20_000
+#: Bytes of sets in a block that one task joins; larger ones meet their pivot in many tasks first.
+BLOCK = 48 << 20
 #: Rows of text hashes that may be sent to all tasks.
 BROADCAST = 2_000_000
 #: Ratio of the largest to the smallest size of a band.
@@ -99,6 +100,7 @@ def _regions(docs: DataFrame, k: int, num: int, den: int, common: np.ndarray) ->
     table = np.zeros(1 << _FILTER, bool)
     table[(common & np.uint64((1 << _FILTER) - 1)).astype(np.int64)] = True
     sent = docs.sparkSession.sparkContext.broadcast((common, table))
+    limits = size_limits(num, den)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, table = sent.value
@@ -120,7 +122,7 @@ def _regions(docs: DataFrame, k: int, num: int, den: int, common: np.ndarray) ->
                         s_ranked = np.concatenate([s[~often], s[often]])
                     else:
                         s_ranked = s
-                    buckets = LONG_BUCKETS if n > LONG else BUCKETS
+                    buckets = BUCKETS[int(np.searchsorted(limits, n))]
                     signature = np.minimum(np.bincount((s & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets), 255).astype(np.uint8)
                     for column, value in zip(out, (cls, n, hashes[i], s_ranked[:p].view(np.int64), signature.tobytes()), strict=True):
                         column.append(value)
@@ -170,17 +172,29 @@ def _near(n: np.ndarray, signature: np.ndarray, at: np.ndarray, union: _Union, n
                 union.join(order[i], order[j])
 
 
+def size_limits(num: int, den: int) -> np.ndarray:
+    """Up to which size sets have each of BUCKETS but the last."""
+    return np.array([b / (NOISE * ((den - num) / (den + num)) ** 2) for b in BUCKETS[:-1]])
+
+
 def _near_any(n: np.ndarray, signatures: list[bytes], union: _Union, num: int, den: int) -> None:
-    """_near among short and among long sets, and between both where sizes allow: there long signatures are folded."""
-    long = n > LONG
-    for own, width in ((np.flatnonzero(~long | (n * num <= LONG * den)), BUCKETS), (np.flatnonzero(long), LONG_BUCKETS)):
-        if len(own) < 2 or (width == BUCKETS and long[own].all()):
+    """_near among sets with equally long signatures, and with those longer ones whose sizes allow a link, folded."""
+    limits = size_limits(num, den)
+    tier = np.searchsorted(limits, n)
+    for k, width in enumerate(BUCKETS):
+        own = tier == k
+        if not own.any():
+            continue
+        if k < len(limits):
+            own = own | ((tier > k) & (n * num <= limits[k] * den))
+        at = np.flatnonzero(own)
+        if len(at) < 2:
             continue
         table = np.zeros((len(n), width), np.uint8)
-        for i in own:
+        for i in at:
             x = np.frombuffer(signatures[i], np.uint8)
             table[i] = x if len(x) == width else np.minimum(x.reshape(-1, width).sum(0, dtype=np.int64), 255)
-        _near(n, table, own, union, num, den)
+        _near(n, table, at, union, num, den)
 
 
 def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -376,7 +390,7 @@ def link_groups(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, doc_
         again = docs.withColumn("text_hash", F.xxhash64("text")).join(F.broadcast(hashes) if size <= BROADCAST else hashes, "text_hash", "left_semi").select("text")
         sets = materialize(_sets_of(again, k).dropDuplicates(["cls"]).join(wanted.select("cls", "block"), "cls").select("block", "cls", "shingles"), "sets")
         for _ in range(4):
-            big = materialize(sets.groupBy("block").agg(F.min("cls").alias("pivot"), F.count("*").alias("n")).filter(F.col("n") > BLOCK).select("block", F.when(F.col("block") == F.col("pivot"), F.col("pivot")).otherwise(F.col("block")).alias("pivot")), "big")
+            big = materialize(sets.groupBy("block").agg(F.min("cls").alias("pivot"), F.sum(F.octet_length("shingles")).alias("n")).filter(F.col("n") > BLOCK).select("block", F.when(F.col("block") == F.col("pivot"), F.col("pivot")).otherwise(F.col("block")).alias("pivot")), "big")
             if not big.count():
                 break
             small = sets.join(big.select("block"), "block", "left_anti")

@@ -56,16 +56,16 @@ def test_matches_brute_force(spark, seed, k, num, den):
     assert got == brute(rows, k, num, den)
 
 
-@pytest.mark.parametrize("long", [0, 40])
-def test_long_sets(spark, monkeypatch, long):
-    monkeypatch.setattr(jaccard, "LONG", long)
+@pytest.mark.parametrize("noise", [50, 1000])
+def test_long_sets(spark, monkeypatch, noise):
+    monkeypatch.setattr(jaccard, "NOISE", noise)
     rows = corpus(11)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert sorted((tuple(r) for r in jaccard.link_components(df, 3, 80, 100).collect()), key=str) == brute(rows, 3, 80, 100)
 
 
 def test_large_blocks_and_regions(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "BLOCK", 5)
+    monkeypatch.setattr(jaccard, "BLOCK", 4000)
     monkeypatch.setattr(jaccard, "BROADCAST", 0)
     rng = random.Random(5)
     base = ["w%d" % i for i in range(120)]
@@ -82,8 +82,8 @@ def test_large_blocks_and_regions(spark, monkeypatch):
 
 def test_signature_windows_lose_nothing():
     rng = np.random.default_rng(2)
-    base = rng.integers(0, 30, (40, jaccard.BUCKETS))
-    signature = np.minimum(np.repeat(base, 60, 0) + rng.integers(0, 2, (2400, jaccard.BUCKETS)), 255).astype(np.uint8)
+    base = rng.integers(0, 30, (40, 32))
+    signature = np.minimum(np.repeat(base, 60, 0) + rng.integers(0, 2, (2400, 32)), 255).astype(np.uint8)
     n = signature.sum(1).astype(np.int64)
     union, plain = jaccard._Union(2400), jaccard._Union(2400)
     jaccard._near(n, signature, np.arange(2400), union, 90, 100)
