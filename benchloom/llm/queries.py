@@ -38,7 +38,10 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = captures.select("capture_id", page.alias("page_id"), "response.*")
     # The responses that revisits refer to, by record id.
     named = rows.filter("record_type = 'response'").groupBy("capture_id").agg(F.max("page_id").alias("refers_to_page"))
-    return rows.join(named.withColumnRenamed("capture_id", "refers_to"), "refers_to", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("refers_to_page").alias("refers_to"))
+    # A response, which refers to nothing, keeps its own id as key, so that nulls do not meet in one task.
+    rows = rows.withColumn("key", F.coalesce("refers_to", "capture_id"))
+    met = rows.join(named.withColumnRenamed("capture_id", "key"), "key", "left").withColumn("refers_to_page", F.when(F.col("refers_to").isNotNull(), F.col("refers_to_page")))
+    return met.select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("refers_to_page").alias("refers_to"))
 
 
 ORACLE_SQL["op9_warc"] = """
