@@ -1,9 +1,8 @@
 """Prediction by partial matching: a byte-context trie, escape estimation and symbol exclusion, as sorted arrays.
 
 Contexts have up to ``order`` bytes; a text is preceded by ``order`` zero bytes, so every byte has a full context and the
-counts of shorter contexts are sums of those of longer ones. A node, a context and the byte after it, is kept at a count of
-at least ``share`` of all bytes (orders 0 and 1 are whole). Counts of one order add up to all bytes, hence an order has at
-most 1/share nodes, however large the corpus. What is pruned adds to its context's escape.
+counts of shorter contexts are sums of those of longer ones. A model may hold a part of the nodes, contexts and the bytes
+after them: what it lacks adds to its context's escape. It is exact for a gram if it has all nodes of the gram's contexts.
 
 At a byte, the longest kept context predicts it with (n - 1/2)/n(c), n its count, n(c) the context's, or escapes with the
 rest: half the number of the context's bytes, its pruned counts, and how often it ended a text (method D). Shorter contexts leave out the bytes that the longer one
@@ -61,8 +60,11 @@ class Model:
     log_uniform: float
 
     @staticmethod
-    def build(tables: list[tuple[np.ndarray, np.ndarray]], total: int) -> "Model":
-        """From the kept (keys, counts) of orders 0 and up, keys sorted, and the number of bytes."""
+    def build(tables: list[tuple[np.ndarray, np.ndarray]], total: int, wholes: dict[int, tuple[np.ndarray, np.ndarray]] | None = None) -> "Model":
+        """From the kept (keys, counts) of orders 0 and up, keys sorted, and the number of bytes.
+
+        ``wholes`` has by order how often its contexts occur, where the table of the order below lacks them.
+        """
         parts = []
         for k, (keys, n) in enumerate(tables):
             n = n.astype(np.float64)
@@ -70,8 +72,9 @@ class Model:
             if k == 0:
                 contexts, first, whole = np.zeros(1, np.int64), np.zeros(1, np.int64), np.array([float(total)])
             else:
-                below_keys, below_n = tables[k - 1]
-                whole = below_n[np.minimum(np.searchsorted(below_keys, contexts), len(below_keys) - 1)].astype(np.float64) if len(below_keys) else np.zeros(len(contexts))
+                below_keys, below_n = (wholes or {}).get(k, tables[k - 1])
+                at = np.minimum(np.searchsorted(below_keys, contexts), max(len(below_keys) - 1, 0))
+                whole = np.where(below_keys[at] == contexts, below_n[at], 0).astype(np.float64) if len(below_keys) else np.zeros(len(contexts))
             kept = np.add.reduceat(n, first) if len(n) else np.zeros(len(contexts))
             distinct = np.diff(np.append(first, len(keys))).astype(np.float64)
             parts.append((keys, n, contexts, first, np.maximum(whole, kept), kept, distinct))

@@ -102,3 +102,27 @@ def test_without_training_rows(spark):
     r = lm.score(df).first()
     assert (r.n_known, r.train_tokens) == (0, 0) and r.score == pytest.approx(-2 * math.log10(256))
     assert lm.score(df.filter(F.lit(False))).count() == 0
+
+
+def assert_exact(spark, rows, own, order, **parameters):
+    """Scores of the rows at ``own`` against brute force over all training rows."""
+    df = spark.createDataFrame([(i, t) for i, t in rows], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in lm.score(df, order=order, **parameters).collect()}
+    training = [t.encode() for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    want = brute_ppm(training, [rows[i][1].encode() for i in own], order)
+    assert [got[rows[i][0]] for i in own] == pytest.approx(want, abs=1e-6)
+
+
+@pytest.mark.parametrize("order", [2, 4, 5])
+@pytest.mark.parametrize("share", [0.001, 1.0])
+def test_share_changes_no_score(spark, monkeypatch, order, share):
+    monkeypatch.setattr(lm, "BUCKET_NODES", 100)
+    assert_exact(spark, corpus(), range(150), order, share=share)
+
+
+def test_own_parameters_match_brute_force_on_megabytes(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9))) for _ in range(20_000)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(500))) for i in range(1000)]
+    assert sum(len(t) for _, t in rows) * 6 / 7 > 2**21
+    assert_exact(spark, rows, range(0, 1000, 50), 5)
