@@ -40,22 +40,31 @@ SKIP_WORDS = frozenset(
     "subscribe subscription newsletter signup login share sharing social socials related recommended recommendations trending popular teaser comment comments commentlist disqus reply replies respond breadcrumb breadcrumbs pagination pager toolbar topbar copyright legal disclaimer search form hidden skip contentinfo complementary dialog outbrain taboola".split())
 MAIN_WORDS = frozenset("article articlebody articletext content entry maincontent main post postbody postcontent story storybody".split())
 
-_TOKEN = re.compile(r"<!--(?:>|->)?|<!\[CDATA\[|<(?:[!?][^>]*>?)|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]{0,9999}\"|'[^']{0,9999}'|[^'\">]{1,9999}+){0,300}+)>")
+_TOKEN = re.compile(r"<!--(?:>|->)?|<!\[CDATA\[|<(?:[!?][^>]*>?)|<(/?)([A-Za-z][^\s/>]*)")
+_STOP = re.compile(r"['\">]")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
+#: Characters of attributes up to which what they say is remembered.
+CACHED = 1000
+
 
 def events(page: str) -> Iterator[tuple[str, str, str]]:
     """("text", text, ""), ("open", tag, attributes), ("close", tag, "") in page order; raw elements without content."""
     at, n = 0, len(page)
+    search, last, ends = 0, page.rfind(">"), _Ends(page)
     while at < n:
-        m = _TOKEN.search(page, at)
-        if not m:
+        m = _TOKEN.search(page, search)
+        if not m or m[2] and m.start() > last:
             yield "text", page[at:], ""
             return
+        end = ends.after(m.end()) if m[2] else m.end()
+        if end < 0:
+            search = m.start() + 1
+            continue
         if m.start() > at:
             yield "text", page[at : m.start()], ""
-        at = m.end()
+        at = end
         if m[0].startswith("<!--"):
             if m[0] == "<!--":
                 end = page.find("-->", at)
@@ -64,20 +73,49 @@ def events(page: str) -> Iterator[tuple[str, str, str]]:
             end = page.find("]]>", at)
             at = n if end < 0 else end + 3
         elif m[2]:
-            tag = m[2].lower()
+            tag, attributes = m[2].lower(), page[m.end() : end - 1]
             if m[1]:
                 yield "close", tag, ""
-                continue
-            yield "open", tag, m[3]
-            if tag in RAW and not m[3].endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
-                at = end.end() if end else n
-                yield "close", tag, ""
+            else:
+                yield "open", tag, attributes
+                if tag in RAW and not attributes.endswith("/"):
+                    end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
+                    at = end.end() if end else n
+                    yield "close", tag, ""
+        search = at
+
+
+class _Ends:
+    """Where tags of a page end: after the first > outside of quotes. A quote met before by a tag without an end is not read again."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.dead = page, set()
+        self.at, self.stop = len(page) + 1, -1
+
+    def after(self, at: int) -> int:
+        """The end of the tag whose attributes start at ``at``; -1: it has none."""
+        if not self.at <= at <= self.stop:
+            m = _STOP.search(self.page, at)
+            self.at, self.stop = at, m.start() if m else len(self.page)
+        stop, path = self.stop, []
+        while stop < len(self.page) and stop not in self.dead:
+            if self.page[stop] == ">":
+                return stop + 1
+            path.append(stop)
+            close = self.page.find(self.page[stop], stop + 1)
+            m = _STOP.search(self.page, close + 1) if close >= 0 else None
+            stop = m.start() if m else len(self.page)
+        self.dead.update(path)
+        return -1
 
 
-@lru_cache(20_000)
 def names(tag: str, attributes: str) -> tuple[str, ...]:
     """What an element says of itself: its tag, the words of its class, id and role, and hidden."""
+    return (_names if len(attributes) <= CACHED else _names.__wrapped__)(tag, attributes)
+
+
+@lru_cache(20_000)
+def _names(tag: str, attributes: str) -> tuple[str, ...]:
     out = {f"<{tag}>": None}
     for m in _ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
@@ -121,7 +159,8 @@ class Weights:
                 got += own if abs(own) > 0.5 else 0.0
             if len(self._of) > 50_000:
                 self._of.clear()
-            self._of[key] = got
+            if len(attributes) <= CACHED:
+                self._of[key] = got
         return got
 
 

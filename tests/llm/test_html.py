@@ -1,5 +1,6 @@
 import html as entities
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -63,3 +64,20 @@ def test_nulls_and_other_columns(spark):
     got = {r.page_id: r.main_text for r in html.main_text(df).collect()}
     assert got == {1: "", 2: "", None: TEXT}
     assert html.main_text(df.filter(F.lit(False))).count() == 0
+
+
+def test_long_tags():
+    uri = '<img src="data:image/png;base64,' + "QUJD" * 25_000 + '">'
+    many = " ".join(f'data-a{i}="v > {i}"' for i in range(500))
+    style = "color:red;" * 2000
+    for long in (f"<article>{uri}{BODY}</article>", f"<article {many}>{BODY}</article>", f"<article style='{style}'>{BODY}</article>", f"<article><script {many}>var a = 'seen as text';</script>{BODY}</article>"):
+        assert html.extract(page(long), html.Weights()) == TEXT
+    assert [e[:2] for e in html.events("a <b 'x <i>y</i>")] == [("text", "a <b 'x "), ("open", "i"), ("text", "y"), ("close", "i")]
+
+
+def test_tags_without_end_take_linear_time():
+    start = time.process_time()
+    for part in ("<a ", "<a", "<a '", "<a \"' ", "<a '\" x"):
+        for end in ("", ">", "'", '"', "' >", "\" '>"):
+            list(html.events(part * 30_000 + end))
+    assert time.process_time() - start < 20
