@@ -67,23 +67,36 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return shape, h, r
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, lasso: float = 0.0, steps: int = 400) -> np.ndarray:
-    """Weights with the intercept last: Newton steps with a ridge, or proximal gradient steps with a lasso."""
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """Weights with the intercept last: Newton steps with a ridge."""
     x = np.column_stack([x, np.ones(len(x), x.dtype)])
     w = np.zeros(x.shape[1])
     rate = (y.mean() * len(y) + 0.5) / (len(y) + 1)
     w[-1] = np.log(rate / (1 - rate))
-    if not lasso:
-        penalty = np.full(len(w), ridge)
-        penalty[-1] = 1e-6
-        for _ in range(30):
-            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            w -= np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(penalty), x.T @ (p - y) + penalty * w)
-        return w
-    z, t, rate = w.copy(), 1.0, 4.0 / max(np.linalg.eigvalsh(x.T @ x)[-1], 1e-9)
+    penalty = np.full(len(w), ridge)
+    penalty[-1] = 1e-6
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        w -= np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(penalty), x.T @ (p - y) + penalty * w)
+    return w
+
+
+def _sparse_logistic(row: np.ndarray, column: np.ndarray, columns: int, y: np.ndarray, lasso: float, steps: int = 400) -> np.ndarray:
+    """Weights with the intercept last, of a matrix with ones at (row, column): proximal gradient steps with a lasso."""
+    times = lambda w: np.bincount(row, w[column], len(y)) + w[-1]
+    back = lambda r: np.append(np.bincount(column, r[row], columns), r.sum())
+    w = np.zeros(columns + 1)
+    rate = (y.mean() * len(y) + 0.5) / (len(y) + 1)
+    w[-1] = np.log(rate / (1 - rate))
+    # Of a matrix without negative cells, max (A v) / v over any positive v bounds the largest eigenvalue.
+    v = np.ones(columns + 1)
+    for _ in range(50):
+        new = back(times(v))
+        bound, v = (new / v).max(), new / new.max() + 1e-9
+    z, t, rate = w.copy(), 1.0, 4.0 / max(bound, 1e-9)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ z, -30, 30)))
-        new = z - rate * (x.T @ (p - y))
+        p = 1 / (1 + np.exp(-np.clip(times(z), -30, 30)))
+        new = z - rate * back(p - y)
         new[:-1] = np.sign(new[:-1]) * np.maximum(np.abs(new[:-1]) - rate * lasso, 0)
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
         z, w, t = new + (t - 1) / t_new * (new - w), new, t_new
@@ -136,20 +149,30 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, doc_id: str =
         model.center, model.scale = shape.mean(0), shape.std(0) + 1e-3
         model.good, model.good_rate = _logistic(np.clip((shape - model.center) / model.scale, -8, 8), quality), float(quality.mean())
     if len(toxic) and 0 < toxic.mean() < 1:
-        # Words whose presence is associated with the label beyond 3.5 standard errors, at most 400.
+        # Words whose presence is associated with the label beyond 3.5 standard errors.
         n, total = int(toxic.sum()), len(toxic)
         expected = F.col("n") * (n / total)
         score = (F.col("a") - expected) / F.sqrt(expected * (1 - n / total) + 0.5)
         counts = seen.select("toxic", F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n"), F.sum("toxic").alias("a")).filter("n >= 3")
-        best = counts.withColumn("score", score).filter("score > 3.5").orderBy(F.desc("score"), "w").limit(400).select("w")
-        words = np.sort(np.array([r.w for r in best.collect()], np.int64).view(np.uint64))
-        present = F.filter("words", lambda w: w.isin([int(x) for x in words.view(np.int64)])) if len(words) else F.array().cast("array<bigint>")
-        held = seen.select("toxic", present.alias("w")).toArrow()
-        y = held.column("toxic").to_numpy()
-        x = np.zeros((len(y), len(words)), np.float32)
-        for i, own in enumerate(held.column("w").to_pylist()):
-            x[i, np.searchsorted(words, np.array(own, np.int64).view(np.uint64))] = 1
-        model.words, model.toxic, model.toxic_rate = words, _logistic(x, y, lasso=0.5), float(toxic.mean())
+        best = counts.withColumn("score", score).filter("score > 3.5").select("w").toArrow()
+        words = np.sort(best.column("w").to_numpy().view(np.uint64))
+        sent = docs.sparkSession.sparkContext.broadcast(words)
+
+        def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            words = sent.value
+            for batch in batches:
+                lists = batch.column(1)
+                own = lists.flatten().to_numpy().view(np.uint64)
+                at = np.minimum(np.searchsorted(words, own), max(len(words) - 1, 0))
+                hit = words[at] == own if len(words) else np.zeros(len(own), bool)
+                ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(hit)])[ends], pa.int32()), pa.array(at[hit], pa.int32()))], ["toxic", "at"])
+
+        # Positions of each row's words: as many as the rows have, not rows times words.
+        held = seen.select("toxic", "words").mapInArrow(present, "toxic int, at array<int>").toArrow()
+        y, lists = held.column("toxic").to_numpy(), held.column("at").combine_chunks()
+        row = np.repeat(np.arange(len(y)), lists.value_lengths().to_numpy())
+        model.words, model.toxic, model.toxic_rate = words, _sparse_logistic(row, lists.flatten().to_numpy(), len(words), y, 0.5), float(toxic.mean())
     return model
 
 

@@ -80,3 +80,34 @@ def test_sites():
     df = s.createDataFrame([("https://a.org:80/b/c?d", "en"), ("src1", None), (None, "de"), ("a.org/b", "fr")], "source string, lang string")
     got = [tuple(r) for r in df.select(quality.host_of(F.col("source")), quality.path_of(F.col("source"), F.col("lang"))).collect()]
     assert got == [("a.org:80", "b|en"), ("src1", "|"), ("", "|de"), ("a.org", "b|fr")]
+
+
+def test_every_associated_word_counts(spark):
+    rng = np.random.default_rng(4)
+    name = lambda i: "w" + "".join(chr(97 + int(c)) for c in str(i))
+    texts = [[name(j) for j in rng.integers(0, 300, 20)] for _ in range(1500)]
+    for i in range(300):
+        texts[i] += [name(1000 + j) for j in rng.integers(0, 600, 20)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i < 300)) for i in range(1500)], "doc_id long, quality int, toxic int")
+    want = set()
+    for w in {w for t in texts for w in t}:
+        has = [i for i, t in enumerate(texts) if w in t]
+        expected = len(has) * 0.2
+        if len(has) >= 3 and (sum(i < 300 for i in has) - expected) / np.sqrt(expected * 0.8 + 0.5) > 3.5:
+            want.add(w)
+    assert len(want) > 450
+    data = " ".join(sorted(want)).encode()
+    hashes = quality.features(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[1]
+    model = quality.fit(docs, labels)
+    assert set(model.words.tolist()) == set(hashes.tolist())
+
+
+def test_sparse_weights_are_a_minimum():
+    rng = np.random.default_rng(5)
+    x = (rng.random((300, 12)) < 0.2).astype(float)
+    y = (x[:, 0] + x[:, 1] + rng.random(300) > 1.1).astype(int)
+    row, column = np.nonzero(x)
+    w = quality._sparse_logistic(row, column, 12, y, 0.5, 5000)
+    cost = lambda w: np.logaddexp(0, x @ w[:-1] + w[-1]).sum() - y @ (x @ w[:-1] + w[-1]) + 0.5 * np.abs(w[:-1]).sum()
+    assert all(cost(w) <= cost(w + rng.normal(0, s, 13)) + 1e-6 for s in (0.1, 0.01, 0.001) for _ in range(200))
