@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -28,10 +29,15 @@ class Dataset:
 
 
 def read_raw(spark: SparkSession, path: str, sniffed: Sniffed) -> DataFrame:
-    """All cells as text, with ``row_index`` in file order; comment lines and the lines up to the header are left out."""
+    """All cells as text, with ``row_index`` in file order; comment lines, the lines up to the header and the footer are left out."""
     # Ids of the first split count lines from 0, so the header is met by its line; later splits follow in file order.
     lines = spark.read.option("encoding", sniffed.encoding).text(path).select("value", F.monotonically_increasing_id().alias("row_index"))
     body = lines.filter((F.col("row_index") > sniffed.header_row) & (F.trim("value") != "") & ~F.col("value").startswith("#"))
+    if len(sniffed.names) > 1:
+        # The footer, as footer_of has it but over the whole file: all after the last line with a value beside the first.
+        d = re.escape(sniffed.delimiter)
+        data = F.col("value").rlike(rf"^[^{d}]*{d}[\s{d}]*[^\s{d}]") & ~F.col("value").rlike(r"^(?:#|//|\*)")
+        body = body.filter(F.col("row_index") <= F.lit(body.filter(data).agg(F.max("row_index")).first()[0]).cast("bigint"))
     cells = F.from_csv("value", _ddl(sniffed.names), {"sep": sniffed.delimiter, "mode": "PERMISSIVE"})
     return body.select("row_index", cells.alias("c")).select("row_index", "c.*")
 
@@ -42,8 +48,6 @@ def _ddl(names: list[str]) -> str:
 
 def split_unit(header: str, pattern: str = r"^(?P<name>.*?)\s*[\[(](?P<unit>[^\])]*)[\])]\s*$") -> tuple[str, str | None]:
     """Name and unit of a header such as ``Temp [°C]``; a number in brackets is part of the name."""
-    import re
-
     m = re.match(pattern, header)
     return (m["name"], m["unit"]) if m and m["name"] and not m["unit"].strip().isdigit() else (header, None)
 

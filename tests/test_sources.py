@@ -87,3 +87,14 @@ def test_results_and_hashes(spark, tmp_path):
     assert spark.read.option("sep", ";").option("header", True).csv(str(tmp_path / "out")).collect()[0].y == "a"
     write(tmp_path, "h.txt", "abc")
     assert files.sha256(spark, str(tmp_path / "h.txt")).first().sha256.startswith("ba7816bf")
+
+
+@pytest.mark.parametrize("d", [",", ";", "\t", "|"])
+def test_footer_is_left_out_of_large_files_too(spark, tmp_path, d):
+    rows = [f"{i}{d}{i}.5{d}on" for i in range(100_000)]
+    rows[7] = f"7{d}{d}"
+    end = ["// end", "* note", "100000 rows", f"100001{d} {d}", "", "# done"]
+    path = write(tmp_path, "f.csv", "\n".join([d.join(["time", "x", "s"]), *rows, *end]) + "\n")
+    data = delimited.load(spark, path)
+    assert data.df.count() == 100_000 and data.audit.count() == 0
+    assert data.df.filter("x is null").count() == 1
