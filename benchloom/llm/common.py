@@ -5,17 +5,46 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one vectorised step handles; its working memory is about 40 times that.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
+#: Bytes of an Arrow batch sent to a Python worker, unless the session's own bound is lower.
+BATCH_BYTES = 8 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's bound on the bytes of Arrow batches: by default 64 MB, which buffers of the JVM hold several times."""
+    bound = spark.conf.get(_BATCH_CONF, "64m")
+    size = int(bound.rstrip("bkmg")) << {"k": 10, "m": 20, "g": 30}.get(bound.rstrip("b")[-1:], 0)
+    if not 0 < size <= BATCH_BYTES:
+        spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
+
+
+def free_names(columns: list[str], *names: str) -> list[str]:
+    """``names``, each with as many underscores as keep it apart from ``columns`` in any case."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def free_prefix(columns: list[str]) -> str:
+    """Underscores that no name of ``columns`` begins with."""
+    return "_" * (2 + max((len(c) - len(c.lstrip("_")) for c in columns), default=0))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: the session's spark.checkpoint.dir, or a local one set here where it is unset."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -33,6 +62,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: lineage ends there and each later use reads files."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -66,19 +96,25 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-_powers: dict[str, np.ndarray] = {}
+@lru_cache(1)
+def _kept_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _powers(CHUNK_BYTES + 1)
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    with np.errstate(over="ignore"):
+        inverse = np.uint64(pow(int(_STEP), -1, 1 << 64))
+        p, q = np.full(n, _STEP, np.uint64), np.full(n, inverse, np.uint64)
+        p[:1] = q[:1] = 1
+        return np.multiply.accumulate(p), np.multiply.accumulate(q)
 
 
 def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse modulo 2**64."""
-    if not _powers or len(_powers["p"]) < n:
-        size = max(n, 2 * CHUNK_BYTES)
-        with np.errstate(over="ignore"):
-            inverse = np.uint64(pow(int(_STEP), -1, 1 << 64))
-            p, q = np.full(size, _STEP, np.uint64), np.full(size, inverse, np.uint64)
-            p[0] = q[0] = 1
-            _powers["p"], _powers["q"] = np.multiply.accumulate(p), np.multiply.accumulate(q)
-    return _powers["p"][:n], _powers["q"][:n]
+    """Powers of an odd number and of its inverse modulo 2**64; a worker keeps those for a chunk, longer texts make their own."""
+    if n > CHUNK_BYTES + 1:
+        return _powers(n)
+    p, q = _kept_powers()
+    return p[:n], q[:n]
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

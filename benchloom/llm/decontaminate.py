@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from benchloom.llm.common import shingle_hashes, text_chunks, word_hashes
+from benchloom.llm.common import bound_batches, free_names, shingle_hashes, text_chunks, word_hashes
 
 #: Shingles of items in one block, which bounds what is sent to the executors at once (about 100 bytes each).
 BLOCK = 400_000
@@ -88,6 +88,7 @@ def with_matches(docs: DataFrame, items: DataFrame, text: str = "text", item_id:
     Each match has item_id, shared (its shingles that the document has), item_shingles and containment, in the items' order.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     kind = items.schema[item_id].dataType
     match = ArrayType(StructType([StructField("item_id", kind), StructField("shared", LongType()), StructField("item_shingles", LongType()), StructField("containment", DoubleType())]), False)
     kept = [c for c in (docs.columns if keep is None else keep) if c != out]
@@ -97,7 +98,7 @@ def with_matches(docs: DataFrame, items: DataFrame, text: str = "text", item_id:
     result = docs
     columns = []
     for b in range(blocks):
-        name = f"{out}__{b}"
+        (name,) = free_names([*docs.columns, *columns], f"{out}_{b}")
         rows = [tuple(r) for r in items.filter(F.pmod(F.xxhash64("id", "t"), F.lit(blocks)) == b).collect()]  # bounded by BLOCK
         sent = spark.sparkContext.broadcast(build(rows, k, threshold))
         last = b == blocks - 1
@@ -130,5 +131,5 @@ def _matcher(sent, text: str, k: int, threshold: float, passed: list[str], name:
 
 def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The documents that hold no item, with their columns."""
-    out = "__benchmark_matches"
+    (out,) = free_names(docs.columns, "benchmark_matches")
     return with_matches(docs, items, out=out, **options).filter(F.size(out) == 0).drop(out)

@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from benchloom.llm.common import bound_batches, free_names
+
 # Fixed names: elements of HTML by what they do, and words of attributes that pages use for their parts.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg math".split())
@@ -270,6 +272,8 @@ def fit(pages: DataFrame, page_id: str = "page_id", html: str = "html", sample:
 def main_text(pages: DataFrame, html: str = "html", page_id: str = "page_id", out: str = "main_text", keep: list[str] | None = None, sample: int = 1000) -> DataFrame:
     """``pages`` (columns ``keep``, default all) with ``out``, the main text of each page."""
     kept = [c for c in (pages.columns if keep is None else keep) if c != out]
+    (body,) = free_names([*kept, out], "html")
+    bound_batches(pages.sparkSession)
     weights = pages.sparkSession.sparkContext.broadcast(fit(pages, page_id, html, sample).counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,8 +281,8 @@ def main_text(pages: DataFrame, html: str = "html", page_id: str = "page_id", ou
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 rows = batch.slice(at, 500)
-                texts = [extract(v.as_py() or "", own) for v in rows.column("__html")]
+                texts = [extract(v.as_py() or "", own) for v in rows.column(body)]
                 yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in kept], pa.array(texts, pa.string())], [*kept, out])
 
     schema = StructType([*[pages.schema[c] for c in kept], StructField(out, StringType())])
-    return pages.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{html}`").alias("__html")).mapInArrow(run, schema)
+    return pages.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{html}`").alias(body)).mapInArrow(run, schema)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from benchloom.llm.common import materialize, mix, shingle_hashes, text_chunks, word_hashes
+from benchloom.llm.common import free_names, materialize, mix, shingle_hashes, text_chunks, word_hashes
 from benchloom.llm.graph import components
 
 #: Counts in a signature, by size. Noise of unrelated sets' distance grows with the root of size times counts, what a link
@@ -323,7 +323,7 @@ def _exact(rows: DataFrame, num: int, den: int) -> DataFrame:
     size = F.octet_length("shingles") / 8
     band = lambda x: F.floor(F.log(x) / F.lit(math.log(BAND)) + 1e-9)
     bands = F.sequence(band(F.greatest(size * (num / den) - 1, F.lit(1.0))), band(size))
-    rows = rows.withColumn("__band", F.explode(bands)).withColumn("part", F.xxhash64("block", "__band"))
+    rows = rows.withColumn("band", F.explode(bands)).withColumn("part", F.xxhash64("block", "band"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches, "part"):
@@ -423,15 +423,16 @@ def deduplicate(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, doc_
     pairs = rows.join(keepers, "root").withColumn("stays", known)
     marks = materialize(pairs.groupBy("doc_id", "text_hash").agg(F.max("stays").alias("stays"), F.count("*").alias("times")).filter("not stays or times > 1"), "marks")
     counts = marks.agg(F.count("*").alias("n"), F.sum(F.col("stays").cast("int")).alias("twice")).first()
-    sides = marks.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "stays")
+    mark_id, mark_hash, stays, own_hash = free_names(docs.columns, "mark_id", "mark_hash", "stays", "text_hash")
+    sides = marks.select(F.col("doc_id").alias(mark_id), F.col("text_hash").alias(mark_hash), F.col("stays").alias(stays))
     sides = F.broadcast(sides) if counts.n <= BROADCAST else sides
-    hashed = docs.withColumn("__text_hash", F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
-    met = F.col(f"`{doc_id}`").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash"))
+    hashed = docs.withColumn(own_hash, F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
+    met = F.col(f"`{doc_id}`").eqNullSafe(F.col(mark_id)) & (F.col(own_hash) == F.col(mark_hash))
     columns = [F.col(f"`{c}`") for c in docs.columns]
     out = hashed.join(sides, met, "left_anti").select(*columns)
     if counts.twice:
         # Repeated rows of one id and text, of which one stays.
-        again = hashed.join(sides.filter("stays"), met, "left_semi").dropDuplicates([doc_id, "__text_hash"]).select(*columns)
+        again = hashed.join(sides.filter(stays), met, "left_semi").dropDuplicates([doc_id, own_hash]).select(*columns)
         out = out.unionByName(again)
     return out
 

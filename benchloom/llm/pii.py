@@ -5,7 +5,7 @@ at its matches: the lengths of the pieces and of the matches add up to starts. Q
 anchored so that Java's engine neither recurses nor rescans long runs; the matches stay those of the plain patterns.
 
 Defined results: a null or empty text has no spans; other columns are kept as they are, repeated rows are treated alike
-(every step works on one row); an empty table gives an empty table. ``prefix`` keeps result columns apart from others.
+(every step works on one row); an empty table gives an empty table; working columns are named apart from all input columns.
 """
 
 from __future__ import annotations
@@ -15,9 +15,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from benchloom.llm.common import free_prefix
+
 SPAN = "array<struct<start:bigint,kind_order:int,end:bigint,kind:string,score:double,base:boolean>>"
 #: Characters on either side in which context words count.
 CONTEXT = 48
+#: Characters of the blocks from which redacted texts are put together.
+REDACT_BLOCK = 4096
 
 
 @dataclass(frozen=True)
@@ -92,18 +96,18 @@ def _joined(blocks: Column) -> Column:
     return F.flatten(F.transform(F.arrays_zip(blocks.alias("x"), ends.alias("e")), lambda z: F.transform(z["x"], lambda v: v + z["e"] - F.element_at(z["x"], -1))))
 
 
-def _gap(k: Kind):
+def _gap(k: Kind, u: str):
     """Characters from the start of one match to the start of the next."""
-    return lambda m, i: (F.length(F.get(f"__p_{k.name}", i)) + F.when(i > 0, F.length(F.get(f"__m_{k.name}", i - 1))).otherwise(0)).cast("bigint")
+    return lambda m, i: (F.length(F.get(f"{u}p_{k.name}", i)) + F.when(i > 0, F.length(F.get(f"{u}m_{k.name}", i - 1))).otherwise(0)).cast("bigint")
 
 
-def _span(k: Kind, order: int):
+def _span(k: Kind, order: int, u: str):
     def span(m: Column, i: Column) -> Column:
-        before, after = F.get(f"__p_{k.name}", i), F.get(f"__p_{k.name}", i + 1)
+        before, after = F.get(f"{u}p_{k.name}", i), F.get(f"{u}p_{k.name}", i + 1)
         near = F.right(before, F.lit(CONTEXT)).rlike(k.context) | F.left(after, F.lit(CONTEXT)).rlike(k.context)
         ok = _confirmed(k, m)
         score = F.lit(k.score) + F.when(ok, k.confirmed).otherwise(0.0) + F.when(near, k.boost).otherwise(0.0)
-        start = F.get(f"__s_{k.name}", i)
+        start = F.get(f"{u}s_{k.name}", i)
         return F.struct(start.alias("start"), F.lit(order).alias("kind_order"), (start + F.length(m)).alias("end"), F.lit(k.name).alias("kind"), F.least(score, F.lit(1.0)).alias("score"), ok.alias("base"))
 
     return span
@@ -128,47 +132,77 @@ def find_pii(df: DataFrame, text: str = "text", out: str = "pii_spans", threshol
     stay at a score of at least ``threshold``: pattern, plus checksum, plus context words. Starts and ends count code points.
     """
     own = [c for c in df.columns if c != out]
+    u = free_prefix([*own, out])
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    work = df.select(*[F.col(f"`{c}`") for c in own], t.alias("__t"))
+    work = df.select(*[F.col(f"`{c}`") for c in own], t.alias(f"{u}t"))
     keep = [F.col(f"`{c}`") for c in own]
     found = []
     for k in KINDS:
-        gate = F.contains("__t", F.lit(k.gate)) if k.gate == "@" else F.col("__t").rlike(k.gate)
+        gate = F.contains(f"{u}t", F.lit(k.gate)) if k.gate == "@" else F.col(f"{u}t").rlike(k.gate)
         none = F.array().cast("array<string>")
-        found.append(F.when(gate, F.regexp_extract_all("__t", F.lit(k.pattern), F.lit(0))).otherwise(none).alias(f"__m_{k.name}"))
-    work = work.select(*keep, "__t", *found)
-    ms = [f"__m_{k.name}" for k in KINDS]
-    work = work.select(*keep, *ms, *[F.when(F.size(f"__m_{k.name}") > 0, F.split("__t", k.pattern, -1)).otherwise(F.array().cast("array<string>")).alias(f"__p_{k.name}") for k in KINDS])
-    ps = [f"__p_{k.name}" for k in KINDS]
-    gaps = [F.transform(f"__m_{k.name}", _gap(k)).alias(f"__g_{k.name}") for k in KINDS]
+        found.append(F.when(gate, F.regexp_extract_all(f"{u}t", F.lit(k.pattern), F.lit(0))).otherwise(none).alias(f"{u}m_{k.name}"))
+    work = work.select(*keep, f"{u}t", *found)
+    ms = [f"{u}m_{k.name}" for k in KINDS]
+    work = work.select(*keep, *ms, *[F.when(F.size(f"{u}m_{k.name}") > 0, F.split(f"{u}t", k.pattern, -1)).otherwise(F.array().cast("array<string>")).alias(f"{u}p_{k.name}") for k in KINDS])
+    ps = [f"{u}p_{k.name}" for k in KINDS]
+    gaps = [F.transform(f"{u}m_{k.name}", _gap(k, u)).alias(f"{u}g_{k.name}") for k in KINDS]
     work = work.select(*keep, *ms, *ps, *gaps)
-    work = work.select(*keep, *ms, *ps, *[_blocks(F.col(f"__g_{k.name}")).alias(f"__b_{k.name}") for k in KINDS])
-    work = work.select(*keep, *ms, *ps, *[_joined(F.col(f"__b_{k.name}")).alias(f"__s_{k.name}") for k in KINDS])
+    work = work.select(*keep, *ms, *ps, *[_blocks(F.col(f"{u}g_{k.name}")).alias(f"{u}b_{k.name}") for k in KINDS])
+    work = work.select(*keep, *ms, *ps, *[_joined(F.col(f"{u}b_{k.name}")).alias(f"{u}s_{k.name}") for k in KINDS])
     spans = []
     for order, k in enumerate(KINDS):
-        passed = F.filter(F.transform(f"__m_{k.name}", _span(k, order)), _kept(k, threshold))
+        passed = F.filter(F.transform(f"{u}m_{k.name}", _span(k, order, u)), _kept(k, threshold))
         spans.append(F.transform(passed, _marked(k)))
     return work.select(*keep, F.array_sort(F.concat(*spans)).alias(out))
 
 
-def redact(df: DataFrame, text: str = "text", spans: str = "pii_spans") -> Column:
-    """The text with each run of overlapping spans replaced by the first one's kind in brackets; a null stays null."""
-    t = F.col(f"`{text}`")
-    zero = F.struct(F.array().cast("array<struct<start:bigint,end:bigint,kind:string>>").alias("done"), F.lit(None).cast("struct<start:bigint,end:bigint,kind:string>").alias("last"))
+def _merged(spans: Column) -> Column:
+    """Runs of overlapping spans as one, with the first one's kind; done runs are put away by 256, so that steps stay short."""
+    run = "struct<start:bigint,end:bigint,kind:string>"
+    zero = F.struct(F.array().cast(f"array<array<{run}>>").alias("done"), F.array().cast(f"array<{run}>").alias("own"), F.lit(None).cast(run).alias("last"))
 
     def add(acc: Column, s: Column) -> Column:
         new = F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))
         joins = acc["last"].isNotNull() & (s["start"] < acc["last"]["end"])
         longer = F.struct(acc["last"]["start"].alias("start"), F.greatest(acc["last"]["end"], s["end"]).alias("end"), acc["last"]["kind"].alias("kind"))
-        done = F.when(joins | acc["last"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["last"])))
-        return F.struct(done.alias("done"), F.when(joins, longer).otherwise(new).alias("last"))
-
-    merged = F.aggregate(F.col(f"`{spans}`"), zero, add, lambda a: F.when(a["last"].isNull(), a["done"]).otherwise(F.concat(a["done"], F.array(a["last"]))))
-    pieces = F.transform(merged, lambda s, i: F.concat(
-        F.substring(t, (F.when(i > 0, F.get(merged, i - 1)["end"]).otherwise(F.lit(0)) + 1).cast("int"), (s["start"] - F.when(i > 0, F.get(merged, i - 1)["end"]).otherwise(F.lit(0))).cast("int")),
-        F.lit("["), F.upper(s["kind"]), F.lit("]")))
-    rest = F.substring(t, (F.element_at(merged, -1)["end"] + 1).cast("int"), F.lit(2**31 - 1))
-    return F.when(F.coalesce(F.size(spans), F.lit(0)) == 0, t).otherwise(F.concat(F.array_join(pieces, ""), rest))
+        still, full = joins | acc["last"].isNull(), F.size(acc["own"]) >= 256
+        done = F.when(still | ~full, acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["own"])))
+        own = F.when(still, acc["own"]).when(full, F.array(acc["last"])).otherwise(F.concat(acc["own"], F.array(acc["last"])))
+        return F.struct(done.alias("done"), own.alias("own"), F.when(joins, longer).otherwise(new).alias("last"))
+
+    return F.aggregate(spans, zero, add, lambda a: F.concat(F.flatten(F.concat(a["done"], F.array(a["own"]))), F.when(a["last"].isNull(), F.array().cast(f"array<{run}>")).otherwise(F.array(a["last"]))))
+
+
+def _with(value: Column, f) -> Column:
+    """``f`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _between(blocks: Column, start: Column, end: Column) -> Column:
+    """The characters from ``start`` to ``end`` of a text cut into blocks."""
+    first, last = F.floor(start / REDACT_BLOCK).cast("int"), F.floor(end / REDACT_BLOCK).cast("int")
+    at, to = (start % REDACT_BLOCK).cast("int"), (end % REDACT_BLOCK).cast("int")
+    own = lambda i: F.coalesce(F.get(blocks, i), F.lit(""))
+    inner = F.concat(F.substring(own(first), at + 1, F.lit(REDACT_BLOCK)), F.array_join(F.slice(blocks, first + 2, last - first - 1), ""), F.substring(own(last), F.lit(1), to))
+    return F.when(first == last, F.substring(own(first), at + 1, to - at)).otherwise(inner)
+
+
+def redact(df: DataFrame, text: str = "text", spans: str = "pii_spans") -> Column:
+    """The text with each run of overlapping spans replaced by the first one's kind in brackets; a null stays null.
+
+    A text is cut into blocks once, and what lies between two runs is taken from its blocks: linear in spans and text.
+    """
+    t = F.col(f"`{text}`")
+
+    def filled(blocks: Column, merged: Column) -> Column:
+        def piece(s: Column, i: Column) -> Column:
+            before = F.when(i > 0, F.get(merged, i - 1)["end"]).otherwise(F.lit(0))
+            return F.concat(_between(blocks, before, s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
+
+        return F.concat(F.array_join(F.transform(merged, piece), ""), _between(blocks, F.element_at(merged, -1)["end"], F.length(t)))
+
+    new = _with(F.regexp_extract_all(t, F.lit(f"(?s).{{1,{REDACT_BLOCK}}}"), F.lit(0)), lambda blocks: _with(_merged(F.col(f"`{spans}`")), lambda merged: filled(blocks, merged)))
+    return F.when(F.coalesce(F.size(spans), F.lit(0)) <= 0, t).otherwise(new)
 
 
 def digest(df: DataFrame, spans: str = "pii_spans") -> DataFrame:

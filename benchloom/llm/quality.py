@@ -22,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from benchloom.llm.common import distinct_by_row, materialize, text_chunks, word_hashes
+from benchloom.llm.common import distinct_by_row, free_names, materialize, text_chunks, word_hashes
 
 BROADCAST_SITES = 200_000
 SHAPE = ("log_words", "upper", "bangs", "bars", "symbols", "digits", "top_word", "repeats", "word_length", "other")
@@ -214,38 +215,36 @@ def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample, doc_id, text))
     new = ("quality_probability", "toxic_probability", "accepted")
     kept = [c for c in (docs.columns if keep is None else keep) if c not in new]
-    site = [host_of(F.col(f"`{source}`")).alias("__host"), path_of(F.col(f"`{source}`"), F.col(f"`{lang}`")).alias("__path")]
-
-    def scores(passed: list[str]):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part, data, offsets in text_chunks(batch, "__text"):
-                    good, toxic = model.value.log_odds(data, offsets)
-                    yield pa.RecordBatch.from_arrays([*[part.column(c) for c in passed], pa.array(good), pa.array(toxic)], [*passed, "__good", "__toxic"])
-
-        return run
-
-    def scored(columns: list[str]) -> DataFrame:
-        rows = docs.select(*[F.col(f"`{c}`") for c in columns], *site, F.col(f"`{text}`").alias("__text"))
-        passed = [*columns, "__host", "__path"]
-        schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in passed) + ", __good double, __toxic double"
-        return rows.mapInArrow(scores(passed), schema)
+    host, path, good, toxic, body = free_names([*kept, text, *new, "site_good", "site_toxic"], "host", "path", "good", "toxic", "body")
+    own = text if text in kept else body
+    site = [host_of(F.col(f"`{source}`")).alias(host), path_of(F.col(f"`{source}`"), F.col(f"`{lang}`")).alias(path)]
+    passed = [*kept, host, path]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, offsets in text_chunks(batch, own):
+                odds = model.value.log_odds(data, offsets)
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in passed], *map(pa.array, odds)], [*passed, good, toxic])
+
+    # Texts are scored once; sums over sites and the result read what is written here.
+    rows = docs.select(*[F.col(f"`{c}`") for c in kept], *site, *([] if own in kept else [F.col(f"`{text}`").alias(own)]))
+    schema = StructType([*[rows.schema[c] for c in passed], StructField(good, DoubleType()), StructField(toxic, DoubleType())])
+    scored = materialize(rows.mapInArrow(run, schema), "scored")
     prior = model.value
     p = lambda c: 1 / (1 + F.exp(-F.least(F.greatest(F.col(c), F.lit(-30.0)), F.lit(30.0))))
-    sums = materialize(scored([]).groupBy(F.col("__host").alias("host"), F.col("__path").alias("path")).agg(F.count("*").alias("n"), F.sum(p("__good")).alias("s_good"), F.sum(p("__toxic")).alias("s_toxic")), "sites")
+    sums = materialize(scored.groupBy(F.col(host).alias("host"), F.col(path).alias("path")).agg(F.count("*").alias("n"), F.sum(p(good)).alias("s_good"), F.sum(p(toxic)).alias("s_toxic")), "sites")
     total = sums.agg(F.sum("n").alias("n"), F.sum("s_good").alias("g"), F.sum("s_toxic").alias("t"), F.count("*").alias("sites")).first()
     n = total.n or 0
     rates = {"good": (total.g + 1) / (n + 2), "toxic": (total.t + 1) / (n + 2)} if n else {"good": prior.good_rate, "toxic": prior.toxic_rate}
     sites = site_rates(sums, "good", rates["good"])[0].join(site_rates(sums, "toxic", rates["toxic"])[0], ["host", "path"])
-    sites = sites.select(F.col("host").alias("__host"), F.col("path").alias("__path"), "site_good", "site_toxic")
+    sites = sites.select(F.col("host").alias(host), F.col("path").alias(path), "site_good", "site_toxic")
     small = (total.sites or 0) <= BROADCAST_SITES
-    rows = scored(kept).join(F.broadcast(sites) if small else sites, ["__host", "__path"], "left")
+    rows = scored.join(F.broadcast(sites) if small else sites, [host, path], "left")
 
     def posterior(evidence: str, site_rate: str, rate: float) -> Column:
         r = F.coalesce(F.col(site_rate), F.lit(rate))
         z = F.col(evidence) - float(np.log(rate / (1 - rate))) + F.log(r / (1 - r))
         return 1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-30.0)), F.lit(30.0))))
 
-    good, toxic = posterior("__good", "site_good", rates["good"]), posterior("__toxic", "site_toxic", rates["toxic"])
-    return rows.select(*[F.col(f"`{c}`") for c in kept], good.alias(new[0]), toxic.alias(new[1]), ((good >= 0.5) & (toxic < 0.5)).alias(new[2]))
+    p_good, p_toxic = posterior(good, "site_good", rates["good"]), posterior(toxic, "site_toxic", rates["toxic"])
+    return rows.select(*[F.col(f"`{c}`") for c in kept], p_good.alias(new[0]), p_toxic.alias(new[1]), ((p_good >= 0.5) & (p_toxic < 0.5)).alias(new[2]))

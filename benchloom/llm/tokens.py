@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 from array import array
+from functools import cached_property
 from itertools import pairwise
 
 _loaded: dict[str, "ByteBpe"] = {}
@@ -21,10 +22,7 @@ class ByteBpe:
     """Ids by the file at ``path``, with special tokens in texts taken as the file's tokenizer takes them."""
 
     def __init__(self, path: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.exact = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
@@ -32,6 +30,14 @@ class ByteBpe:
         plain = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not spec.get("normalizer")
         self.fast = self._ranked(spec) if plain else None
 
+    @cached_property
+    def exact(self):
+        """The file's own tokenizer, loaded when a text needs it."""
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def _ranked(self, spec: dict):
         """The same merges by rank, four times as fast; None unless ids are in the order of merges."""
         import tiktoken
