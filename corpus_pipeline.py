@@ -3,6 +3,11 @@
 Quality: rejected documents (junk or toxic) go. Near duplicates: one document of each group stays (five-word shingles,
 Jaccard of at least 0.8). Decontamination: documents that hold a benchmark item go (containment of at least 0.8). Personal
 data: spans are replaced by their kind in brackets, n_chars follows. Packing: the rest in sequences of 2048 tokens.
+
+Defined results: a null or empty text is an empty one: quality judges its shape, it has no duplicates, benchmark items or
+spans, stays null, and is packed as its end token alone. Texts of any length are processed whole. Rows repeated with id and
+text stay once, if they have words. Other columns stay up to the last stage, whatever their names; without documents the
+result is empty, without labels nothing is rejected, without benchmark items nothing is contaminated.
 """
 
 from __future__ import annotations
@@ -12,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from benchloom.llm import decontaminate, jaccard, packing, pii, quality
-from benchloom.llm.common import materialize
+from benchloom.llm.common import free_names, materialize
 
 CAPACITY = 2048
 
@@ -31,9 +36,12 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = pii.find_pii(docs, out="__spans").withColumn("__text", pii.redact(docs, spans="__spans"))
-    new = {"text": F.col("__text"), "n_chars": F.when(F.size("__spans") > 0, F.length("__text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
-    return found.select(*[(new[c] if new.get(c) is not None else F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    spans, clean = free_names(docs.columns, "spans", "clean")
+    found = pii.find_pii(docs, out=spans).withColumn(clean, pii.redact(docs, spans=spans))
+    new = {"text": F.col(clean)}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.size(spans) > 0, F.length(clean).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return found.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
