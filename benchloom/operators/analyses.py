@@ -49,19 +49,57 @@ def fit_line(df: DataFrame, by: list[str], x: str, y: str, u_x: str, u_y: str, i
     return line.select(*by, "n", "m", (c("u_m") * c("birge")).alias("u_m"), "b", (c("u_b") * c("birge")).alias("u_b"), "chi2_red", "birge")
 
 
-def covariance(df: DataFrame, key: str, gradients: dict[str, str], random: dict[str, str], systematic: dict[str, str], scope: str | None = None) -> DataFrame:
-    """key_a, key_b, cov of a small table: random contributions on the diagonal, systematic ones shared inside a scope.
+def covariance(df: DataFrame, key: str, gradients: dict[str, str], random: dict[str, str], systematic: dict[str, str], scope: list[str]) -> DataFrame:
+    """key, scope, own, c_<input>: the covariance of a table's rows as a diagonal and factors, a row for each of them.
 
-    ``random`` and ``systematic`` map inputs to columns of uncertainties, ``gradients`` to columns of derivatives. The result
-    has a row for each pair of a scope, which is what a covariance matrix is; tables are those of steps.
+    Of two rows of one scope it is the sum of the products of their c_<input> (systematic contributions), plus ``own`` (random
+    ones) where both are the same row; rows of different scopes share nothing. ``random`` and ``systematic`` map inputs to
+    columns of uncertainties, ``gradients`` to columns of derivatives. No pairs are made.
     """
     c = {n: F.col(gradients[n]) * F.col(u) for n, u in {**random, **systematic}.items()}
     own = sum((c[n] ** 2 for n in random), F.lit(0.0))
-    rows = df.select(F.col(key), (F.col(scope) if scope else F.lit(0)).alias("__s"), own.alias("__r"), *[c[n].alias(f"__c_{n}") for n in systematic])
-    a, b = rows.alias("a"), rows.alias("b")
-    both = a.join(b, F.col("a.__s") == F.col("b.__s"))
-    shared = sum((F.col(f"a.__c_{n}") * F.col(f"b.__c_{n}") for n in systematic), F.lit(0.0))
-    return both.select(F.col(f"a.{key}").alias("key_a"), F.col(f"b.{key}").alias("key_b"), (shared + F.when(F.col(f"a.{key}") == F.col(f"b.{key}"), F.col("a.__r")).otherwise(0.0)).alias("cov"))
+    return df.select(F.col(key), *scope, own.alias("own"), *[c[n].alias(f"c_{n}") for n in systematic])
+
+
+def fit_line_gls(df: DataFrame, by: list[str], x: str, y: str, own_x: str, own_y: str, factors_x: list[str], factors_y: list[str], iterations: int = 5) -> DataFrame:
+    """n, m, u_m, b, u_b, chi2_red, birge: a straight line by group with the full covariance of cov_y + m² cov_x.
+
+    Covariances are diagonals and factors (see covariance): their inverse needs the sums of products of a group's columns
+    alone (Woodbury), one aggregate a round; small matrices are solved where those sums meet. Groups with fewer than three points
+    or one x have no line. ``own_x`` and ``own_y`` are variances.
+    """
+    columns = ["one", "x", "y", *[f"fx{i}" for i in range(len(factors_x))], *[f"fy{i}" for i in range(len(factors_y))]]
+    good = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y)).select(*by, F.lit(1.0).alias("one"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.col(own_x).alias("vx"), F.col(own_y).alias("vy"), *[F.col(c).alias(f"fx{i}") for i, c in enumerate(factors_x)], *[F.col(c).alias(f"fy{i}") for i, c in enumerate(factors_y)])
+    line = good.groupBy(*by).agg(F.count("*").alias("n"), F.regr_slope("y", "x").alias("m"), F.regr_sxx("y", "x").alias("sxx")).filter("n > 2 and sxx > 0").select(*by, "n", "m")
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
+
+    def solved(batches):
+        for pdf in batches:
+            rows = []
+            for r in pdf.itertuples(index=False):
+                g = np.zeros((len(columns), len(columns)))
+                for (i, j), v in zip(pairs, r[len(by) + 2 :], strict=True):
+                    g[i, j] = g[j, i] = v
+                n, m = r[len(by)], r[len(by) + 1]
+                f = np.arange(3, len(columns))
+                scale = np.array([m] * len(factors_x) + [1.0] * len(factors_y))
+                # W = D - D F (1 + F' D F)^-1 F' D, between the columns one, x, y.
+                left = g[:3, f] * scale
+                w = g[:3, :3] - left @ np.linalg.pinv(np.eye(len(f)) + g[np.ix_(f, f)] * np.outer(scale, scale)) @ left.T if len(f) else g[:3, :3]
+                a = w[np.ix_([1, 0], [1, 0])]
+                cov = np.linalg.pinv(a)
+                mb = cov @ w[[1, 0], 2]
+                chi2 = max(w[2, 2] - 2 * mb @ w[[1, 0], 2] + mb @ a @ mb, 0.0) / max(n - 2, 1)
+                birge = max(1.0, chi2**0.5)
+                rows.append((*r[: len(by)], n, mb[0], max(cov[0, 0], 0) ** 0.5 * birge, mb[1], max(cov[1, 1], 0) ** 0.5 * birge, chi2, birge))
+            yield pd.DataFrame(rows, columns=[*by, "n", "m", "u_m", "b", "u_b", "chi2_red", "birge"])
+
+    for _ in range(iterations):
+        met = good.join(line.select(*by, "n", "m"), by).withColumn("d", 1 / (F.col("vy") + F.col("m") ** 2 * F.col("vx")))
+        sums = met.groupBy(*by, "n", "m").agg(*[F.sum(F.col("d") * F.col(columns[i]) * F.col(columns[j])).alias(f"s{i}_{j}") for i, j in pairs])
+        line = sums.mapInPandas(solved, kinds + ", n long, m double, u_m double, b double, u_b double, chi2_red double, birge double")
+    return line
 
 
 def fit_gls(x: np.ndarray, y: np.ndarray, cov_x: np.ndarray, cov_y: np.ndarray, iterations: int = 5) -> dict[str, float]:
@@ -78,22 +116,29 @@ def fit_gls(x: np.ndarray, y: np.ndarray, cov_x: np.ndarray, cov_y: np.ndarray,
     return {"m": float(m), "b": float(b), "u_m": float(cov[0, 0] ** 0.5 * birge), "u_b": float(cov[1, 1] ** 0.5 * birge), "chi2_red": chi2, "birge": birge}
 
 
-def monte_carlo_crossing(df: DataFrame, by: list[str], x: str, y: str, u: str, level: float, draws: int = 2000, seed: int = 42) -> DataFrame:
-    """Mean and standard deviation of the crossing when every y varies by its u; groups are those of step tables."""
-    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
+def normal_draw(key: Column, draw: Column, seed: int = 42) -> Column:
+    """A standard normal number that a row's key and the number of a draw determine (Box-Muller of a digest)."""
+    h = F.md5(F.concat_ws("|", F.lit(str(seed)), draw.cast("string"), key.cast("string")))
+    uniform = lambda at: (F.conv(F.substring(h, at, 8), 16, 10).cast("double") + 1) / 4294967297.0
+    return F.sqrt(-2 * F.log(uniform(1))) * F.cos(2 * F.pi() * uniform(9))
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna(subset=[x, y]).sort_values(x, kind="stable")
-        v, t, s = pdf[y].to_numpy(float), pdf[x].to_numpy(float), pdf[u].fillna(0).to_numpy(float)
-        rng = np.random.default_rng(seed)
-        found = []
-        for _ in range(draws if len(v) > 1 else 0):
-            z = v + rng.normal(size=len(v)) * s
-            k = np.flatnonzero(((z[:-1] - level) * (z[1:] - level) <= 0) & (z[:-1] != z[1:]))
-            if len(k):
-                i = k[0]
-                found.append(t[i] + (level - z[i]) * (t[i + 1] - t[i]) / (z[i + 1] - z[i]))
-        row = [*(pdf if len(pdf) else pd.DataFrame([[None] * len(by)], columns=by))[by].iloc[0], len(found) / max(draws, 1), np.mean(found) if found else np.nan, np.std(found, ddof=1) if len(found) > 1 else np.nan]
-        return pd.DataFrame([row], columns=[*by, "share", "mean", "sd"])
-
-    return df.select(*by, x, y, u).groupBy(*by).applyInPandas(one, kinds + ", share double, mean double, sd double")
+
+def monte_carlo_crossing(df: DataFrame, by: list[str], key: str, x: str, y: str, u: str, level: float, draws: int = 2000, seed: int = 42) -> DataFrame:
+    """share, mean, sd of the first crossing in x order (then by ``key``, unique in a group) when every y varies by its u; null without one.
+
+    Draws are functions of seed, draw and key, so neighbours are joined once and each makes the draws of both ends: only
+    crossings are shuffled, whatever the number of draws.
+    """
+    good = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(y)).select(*by, F.col(key).alias("k0"), F.col(x).cast("double").alias("x0"), F.col(y).alias("y0"), F.coalesce(u, F.lit(0.0)).alias("u0"))
+    w = Window.partitionBy(*by).orderBy("x0", "k0")
+    links = good.select("*", *[F.lead(f"{c}0").over(w).alias(f"{c}1") for c in "kxyu"]).filter("x1 is not null")
+
+    def crossed(d: Column) -> Column:
+        a, b = (F.col(f"y{i}") + F.col(f"u{i}") * normal_draw(F.col(f"k{i}"), d, seed) for i in (0, 1))
+        at = F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), lambda z: F.when(((z["a"] - level) * (z["b"] - level) <= 0) & (z["a"] != z["b"]), F.struct(d.alias("draw"), (F.col("x0") + (level - z["a"]) * (F.col("x1") - F.col("x0")) / (z["b"] - z["a"])).alias("at"))))
+        return F.get(at, F.lit(0))
+
+    hits = links.select(*by, "x0", "k0", F.explode(F.array_compact(F.transform(F.sequence(F.lit(1), F.lit(draws)), crossed))).alias("h"))
+    first = hits.groupBy(*by, "h.draw").agg(F.min_by("h.at", F.struct("x0", "k0")).alias("at"))
+    found = first.groupBy(*by).agg((F.count("at") / draws).alias("share"), F.avg("at").alias("mean"), F.stddev_samp("at").alias("sd"))
+    return df.select(*by).distinct().join(found, by, "left").select(*by, F.coalesce("share", F.lit(0.0)).alias("share"), "mean", "sd")

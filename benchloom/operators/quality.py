@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from benchloom.operators.grouped import map_groups
 from benchloom.operators.recording import BEFORE, SO_FAR, Recording
 
 #: Defaults of the detectors.
@@ -124,34 +125,26 @@ def jump_flags(segmented: DataFrame, rec: Recording, channel: str, threshold: fl
     """
     valid = jump_candidates(segmented, rec, channel, threshold)
     part = [*rec.keys, "segment"]
-    steps = valid.filter("jumps").select(*part, F.col("ordinal"), F.col(rec.time).alias("t"), F.col("level"), F.col(channel).alias("value"))
+    steps = valid.filter("jumps").select(*part, F.col("ordinal"), F.col(rec.time).alias("t"), F.col("level"), F.col(channel).cast("double").alias("value"))
     types = {c: valid.schema[c].dataType.simpleString() for c in part}
     schema = ", ".join(f"`{c}` {types[c]}" for c in part) + ", first long, last long, flag string"
 
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ordinal", kind="stable")
-        rows = list(pdf[["ordinal", "t", "level", "value"]].itertuples(index=False))
-        out, i = [], 0
-        while i < len(rows):
-            here, back = rows[i], None
-            for k in range(i + 1, len(rows)):
-                if rows[k].t - here.t > dropout_s * 1e6:
+    def scan(rows: dict) -> dict:
+        ordinal, t, level, value = (rows[c] for c in ("ordinal", "t", "level", "value"))
+        ends = np.searchsorted(t, t + dropout_s * 1e6, "right")
+        first, last, flag, i = [], [], [], 0
+        while i < len(t):
+            back = -1
+            for low in range(i + 1, int(ends[i]), 256):
+                near = np.abs(value[low : min(low + 256, ends[i])] - level[i]) <= threshold
+                if near.any():
+                    back = low + int(near.argmax())
                     break
-                if abs(rows[k].value - here.level) <= threshold:
-                    back = k
-                    break
-            if back is None:
-                out.append((here.ordinal, here.ordinal, "jump"))
-                i += 1
-            else:
-                out.append((here.ordinal, rows[back].ordinal - 1, "dropout"))
-                i = back + 1
-        found = pd.DataFrame(out, columns=["first", "last", "flag"])
-        for c in part:
-            found[c] = pdf[c].iloc[0]
-        return found[[*part, "first", "last", "flag"]]
-
-    spans = steps.groupBy(*part).applyInPandas(scan, schema).withColumn("ordinal", F.explode(F.sequence("first", "last")))
+            first.append(int(ordinal[i])), last.append(int(ordinal[i] if back < 0 else ordinal[back] - 1)), flag.append("jump" if back < 0 else "dropout")
+            i = i + 1 if back < 0 else back + 1
+        return {"first": first, "last": last, "flag": flag}
+
+    spans = map_groups(steps, part, ["ordinal"], scan, schema).withColumn("ordinal", F.explode(F.sequence("first", "last")))
     hit = valid.join(spans.select(*part, "ordinal", "flag"), [*part, "ordinal"])
     return hit.select(*rec.source, F.col(rec.row).alias("row"), F.lit(channel).alias("channel"), "flag")
 

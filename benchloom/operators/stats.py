@@ -1,8 +1,8 @@
 """Window statistics: one row per step and channel.
 
 Location, slope, integral, two-point and autocorrelation parts are grouped aggregates over one join of samples with their
-windows; steps are few, so they are broadcast after their number is checked, else joined by time buckets. Robust parts that
-no aggregate expresses run per step in pandas over the rows inside its window.
+windows by source and time bucket; steps are few, so they are broadcast after their number is checked. Robust parts that no
+aggregate expresses run per step in NumPy over the rows inside its window, many steps in one batch.
 """
 
 from __future__ import annotations
@@ -10,21 +10,31 @@ from __future__ import annotations
 from statistics import NormalDist
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from benchloom.operators.grouped import map_groups
+
 #: Steps that may be sent to every task.
 BROADCAST_STEPS = 100_000
 
 
-def in_windows(samples: DataFrame, windows: DataFrame, by: list[str], time: str, low: str, high: str, bucket: float = 3600.0) -> DataFrame:
-    """Samples with each window of their ``by`` that contains them, both ends closed."""
+def _bucketed(windows: DataFrame, low: str, high: str) -> tuple[DataFrame, float]:
+    """Windows with each time bucket they touch, ``__b``, and the buckets' width: the windows' mean length, so at most three each on average.
+
+    They are marked for a broadcast up to ``BROADCAST_STEPS`` of them.
+    """
+    sizes = windows.agg(F.count("*").alias("n"), F.avg(F.col(high) - F.col(low)).alias("length")).first()
+    width = max(float(sizes.length or 0), 1e-3)
+    spread = windows.filter(F.col(high) >= F.col(low)).withColumn("__b", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))
+    return F.broadcast(spread) if sizes.n <= BROADCAST_STEPS else spread, width
+
+
+def in_windows(samples: DataFrame, windows: DataFrame, by: list[str], time: str, low: str, high: str) -> DataFrame:
+    """Samples with each window of their ``by`` that contains them, both ends closed: only samples and windows of one bucket meet."""
     inside = (F.col(time) >= F.col(low)) & (F.col(time) <= F.col(high))
-    if windows.limit(BROADCAST_STEPS + 1).count() <= BROADCAST_STEPS:
-        return samples.join(F.broadcast(windows), by).filter(inside)
-    spread = windows.withColumn("__b", F.explode(F.sequence(F.floor(F.col(low) / bucket), F.floor(F.col(high) / bucket))))
-    return samples.withColumn("__b", F.floor(F.col(time) / bucket)).join(spread, [*by, "__b"]).filter(inside).drop("__b")
+    spread, width = _bucketed(windows, low, high)
+    return samples.withColumn("__b", F.floor(F.col(time) / width)).join(spread, [*by, "__b"]).filter(inside).drop("__b")
 
 
 def location(rows: DataFrame, step: list[str], y: str) -> DataFrame:
@@ -53,8 +63,11 @@ def integral(samples: DataFrame, windows: DataFrame, by: list[str], step: list[s
     links = samples.select(*by, F.col(time).alias("t0"), F.col(y).alias("y0"), F.lead(time).over(w).alias("t1"), F.lead(y).over(w).alias("y1"), (F.lead(gap).over(w) if gap else F.lit(False)).alias("cut"))
     links = links.filter("t1 > t0 and y0 is not null and y1 is not null and not cut")
     windows = windows.select(*by, *[s for s in step if s not in by], low, high)
-    small = windows.limit(BROADCAST_STEPS + 1).count() <= BROADCAST_STEPS
-    met = links.join(F.broadcast(windows) if small else windows, by).filter((F.col("t1") > F.col(low)) & (F.col("t0") < F.col(high)))
+    spread, width = _bucketed(windows, low, high)
+    first, last = F.floor(F.col("t0") / width), F.floor(F.col("t1") / width)
+    met = links.withColumn("__b", F.explode(F.sequence(first, last))).join(spread, [*by, "__b"]).filter((F.col("t1") > F.col(low)) & (F.col("t0") < F.col(high)))
+    # A link and a window that share several buckets count in the first of them.
+    met = met.filter(F.col("__b") == F.greatest(first, F.floor(F.col(low) / width)))
     a, b = F.greatest("t0", low), F.least("t1", high)
     at = lambda t: F.col("y0") + (F.col("y1") - F.col("y0")) * (t - F.col("t0")) / (F.col("t1") - F.col("t0"))
     return met.groupBy(*step).agg(F.sum((at(a) + at(b)) / 2 * (b - a)).alias("integral"), F.sum(b - a).alias("covered_s"))
@@ -127,19 +140,19 @@ def theil_sen(x: np.ndarray, y: np.ndarray, confidence: float = 0.95, all_pairs:
 
 
 def robust(rows: DataFrame, step: list[str], x: str, y: str, low: str, high: str) -> DataFrame:
-    """slope_se_hac, slope_theil_sen, intercept_theil_sen, ts_ci_low, ts_ci_high, halves_diff per step."""
+    """slope_se_hac, slope_theil_sen, intercept_theil_sen, ts_ci_low, ts_ci_high, halves_diff per step; null where too few points allow none."""
     names = ["slope_se_hac", "slope_theil_sen", "intercept_theil_sen", "ts_ci_low", "ts_ci_high", "halves_diff"]
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in step)
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf[np.isfinite(pdf[y].astype(float))].sort_values(x, kind="stable")
-        if not len(pdf):
-            return pd.DataFrame(columns=[*step, *names])
-        a, b = pdf[low].iloc[0], pdf[high].iloc[0]
-        t, v = pdf[x].to_numpy(float) - a, pdf[y].to_numpy(float)
+    def one(g: dict) -> dict:
+        good = np.isfinite(g[y].astype(float))
+        if not good.any():
+            return {n: [] for n in names}
+        t, v, a, b = g[x][good].astype(float), g[y][good].astype(float), g[low][0], g[high][0]
+        t = t - a
         first = t <= (b - a) / 2
         halves = v[~first].mean() - v[first].mean() if first.sum() >= 3 and (~first).sum() >= 3 else float("nan")
-        values = [hac_slope_se(t, v), *theil_sen(t, v), halves]
-        return pd.DataFrame([[*pdf[step].iloc[0], *values]], columns=[*step, *names])
+        return dict(zip(names, ([z if z == z else None] for z in (hac_slope_se(t, v), *theil_sen(t, v), halves)), strict=True))
 
-    return rows.select(*dict.fromkeys([*step, x, y, low, high])).groupBy(*step).applyInPandas(one, kinds + "".join(f", {n} double" for n in names))
+    used = rows.select(*dict.fromkeys([*step, x, y, low, high]))
+    return map_groups(used, step, [x], one, kinds + "".join(f", {n} double" for n in names))

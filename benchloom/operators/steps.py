@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
 from benchloom.functions import formula, ieee
+from benchloom.operators.grouped import map_groups
 from benchloom.operators.recording import BEFORE, SO_FAR
 
 
@@ -59,7 +60,8 @@ def window_rule(start: Column, end: Column, skip_start: float = 0.0, skip_end: f
 
 def until_next(df: DataFrame, by: list[str], start: str, is_class: Column, cap: Column | None = None) -> Column:
     """The start of the next step (strictly later) for which ``is_class`` holds, at most ``cap``."""
-    w = Window.partitionBy(*by).orderBy(start).rangeBetween(1, Window.unboundedFollowing)
+    # From the last step back, so that the frame grows: one that ends at the last row would be read again for every row.
+    w = Window.partitionBy(*by).orderBy(F.desc(start)).rangeBetween(Window.unboundedPreceding, -1)
     found = F.min(F.when(is_class, F.col(start))).over(w)
     return F.least(found, cap) if cap is not None else found
 
@@ -94,7 +96,8 @@ def nearest_reference(df: DataFrame, match: list[str], row: str, start: str, end
     w = Window.partitionBy(*match).orderBy("t", "side", row)
     back = back.withColumn("before", F.last("answer", ignorenulls=True).over(w.rowsBetween(*SO_FAR))).filter("side = 1").select(row, *match, "before")
     ahead = ask(end, 0).unionByName(tell(start, 1, 1), allowMissingColumns=True)
-    ahead = ahead.withColumn("after", F.first("answer", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))).filter("side = 0").select(row, "after")
+    w = Window.partitionBy(*match).orderBy(F.desc("t"), F.desc("side"), F.desc(row))
+    ahead = ahead.withColumn("after", F.last("answer", ignorenulls=True).over(w.rowsBetween(*SO_FAR))).filter("side = 0").select(row, "after")
     out = df.join(back.select(row, "before"), row).join(ahead, row)
     b, a = F.col("before.v"), F.col("after.v")
     middle = (F.col(start) + F.col(end)) / 2
@@ -129,21 +132,21 @@ def changed(df: DataFrame, by: list[str], time: str, column: str, tolerance: flo
 
     The accepted value depends on all before it, so each group is read in order; groups are those of ``by``.
     """
-    schema = StructType([*df.schema.fields, StructField("changed", BooleanType())])
+    rest = [f for f in df.schema.fields if f.name not in by]
+    schema = StructType([*[df.schema[c] for c in by], *rest, StructField("changed", BooleanType())])
 
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(time, kind="stable")
+    def scan(rows: dict) -> dict:
         held, out = None, []
-        for v in pdf[column]:
-            if pd.isna(v):
+        for v in rows[column].tolist():
+            if v is None or v != v:
                 out.append(False)
                 continue
             moved = held is None or abs(v - held) > tolerance * max(abs(v), abs(held))
             held = v if moved else held
             out.append(moved)
-        return pdf.assign(changed=out)
+        return {**{f.name: rows[f.name] for f in rest}, "changed": out}
 
-    return df.groupBy(*by).applyInPandas(scan, schema)
+    return map_groups(df, by, [time], scan, schema).select(*df.columns, "changed")
 
 
 def bin_value(c: Column, width: float) -> Column:

@@ -93,13 +93,39 @@ def level_crossing(spark, d):
     return out.select("user_id", "n", *[F.round(c, 4).alias(c) for c in ("x_cross", "x_low", "x_high")])
 
 
-@query("line_fit")
+def _fit_sql(rounds: int) -> str:
+    """Effective-variance rounds, each a query over the one before it."""
+    line = "SELECT l_suppkey AS k, regr_slope(l_extendedprice, l_quantity) AS m FROM lineitem GROUP BY 1"
+    for _ in range(rounds):
+        line = f"""SELECT *, (w * wxy - wx * wy) / (w * wxx - wx * wx) AS m, (wxx * wy - wx * wxy) / (w * wxx - wx * wx) AS b FROM (SELECT k, count(*) AS n, sum(p) AS w, sum(p * x) AS wx, sum(p * y) AS wy, sum(p * x * x) AS wxx, sum(p * x * y) AS wxy, sum(p * y * y) AS wyy FROM
+          (SELECT k, l_quantity AS x, l_extendedprice AS y, 1 / (pow(0.02 * l_extendedprice, 2) + pow(coalesce(m, 0) * 0.5, 2)) AS p FROM lineitem JOIN ({line}) ON k = l_suppkey) GROUP BY 1)"""
+    return f"""SELECT l_suppkey, n, m, b, sqrt(w / det) * birge AS u_m, sqrt(wxx / det) * birge AS u_b, chi2_red, birge FROM (SELECT *, greatest(sqrt(chi2_red), 1) AS birge FROM
+      (SELECT k AS l_suppkey, n, m, b, w, wxx, w * wxx - wx * wx AS det, greatest(wyy + m * m * wxx + b * b * w - 2 * m * wxy - 2 * b * wy + 2 * m * b * wx, 0) / (n - 2) AS chi2_red FROM ({line}) WHERE n > 2))"""
+
+
+@query("line_fit", _fit_sql(5))
 def line_fit(spark, d):
-    """Iterated weights; the tests hold it against a loop."""
     df = spark.read.parquet(f"{d}/lineitem.parquet").select("l_suppkey", "l_quantity", "l_extendedprice", F.lit(0.5).alias("u_x"), (0.02 * F.col("l_extendedprice")).alias("u_y"))
     return analyses.fit_line(df, ["l_suppkey"], "l_quantity", "l_extendedprice", "u_x", "u_y")
 
 
+def _gls_sql(rounds: int) -> str:
+    """The same with one shared factor f = 0.01 y: products of columns less what the factor takes (Sherman-Morrison)."""
+    line = "SELECT l_suppkey AS k, regr_slope(l_extendedprice / 1000, l_quantity) AS m FROM lineitem GROUP BY 1"
+    for _ in range(rounds):
+        line = f"""SELECT *, (w * wxy - wx * wy) / (w * wxx - wx * wx) AS m, (wxx * wy - wx * wxy) / (w * wxx - wx * wx) AS b FROM (SELECT k, n, w - fw * fw / s AS w, wx - fw * fx / s AS wx, wy - fw * fy / s AS wy, wxx - fx * fx / s AS wxx, wxy - fx * fy / s AS wxy, wyy - fy * fy / s AS wyy FROM
+          (SELECT k, count(*) AS n, sum(p) AS w, sum(p * x) AS wx, sum(p * y) AS wy, sum(p * x * x) AS wxx, sum(p * x * y) AS wxy, sum(p * y * y) AS wyy, sum(p * f) AS fw, sum(p * f * x) AS fx, sum(p * f * y) AS fy, 1 + sum(p * f * f) AS s FROM
+            (SELECT k, l_quantity AS x, l_extendedprice / 1000 AS y, 0.01 * l_extendedprice / 1000 AS f, 1 / (pow(0.02 * l_extendedprice / 1000, 2) + m * m * 0.25) AS p FROM lineitem JOIN ({line}) ON k = l_suppkey) GROUP BY 1))"""
+    return f"SELECT k AS l_suppkey, n, m, b, greatest(wyy + m * m * wxx + b * b * w - 2 * m * wxy - 2 * b * wy + 2 * m * b * wx, 0) / (n - 2) AS chi2_red FROM ({line}) WHERE n > 2"
+
+
+@query("line_fit_gls", _gls_sql(3))
+def line_fit_gls(spark, d):
+    y = F.col("l_extendedprice") / 1000
+    df = spark.read.parquet(f"{d}/lineitem.parquet").select("l_suppkey", "l_quantity", y.alias("y"), F.lit(0.25).alias("vx"), ((0.02 * y) ** 2).alias("vy"), (0.01 * y).alias("scale"))
+    return analyses.fit_line_gls(df, ["l_suppkey"], "l_quantity", "y", "vx", "vy", [], ["scale"], 3).select("l_suppkey", "n", "m", "b", "chi2_red")
+
+
 @query("line_fit_weighted", """SELECT l_suppkey, n, (w * wxy - wx * wy) / (w * wxx - wx * wx) AS m, (wxx * wy - wx * wxy) / (w * wxx - wx * wx) AS b FROM (SELECT l_suppkey, count(*) AS n, sum(p) AS w, sum(p * x) AS wx, sum(p * y) AS wy, sum(p * x * x) AS wxx, sum(p * x * y) AS wxy FROM
   (SELECT l_suppkey, l_quantity AS x, l_extendedprice / 1000 AS y, 1 / pow(0.02 * l_extendedprice / 1000, 2) AS p FROM lineitem) GROUP BY 1)""")
 def line_fit_weighted(spark, d):
@@ -107,11 +133,11 @@ def line_fit_weighted(spark, d):
     return analyses.fit_line(df, ["l_suppkey"], "l_quantity", "y", "u_x", "u_y", 1).select("l_suppkey", "n", "m", "b")
 
 
-@query("row_covariance", f"WITH s AS (SELECT step_id, user_id, 1 / h AS g, -amount / (h * h) AS f FROM {_BASE} WHERE user_id < 20) SELECT a.step_id AS key_a, b.step_id AS key_b, a.f * 0.01 * b.f * 0.01 + CASE WHEN a.step_id = b.step_id THEN pow(a.g * 0.5, 2) ELSE 0 END AS cov FROM s a JOIN s b ON a.user_id = b.user_id")
+@query("row_covariance", f"SELECT step_id, user_id, pow(0.5 / h, 2) AS own, -amount / (h * h) * 0.01 AS c_hours FROM {_BASE}")
 def row_covariance(spark, d):
     h = (F.col("s1") - F.col("s0")) / 3600
-    s = step_table(spark, d).filter("user_id < 20").select("step_id", "user_id", (1 / h).alias("g"), (-F.col("amount") / (h * h)).alias("f"), F.lit(0.5).alias("ua"), F.lit(0.01).alias("uh"))
-    return analyses.covariance(s, "step_id", {"amount": "g", "hours": "f"}, {"amount": "ua"}, {"hours": "uh"}, "user_id")
+    s = step_table(spark, d).select("step_id", "user_id", (1 / h).alias("g"), (-F.col("amount") / (h * h)).alias("f"), F.lit(0.5).alias("ua"), F.lit(0.01).alias("uh"))
+    return analyses.covariance(s, "step_id", {"amount": "g", "hours": "f"}, {"amount": "ua"}, {"hours": "uh"}, ["user_id"])
 
 
 @query("matrix_cells", "SELECT l_returnflag, l_linestatus, avg(l_quantity) FILTER (WHERE l_discount > 0.05) AS mean, count(l_quantity) FILTER (WHERE l_discount > 0.05) AS n, min(l_quantity) AS low, max(l_quantity) AS high, count(l_quantity) FILTER (WHERE l_discount > 0.05) = 0 AS marked FROM lineitem GROUP BY 1, 2")
@@ -144,7 +170,19 @@ def template_tiles(spark, d):
     return views.fill_template(spark.read.parquet(f"{d}/lineitem.parquet"), "{{{l_quantity|n:.1f}}} items, largest {l_quantity * 2|max:.2f}", ["l_returnflag"])
 
 
-@query("monte_carlo_crossing")
+_DRAW = "CAST('0x' || substr(md5(s || '|' || d || '|' || event_id), {}, 8) AS BIGINT) + 1"
+_NOISE = f"(sqrt(-2 * ln(({_DRAW.format(1)}) / 4294967297.0)) * cos(2 * pi() * ({_DRAW.format(9)}) / 4294967297.0))"
+
+
+@query("monte_carlo_crossing", f"""WITH c AS (SELECT user_id, event_id, us / 1e6 AS x, sum(value) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING) AS y, 0.1 * value AS u FROM (SELECT *, epoch_us(ts) AS us FROM events)),
+z AS (SELECT user_id, event_id, d, x, y + u * {_NOISE} AS y FROM (SELECT c.*, '42' AS s, unnest(generate_series(1, 40)) AS d FROM c)),
+p AS (SELECT *, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM z WINDOW w AS (PARTITION BY user_id, d ORDER BY x, event_id)),
+f AS (SELECT user_id, d, arg_min(x + (500 - y) * (x1 - x) / (y1 - y), (x, event_id)) AS x FROM p WHERE (y - 500) * (y1 - 500) <= 0 AND y <> y1 GROUP BY 1, 2)
+SELECT user_id, count(f.x) / 40 AS share, round(avg(f.x), 2) AS mean, round(stddev_samp(f.x), 2) AS sd FROM (SELECT DISTINCT user_id FROM events) LEFT JOIN f USING (user_id) GROUP BY 1""")
 def monte_carlo_crossing(spark, d):
-    """Seeded draws; the tests hold mean and spread against the exact crossing."""
-    return analyses.monte_carlo_crossing(_curve(spark, d), ["user_id"], "x", "y", "u", 500, 200)
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("user_id").orderBy("us", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    curve = events(spark, d).select("user_id", "event_id", (F.col("us") / 1e6).alias("x"), F.sum("value").over(w).alias("y"), (0.1 * F.col("value")).alias("u"))
+    out = analyses.monte_carlo_crossing(curve, ["user_id"], "event_id", "x", "y", "u", 500, 40)
+    return out.select("user_id", "share", F.round("mean", 2).alias("mean"), F.round("sd", 2).alias("sd"))

@@ -149,9 +149,17 @@ def jump_candidates(spark, d):
     return quality.jump_candidates(quality.with_segments(rec), rec, "value", 30).filter("jumps").select("user_id", "row", "level")
 
 
-@query("jump_dropout")
+_SPANS = f"""WITH RECURSIVE v AS MATERIALIZED (SELECT *, lag(value) OVER w AS level, row_number() OVER w AS ordinal FROM {SEG} WHERE value IS NOT NULL WINDOW w AS (PARTITION BY user_id, segment ORDER BY row)),
+c AS MATERIALIZED (SELECT * FROM v WHERE abs(value - level) > 30),
+b AS (SELECT a.user_id, a.segment, a.ordinal, min(k.ordinal) AS back FROM c a LEFT JOIN c k ON a.user_id = k.user_id AND a.segment = k.segment AND k.ordinal > a.ordinal AND k.us - a.us <= {4 * 86400 * 10**6} AND abs(k.value - a.level) <= 30 GROUP BY 1, 2, 3),
+n AS MATERIALIZED (SELECT b.user_id, b.segment, b.ordinal, any_value(b.back) AS back, min(k.ordinal) AS next FROM b LEFT JOIN c k ON b.user_id = k.user_id AND b.segment = k.segment AND k.ordinal > coalesce(b.back, b.ordinal) GROUP BY 1, 2, 3),
+r AS (SELECT user_id, segment, min(ordinal) AS ordinal FROM c GROUP BY 1, 2 UNION ALL SELECT n.user_id, n.segment, n.next FROM r JOIN n ON r.user_id = n.user_id AND r.segment = n.segment AND r.ordinal = n.ordinal WHERE n.next IS NOT NULL)
+SELECT v.user_id, v.row, 'value' AS channel, CASE WHEN n.back IS NULL THEN 'jump' ELSE 'dropout' END AS flag FROM r JOIN n ON r.user_id = n.user_id AND r.segment = n.segment AND r.ordinal = n.ordinal JOIN v ON v.user_id = r.user_id AND v.segment = r.segment AND v.ordinal BETWEEN r.ordinal AND coalesce(n.back - 1, r.ordinal)"""
+
+
+@query("jump_dropout", _SPANS)
 def jump_dropout(spark, d):
-    """A scan in order has no plain SQL; the tests hold it against a loop."""
+    """A scan in order: what a dropout covers is not judged again."""
     rec = recording(spark, d)
     return quality.jump_flags(quality.with_segments(rec), rec, "value", 30, 4 * 86400)
 

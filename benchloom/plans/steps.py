@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from pyspark.sql import functions as F
 
 from benchloom.operators import align, stats, steps
@@ -132,10 +134,25 @@ def window_durbin_watson(spark, d):
     return out.filter("durbin_watson is not null").select("step_id", F.round("durbin_watson", 5).alias("durbin_watson"))
 
 
-@query("window_robust")
+_PAIRS = f"(SELECT a.step_id, (b.value - a.value) / (b.t - a.t) AS s FROM {INSIDE} a JOIN {INSIDE} b ON a.step_id = b.step_id AND a.row < b.row AND a.t <> b.t)"
+_ROBUST = f"""WITH i AS MATERIALIZED (SELECT *, t - s0 AS x, row_number() OVER (PARTITION BY step_id ORDER BY t, row) AS place FROM {INSIDE}),
+g AS (SELECT step_id, count(*) AS n, avg(x) AS mx, avg(value) AS my, max(x) > min(x) AS spread, avg(value) FILTER (WHERE x > (s1 - s0) / 2) - avg(value) FILTER (WHERE x <= (s1 - s0) / 2) AS halves, least(count(*) FILTER (WHERE x <= (s1 - s0) / 2), count(*) FILTER (WHERE x > (s1 - s0) / 2)) AS fewer FROM i GROUP BY 1),
+k AS (SELECT step_id, sum(c * (c - 1) * (2 * c + 5)) AS ties FROM (SELECT step_id, x, count(*) AS c FROM i GROUP BY 1, 2) GROUP BY 1),
+p AS (SELECT step_id, median(s) AS m, list_sort(list(s)) AS all_s, count(*) AS l FROM {_PAIRS} GROUP BY 1),
+h AS (SELECT p.step_id, m, all_s, l, {NormalDist().inv_cdf(0.975)!r} * sqrt((n * (n - 1) * (2 * n + 5) - ties) / 18) * l / (n * (n - 1) / 2) AS half FROM p JOIN g USING (step_id) JOIN k USING (step_id)),
+c AS (SELECT i.step_id, median(value - m * x) AS b FROM i JOIN h USING (step_id) GROUP BY 1),
+l AS (SELECT i.step_id, sum((x - mx) * value) / sum((x - mx) * (x - mx)) AS m, sum((x - mx) * (x - mx)) AS sxx FROM i JOIN g USING (step_id) WHERE spread GROUP BY 1),
+e AS (SELECT i.step_id, place, n, sxx, floor(4 * pow(n / 100, 2 / 9)) AS lags, (x - mx) * (value - my - m * (x - mx)) AS e FROM i JOIN g USING (step_id) JOIN l USING (step_id) WHERE n > 2),
+w AS (SELECT a.step_id, any_value(a.n) AS n, any_value(a.sxx) AS sxx, sum(CASE WHEN a.place = b.place THEN a.e * a.e ELSE 2 * (1 - (b.place - a.place) / (a.lags + 1)) * a.e * b.e END) AS total FROM e a JOIN e b ON a.step_id = b.step_id AND b.place - a.place BETWEEN 0 AND a.lags GROUP BY 1)
+SELECT g.step_id, sqrt(greatest(total, 0) * w.n / (w.n - 2)) / sxx * 1e6 AS slope_se_hac_e6, h.m * 1e6 AS slope_theil_sen_e6, b AS intercept_theil_sen, all_s[CAST(floor(greatest((h.l - half) / 2, 0)) AS BIGINT) + 1] * 1e6 AS ts_ci_low_e6, all_s[CAST(floor(least((h.l + half) / 2, h.l - 1)) AS BIGINT) + 1] * 1e6 AS ts_ci_high_e6, CASE WHEN fewer >= 3 THEN halves END AS halves_diff
+FROM g LEFT JOIN h USING (step_id) LEFT JOIN c USING (step_id) LEFT JOIN w USING (step_id)"""
+
+
+@query("window_robust", _ROBUST)
 def window_robust(spark, d):
-    """Pairwise medians and Newey-West sums; the tests hold them against plain loops."""
-    return stats.robust(inside(spark, d), ["step_id"], "t", "value", "s0", "s1")
+    out = stats.robust(inside(spark, d), ["step_id"], "t", "value", "s0", "s1")
+    scaled = [(F.col(c) * 1e6).alias(f"{c}_e6") for c in ("slope_se_hac", "slope_theil_sen", "ts_ci_low", "ts_ci_high")]
+    return out.select("step_id", *scaled, "intercept_theil_sen", "halves_diff")
 
 
 @query("nearest_reference", f"""WITH s AS (SELECT *, amount > 60 AS is_ref FROM {STEPS}), x AS (SELECT a.step_id, a.row,
@@ -167,21 +184,32 @@ def changed_values(spark, d):
     return steps.changed(recording(spark, d).df.select("event_id", "user_id", "row", "coarse"), ["user_id"], "row", "coarse").select("event_id", "changed")
 
 
-@query("claimed_rows")
+_CLAIMED = f"""WITH RECURSIVE s AS MATERIALIZED (SELECT user_id, step_id, s0, row_number() OVER (PARTITION BY user_id ORDER BY s0, step_id) AS k FROM {STEPS}),
+v AS MATERIALIZED (SELECT user_id, event_id, t FROM {SAMPLES} WHERE event_type = 'view'),
+near AS MATERIALIZED (SELECT s.user_id, s.k, s.step_id, list(struct_pack(d := abs(v.t - s.s0), t := v.t, id := v.event_id) ORDER BY abs(v.t - s.s0), v.t, v.event_id) FILTER (WHERE v.event_id IS NOT NULL) AS c FROM s LEFT JOIN v ON s.user_id = v.user_id AND abs(v.t - s.s0) <= 50000 GROUP BY 1, 2, 3),
+r AS (SELECT user_id, 0::BIGINT AS k, NULL::BIGINT AS step_id, []::BIGINT[] AS taken, NULL::BIGINT AS row_id FROM (SELECT DISTINCT user_id FROM s)
+  UNION ALL SELECT user_id, k, step_id, CASE WHEN id IS NULL THEN taken ELSE list_append(taken, id) END, id FROM (SELECT n.user_id, n.k, n.step_id, r.taken, list_filter(n.c, lambda x: NOT list_contains(r.taken, x.id))[1].id AS id FROM r JOIN near n ON n.user_id = r.user_id AND n.k = r.k + 1))
+SELECT user_id, step_id, row_id FROM r WHERE row_id IS NOT NULL"""
+
+
+@query("claimed_rows", _CLAIMED)
 def claimed_rows(spark, d):
-    """Greedy one-to-one assignment; the tests hold it against a loop."""
+    """Greedy one-to-one assignment in the order of starts."""
     s = step_table(spark, d).select("user_id", "step_id", F.col("s0").alias("start"))
     r = samples(spark, d).filter("event_type = 'view'").select("user_id", F.col("event_id").alias("row_id"), F.col("t").alias("time"))
     return steps.claim_rows(s, r, ["user_id"], 50000.0)
 
 
-@query("snapshot_changes", """WITH o AS (SELECT o_orderkey AS k, o_totalprice AS p, o_orderstatus AS s FROM orders WHERE o_orderkey < 2000), n AS (SELECT CASE WHEN o_orderkey % 11 = 0 THEN o_orderkey + 100000 ELSE o_orderkey END AS k, CASE WHEN o_orderkey % 13 = 0 AND o_orderkey % 11 <> 0 THEN o_totalprice + 1 ELSE o_totalprice END AS p, o_orderstatus AS s FROM orders WHERE o_orderkey BETWEEN 100 AND 2100)
-SELECT k, CASE WHEN k >= 100000 AND k - 100000 < 2000 THEN 'moved' ELSE c END AS change FROM (SELECT coalesce(n.k, o.k) AS k, CASE WHEN o.k IS NULL THEN 'new' WHEN n.k IS NULL THEN 'gone' WHEN o.p <> n.p OR o.s <> n.s THEN 'changed' END AS c FROM o FULL JOIN n ON o.k = n.k) WHERE c IS NOT NULL AND NOT (c = 'gone' AND k >= 100 AND k % 11 = 0)""")
+@query("snapshot_changes", """WITH o AS (SELECT o_orderkey AS k, o_totalprice AS p, o_orderstatus AS s FROM orders WHERE o_orderkey % 17 <> 0),
+n AS (SELECT CASE WHEN o_orderkey % 11 = 0 THEN -o_orderkey ELSE o_orderkey END AS k, CASE WHEN o_orderkey % 13 = 0 AND o_orderkey % 11 <> 0 THEN o_totalprice + 1 ELSE o_totalprice END AS p, o_orderstatus AS s FROM orders WHERE o_orderkey % 19 <> 0),
+r AS (SELECT coalesce(n.k, o.k) AS k, CASE WHEN o.k IS NULL THEN 'new' WHEN n.k IS NULL THEN 'gone' WHEN o.p <> n.p OR o.s <> n.s THEN 'changed' END AS c, coalesce(n.p, o.p) AS p, coalesce(n.s, o.s) AS s FROM o FULL JOIN n ON o.k = n.k)
+SELECT k, CASE WHEN c = 'new' AND (p, s) IN (SELECT (p, s) FROM r WHERE c = 'gone') THEN 'moved' ELSE c END AS change FROM r WHERE c IS NOT NULL AND NOT (c = 'gone' AND (p, s) IN (SELECT (p, s) FROM r WHERE c = 'new'))""")
 def snapshot_changes(spark, d):
+    """Every order in two snapshots: some are absent from one of them, some have another price, some another key."""
     o = spark.read.parquet(f"{d}/orders.parquet")
     k = F.col("o_orderkey")
-    old = o.filter(k < 2000).select(k.alias("k"), F.col("o_totalprice").alias("p"), F.col("o_orderstatus").alias("s"))
-    new = o.filter(k.between(100, 2100)).select(F.when(k % 11 == 0, k + 100000).otherwise(k).alias("k"), F.when((k % 13 == 0) & (k % 11 != 0), F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")).alias("p"), F.col("o_orderstatus").alias("s"))
+    old = o.filter(k % 17 != 0).select(k.alias("k"), F.col("o_totalprice").alias("p"), F.col("o_orderstatus").alias("s"))
+    new = o.filter(k % 19 != 0).select(F.when(k % 11 == 0, -k).otherwise(k).alias("k"), F.when((k % 13 == 0) & (k % 11 != 0), F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")).alias("p"), F.col("o_orderstatus").alias("s"))
     return steps.compare_snapshots(old, new, "k", ["p", "s"])
 
 
@@ -219,10 +247,10 @@ def resample_linear(spark, d):
     return align.resample(recording(spark, d), "value", _H, 48 * _H).withColumn("value", F.round("value", 6))
 
 
-@query("lag_correlation", f"""WITH g AS (SELECT user_id, grid_us // {_H} AS k, value FROM {_GRID} WHERE value IS NOT NULL AND user_id < 40), s AS (SELECT l AS lag, a.user_id, a.value AS x, b.value AS y FROM g a JOIN (SELECT *, unnest([-2, 0, 3]) AS l FROM g) b ON a.user_id = b.user_id AND a.k = b.k - l)
+@query("lag_correlation", f"""WITH g AS (SELECT user_id, grid_us // {_H} AS k, value FROM {_GRID} WHERE value IS NOT NULL), s AS (SELECT l AS lag, a.user_id, a.value AS x, b.value AS y FROM g a JOIN (SELECT *, unnest([-2, 0, 3]) AS l FROM g) b ON a.user_id = b.user_id AND a.k = b.k - l)
 SELECT user_id, lag, count(*) AS overlap, round(CASE WHEN var_pop(x) * count(*) > 1e-9 AND var_pop(y) * count(*) > 1e-9 THEN corr(x, y) END, 5) AS r FROM s GROUP BY 1, 2 HAVING count(*) >= 3""")
 def lag_correlation(spark, d):
-    g = align.resample(recording(spark, d), "value", _H, 48 * _H).filter("value is not null and user_id < 40").select("user_id", F.floor(F.col("grid_us") / _H).alias("k"), "value")
+    g = align.resample(recording(spark, d), "value", _H, 48 * _H).filter("value is not null").select("user_id", F.floor(F.col("grid_us") / _H).alias("k"), "value")
     return align.lag_correlation(g, g, ["user_id"], "k", "value", [-2, 0, 3]).withColumn("r", F.round("r", 5))
 
 

@@ -31,6 +31,8 @@ DOUBLES: dict[str, str] = {
     "lag_correlation": "r",
     "level_crossing": "x_cross x_low x_high",
     "level_of_window": "last_value",
+    "line_fit": "m:4 b:4 u_m:4 u_b:4 chi2_red birge",
+    "line_fit_gls": "m b chi2_red:4",
     "line_fit_weighted": "m b",
     "lod_min_max": "low high",
     "matrix_cells": "mean low high",
@@ -39,12 +41,13 @@ DOUBLES: dict[str, str] = {
     "midnight_rollover": "seconds",
     "minimal_trace": "time value",
     "moving_mean": "smooth",
+    "monte_carlo_crossing": "share",
     "nearest_reference": "ref u_ref",
     "pivot_matrix": "F O",
     "pivot_wide_first": "click error purchase signup view",
     "resample_linear": "value",
     "resolution": "resolution",
-    "row_covariance": "cov",
+    "row_covariance": "own:9 c_hours:9",
     "run_summary": "median_dt_s:9",
     "run_time": "run_time_s",
     "scenario_compare": "rate",
@@ -63,6 +66,7 @@ DOUBLES: dict[str, str] = {
     "window_durbin_watson": "durbin_watson",
     "window_integral": "integral covered_s",
     "window_location": "mean median sd sem min max q05 q95",
+    "window_robust": "slope_se_hac_e6:3 slope_theil_sen_e6:4 intercept_theil_sen ts_ci_low_e6:4 ts_ci_high_e6:4 halves_diff",
     "window_rule": "low high",
     "window_slope": "slope_e6 slope_se_e6 intercept r2",
     "window_stationary": "halves_diff",
