@@ -1,10 +1,14 @@
 """Main text of pages: the maximum-scoring contiguous run of a page's words (positive) and tags (negative).
 
 Weights come from labelled pages, those whose markup names their article (article, main or role main), at most ``sample`` of
-them by smallest hash of id: for every tag and every word of class, id and role attributes, how many words under such
-elements lie inside and outside the article. Prior counts, from the names below, stand for elements no labelled page has. A text under
-an element that speaks for boilerplate scores nothing and is not part of the result, so that adverts within an article do
-not cut it; other words score by what their elements say; each tag costs. One linear scan finds the best run.
+them by smallest hash: for every tag and every name in class, id and role attributes, how many words under such elements lie
+inside and outside the article. Prior counts, from the names below, stand for elements no labelled page has. A text under an
+element that speaks for boilerplate scores nothing and is not part of the result, so that adverts within an article do not
+cut it; other words score by what their elements say. Tags of blocks cost, but for those under an element that speaks for
+content: there empty tags, however many, cut nothing. One linear scan finds the best run.
+
+A name of several words (``site-footer``) speaks as its last word does, if the words before are of these lists, too: ``legal-news``
+and ``search-results-explained`` are names of their own, of which labelled pages may say something.
 
 Defined results: a null or empty page, and one without content, has an empty text. Broken markup is read on: unclosed
 elements end where their parents end, an unclosed script or comment takes the rest, as browsers do. Character references
@@ -16,6 +20,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -40,6 +45,8 @@ MAIN_TAGS = frozenset(("article", "main"))
 SKIP_WORDS = frozenset(
     "nav navbar navigation menu submenu header masthead banner footer sidebar aside widget widgets ad ads adv advert adverts advertisement advertising adsense adslot adbox sponsor sponsored sponsors promo promos promotion cookie cookies consent gdpr notice notices alert alerts popup modal overlay lightbox "
     "subscribe subscription newsletter signup login share sharing social socials related recommended recommendations trending popular teaser comment comments commentlist disqus reply replies respond breadcrumb breadcrumbs pagination pager toolbar topbar copyright legal disclaimer search form hidden skip contentinfo complementary dialog outbrain taboola".split())
+#: Words that say where or how something stands, not what it is.
+STRUCTURE = frozenset("area bar bars block body bottom box boxes btn button buttons col column container content first group holder icons inner item items last left link links list main module page panel placeholder post posts right row section site slot top unit wrap wrapper zone".split())
 MAIN_WORDS = frozenset("article articlebody articletext content entry maincontent main post postbody postcontent story storybody".split())
 
 _TOKEN = re.compile(r"<!--(?:>|->)?|<!\[CDATA\[|<(?:[!?][^>]*>?)|<(/?)([A-Za-z][^\s/>]*)")
@@ -49,6 +56,8 @@ _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 #: Characters of attributes up to which what they say is remembered.
 CACHED = 1000
+#: Words that labelled pages count for at most, under one name; ten times what the names above start with.
+EVIDENCE = 4000.0
 
 
 def events(page: str) -> Iterator[tuple[str, str, str]]:
@@ -116,6 +125,19 @@ def names(tag: str, attributes: str) -> tuple[str, ...]:
     return (_names if len(attributes) <= CACHED else _names.__wrapped__)(tag, attributes)
 
 
+def _said(words: list[str]) -> list[str]:
+    """The names that the words of a compound stand for: itself, and its deciding word if the others are known, too."""
+    joined = "".join(words)
+    if len(words) < 2:
+        return words
+    telling = [w for w in words if w in SKIP_WORDS or w in MAIN_WORDS]
+    if not telling or any(w not in STRUCTURE and w not in SKIP_WORDS and w not in MAIN_WORDS for w in words):
+        return [joined]
+    skip = [w for w in telling if w in SKIP_WORDS]
+    last = next(w for w in reversed(words) if w in telling and (w not in STRUCTURE or not skip))
+    return [joined, last]
+
+
 @lru_cache(20_000)
 def _names(tag: str, attributes: str) -> tuple[str, ...]:
     out = {f"<{tag}>": None}
@@ -123,8 +145,7 @@ def _names(tag: str, attributes: str) -> tuple[str, ...]:
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key in ("class", "id", "role", "itemprop"):
             for part in value.split():
-                own = [w.lower() for w in _NAME.findall(part)]
-                out |= dict.fromkeys([*own, "".join(own)])
+                out |= dict.fromkeys(_said([w.lower() for w in _NAME.findall(part)]))
         elif key == "hidden" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I) or key == "aria-hidden" and value == "true":
             out["hidden"] = None
     return tuple(out)
@@ -156,7 +177,7 @@ class Weights:
                 inside, outside = self.counts.get(name, (0.0, 0.0))
                 a, b = _prior(name)
                 seen = inside + outside
-                shrink = min(1.0, 400.0 / seen) if seen else 1.0  # labelled pages count as 400 words of each name at most
+                shrink = min(1.0, EVIDENCE / seen) if seen else 1.0
                 own = log((inside * shrink + a) / (outside * shrink + b))
                 got += own if abs(own) > 0.5 else 0.0
             if len(self._of) > 50_000:
@@ -166,51 +187,82 @@ class Weights:
         return got
 
 
-def nodes(page: str, weights: Weights) -> Iterator[tuple[str, str, list]]:
-    """Events with the open elements [tag, weight, attributes] above them; a close event names the element it ends."""
-    stack: list[list] = []
+@dataclass(frozen=True)
+class Under:
+    """What the open elements say of a text below them all."""
+
+    skipped: bool = False
+    form: bool = False
+    header: bool = False
+    inside: bool = False
+    bonus: float = 0.0
+
+    def then(self, tag: str, weight: float) -> "Under":
+        if tag in ("html", "body"):
+            return self
+        skipped, form, header = self.skipped, self.form, self.header or tag == "header"
+        if weight <= -1.0:
+            if tag == "form":
+                form = True  # an article below, which some pages wrap in a form, is content all the same
+            elif not (tag == "header" and self.inside and weight > -1.5):
+                skipped = True
+        elif weight >= 1.0:
+            return Under(skipped, form and tag not in MAIN_TAGS, header, True, self.bonus + 0.7)
+        return Under(skipped, form, header, self.inside, self.bonus)
+
+    def word(self, marked: bool) -> float:
+        """Score of a word; 0: boilerplate. On a page that marks its article other texts count against a run."""
+        if self.skipped or self.form or self.header and not self.inside:
+            return 0.0
+        return 0.6 + self.bonus if self.inside or not marked else -0.6
+
+
+@dataclass
+class Element:
+    tag: str
+    attributes: str
+    under: Under
+
+
+def nodes(page: str, weights: Weights) -> Iterator[tuple[str, str, list[Element]]]:
+    """Events with the open elements above them; a close event comes after the element it ends."""
+    stack: list[Element] = []
+    count: Counter = Counter()
+
+    def cut(i: int) -> None:
+        count.subtract(e.tag for e in stack[i:])
+        del stack[i:]
+
     for kind, value, attributes in events(page):
         if kind == "text":
             yield "text", value, stack
         elif kind == "open":
-            if value in ENDS_P and any(e[0] == "p" for e in stack):
-                while stack.pop()[0] != "p":
-                    pass
-            for i in range(len(stack) - 1, -1, -1):
-                if value not in CLOSES or stack[i][0] in SCOPE:
-                    break
-                if stack[i][0] in CLOSES[value]:
-                    del stack[i:]
-                    break
+            if value in ENDS_P and count["p"]:
+                cut(next(i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == "p"))
+            if value in CLOSES and any(count[t] for t in CLOSES[value]):
+                at = next(i for i in range(len(stack) - 1, -1, -1) if stack[i].tag in SCOPE or stack[i].tag in CLOSES[value])
+                if stack[at].tag in CLOSES[value]:
+                    cut(at)
             yield "open", value, stack
             if value not in VOID and not (attributes.endswith("/") and value in RAW):
-                stack.append([value, weights.of(value, attributes), attributes])
+                stack.append(Element(value, attributes, (stack[-1].under if stack else Under()).then(value, weights.of(value, attributes))))
+                count[value] += 1
         else:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == value:
-                    del stack[i:]
-                    break
+            if count[value]:
+                cut(next(i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == value))
             yield "close", value, stack
 
 
-def _text_weight(stack: list[list], marked: bool) -> float:
-    """Score of a word under these elements; 0: boilerplate."""
-    inside, total = False, 0.6
-    for tag, w, _ in stack:
-        if w <= -1.0:
-            if tag == "header" and inside and w > -1.5:
-                continue
-            if tag == "form" and any(x[0] in MAIN_TAGS and x[1] >= 1 for x in stack):
-                continue
-            if tag in ("html", "body"):
-                continue
-            return 0.0
-        if w >= 1.0:
-            inside = True
-            total += 0.7
-    if any(e[0] == "header" for e in stack) and not inside:
-        return 0.0
-    return total if inside or not marked else -0.6
+def best_run(scores: list[float]) -> tuple[int, int]:
+    """Start and end of the contiguous run of the largest positive sum (the first of equal ones); (0, 0): none is positive."""
+    best, at, run, start = 0.0, (0, 0), 0.0, 0
+    for i, score in enumerate(scores):
+        run += score
+        if run <= 0:
+            run, start = 0.0, i + 1
+        elif run > best:
+            best, at = run, (start, i + 1)
+    return at
 
 
 def extract(page: str, weights: Weights) -> str:
@@ -219,22 +271,22 @@ def extract(page: str, weights: Weights) -> str:
         return ""
     marked = any(k == "open" and v in MAIN_TAGS for k, v, _ in events(page))
     tokens: list[tuple[str, str, float]] = []
+    scores: list[float] = []
+    top = Under()
     for kind, value, stack in nodes(page, weights):
+        under = stack[-1].under if stack else top
         if kind == "text":
-            tokens.append(("text", value, _text_weight(stack, marked)))
+            word = under.word(marked)
+            tokens.append(("text", value, word))
+            scores.append(word * len(value.split()))
         else:
-            tokens.append((kind, value, weights.tag))
-    best, best_at, run, start = 0.0, (0, 0), 0.0, 0
-    for i, (kind, value, w) in enumerate(tokens):
-        run += w * len(value.split()) if kind == "text" else w
-        if run <= 0:
-            run, start = 0.0, i + 1
-        elif run > best:
-            best, best_at = run, (start, i + 1)
+            tokens.append((kind, value, 0.0))
+            scores.append(0.0 if under.inside or value not in BLOCK else weights.tag)
+    low, high = best_run(scores)
     blocks, own = [], []
-    for kind, value, w in [*tokens[best_at[0] : best_at[1]], ("open", "p", 0.0)]:
+    for kind, value, word in [*tokens[low:high], ("open", "p", 0.0)]:
         if kind == "text":
-            if w > 0:
+            if word > 0:
                 own.append(value)
         elif value in BLOCK:
             if line := " ".join(entities.unescape("".join(own)).split()):
@@ -245,8 +297,10 @@ def extract(page: str, weights: Weights) -> str:
 
 def fit(pages: DataFrame, page_id: str = "page_id", html: str = "html", sample: int = 1000) -> Weights:
     """Weights of at most ``sample`` pages that name their article."""
-    named = pages.filter(F.col(f"`{html}`").rlike(r"(?i)<(?:article|main)[\s>]|role\s*=\s*[\"']?main"))
-    chosen = named.select(F.col(f"`{html}`").alias("html"), F.xxhash64(f"`{page_id}`").alias("h")).orderBy("h").limit(sample)
+    named = pages.filter(F.col(f"`{html}`").rlike(r"(?i)<(?:article|main)[\s>]|role\s*=\s*[\"']?main")).select(F.col(f"`{html}`").alias("html"), F.xxhash64(f"`{page_id}`", f"`{html}`").alias("h"))
+    # Hashes alone are ordered; html moves only for the rows up to the last chosen one.
+    last = named.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    chosen = named.filter(F.col("h") <= F.lit(last).cast("bigint")).dropDuplicates(["h"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat = Weights()
@@ -255,12 +309,12 @@ def fit(pages: DataFrame, page_id: str = "page_id", html: str = "html", sample:
             for page in batch.column(0):
                 for kind, value, stack in nodes(page.as_py() or "", flat):
                     if kind == "text" and (n := len(value.split())):
-                        top = next((i for i, e in enumerate(stack) if e[0] in MAIN_TAGS or re.search(r"role\s*=\s*[\"']?main", e[2])), None)
+                        top = next((i for i, e in enumerate(stack) if e.tag in MAIN_TAGS or re.search(r"role\s*=\s*[\"']?main", e.attributes)), None)
                         for i, e in enumerate(stack):
-                            for name in names(e[0], e[2]):
+                            for name in names(e.tag, e.attributes):
                                 # What lies within an article but under a named part of it is not known to be content.
                                 side = 0 if top is not None and i >= top else 1
-                                if side or not any(_prior(x)[1] > 100 for x in names(e[0], e[2])):
+                                if side or not any(_prior(x)[1] > 100 for x in names(e.tag, e.attributes)):
                                     sums.setdefault(name, [0.0, 0.0])[side if top is None or i >= top else 0] += n
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v[0] for v in sums.values()], pa.float64()), pa.array([v[1] for v in sums.values()], pa.float64())], ["name", "inside", "outside"])
 
