@@ -95,44 +95,104 @@ def _choice(last: np.ndarray, w: int) -> list[int]:
     return out
 
 
-def solve(counts: np.ndarray, capacity: int, rounds: int = 60, eta: float = 30.0, near: float = 0.995) -> list[tuple[tuple[int, ...], int]]:
-    """Configurations (lengths, descending) with how often each is used, which hold exactly ``counts[length]`` pieces.
+def _prices(covered: np.ndarray, need: np.ndarray, eta: float) -> np.ndarray:
+    """Multiplicative weights: a length's price falls exponentially with the share of it that is covered."""
+    have = need > 0
+    share = np.divide(covered, need, out=np.zeros(len(need)), where=have)
+    return np.where(have, np.arange(len(need)) / (len(need) - 1) * np.exp(-eta * (share - (share[have].mean() if have.any() else 0.0))), 0.0)
+
+
+def relaxed(counts: np.ndarray, capacity: int, turns: int = 60, eta: float = 0.5, levels: int = 2, near: float = 0.995) -> tuple[dict[tuple[int, ...], float], np.ndarray]:
+    """The configuration program without whole numbers: how often each configuration is used, and what it covers of each length.
 
-    Fractional covering by multiplicative weights: a length's price falls exponentially with the share of it that is
-    covered; knapsack dynamic programming finds the best configuration at these prices, and with it those that are nearly
-    as good for each first length; every length's cover is bounded by a share that grows with the rounds. The fractional solution is rounded
-    so that sums stay, and the pieces left go by best fit.
+    Each turn prices lengths by what is covered of them. A knapsack over lengths that are not yet covered up to the level gives
+    the best configuration and, for each first length, its best one, taken if nearly as good; the level rises when little is
+    left below it, and what is nearly as good gets wider when few configurations can be had.
+    """
+    need = counts.astype(float)
+    covered, x = np.zeros(capacity + 1), {}
+    level, width = 1, near
+    for _ in range(turns):
+        allowed = need * (level / levels)
+        price = np.where(covered < allowed * (1 - 1e-9), _prices(covered, need, eta), 0.0)
+        if not price.any():
+            break
+        best, last = _knapsack(price, capacity)
+        tried = taken = 0
+        for first in np.flatnonzero(price)[::-1]:
+            if price[first] + best[capacity - first] >= width * best[capacity]:
+                c = tuple(sorted([int(first), *_choice(last, capacity - int(first))], reverse=True))
+                kinds, times = np.unique(c, return_counts=True)
+                step = float(((allowed[kinds] - covered[kinds]) / times).min())
+                tried += 1
+                if step > 1e-12:
+                    x[c] = x.get(c, 0.0) + step
+                    covered[kinds] += step * times
+                    taken += 1
+        if taken * 8 <= tried or taken < 3:
+            width -= 0.01
+        if level < levels and (covered.sum() > 0.9 * allowed.sum() or width < 0.8):
+            level, width = level + 1, near
+        elif width < 0.8:
+            break
+    return x, covered
+
+
+def program(counts: np.ndarray, capacity: int, eta: float = 0.5, near: float = 0.97, refresh: int = 16) -> tuple[dict[tuple[int, ...], int], np.ndarray]:
+    """Configurations in whole numbers, and the counts of the pieces that none of them holds.
+
+    The relaxed program is rounded down. What that leaves is rounded up in configurations of its prices: from the longest length
+    left, the next one is that of largest price and knapsack value behind it among those still there, and half of the times
+    that fit are taken at once. The knapsack is solved again whenever ``refresh`` lengths have run out. Lengths whose
+    best configuration falls behind ``near`` of the knapsack's are left.
     """
     rest = counts.astype(np.int64).copy()
     plan: dict[tuple[int, ...], int] = {}
-    sizes = np.arange(capacity + 1) / capacity
     if rest[capacity]:
         plan[(capacity,)] = int(rest[capacity])
         rest[capacity] = 0
     need = rest.astype(float)
-    have = need > 0
-    if rest.sum() >= capacity:
-        covered, x = np.zeros(capacity + 1), {}
-        for turn in range(rounds):
-            share = np.divide(covered, need, out=np.zeros_like(covered), where=have)
-            price = np.where(have, sizes * np.exp(-eta * (share - share[have].mean())), 0.0)
-            best, last = _knapsack(price, capacity)
-            for first in np.flatnonzero(have):
-                if price[first] + best[capacity - first] >= near * best[capacity]:
-                    c = tuple(sorted([int(first), *_choice(last, capacity - int(first))], reverse=True))
-                    kinds, times = np.unique(c, return_counts=True)
-                    step = float(((need[kinds] * min(1.0, 4 * (turn + 1) / rounds) - covered[kinds]) / times).min())
-                    if step > 0:
-                        x[c] = x.get(c, 0.0) + step
-                        covered[kinds] += step * times
-        carried = 0.0  # fractions of configurations add up to whole sequences
-        for c, v in x.items():
-            kinds, times = np.unique(c, return_counts=True)
-            carried += v if sum(c) == capacity else 0.0
-            if (m := min(int(carried), int((rest[kinds] // times).min()))) and sum(c) == capacity:
-                plan[c] = m
-                rest[kinds] -= m * times
-                carried -= m
+    x, covered = relaxed(rest, capacity, eta=eta) if rest.any() else ({}, need)
+    for c, v in x.items():
+        kinds, times = np.unique(c, return_counts=True)
+        if m := min(int(v + 1e-9), int((rest[kinds] // times).min())):
+            plan[c] = m
+            rest[kinds] -= m * times
+    prices, aside, gone = _prices(covered, need, eta), np.zeros(capacity + 1, bool), refresh
+    while (firsts := np.flatnonzero((rest > 0) & ~aside)).size:
+        if gone >= refresh:
+            price = np.where(rest > 0, prices, 0.0)
+            best, _ = _knapsack(price, capacity)
+            gone = 0
+        there = np.flatnonzero(rest)
+        used, room, worth = {int(firsts[-1]): 1}, capacity - int(firsts[-1]), price[firsts[-1]]
+        while n := int(np.searchsorted(there, room, "right")):
+            value = price[there[:n]] + best[room - there[:n]]
+            for size, times in used.items():
+                if times >= rest[size] and size <= room:
+                    value[np.searchsorted(there, size)] = -1.0
+            size = int(there[value.argmax()])
+            if value.max() <= 0:
+                break
+            used[size], room, worth = used.get(size, 0) + 1, room - size, worth + price[size]
+        if worth < near * best[capacity]:
+            aside[firsts[-1]] = True
+            continue
+        m = max(1, min(int(rest[size]) // times for size, times in used.items()) // 2)
+        c = tuple(sorted((size for size, times in used.items() for _ in range(times)), reverse=True))
+        plan[c] = plan.get(c, 0) + m
+        for size, times in used.items():
+            rest[size] -= m * times
+            gone += not rest[size]
+    return plan, rest
+
+
+def solve(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Configurations (lengths, descending) with how often each is used, which hold exactly ``counts[length]`` pieces.
+
+    The program places most pieces, at every size of the input; those left go by best fit.
+    """
+    plan, rest = program(counts, capacity)
     for c, m in _best_fit(rest, capacity):
         plan[c] = plan.get(c, 0) + m
     return sorted(plan.items(), key=lambda t: t[0], reverse=True)

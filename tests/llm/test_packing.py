@@ -81,3 +81,31 @@ def test_programs_pack_all_close_to_the_bound(seed):
     assert (used == counts).all()
     best_fit = sum(m for _, m in packing._best_fit(counts, 256))
     assert sum(m for _, m in plan) <= best_fit + 1
+
+
+def bins(plan):
+    return sum(m for _, m in plan)
+
+
+def test_the_program_beats_best_fit_where_that_goes_wrong():
+    counts = np.zeros(2049, np.int64)
+    counts[[1044, 552, 532, 472]] = 6000, 6000, 6000, 12000
+    plan = packing.solve(counts, 2048)
+    assert bins(plan) == 9000 == -(-int(counts @ np.arange(2049)) // 2048) and bins(packing._best_fit(counts, 2048)) == 11000
+    held = np.zeros(2049, np.int64)
+    for c, m in plan:
+        np.add.at(held, list(c), m)
+        assert sum(c) <= 2048
+    assert (held == counts).all()
+
+
+@pytest.mark.parametrize("n, share", [(300, 0.1), (100_000, 0.7)])
+def test_the_program_places_pieces_at_every_size(n, share):
+    sizes = np.minimum(np.exp(np.random.default_rng(2).normal(5.5, 1.1, n)).astype(int) + 1, 2048)
+    counts = np.bincount(sizes, minlength=2049).astype(np.int64)
+    plan, rest = packing.program(counts, 2048)
+    held = rest.copy()
+    for c, m in plan.items():
+        np.add.at(held, list(c), m)
+    assert (held == counts).all() and rest.sum() <= (1 - share) * n
+    assert bins(packing.solve(counts, 2048)) <= 1.002 * bins(packing._best_fit(counts, 2048)) + 1
