@@ -9,7 +9,9 @@ starts with one anchor form a span (on average two thirds of ``width - k`` start
 * the other spans, those where copies begin, end or differ, go with one copy of every span of the same anchor to a shard,
   whose suffixes are sorted by external induction (see induce); neighbours sharing ``width`` bytes are repeated strings.
 
-Texts are distinct texts, by hash: a text that appears twice is repeated as a whole. Hashes are 64 bits of all bytes.
+An anchor that holds more than ``COMMON`` of all spans is no task's: its spans are counted by partial sums and joined with the
+counts in salted parts. Texts are distinct texts: one that appears twice is repeated as a whole. They are known by a 64-bit
+hash of all bytes, or by a second one where two texts share the first.
 Defined results: null and empty texts have no bytes and nothing removed; texts shorter than ``width`` stay; repeated rows
 are copies of each other; other columns are ignored; an empty table stays empty.
 """
@@ -33,6 +35,10 @@ PIECE = 64
 SHARD = 2 << 20
 #: Rows of text hashes that may be sent to all tasks.
 BROADCAST = 2_000_000
+#: An anchor is common from this share of all spans on (and from LOCAL of them, counted in one task); at most twice its inverse are.
+COMMON, LOCAL = 2.0**-20, 500
+#: Parts in which the spans of a common anchor meet their counts.
+SALTS = 32
 
 
 def _hashes(total: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -53,7 +59,8 @@ def spans(data: np.ndarray, offsets: np.ndarray, width: int, k: int) -> tuple[np
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * p[:n], out=total[1:])
         pieces = np.arange(n - k + 1)
         h = _hashes(total, pieces, pieces + k)
-        bits = np.uint64(int(n).bit_length())
+        # The upper half of the hash, then the place: equal strings choose alike wherever they stand.
+        bits = np.uint64(32)
         ranked = (h >> bits << bits) | pieces.astype(np.uint64)
         w = width - k + 1
         m = -(-len(ranked) // w) * w
@@ -72,10 +79,20 @@ def spans(data: np.ndarray, offsets: np.ndarray, width: int, k: int) -> tuple[np
 
 
 def _deal(texts: DataFrame, width: int, k: int) -> DataFrame:
-    """Spans of all texts: text_hash, low, high, anchor, whole; copies within a task once."""
+    """Spans of all texts: text_hash, low, high, anchor, whole (copies within a task once); and anchors common in part of a task, with n."""
+    names = ["text_hash", "low", "high", "anchor", "whole", "n"]
+    share, least = COMMON, LOCAL
+
+    def common(held: list[np.ndarray]) -> pa.RecordBatch:
+        values, n = np.unique(np.concatenate(held), return_counts=True)
+        often = n >= max(least, n.sum() * share)
+        m = int(often.sum())
+        return pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32()), pa.array(values[often]), pa.nulls(m, pa.int64()), pa.array(n[often])], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        held: list[np.ndarray] = []
+        size = 0
         for batch in batches:
             for rows, data, offsets in text_chunks(batch, "text"):
                 hashes = rows.column(0).to_numpy()
@@ -84,9 +101,17 @@ def _deal(texts: DataFrame, width: int, k: int) -> DataFrame:
                 keep = fresh[row] if len(row) else np.zeros(0, bool)
                 if len(seen) > 1_000_000:
                     seen.clear()
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[row[keep]]), pa.array(low[keep].astype(np.int32)), pa.array(high[keep].astype(np.int32)), pa.array(anchor[keep].view(np.int64)), pa.array(whole[keep].view(np.int64))], ["text_hash", "low", "high", "anchor", "whole"])
+                own = anchor[keep].view(np.int64)
+                held.append(own)
+                size += len(own)
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[row[keep]]), pa.array(low[keep].astype(np.int32)), pa.array(high[keep].astype(np.int32)), pa.array(own), pa.array(whole[keep].view(np.int64)), pa.nulls(len(own), pa.int64())], names)
+                if size > 4_000_000:
+                    yield common(held)
+                    held, size = [], 0
+        if size:
+            yield common(held)
 
-    return texts.mapInArrow(run, "text_hash bigint, low int, high int, anchor bigint, whole bigint")
+    return texts.mapInArrow(run, "text_hash bigint, low int, high int, anchor bigint, whole bigint, n bigint")
 
 
 def _judge(dealt: DataFrame) -> DataFrame:
@@ -112,6 +137,18 @@ def _judge(dealt: DataFrame) -> DataFrame:
     return dealt.repartition(F.col("anchor")).sortWithinPartitions("anchor", "whole").mapInArrow(run, "text_hash bigint, low int, high int, anchor bigint, repeated boolean")
 
 
+def _judge_common(dealt: DataFrame) -> DataFrame:
+    """The same for common anchors, in sums that begin before the shuffle; spans meet their counts in ``SALTS`` parts of each."""
+    place = F.struct("text_hash", "low", "high")
+    wholes = materialize(dealt.groupBy("anchor", "whole").agg(F.count("*").alias("times"), F.min(place).alias("first")), "wholes")
+    mixed = wholes.groupBy("anchor").agg(F.min("times").alias("least"), F.count("*").alias("kinds")).filter("least = 1 and kinds > 1").select("anchor")
+    some = wholes.join(F.broadcast(mixed), "anchor", "left_semi").select("first.*", "anchor", F.lit(False).alias("repeated"))
+    salt = F.pmod(F.xxhash64("text_hash", "low"), F.lit(SALTS))
+    often = wholes.filter("times > 1").select("anchor", "whole", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("salt"))
+    again = dealt.withColumn("salt", salt).join(often, ["anchor", "whole", "salt"], "left_semi")
+    return some.unionByName(again.select("text_hash", "low", "high", "anchor", F.lit(True).alias("repeated")))
+
+
 def _pieces(texts: DataFrame, asked: DataFrame, width: int) -> DataFrame:
     """The bytes of the spans that are still to be judged."""
     lists = asked.groupBy("text_hash").agg(F.collect_list(F.struct("low", "high", "anchor")).alias("own"))  # bounded by a text's length
@@ -151,6 +188,7 @@ def repeated_starts(parts: list[bytes], width: int) -> np.ndarray:
 
 def _sorted(pieces: DataFrame, width: int) -> DataFrame:
     """Removed intervals [start, end) of the spans' texts, from sorted suffixes of shards of whole anchors."""
+    shard = SHARD
 
     def judged(rows: list[pa.Table]) -> Iterator[pa.RecordBatch]:
         table = pa.concat_tables(rows)
@@ -175,7 +213,7 @@ def _sorted(pieces: DataFrame, width: int) -> DataFrame:
             sizes = np.add.reduceat(np.array([len(x) for x in table.column("bytes").to_pylist()]), bounds[:-1]) if table.num_rows else []
             at = 0
             for i, s in enumerate(sizes):
-                if size and size + s > SHARD:
+                if size and size + s > shard:
                     held.append(table.slice(at, bounds[i] - at))
                     yield from judged(held)
                     held, size, at = [], 0, int(bounds[i])
@@ -217,8 +255,20 @@ def remove_repeats(docs: DataFrame, width: int = 200, doc_id: str = "doc_id", te
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row, and the bytes kept if asked."""
     docs = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     long = docs.filter(F.octet_length("text") >= width)
-    copied = materialize(long.groupBy("text_hash").agg(F.count("*").alias("n")).filter("n > 1").select("text_hash"), "copied")
-    judged = materialize(_judge(_deal(long.select("text_hash", "text"), width, k)), "judged")
+    second = F.xxhash64(F.lit(1), "text")
+    seen = materialize(long.groupBy("text_hash").agg(F.count("*").alias("n"), F.min(second).alias("low"), F.max(second).alias("high")).filter("n > 1"), "seen")
+    # Different texts with one hash, of which 2^64 hashes leave a handful among ten billion texts, go by their second hash.
+    if collided := [r.text_hash for r in seen.filter("low != high").select("text_hash").collect()]:
+        docs = docs.withColumn("text_hash", F.when(F.col("text_hash").isin(collided), second).otherwise(F.col("text_hash")))
+        long = docs.filter(F.octet_length("text") >= width)
+        seen = materialize(long.groupBy("text_hash").agg(F.count("*").alias("n")).filter("n > 1"), "seen")
+    copied = seen.select("text_hash")
+    dealt = materialize(_deal(long.select("text_hash", "text"), width, k), "dealt")
+    rows = dealt.filter("n is null").drop("n")
+    often = F.col("n") >= max(LOCAL, dealt.count() * COMMON / 2)
+    common = materialize(dealt.filter("n is not null").groupBy("anchor").agg(F.sum("n").alias("n")).filter(often).select("anchor"), "common")  # at most 2/COMMON
+    judged = materialize(_judge(rows.join(F.broadcast(common), "anchor", "left_anti")), "judged")
+    judged = judged.unionByName(materialize(_judge_common(rows.join(F.broadcast(common), "anchor", "left_semi")), "judged"))
     named = judged.select("text_hash").distinct()
     n = named.count()
     # The texts that have repeated anchors, once each, without the rest of the table.

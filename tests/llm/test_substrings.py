@@ -57,6 +57,25 @@ def test_joins_without_broadcast_and_small_shards(spark, monkeypatch):
     assert all(hashlib.sha256(bytes(r.kept)).hexdigest() == r.kept_sha256 for r in out)
 
 
+def test_common_anchors(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "COMMON", 0.0)
+    monkeypatch.setattr(substrings, "LOCAL", 2)
+    rng = random.Random(9)
+    line = "a common line of words that many documents hold, again and again, as it stands. "
+    rows = corpus(6) + [(2000 + i, line * rng.randrange(1, 5) + str(i) * rng.randrange(3) + line[rng.randrange(30) :]) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted((tuple(r) for r in substrings.remove_repeats(df, 60, k=20).collect()), key=str) == brute(rows, 60)
+
+
+def test_texts_with_one_hash_are_told_apart(spark, monkeypatch):
+    rows = corpus(7)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    own = substrings.F.xxhash64
+    few = lambda *c: own(*c) % 5 if [str(x) for x in c] == ["text"] else own(*c)
+    monkeypatch.setattr(substrings.F, "xxhash64", few)
+    assert sorted((tuple(r) for r in substrings.remove_repeats(df, 60, k=20).collect()), key=str) == brute(rows, 60)
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame(corpus(1), "doc_id long, text string")
     assert substrings.remove_repeats(df.filter(F.lit(False))).count() == 0
