@@ -13,8 +13,10 @@ documents of blocks are read again, each block's sets are joined exactly: agains
 one, then pairs of different groups inside the window of their distances to the pivot. Blocks too large for a task meet
 their pivot in many tasks, and what is linked to it and out of reach of the rest is done there.
 
-Equal sets are one class from the start, so copies, however many, cost a row each. Shingles and sets are known by 64-bit
-hashes. Defined results: null or empty texts have no shingles and are linked with nothing; documents of fewer words than
+Regions of more than ``REGION`` sets meet a pivot of the region in many tasks first, in the same way.
+
+Equal sets are one class from the start, so copies, however many, cost a row each. Shingles are known by 64-bit hashes, sets
+by 64 bits over theirs, or by a second number where two sets share the first. Defined results: null or empty texts have no shingles and are linked with nothing; documents of fewer words than
 ``k`` have their whole sequence as one shingle; a null id takes part but is never a component's id (unless all are null);
 repeated rows are linked; other columns are ignored; an empty table gives an empty table.
 """
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from benchloom.llm.common import free_names, materialize, mix, shingle_hashes, text_chunks, word_hashes
@@ -44,6 +46,12 @@ BLOCK = 48 << 20
 BROADCAST = 2_000_000
 #: Ratio of the largest to the smallest size of a band.
 BAND = 1.25
+#: Sets of a region that one task compares; those of larger ones meet a pivot of the region in many tasks first.
+REGION = 20_000
+#: Parts in which a large region or block meets its pivot.
+SALTS = 64
+#: Set apart second hashes of sets.
+SECOND = 0x5851F42D4C957F2D
 _FILTER = 20
 
 
@@ -59,31 +67,36 @@ def _sets(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
     return out
 
 
-def _class(s: np.ndarray) -> int:
-    """One number for a set, over all its shingles; 0: empty."""
+def _hash(s: np.ndarray, seed: int) -> int:
     with np.errstate(over="ignore"):
-        return int(mix(np.array([mix(s).sum() + np.uint64(len(s))], np.uint64)).view(np.int64)[0]) if len(s) else 0
+        return int(mix(np.array([mix(s + np.uint64(seed)).sum() + np.uint64(len(s))], np.uint64)).view(np.int64)[0]) if len(s) else 0
+
 
+def _class(s: np.ndarray, shared: frozenset = frozenset()) -> int:
+    """One number for a set, over all its shingles; 0: empty. ``shared``: numbers of several sets, which go by a second one."""
+    first = _hash(s, 0)
+    return _hash(s, SECOND) if first in shared else first
 
-def _profiles(docs: DataFrame, k: int) -> DataFrame:
-    """Rows of documents (kind 0: doc_id, n, cls) and of shingles common in part of a task (kind 1: n, cls the shingle)."""
+
+def _profiles(docs: DataFrame, k: int, shared: frozenset = frozenset()) -> DataFrame:
+    """Rows of documents (kind 0: doc_id, n, cls, second hash) and of shingles common in part of a task (kind 1: n, cls the shingle)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        names = ["kind", "doc_id", "n", "cls", "text_hash"]
+        names = ["kind", "doc_id", "n", "cls", "text_hash", "second"]
 
         def common(ids: pa.Array) -> pa.RecordBatch:
             values, n = np.unique(np.concatenate(held), return_counts=True)
             often = n >= max(3.0, size * COMMON)
             values, n = values[often], n[often].astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(n), np.int32)), pa.nulls(len(n), ids.type), pa.array(n), pa.array(values.view(np.int64)), pa.nulls(len(n), pa.int64())], names)
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(n), np.int32)), pa.nulls(len(n), ids.type), pa.array(n), pa.array(values.view(np.int64)), pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.int64())], names)
 
         ids = None
         for batch in batches:
             for rows, data, offsets in text_chunks(batch, "text"):
                 sets, ids = _sets(data, offsets, k), rows.column(0)
                 n = np.array([len(s) for s in sets], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), ids, pa.array(n), pa.array([_class(s) for s in sets], pa.int64()), rows.column(2)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), ids, pa.array(n), pa.array([_class(s, shared) for s in sets], pa.int64()), rows.column(2), pa.array([_hash(s, SECOND) for s in sets], pa.int64())], names)
                 held += sets
                 size += int(n.sum())
                 if size > 6_000_000:
@@ -92,10 +105,10 @@ def _profiles(docs: DataFrame, k: int) -> DataFrame:
         if size:
             yield common(ids)
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, f"kind int, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n bigint, cls bigint, text_hash bigint")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, f"kind int, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n bigint, cls bigint, text_hash bigint, second bigint")
 
 
-def _regions(docs: DataFrame, k: int, num: int, den: int, common: np.ndarray) -> DataFrame:
+def _regions(docs: DataFrame, k: int, num: int, den: int, common: np.ndarray, shared: frozenset = frozenset()) -> DataFrame:
     """One row per class: cls, n, text_hash (of one of its texts), prefix (its regions), signature."""
     table = np.zeros(1 << _FILTER, bool)
     table[(common & np.uint64((1 << _FILTER) - 1)).astype(np.int64)] = True
@@ -111,7 +124,7 @@ def _regions(docs: DataFrame, k: int, num: int, den: int, common: np.ndarray) ->
                 out: list[list] = [[], [], [], [], []]
                 for i, s in enumerate(_sets(data, offsets, k)):
                     n = len(s)
-                    cls = _class(s)
+                    cls = _class(s, shared)
                     if not n or cls in seen:
                         continue
                     seen.add(cls)
@@ -250,6 +263,65 @@ def _possible(rows: DataFrame, num: int, den: int) -> DataFrame:
     return rows.repartition(F.col("s")).sortWithinPartitions("s", "cls").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def _region_pivots(rows: DataFrame, big: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Regions of ``big`` (s, pivot: one of its classes): edges to the pivot, and the rows still to be compared.
+
+    Distances are those of signatures folded to the shortest, a metric. A set that may be linked with the pivot stays
+    only if a set that may not is within its reach (triangle inequality).
+    """
+    few = big.count() < 10_000
+    small = lambda df: F.broadcast(df) if few else df
+    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    pivots = rows.join(small(big), "s").filter("cls = pivot").select("s", "pivot", F.col("n").alias("pivot_n"), F.col("signature").alias("pivot_signature"), salt.alias("salt"))
+    own = rows.join(small(big.select("s")), "s", "left_semi").withColumn("salt", F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int"))
+    limits, names = size_limits(num, den), ["s", "cls", "n", "signature", "pivot", "d", "hit"]
+
+    def folded(signature: bytes, width: int) -> np.ndarray:
+        return np.minimum(np.frombuffer(signature, np.uint8).reshape(-1, width).sum(0, dtype=np.int64), 255)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            d, hit = [], []
+            for n, x, m, y in zip(*[batch.column(c).to_pylist() for c in ("n", "signature", "pivot_n", "pivot_signature")], strict=True):
+                width = BUCKETS[int(np.searchsorted(limits, min(n, m)))]
+                apart = int(np.abs(folded(x, width) - folded(y, width)).sum())
+                d.append(int(np.abs(folded(x, BUCKETS[0]) - folded(y, BUCKETS[0])).sum()))
+                hit.append(num * n <= den * m and num * m <= den * n and (den + num) * apart <= (den - num) * (n + m))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names[:5]], pa.array(d, pa.int64()), pa.array(hit, pa.bool_())], names)
+
+    met = materialize(own.join(pivots, ["s", "salt"]).mapInArrow(run, "s bigint, cls bigint, n bigint, signature binary, pivot bigint, d bigint, hit boolean"), "regions")
+    edges = met.filter("hit and cls != pivot").select(F.col("cls").alias("a"), F.col("pivot").alias("b"))
+    left = met.filter("not hit").groupBy("s").agg(F.min("d").alias("nearest"))
+    reach = F.col("n") * ((den - num) / num) + 1  # of a link to a set of at most n * den / num
+    rest = met.join(small(left), "s").filter(~F.col("hit") | (F.col("d") + reach >= F.col("nearest"))).select("s", "cls", "n", "signature", "hit")
+    return edges, rest
+
+
+def _possible_all(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """_possible of rows (s, cls, n, signature, sets), where ``sets`` counts a region's rows; large regions meet pivots first."""
+    small = rows.filter(F.col("sets") <= REGION).select("s", "cls", "n", "signature")
+    large = rows.filter(F.col("sets") > REGION).select("s", "cls", "n", "signature", F.lit(False).alias("hit"))
+    size = large.count()
+    edges = []
+    while size:
+        large = materialize(large, "large")
+        # A pivot is a set that no pivot of the region met; a region without one is done with.
+        big = large.groupBy("s").agg(F.count("*").alias("sets"), F.min(F.when(~F.col("hit"), F.col("cls"))).alias("pivot")).filter("pivot is not null")
+        big = materialize(big, "big")
+        small = small.unionByName(large.join(big.filter(F.col("sets") <= REGION), "s", "left_semi").drop("hit"))
+        found, large = _region_pivots(large.drop("hit"), big.filter(F.col("sets") > REGION).select("s", "pivot"), num, den)
+        edges.append(found)
+        before, size = size, large.count()
+        if size > 0.95 * before:
+            # Pivots no longer part what is left: it goes to tasks by region, as small ones do.
+            small = small.unionByName(large.drop("hit"))
+            break
+    out = _possible(small, num, den)
+    for e in edges:
+        out = out.unionByName(e)
+    return out
+
+
 def _shared(x: np.ndarray, y: np.ndarray) -> int:
     at = np.searchsorted(y, x)
     at[at == len(y)] = len(y) - 1
@@ -342,7 +414,7 @@ def _exact(rows: DataFrame, num: int, den: int) -> DataFrame:
     return rows.select("part", "cls", "shingles").repartition(F.col("part")).sortWithinPartitions("part", "cls").mapInArrow(run, "a bigint, b bigint")
 
 
-def _meet_pivots(rows: DataFrame, big: DataFrame, num: int, den: int, salts: int = 64) -> tuple[DataFrame, DataFrame]:
+def _meet_pivots(rows: DataFrame, big: DataFrame, num: int, den: int, salts: int = SALTS) -> tuple[DataFrame, DataFrame]:
     """Blocks of ``big`` (block, pivot: its smallest class): links with the pivot, and the rows still to be joined.
 
     The pivot's set goes to ``salts`` parts of its block. Rows linked to it and farther than a link from every unlinked row
@@ -374,25 +446,38 @@ def _meet_pivots(rows: DataFrame, big: DataFrame, num: int, den: int, salts: int
 def link_groups(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, text_hash, n and root of every row: rows with shingles are connected by links just if their roots are equal."""
     docs = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    profiles = materialize(_profiles(docs, k), "profiles")
-    own = profiles.filter("kind = 0").select("doc_id", "n", "cls", "text_hash")
+    shared: frozenset = frozenset()
+    while True:
+        profiles = materialize(_profiles(docs, k, shared), "profiles")
+        own = profiles.filter("kind = 0").select("doc_id", "n", "cls", "text_hash", "second")
+        # Different sets with one number: a handful among ten billion.
+        twice = own.groupBy("cls").agg(F.min("second").alias("low"), F.max("second").alias("high")).filter("low != high").select("cls").collect()
+        if not twice or shared:
+            break
+        shared = frozenset(r.cls for r in twice)
+    own = own.drop("second")
     total = own.agg(F.sum("n")).first()[0] or 0
     common = profiles.filter("kind = 1").groupBy("cls").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(4.0, total * COMMON / 2)).select("cls").toArrow()  # at most 2/COMMON
-    regions = materialize(_regions(docs, k, num, den, np.sort(common.column("cls").to_numpy().view(np.uint64))), "regions")
+    regions = materialize(_regions(docs, k, num, den, np.sort(common.column("cls").to_numpy().view(np.uint64)), shared), "regions")
     spread = regions.select("cls", F.explode("prefix").alias("s"))
-    several = spread.withColumn("sets", F.count("*").over(Window.partitionBy("s"))).filter("sets > 1").select("s", "cls")
-    edges = materialize(_possible(several.join(regions.select("cls", "n", "signature"), "cls"), num, den), "possible")
+    sizes = spread.groupBy("s").agg(F.count("*").alias("sets")).filter("sets > 1")
+    several = spread.join(sizes, "s").select("s", "cls", "sets")
+    edges = materialize(_possible_all(several.join(regions.select("cls", "n", "signature"), "cls"), num, den), "possible")
     blocks = components(edges).select(F.col("node").alias("cls"), F.col("root").alias("block"))
     wanted = materialize(regions.select("cls", "text_hash").join(blocks, "cls"), "wanted")
     links = []
     if size := wanted.count():
         hashes = wanted.select("text_hash")
         again = docs.withColumn("text_hash", F.xxhash64("text")).join(F.broadcast(hashes) if size <= BROADCAST else hashes, "text_hash", "left_semi").select("text")
-        sets = materialize(_sets_of(again, k).dropDuplicates(["cls"]).join(wanted.select("cls", "block"), "cls").select("block", "cls", "shingles"), "sets")
-        for _ in range(4):
-            big = materialize(sets.groupBy("block").agg(F.min("cls").alias("pivot"), F.sum(F.octet_length("shingles")).alias("n")).filter(F.col("n") > BLOCK).select("block", F.when(F.col("block") == F.col("pivot"), F.col("pivot")).otherwise(F.col("block")).alias("pivot")), "big")
-            if not big.count():
-                break
+        sets = materialize(_sets_of(again, k, shared).dropDuplicates(["cls"]).join(wanted.select("cls", "block"), "cls").select("block", "cls", "shingles"), "sets")
+        before = None
+        while True:
+            big = materialize(sets.groupBy("block").agg(F.min("cls").alias("pivot"), F.sum(F.octet_length("shingles")).alias("n")).filter(F.col("n") > BLOCK).select("block", "n", F.when(F.col("block") == F.col("pivot"), F.col("pivot")).otherwise(F.col("block")).alias("pivot")), "big")
+            left = big.agg(F.sum("n")).first()[0]
+            if not left or before and left > 0.95 * before:
+                break  # no large block, or pivots no longer part them
+            before = left
+            big = big.select("block", "pivot")
             small = sets.join(big.select("block"), "block", "left_anti")
             found, rest = _meet_pivots(sets, big, num, den)
             links.append(found)
@@ -410,7 +495,7 @@ def link_groups(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, doc_
 def link_components(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row: the smallest doc_id reachable by links, Jaccard of at least num/den."""
     rows = link_groups(docs, k, num, den, doc_id, text)
-    smallest = rows.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    smallest = materialize(rows.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id")), "smallest")
     return rows.join(smallest, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
@@ -418,7 +503,7 @@ def deduplicate(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, doc_
     """``docs`` with one row of each group, that of its smallest doc_id (nulls last), then text hash; rows without words stay."""
     rows = materialize(link_groups(docs, k, num, den, doc_id, text).filter("n > 0"), "groups")
     own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    keepers = rows.groupBy("root").agg(F.min(own).alias("best"), F.count("*").alias("rows")).filter("rows > 1")
+    keepers = materialize(rows.groupBy("root").agg(F.min(own).alias("best"), F.count("*").alias("rows")).filter("rows > 1"), "keepers")
     known = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_hash") == F.col("best.text_hash"))
     pairs = rows.join(keepers, "root").withColumn("stays", known)
     marks = materialize(pairs.groupBy("doc_id", "text_hash").agg(F.max("stays").alias("stays"), F.count("*").alias("times")).filter("not stays or times > 1"), "marks")
@@ -437,14 +522,14 @@ def deduplicate(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, doc_
     return out
 
 
-def _sets_of(texts: DataFrame, k: int) -> DataFrame:
+def _sets_of(texts: DataFrame, k: int, shared: frozenset = frozenset()) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             for _, data, offsets in text_chunks(batch, "text"):
                 cls, sets = [], []
                 for s in _sets(data, offsets, k):
-                    c = _class(s)
+                    c = _class(s, shared)
                     if len(s) and c not in seen:
                         seen.add(c)
                         cls.append(c)

@@ -80,6 +80,21 @@ def test_large_blocks_and_regions(spark, monkeypatch):
     assert got == brute(rows, 3, 90, 100)
 
 
+@pytest.mark.parametrize("region", [2, 5, 30])
+def test_large_regions_meet_pivots(spark, monkeypatch, region):
+    monkeypatch.setattr(jaccard, "REGION", region)
+    monkeypatch.setattr(jaccard, "SALTS", 3)
+    rows = corpus(13)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted((tuple(r) for r in jaccard.link_components(df, 3, 80, 100).collect()), key=str) == brute(rows, 3, 80, 100)
+
+
+def test_sets_with_one_number_are_told_apart():
+    a, b = np.array([1, 2, 3], np.uint64), np.array([4, 5], np.uint64)
+    shared = frozenset([jaccard._class(a)])
+    assert jaccard._class(a, shared) == jaccard._hash(a, jaccard.SECOND) != jaccard._class(a) and jaccard._class(b, shared) == jaccard._class(b)
+
+
 def test_signature_windows_lose_nothing():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 30, (40, 32))
