@@ -9,7 +9,10 @@ sent to all scoring tasks; the others are looked up exactly, grams by their buck
 change the work but no score. Words are known by 64-bit hashes of their bytes, A-Z lower-cased (equal hashes of different
 words: about V²/2^65 pairs).
 
-Defined results: a null or empty text has its end token alone and a score of 0 (no bytes); a null id counts as the text
+A text ends after each of its bytes, and before the first, with one probability, that of the training texts' ends among their
+bytes and ends (by Laplace's rule): scores of all texts are the logarithms of probabilities that sum to 1.
+
+Defined results: a null or empty text has its end token alone and the score of its end; a null id counts as the text
 ''; repeated rows count as often as they appear and each get their score; without training rows the byte model is uniform
 over 256 bytes and all words are unknown; other columns are ignored.
 """
@@ -30,8 +33,6 @@ from benchloom.llm.common import materialize, text_chunks, word_hashes
 WORD = 100
 #: Grams of held-out texts while counting.
 ASKED = -1
-#: Added to an order: how often its contexts occur.
-WHOLE = 200
 #: Orders up to this one are sent to all tasks.
 LOW = 2
 #: Trie nodes and bytes of training text for each bucket of grams.
@@ -127,7 +128,7 @@ def gram_logs(counts: DataFrame, order: int, n_bytes: int, buckets: int, share:
             return
         kinds, keys, ns = (np.concatenate([p[i] for p in parts]) for i in range(3))
         learned = ns > 0
-        model = ppm.Model.build([*sent.value, *[_table(kinds[learned], keys[learned], ns[learned], k) for k in range(LOW + 1, order + 1)]], n_bytes, {k: _table(kinds, keys, ns, WHOLE + k) for k in range(LOW + 2, order + 1)})
+        model = ppm.Model.build([*sent.value, *[_table(kinds[learned], keys[learned], ns[learned], k) for k in range(LOW + 1, order + 1)]])
         grams, n = _table(kinds, keys, ns, order)
         logs = model.log_probability(grams)
         hot = (n > 0) & (n >= share * n_bytes)
@@ -140,10 +141,8 @@ def gram_logs(counts: DataFrame, order: int, n_bytes: int, buckets: int, share:
                 ["bucket", "n_keys", "keys", "logs", "hot", "hot_logs"],
             )
 
-    # A node of orders above LOW is also a context of the next order, how often it occurs belongs to that context's bucket.
-    wholes = counts.filter((F.col("kind") > LOW) & (F.col("kind") < order)).select((F.col("kind") + WHOLE + 1).alias("kind"), "key", "n", _bucket_column(F.shiftleft("key", 8), buckets).alias("bucket"))
     rows = counts.filter(((F.col("kind") > LOW) & (F.col("kind") < WORD)) | (F.col("kind") == order)).select("kind", "key", "n", _bucket_column(F.col("key"), buckets).alias("bucket"))
-    return rows.unionByName(wholes).repartitionById(buckets, "bucket").mapInArrow(run, "bucket int, n_keys bigint, keys binary, logs binary, hot array<bigint>, hot_logs array<double>")
+    return rows.repartitionById(buckets, "bucket").mapInArrow(run, "bucket int, n_keys bigint, keys binary, logs binary, hot array<bigint>, hot_logs array<double>")
 
 
 def _table(kinds: np.ndarray, keys: np.ndarray, ns: np.ndarray, kind: int) -> tuple[np.ndarray, np.ndarray]:
@@ -199,6 +198,8 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: in
     n_bytes = sums[0].n if 0 in sums else 0
     n_words, n_distinct = (sums[WORD].n, sums[WORD].distinct) if WORD in sums else (0, 0)
     total, vocabulary = n_words + n_docs, n_distinct + (n_docs > 0)
+    ends = (n_docs + 1) / (n_bytes + n_docs + 2)
+    log_end, log_on = float(np.log10(ends)), float(np.log10(1 - ends))
     # At most 1/share grams and 1/word_share words.
     buckets = int(max(LEAST_BUCKETS, -(-sum(r.distinct for k, r in sums.items() if LOW < k < WORD) // BUCKET_NODES), -(-n_bytes // BUCKET_BYTES)))
     logs, grams, gram_log = None, np.zeros(0, np.int64), np.zeros(0)
@@ -228,6 +229,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: in
                 rare = np.flatnonzero(~known)
                 rare_at = np.searchsorted(rare, before)
                 own, asked = _known(data, offsets, rows.column(3).to_numpy(), order, grams, gram_log, buckets) if n_bytes else (-np.diff(offsets) * np.log10(256), [])
+                own = own + np.diff(offsets) * log_on + log_end
                 yield pa.RecordBatch.from_arrays(
                     [rows.column(0), rows.column(2), rows.column(3), pa.array(np.diff(before) + 1), pa.array(n_known.astype(np.int64)), pa.array(sums), pa.array(own), pa.ListArray.from_arrays(pa.array(rare_at, pa.int32()), pa.array(words[rare])), *(pa.nulls(len(rows), t) for t in asked_types)],
                     names,

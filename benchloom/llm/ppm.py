@@ -2,10 +2,10 @@
 
 Contexts have up to ``order`` bytes; a text is preceded by ``order`` zero bytes, so every byte has a full context and the
 counts of shorter contexts are sums of those of longer ones. A model may hold a part of the nodes, contexts and the bytes
-after them: what it lacks adds to its context's escape. It is exact for a gram if it has all nodes of the gram's contexts.
+after them; it is exact for a gram if it has all nodes of the gram's contexts.
 
-At a byte, the longest kept context predicts it with (n - 1/2)/n(c), n its count, n(c) the context's, or escapes with the
-rest: half the number of the context's bytes, its pruned counts, and how often it ended a text (method D). Shorter contexts leave out the bytes that the longer one
+At a byte, the longest known context predicts it with (n - 1/2)/n(c), n its count, n(c) the sum of the context's, or escapes
+with the rest, half the number of the context's bytes (method D). Shorter contexts leave out the bytes that the longer one
 had; below order 0 stands a uniform distribution over the bytes left. The probabilities of the 256 bytes sum to 1.
 """
 
@@ -60,37 +60,25 @@ class Model:
     log_uniform: float
 
     @staticmethod
-    def build(tables: list[tuple[np.ndarray, np.ndarray]], total: int, wholes: dict[int, tuple[np.ndarray, np.ndarray]] | None = None) -> "Model":
-        """From the kept (keys, counts) of orders 0 and up, keys sorted, and the number of bytes.
-
-        ``wholes`` has by order how often its contexts occur, where the table of the order below lacks them.
-        """
+    def build(tables: list[tuple[np.ndarray, np.ndarray]]) -> "Model":
+        """From the (keys, counts) of orders 0 and up, keys sorted."""
         parts = []
         for k, (keys, n) in enumerate(tables):
             n = n.astype(np.float64)
-            contexts, first = np.unique(keys >> _BYTE, return_index=True)
-            if k == 0:
-                contexts, first, whole = np.zeros(1, np.int64), np.zeros(1, np.int64), np.array([float(total)])
-            else:
-                below_keys, below_n = (wholes or {}).get(k, tables[k - 1])
-                at = np.minimum(np.searchsorted(below_keys, contexts), max(len(below_keys) - 1, 0))
-                whole = np.where(below_keys[at] == contexts, below_n[at], 0).astype(np.float64) if len(below_keys) else np.zeros(len(contexts))
-            kept = np.add.reduceat(n, first) if len(n) else np.zeros(len(contexts))
-            distinct = np.diff(np.append(first, len(keys))).astype(np.float64)
-            parts.append((keys, n, contexts, first, np.maximum(whole, kept), kept, distinct))
+            contexts, first = np.unique(keys >> _BYTE, return_index=True) if k else (np.zeros(1, np.int64), np.zeros(1, np.int64))
+            whole = np.add.reduceat(n, first) if len(n) else np.zeros(len(contexts))
+            parts.append((keys, n, contexts, first, whole, np.diff(np.append(first, len(keys))).astype(np.float64)))
         levels = []
-        for k, (keys, n, contexts, first, whole, kept, distinct) in enumerate(parts):
+        for k, (keys, n, contexts, first, whole, distinct) in enumerate(parts):
             below, below_escape = np.zeros(len(contexts)), np.zeros(len(contexts))
             if k and len(keys):
-                lower_keys, lower_n, lower_contexts, _, lower_whole, lower_kept, lower_distinct = parts[k - 1]
+                lower_keys, lower_n, lower_contexts, _, lower_whole, lower_distinct = parts[k - 1]
                 excluded = np.add.reduceat(lower_n[np.searchsorted(lower_keys, keys & mask(k))], first)
                 at = np.searchsorted(lower_contexts, contexts & mask(k - 1))
-                left = lower_distinct[at] - distinct
-                below = lower_whole[at] - excluded
-                below_escape = left / 2 + lower_whole[at] - lower_kept[at]
+                below, below_escape = lower_whole[at] - excluded, (lower_distinct[at] - distinct) / 2
                 stuck = below <= 0
                 below, below_escape = np.where(stuck, 1.0, below), np.where(stuck, 1.0, below_escape)
-            levels.append(Level(keys, _log(n - 0.5), contexts, _log(whole), _log(distinct / 2 + whole - kept), _log(below), _log(below_escape)))
+            levels.append(Level(keys, _log(n - 0.5), contexts, _log(whole), _log(distinct / 2), _log(below), _log(below_escape)))
         used = len(tables[0][0])
         return Model(levels, -float(np.log(max(1, 256 - used))))
 

@@ -35,21 +35,19 @@ def brute_ppm(training, texts, order):
                 seen = {b: n for b, n in trie.get(s[i - k : i], {}).items() if b not in out_of}
                 if s[i - k : i] not in trie or not trie[s[i - k : i]]:
                     continue
-                c = s[i - k : i]
-                if not seen and trie[c[:-1]][c[-1]] <= sum(trie[c].values()) * (k > 0):
+                if not seen:
                     continue
-                whole = max(sum(trie[c].values()), trie[c[:-1]][c[-1]] if k else 0)
-                ends = whole - sum(trie[c].values())
-                n = sum(seen.values()) + ends
+                n = sum(seen.values())
                 if s[i] in seen:
                     p *= (seen[s[i]] - 0.5) / n
                     break
-                p *= (len(seen) / 2 + ends) / n
+                p *= len(seen) / 2 / n
                 out_of |= set(seen)
             else:
                 p /= 256 - len(out_of)
             total += math.log10(p)
-        out.append(total)
+        end = (len(training) + 1) / (sum(map(len, training)) + len(training) + 2)
+        out.append(total + len(t) * math.log10(1 - end) + math.log10(end))
     return out
 
 
@@ -85,7 +83,7 @@ def test_probabilities_sum_to_one(share):
         m = np.bincount(at, n).astype(int)
         keep = (m >= share * len(data)) | (k < 2)
         tables.append((keys[keep], m[keep]))
-    model = ppm.Model.build(tables, len(data))
+    model = ppm.Model.build(tables)
     for g in [*u[:: len(u) // 30], 0, 0xFFFFFFFFFF]:
         context = (int(g) >> 8) << 8
         assert np.exp(model.log_probability(context | np.arange(256))).sum() == pytest.approx(1)
@@ -100,7 +98,7 @@ def test_longer_contexts_predict_held_out_rows_better(spark):
 def test_without_training_rows(spark):
     df = spark.createDataFrame([(i, "ab") for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2], "doc_id long, text string")
     r = lm.score(df).first()
-    assert (r.n_known, r.train_tokens) == (0, 0) and r.score == pytest.approx(-2 * math.log10(256))
+    assert (r.n_known, r.train_tokens) == (0, 0) and r.score == pytest.approx(-2 * math.log10(256) + 3 * math.log10(0.5))
     assert lm.score(df.filter(F.lit(False))).count() == 0
 
 
