@@ -2,13 +2,14 @@
 
 Equal vectors are indexed once, with the smallest ``k + 1`` of their ids (more can never be among a query's ``k`` nearest), so
 a group of copies neither breaks a graph nor fills a task. Vectors are dealt to shards by hash; a shard has at most about
-``shard_rows`` vectors. Its graph is built in one task and written as flat neighbour arrays. Queries are cut into blocks by
+``shard_rows`` vectors and ``shard_bytes`` of them, whatever their length. Its graph is built in one task and written as flat neighbour arrays. Queries are cut into blocks by
 hash; each pair of shard and block is searched by a task of its own. Found vectors are scored in double precision on the
 original vectors. Rows per query and shard are bounded, and ranks are partial before they are shuffled.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part, nor do rows with null
 ids; vectors of different lengths are not compared; repeated rows of one id count once; other columns are ignored; a query
-with fewer candidates returns them all as far as its graphs reach them (shards of up to ``exact_rows`` are scanned whole).
+with fewer candidates returns them all: a graph has no fewer neighbours than these. Different vectors under one id are asked
+and found each, and the id counts with the best of them.
 """
 
 from __future__ import annotations
@@ -49,7 +50,7 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding", ef: int = 200, m: int = 16, shard_rows: int = 50_000, min_shards: int = 6, exact_rows: int = 512) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding", ef: int = 200, m: int = 16, shard_rows: int = 50_000, min_shards: int = 6, shard_bytes: int = 64 << 20) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the ``k`` nearest found of every row for which ``is_query``, by inner product."""
     rows = vectors.select(F.col(f"`{vec_id}`").alias("vec_id"), F.col(f"`{vector}`").cast("array<double>").alias("v"), is_query.alias("asks")).filter(F.col("vec_id").isNotNull()).filter(usable(F.col("v")))
     rows = rows.withColumn("key", F.xxhash64("v")).withColumn("dim", F.size("v"))
@@ -58,28 +59,28 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, vec_id: str = "ve
     ids = materialize(ids.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k + 1).select("key", "vec_id"), "ids")
     asks = materialize(rows.filter("asks").select("key", "vec_id").distinct(), "asks")
     points = materialize(rows.select("key", "dim", "v").dropDuplicates(["key"]), "points")
-    n = points.count()
-    shards = max(min_shards, math.ceil(n / shard_rows)) if n > exact_rows else 1
-    found = materialize(_search(_index(points, shards, m, exact_rows), points.join(asks.select("key").distinct(), "key", "left_semi"), shards, k + 1, ef), "found")
+    size = points.agg(F.count("*").alias("n"), F.sum("dim").alias("cells")).first()
+    # A cell takes eight bytes as it is and four in the graph, a node some neighbours.
+    shards = max(min_shards, math.ceil(size.n / shard_rows), math.ceil((12 * (size.cells or 0) + 16 * m * size.n) / shard_bytes))
+    found = materialize(_search(_index(points, shards, m), points.join(asks.select("key").distinct(), "key", "left_semi"), shards, k + 1, ef), "found")
     # Of each distinct query the k + 1 best ids, its own possibly among them.
     best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     merged = found.join(ids, "key").select("query", "vec_id", "score").withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k + 1).drop("place")
     answers = asks.select(F.col("key").alias("query"), F.col("vec_id").alias("query_id")).join(merged, "query").filter("query_id != vec_id")
+    answers = answers.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return answers.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _index(points: DataFrame, shards: int, m: int, exact_rows: int) -> DataFrame:
-    """dim, shard, index: keys, vectors, and (beyond ``exact_rows`` vectors) the rows of nodes and the neighbour arrays."""
+def _index(points: DataFrame, shards: int, m: int) -> DataFrame:
+    """dim, shard, index: keys, vectors, the rows of nodes and the neighbour arrays."""
 
     def build(key: tuple, table: pa.Table) -> pa.Table:
         keys, v = table.column("key").to_numpy(), _matrix(table.column("v"))
         order = np.argsort(keys)  # the same graph whatever order rows arrive in
         keys, v = keys[order], v[order]
-        parts = [keys, v]
-        if len(keys) > exact_rows:
-            graph, row = hnsw.build(v, m)
-            parts += [row, graph.vectors, *graph.layers]
+        graph, row = hnsw.build(v, m)
+        parts = [keys, v, row, graph.vectors, *graph.layers]
         return pa.table({"dim": pa.array([key[0].as_py()], pa.int32()), "shard": pa.array([key[1].as_py()], pa.int32()), "index": pa.array([_pack(*parts)], pa.large_binary()).cast(pa.binary())})
 
     dealt = points.withColumn("shard", F.pmod(F.hash("key"), F.lit(shards)).cast("int"))
@@ -95,15 +96,14 @@ def _search(index: DataFrame, queries: DataFrame, shards: int, k: int, ef: int)
     def run(graphs: pa.Table, asked: pa.Table) -> pa.Table:
         out: list[list[np.ndarray]] = [[], [], []]
         if graphs.num_rows and asked.num_rows:
-            keys, v, *rest = _unpack(graphs.column("index")[0].as_py())
-            graph = hnsw.Graph(rest[1], rest[2:]) if rest else None
+            keys, v, row, nodes, *layers = _unpack(graphs.column("index")[0].as_py())
+            graph = hnsw.Graph(nodes, layers)
             q_keys, q = asked.column("key").to_numpy(), _matrix(asked.column("v"))
             for at in range(0, len(q), hnsw.BATCH):
                 part = q[at : at + hnsw.BATCH]
-                ids = hnsw.search(graph, part, ef, ef) if graph else np.broadcast_to(np.arange(len(keys)), (len(part), len(keys)))
+                ids = hnsw.search(graph, part, ef, ef)
                 for i in range(len(part)):
-                    own = ids[i][ids[i] >= 0]
-                    own = rest[0][own] if graph else own
+                    own = row[ids[i][ids[i] >= 0]]
                     scores = v[own] @ part[i]
                     if len(scores) > k:
                         keep = scores >= np.partition(scores, -k)[-k]

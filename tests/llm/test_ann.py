@@ -50,6 +50,27 @@ def test_recall_of_graphs_on_lengths_that_differ(spark):
     assert len({r[:1] + r[2:3] for r in got} & {r[:1] + r[2:3] for r in want}) >= 0.95 * len(want)
 
 
+def test_graphs_of_few_hundred_vectors(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(400, 16)).astype(np.float32))]
+    for shards in (1, 2):
+        got, want = run(spark, rows, 10, 10, min_shards=shards), brute(rows, 10, 10)
+        assert len(got) == len(want) and len({r[:1] + r[2:3] for r in got} & {r[:1] + r[2:3] for r in want}) >= 0.95 * len(want)
+
+
+def test_long_vectors_get_more_shards(spark, monkeypatch):
+    seen = []
+    index = ann._index
+    monkeypatch.setattr(ann, "_index", lambda points, shards, m: seen.append(shards) or index(points, shards, m))
+    rows = [(i, v.tolist()) for i, v in enumerate(np.random.default_rng(5).normal(size=(200, 100)).astype(np.float32))]
+    assert len(run(spark, rows, 5, 20, shard_bytes=30_000)) == 50 and seen == [10]
+
+
+def test_several_vectors_under_one_id(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 1.0]), (1, [5.0, 0.0]), (2, [0.0, 1.0]), (0, [0.0, 2.0])]
+    assert [(q, c, s) for q, _, c, s in run(spark, rows)] == [(0, 1, 5.0), (0, 2, 2.0)]
+
+
 def test_query_recall(spark):
     d = "/root/testdata/sf0.1"
     got = queries.op6_ann(spark, d).collect()
