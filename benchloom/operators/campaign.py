@@ -110,7 +110,8 @@ class Session:
             rows = stats.in_windows(samples, windows, by, "__t", "__lo", "__hi")
             loc = stats.location(rows, ["step_id"], "__y")
             if m.stat == "slope":
-                line = stats.slope(rows, ["step_id"], "__t", "__y", "__lo").select("step_id", F.col("slope").alias("value"), F.col("slope_se").alias("u"))
+                se = stats.robust(rows, ["step_id"], "__t", "__y", "__lo", "__hi").select("step_id", F.col("slope_se_eff").alias("u"))
+                line = stats.slope(rows, ["step_id"], "__t", "__y", "__lo").select("step_id", F.col("slope").alias("value")).join(se, "step_id", "left")
             elif m.stat == "two_point":
                 line = stats.two_point(rows, ["step_id"], "__t", "__y", "__lo", "__hi", "__row").select("step_id", F.col("two_point").alias("value"), F.lit(None).cast("double").alias("u"))
             else:

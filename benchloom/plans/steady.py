@@ -5,35 +5,42 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from benchloom.operators import stationary, stats
-from benchloom.plans.steps import INSIDE, STEPS, inside, step_table
+from benchloom.plans.steps import INSIDE, ROBUST_SQL, inside
 from benchloom.registry import query
 
-_Z = 2.241402727604945
-_LINE = f"(SELECT *, sqrt(greatest(syy - m * sxy, 0) / (n - 2)) / sqrt(sxx) AS se FROM (SELECT *, sxy / sxx AS m FROM (SELECT step_id, count(value) AS n, regr_sxx(value, t - s0) AS sxx, regr_syy(value, t - s0) AS syy, regr_sxy(value, t - s0) AS sxy FROM {INSIDE} GROUP BY 1) WHERE sxx > 0 AND n > 2))"
+_Z95 = 1.6448536269514722
 
 
-@query("window_stationary", f"""SELECT step_id, CASE WHEN n1 >= 3 AND n2 >= 3 THEN m2 - m1 END AS halves_diff, abs(m) <= {_Z} * se AND coalesce(CASE WHEN n1 >= 3 AND n2 >= 3 THEN abs(m2 - m1) <= {_Z} * sqrt(v1 / n1 + v2 / n2) END, true) AS stationary FROM
-  (SELECT i.step_id, any_value(m) AS m, any_value(se) AS se, count(value) FILTER (WHERE a) AS n1, count(value) FILTER (WHERE NOT a) AS n2, avg(value) FILTER (WHERE a) AS m1, avg(value) FILTER (WHERE NOT a) AS m2, var_samp(value) FILTER (WHERE a) AS v1, var_samp(value) FILTER (WHERE NOT a) AS v2
-   FROM (SELECT *, t <= (s0 + s1) / 2 AS a FROM {INSIDE}) i JOIN {_LINE} l ON i.step_id = l.step_id GROUP BY 1)""")
+@query("window_stationary", f"SELECT step_id, halves_diff, stationary FROM ({ROBUST_SQL})")
 def window_stationary(spark, d):
-    rows = inside(spark, d)
-    line = stats.slope(rows, ["step_id"], "t", "value", "s0").filter("slope_se is not null").select("step_id", "slope", "slope_se")
-    return stationary.stationary(rows.join(line, "step_id"), ["step_id"], "t", "value", "s0", "s1", "slope", "slope_se")
+    return stats.robust(inside(spark, d), ["step_id"], "t", "value", "s0", "s1").select("step_id", "halves_diff", "stationary")
 
 
-@query("window_equivalence", f"SELECT l.step_id, m * w - 1.6448536269514722 * se * w >= -30 AND m * w + 1.6448536269514722 * se * w <= 30 AS equivalent FROM {_LINE} l JOIN (SELECT step_id, s1 - s0 AS w FROM {STEPS}) s USING (step_id)")
+@query("window_equivalence", f"SELECT step_id, slope - {_Z95} * se > -2e-4 AND slope + {_Z95} * se < 2e-4 AS equivalent FROM (SELECT step_id, slope_se_eff_e6 / 1e6 AS se, m AS slope FROM ({ROBUST_SQL}) JOIN (SELECT step_id, regr_slope(value, t - s0) AS m FROM {INSIDE} GROUP BY 1) USING (step_id))")
 def window_equivalence(spark, d):
     rows = inside(spark, d)
-    line = stats.slope(rows, ["step_id"], "t", "value", "s0").filter("slope_se is not null")
-    w = step_table(spark, d).select("step_id", (F.col("s1") - F.col("s0")).alias("w"))
-    return line.join(w, "step_id").select("step_id", stationary.equivalent(F.col("slope"), F.col("slope_se"), F.col("w"), 30.0).alias("equivalent"))
+    line = stats.slope(rows, ["step_id"], "t", "value", "s0").select("step_id", "slope")
+    both = stats.robust(rows, ["step_id"], "t", "value", "s0", "s1").select("step_id", "slope_se_eff").join(line, "step_id")
+    return both.select("step_id", stationary.equivalent(F.col("slope"), F.col("slope_se_eff"), 2e-4).alias("equivalent"))
+
+
+_CHECKED = f"(SELECT step_id, count(*) FILTER (WHERE value <= 100) AS n, count(*) FILTER (WHERE value > 100) AS x, any_value(s1 - s0) AS window_s, stddev_samp(value) FILTER (WHERE value <= 100) AS sd FROM {INSIDE} GROUP BY 1)"
+
+
+@query("window_counts", f"SELECT step_id, n, x AS n_excluded, 0 AS n_missing, window_s FROM {_CHECKED}")
+def window_counts(spark, d):
+    rows = inside(spark, d).withColumn("out", F.col("value") > 100)
+    return stats.counts(rows, ["step_id"], "value", "s0", "s1", "out")
 
 
-@query("window_checks", f"SELECT step_id, list_filter([CASE WHEN n < 5 THEN 'warn: only ' || n || ' values' END, CASE WHEN x > 0 THEN 'warn: ' || x || ' values left out' END], lambda c: c IS NOT NULL) AS checks, CASE WHEN n < 5 OR x > 0 THEN 'warn' ELSE 'ok' END AS level FROM (SELECT step_id, count(*) AS n, count(*) FILTER (WHERE value > 100) AS x FROM {INSIDE} GROUP BY 1)")
+@query("window_checks", f"SELECT step_id, list_filter([CASE WHEN n = 0 THEN 'no data in the window' END, CASE WHEN n BETWEEN 1 AND 4 THEN 'only ' || n || ' points (min 5)' END, CASE WHEN x > 0 THEN x || ' points excluded by flags' END, CASE WHEN n > 0 AND sd = 0 THEN 'constant values in the window (quantized or frozen?)' END], lambda c: c IS NOT NULL) AS checks, CASE WHEN n < 5 THEN 'fail' WHEN x > 0 OR n > 0 AND sd = 0 THEN 'warn' ELSE 'ok' END AS level, CASE WHEN n > 2 THEN 6 ELSE 5 END AS n_assumptions FROM {_CHECKED}")
 def window_checks(spark, d):
-    rows = inside(spark, d).groupBy("step_id").agg(F.count("*").alias("n"), F.count_if(F.col("value") > 100).alias("x"))
-    c = stationary.checks(F.col("n"), F.lit(1.0), F.col("x"), F.lit(0.0))
-    return rows.withColumn("checks", c).select("step_id", "checks", stationary.level(F.col("checks")).alias("level"))
+    rows = inside(spark, d).withColumn("out", F.col("value") > 100)
+    sd = rows.filter("not out").groupBy("step_id").agg(F.stddev_samp("value").alias("sd"))
+    table = stats.counts(rows, ["step_id"], "value", "s0", "s1", "out").join(sd, "step_id", "left")
+    table = table.withColumn("c", stationary.checks(F.col("n"), F.lit(1.0), F.col("n_excluded"), F.col("n_missing"), F.col("sd")))
+    why = stationary.assumptions(["spike"], None, 0.0, F.col("n") > 2)
+    return table.select("step_id", F.transform("c", lambda x: x["text"]).alias("checks"), stationary.level(F.col("c")).alias("level"), F.size(why).alias("n_assumptions"))
 
 
 @query("cross_correlation")

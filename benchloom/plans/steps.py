@@ -107,22 +107,43 @@ def window_slope(spark, d):
     return s.select("step_id", (F.col("slope") * 1e6).alias("slope_e6"), (F.col("slope_se") * 1e6).alias("slope_se_e6"), F.round("intercept", 3).alias("intercept"), F.round("r2", 5).alias("r2"))
 
 
-@query("window_integral", f"""SELECT step_id, round(sum((ya + yb) / 2 * (b - a)), 1) AS integral, round(sum(b - a), 3) AS covered_s FROM (SELECT *, y0 + (y1 - y0) * (a - t0) / (t1 - t0) AS ya, y0 + (y1 - y0) * (b - t0) / (t1 - t0) AS yb FROM
-  (SELECT w.step_id, l.*, greatest(t0, w.lo) AS a, least(t1, w.hi) AS b FROM (SELECT user_id, t AS t0, value AS y0, lead(t) OVER p AS t1, lead(value) OVER p AS y1 FROM {SAMPLES} WINDOW p AS (PARTITION BY user_id ORDER BY row)) l
-   JOIN (SELECT user_id, step_id, s0 + 600 AS lo, s1 - 600 AS hi FROM {STEPS} WHERE s1 - s0 > 1200) w ON l.user_id = w.user_id AND t1 > t0 AND t1 > lo AND t0 < hi)) GROUP BY 1""")
+_AUTO = f"""SELECT step_id, rho1, CASE WHEN rho1 > 0 THEN greatest(n * (1 - rho1) / (1 + rho1), 1) ELSE n END::DOUBLE AS n_eff, sd / sqrt(CASE WHEN rho1 > 0 THEN greatest(n * (1 - rho1) / (1 + rho1), 1) ELSE n END) AS sem_eff FROM
+  (SELECT step_id, count(*) AS n, CASE WHEN count(*) > 2 AND sum(c * c) > 0 THEN sum(c * p) / sum(c * c) END AS rho1, stddev_samp(value) AS sd FROM (SELECT *, lag(c) OVER (PARTITION BY step_id ORDER BY row) AS p FROM (SELECT *, value - avg(value) OVER (PARTITION BY step_id) AS c FROM {INSIDE})) GROUP BY 1)"""
+_LINKS = f"(SELECT user_id, t AS t0, value AS y0, lead(t) OVER p AS t1, lead(value) OVER p AS y1 FROM {SAMPLES} WINDOW p AS (PARTITION BY user_id ORDER BY row))"
+_INNER = f"(SELECT user_id, step_id, s0 + 600 AS lo, s1 - 600 AS hi FROM {STEPS} WHERE s1 - s0 > 1200)"
+_AREA = f"""(SELECT step_id, sum((ya + yb) / 2 * (b - a)) AS integral, sum(b - a) AS covered FROM (SELECT *, y0 + (y1 - y0) * (a - t0) / (t1 - t0) AS ya, y0 + (y1 - y0) * (b - t0) / (t1 - t0) AS yb FROM
+  (SELECT w.step_id, l.*, greatest(t0, w.lo) AS a, least(t1, w.hi) AS b FROM {_LINKS} l JOIN {_INNER} w ON l.user_id = w.user_id AND t1 > t0 AND t1 > lo AND t0 < hi)) GROUP BY 1)"""
+
+
+@query("window_integral", f"SELECT w.step_id, round(coalesce(integral, 0), 1) AS integral, round(coalesce(covered, 0), 3) AS covered_s, coalesce(covered, 0) / (hi - lo) AS coverage, round(hi - lo - coalesce(covered, 0), 3) + 0.0 AS integral_gap_s, sem_eff * coalesce(covered, 0) / 1e6 AS integral_u_e6 FROM {_INNER} w LEFT JOIN {_AREA} USING (step_id) LEFT JOIN (SELECT * FROM ({_AUTO})) USING (step_id)")
 def window_integral(spark, d):
     w = step_table(spark, d).filter("s1 - s0 > 1200").select("user_id", "step_id", (F.col("s0") + 600).alias("lo"), (F.col("s1") - 600).alias("hi"))
     out = stats.integral(samples(spark, d), w, ["user_id"], ["step_id"], "t", "value", "lo", "hi", "row")
-    return out.select("step_id", F.round("integral", 1).alias("integral"), F.round("covered_s", 3).alias("covered_s"))
+    auto = stats.autocorrelation(inside(spark, d), ["step_id"], "value", "row").select("step_id", "sem_eff")
+    return out.join(auto, "step_id", "left").select("step_id", F.round("integral", 1).alias("integral"), F.round("covered_s", 3).alias("covered_s"), "coverage", (F.round("integral_gap_s", 3) + F.lit(0.0)).alias("integral_gap_s"), (F.col("sem_eff") * F.col("covered_s") / 1e6).alias("integral_u_e6"))
+
 
+_ENDS = f"(SELECT step_id, arg_min(value, (abs(t - s1), row)) - arg_min(value, (abs(t - s0), row)) AS dy, arg_min(t, (abs(t - s1), row)) - arg_min(t, (abs(t - s0), row)) AS dt, greatest(min(abs(t - s0)), min(abs(t - s1))) AS off FROM {INSIDE} GROUP BY 1)"
 
-@query("window_two_point", f"SELECT step_id, arg_min(value, (abs(t - s1), row)) - arg_min(value, (abs(t - s0), row)) AS two_point, arg_min(t, (abs(t - s1), row)) - arg_min(t, (abs(t - s0), row)) AS two_point_dt FROM {INSIDE} GROUP BY 1")
+
+@query("window_two_point", f"SELECT step_id, dy / dt * 1e6 AS two_point_e6, sqrt(2 * 0.25 / (dt * dt) + pow(dy / (dt * dt), 2) * 2 * 4) * 1e6 AS two_point_u_e6, dt AS two_point_dt, CASE WHEN dt IS NOT NULL THEN off END AS two_point_offset_s FROM (SELECT step_id, dy, off, CASE WHEN dt > 0 THEN dt END AS dt FROM {_ENDS})")
 def window_two_point(spark, d):
-    return stats.two_point(inside(spark, d), ["step_id"], "t", "value", "s0", "s1", "row")
+    out = stats.two_point(inside(spark, d), ["step_id"], "t", "value", "s0", "s1", "row", reading_u=0.5, clock_u=2.0)
+    return out.select("step_id", (F.col("two_point") * 1e6).alias("two_point_e6"), (F.col("two_point_u") * 1e6).alias("two_point_u_e6"), "two_point_dt", "two_point_offset_s")
+
 
+_NEAR = "FILTER (WHERE abs(t - {e}) <= 90000)"
 
-@query("window_autocorr", f"""SELECT step_id, rho1, CASE WHEN rho1 > 0 THEN greatest(n * (1 - rho1) / (1 + rho1), 1) ELSE n END::DOUBLE AS n_eff, sd / sqrt(CASE WHEN rho1 > 0 THEN greatest(n * (1 - rho1) / (1 + rho1), 1) ELSE n END) AS sem_eff FROM
-  (SELECT step_id, count(*) AS n, CASE WHEN count(*) > 2 AND sum(c * c) > 0 THEN sum(c * p) / sum(c * c) END AS rho1, stddev_samp(value) AS sd FROM (SELECT *, lag(c) OVER (PARTITION BY step_id ORDER BY row) AS p FROM (SELECT *, value - avg(value) OVER (PARTITION BY step_id) AS c FROM {INSIDE})) GROUP BY 1)""")
+
+@query("window_two_point_median", f"""SELECT step_id, CASE WHEN dt > 0 THEN dy / dt * 1e6 END AS two_point_e6, CASE WHEN dt > 0 THEN sqrt((ua * ua + ub * ub) / (dt * dt)) * 1e6 END AS two_point_u_e6 FROM (SELECT step_id, median(value) {_NEAR.format(e='s1')} - median(value) {_NEAR.format(e='s0')} AS dy, avg(t - s0) {_NEAR.format(e='s1')} - avg(t - s0) {_NEAR.format(e='s0')} AS dt,
+  coalesce(1.2533 * stddev_samp(value) {_NEAR.format(e='s0')} / sqrt(count(*) {_NEAR.format(e='s0')}), 0) AS ua, coalesce(1.2533 * stddev_samp(value) {_NEAR.format(e='s1')} / sqrt(count(*) {_NEAR.format(e='s1')}), 0) AS ub FROM {INSIDE} GROUP BY 1)""")
+def window_two_point_median(spark, d):
+    rows = inside(spark, d).select("step_id", "row", (F.col("t") - F.col("s0")).alias("x"), "value", F.lit(0.0).alias("lo"), (F.col("s1") - F.col("s0")).alias("hi"))
+    out = stats.two_point(rows, ["step_id"], "x", "value", "lo", "hi", "row", half_width=90000.0)
+    return out.select("step_id", (F.col("two_point") * 1e6).alias("two_point_e6"), (F.col("two_point_u") * 1e6).alias("two_point_u_e6"))
+
+
+@query("window_autocorr", _AUTO)
 def window_autocorr(spark, d):
     return stats.autocorrelation(inside(spark, d), ["step_id"], "value", "row")
 
@@ -134,25 +155,32 @@ def window_durbin_watson(spark, d):
     return out.filter("durbin_watson is not null").select("step_id", F.round("durbin_watson", 5).alias("durbin_watson"))
 
 
-_PAIRS = f"(SELECT a.step_id, (b.value - a.value) / (b.t - a.t) AS s FROM {INSIDE} a JOIN {INSIDE} b ON a.step_id = b.step_id AND a.row < b.row AND a.t <> b.t)"
-_ROBUST = f"""WITH i AS MATERIALIZED (SELECT *, t - s0 AS x, row_number() OVER (PARTITION BY step_id ORDER BY t, row) AS place FROM {INSIDE}),
-g AS (SELECT step_id, count(*) AS n, avg(x) AS mx, avg(value) AS my, max(x) > min(x) AS spread, avg(value) FILTER (WHERE x > (s1 - s0) / 2) - avg(value) FILTER (WHERE x <= (s1 - s0) / 2) AS halves, least(count(*) FILTER (WHERE x <= (s1 - s0) / 2), count(*) FILTER (WHERE x > (s1 - s0) / 2)) AS fewer FROM i GROUP BY 1),
-k AS (SELECT step_id, sum(c * (c - 1) * (2 * c + 5)) AS ties FROM (SELECT step_id, x, count(*) AS c FROM i GROUP BY 1, 2) GROUP BY 1),
-p AS (SELECT step_id, median(s) AS m, list_sort(list(s)) AS all_s, count(*) AS l FROM {_PAIRS} GROUP BY 1),
-h AS (SELECT p.step_id, m, all_s, l, {NormalDist().inv_cdf(0.975)!r} * sqrt((n * (n - 1) * (2 * n + 5) - ties) / 18) * l / (n * (n - 1) / 2) AS half FROM p JOIN g USING (step_id) JOIN k USING (step_id)),
-c AS (SELECT i.step_id, median(value - m * x) AS b FROM i JOIN h USING (step_id) GROUP BY 1),
-l AS (SELECT i.step_id, sum((x - mx) * value) / sum((x - mx) * (x - mx)) AS m, sum((x - mx) * (x - mx)) AS sxx FROM i JOIN g USING (step_id) WHERE spread GROUP BY 1),
-e AS (SELECT i.step_id, place, n, sxx, floor(4 * pow(n / 100, 2 / 9)) AS lags, (x - mx) * (value - my - m * (x - mx)) AS e FROM i JOIN g USING (step_id) JOIN l USING (step_id) WHERE n > 2),
-w AS (SELECT a.step_id, any_value(a.n) AS n, any_value(a.sxx) AS sxx, sum(CASE WHEN a.place = b.place THEN a.e * a.e ELSE 2 * (1 - (b.place - a.place) / (a.lags + 1)) * a.e * b.e END) AS total FROM e a JOIN e b ON a.step_id = b.step_id AND b.place - a.place BETWEEN 0 AND a.lags GROUP BY 1)
-SELECT g.step_id, sqrt(greatest(total, 0) * w.n / (w.n - 2)) / sxx * 1e6 AS slope_se_hac_e6, h.m * 1e6 AS slope_theil_sen_e6, b AS intercept_theil_sen, all_s[CAST(floor(greatest((h.l - half) / 2, 0)) AS BIGINT) + 1] * 1e6 AS ts_ci_low_e6, all_s[CAST(floor(least((h.l + half) / 2, h.l - 1)) AS BIGINT) + 1] * 1e6 AS ts_ci_high_e6, CASE WHEN fewer >= 3 THEN halves END AS halves_diff
-FROM g LEFT JOIN h USING (step_id) LEFT JOIN c USING (step_id) LEFT JOIN w USING (step_id)"""
-
-
-@query("window_robust", _ROBUST)
+_WIDE = "CASE WHEN {r} > 0 AND {r} < 1 THEN (1 + {r}) / (1 - {r}) ELSE 1 END"
+_LAG1 = "CASE WHEN count(*) > 2 AND sum({d} * {d}) > 0 THEN sum({d} * p) / sum({d} * {d}) END"
+_PAIRS = "(SELECT a.step_id, (b.value - a.value) / (b.x - a.x) AS s FROM i a JOIN i b ON a.step_id = b.step_id AND a.place < b.place AND a.x <> b.x)"
+#: Every window by the definitions of stats.robust, sums written out.
+ROBUST_SQL = f"""WITH i AS MATERIALIZED (SELECT *, t - s0 AS x, row_number() OVER (PARTITION BY step_id ORDER BY t, row) AS place, count(*) OVER (PARTITION BY step_id) AS n FROM {INSIDE}),
+g AS (SELECT step_id, any_value(n) AS n, avg(x) AS mx, avg(value) AS my, regr_slope(value, x) AS m, regr_sxx(value, x) AS sxx FROM i GROUP BY 1),
+e AS MATERIALIZED (SELECT i.step_id, place, g.n, sxx, m, x - mx AS c, value - my - m * (x - mx) AS e, lag(value - my - m * (x - mx)) OVER (PARTITION BY i.step_id ORDER BY place) AS p, floor(4 * pow(g.n / 100, 2 / 9)) AS lags FROM i JOIN g USING (step_id) WHERE sxx > 0 AND g.n > 2),
+l AS (SELECT step_id, any_value(m) AS m, sqrt(sum(e * e) / (any_value(n) - 2) / any_value(sxx)) AS se, {_LAG1.format(d='e')} AS rho, CASE WHEN sum(e * e) > 0 THEN sum((e - p) * (e - p)) / sum(e * e) END AS durbin_watson FROM e GROUP BY 1),
+w AS (SELECT a.step_id, sqrt(greatest(sum(CASE WHEN a.place = b.place THEN 1 ELSE 2 * (1 - (b.place - a.place) / (a.lags + 1)) END * a.e * a.c * b.e * b.c), 0) * any_value(a.n) / (any_value(a.n) - 2)) / any_value(a.sxx) AS hac FROM e a JOIN e b ON a.step_id = b.step_id AND b.place - a.place BETWEEN 0 AND a.lags GROUP BY 1),
+p AS (SELECT step_id, median(s) AS b, list_sort(list(s)) AS ranked, count(*) AS pairs FROM {_PAIRS} GROUP BY 1),
+r AS (SELECT i.step_id, place, value - b * x AS left_, median(value - b * x) OVER (PARTITION BY i.step_id) AS mid FROM i JOIN p USING (step_id) WHERE n > 2),
+q AS (SELECT step_id, any_value(mid) AS mid, {_LAG1.format(d='d')} AS rho FROM (SELECT *, left_ - mid AS d, lag(left_ - mid) OVER (PARTITION BY step_id ORDER BY place) AS p FROM r) GROUP BY 1),
+k AS (SELECT step_id, sum(c * (c - 1) * (2 * c + 5)) AS ties FROM (SELECT step_id, count(*) AS c FROM i GROUP BY step_id, x UNION ALL SELECT step_id, count(*) FROM i GROUP BY step_id, value) GROUP BY 1),
+h AS (SELECT q.step_id, b, mid, ranked, pairs, {NormalDist().inv_cdf(0.975)!r} * sqrt((n * (n - 1) * (2 * n + 5) - ties) / 18 * {_WIDE.format(r='coalesce(rho, 0)')}) AS half FROM q JOIN p USING (step_id) JOIN g USING (step_id) JOIN k USING (step_id)),
+f AS (SELECT step_id, late, count(*) AS n, avg(value) AS mean, var_samp(value) AS v, {_LAG1.format(d='d')} AS rho FROM (SELECT *, lag(d) OVER (PARTITION BY step_id, late ORDER BY place) AS p FROM (SELECT *, value - avg(value) OVER (PARTITION BY step_id, late) AS d FROM (SELECT *, x >= (s1 - s0) / 2 AS late FROM i))) GROUP BY 1, 2),
+b AS (SELECT y.step_id, z.mean - y.mean AS diff, sqrt(y.v / greatest(y.n / {_WIDE.format(r='coalesce(y.rho, 0)')}, 1) + z.v / greatest(z.n / {_WIDE.format(r='coalesce(z.rho, 0)')}, 1)) AS u FROM f y JOIN f z ON y.step_id = z.step_id AND NOT y.late AND z.late AND y.n > 2 AND z.n > 2),
+o AS (SELECT g.step_id, hac, se * sqrt({_WIDE.format(r='coalesce(l.rho, 0)')}) AS ar1, greatest(hac, se * sqrt({_WIDE.format(r='coalesce(l.rho, 0)')})) AS eff, durbin_watson, l.m, h.b AS ts, mid, ranked[CAST(greatest(round_even((pairs - half) / 2, 0) - 1, 0) AS BIGINT) + 1] AS lo, ranked[CAST(least(round_even((pairs + half) / 2, 0), pairs - 1) AS BIGINT) + 1] AS hi, diff, u FROM g LEFT JOIN l USING (step_id) LEFT JOIN w USING (step_id) LEFT JOIN h USING (step_id) LEFT JOIN b USING (step_id))
+SELECT step_id, hac * 1e6 AS slope_se_hac_e6, ar1 * 1e6 AS slope_se_ar1_e6, eff * 1e6 AS slope_se_eff_e6, durbin_watson, ts * 1e6 AS slope_theil_sen_e6, mid AS intercept_theil_sen, lo * 1e6 AS ts_ci_low_e6, hi * 1e6 AS ts_ci_high_e6, diff AS halves_diff,
+  CASE WHEN eff IS NULL AND diff IS NULL THEN NULL ELSE coalesce(abs(m) <= {NormalDist().inv_cdf(0.9875)!r} * eff, true) AND coalesce(abs(diff) <= {NormalDist().inv_cdf(0.9875)!r} * u, true) END AS stationary FROM o"""
+
+
+@query("window_robust", ROBUST_SQL)
 def window_robust(spark, d):
     out = stats.robust(inside(spark, d), ["step_id"], "t", "value", "s0", "s1")
-    scaled = [(F.col(c) * 1e6).alias(f"{c}_e6") for c in ("slope_se_hac", "slope_theil_sen", "ts_ci_low", "ts_ci_high")]
-    return out.select("step_id", *scaled, "intercept_theil_sen", "halves_diff")
+    scaled = [(F.col(c) * 1e6).alias(f"{c}_e6") for c in ("slope_se_hac", "slope_se_ar1", "slope_se_eff", "slope_theil_sen", "ts_ci_low", "ts_ci_high")]
+    return out.select("step_id", *scaled, "durbin_watson", "intercept_theil_sen", "halves_diff", "stationary")
 
 
 @query("nearest_reference", f"""WITH s AS (SELECT *, amount > 60 AS is_ref FROM {STEPS}), x AS (SELECT a.step_id, a.row,

@@ -64,12 +64,14 @@ DOUBLES: dict[str, str] = {
     "until_next_window": "until",
     "window_autocorr": "rho1 n_eff sem_eff",
     "window_durbin_watson": "durbin_watson",
-    "window_integral": "integral covered_s",
+    "window_counts": "window_s",
+    "window_integral": "integral covered_s coverage integral_gap_s integral_u_e6:5",
     "window_location": "mean median sd sem min max q05 q95",
-    "window_robust": "slope_se_hac_e6:3 slope_theil_sen_e6:4 intercept_theil_sen ts_ci_low_e6:4 ts_ci_high_e6:4 halves_diff",
+    "window_robust": "slope_se_hac_e6:3 slope_se_ar1_e6:3 slope_se_eff_e6:3 durbin_watson:5 slope_theil_sen_e6:4 intercept_theil_sen ts_ci_low_e6:4 ts_ci_high_e6:4 halves_diff",
     "window_rule": "low high",
     "window_slope": "slope_e6 slope_se_e6 intercept r2",
     "window_stationary": "halves_diff",
-    "window_two_point": "two_point two_point_dt",
+    "window_two_point": "two_point_e6:3 two_point_u_e6:3 two_point_dt two_point_offset_s",
+    "window_two_point_median": "two_point_e6:3 two_point_u_e6:3",
     "xy_view": "x y",
 }
