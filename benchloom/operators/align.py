@@ -121,6 +121,15 @@ def min_max_columns(rec: Recording, channel: str, start_us: int, width_us: int)
     return df.groupBy(*rec.source, "pixel").agg(F.min(finite).alias("low"), F.max(finite).alias("high"), F.max(broken).alias("has_break"))
 
 
+def clipped(rec: Recording, start_us: int, end_us: int) -> DataFrame:
+    """The rows of a span and one on either side, so that lines go on to the edges of a plot."""
+    low = F.max(F.when(F.col(rec.time) < start_us, F.col(rec.row)))
+    high = F.min(F.when(F.col(rec.time) > end_us, F.col(rec.row)))
+    near = rec.df.groupBy(*rec.source).agg(low.alias("__low"), high.alias("__high"))
+    inside = F.col(rec.time).between(start_us, end_us) | (F.col(rec.row) == F.col("__low")) | (F.col(rec.row) == F.col("__high"))
+    return rec.df.join(near, list(rec.source)).filter(inside).drop("__low", "__high")
+
+
 def value_at(rec: Recording, at: DataFrame, channel: str, time: str = "at_us") -> DataFrame:
     """The last value of a channel at or before each asked time."""
     right = rec.df.filter(F.col(channel).isNotNull()).select(*rec.source, F.col(rec.time).alias(time), channel, rec.row)

@@ -26,6 +26,27 @@ def crossing_range(df: DataFrame, by: list[str], x: str, y: str, u: str, level:
     return out.select(*by, "n", "x_cross", F.least("__a", "__b").alias("x_low"), F.greatest("__a", "__b").alias("x_high"))
 
 
+def crossing_text(df: DataFrame, by: list[str], x: str, y: str, level: float, unit: str = "") -> DataFrame:
+    """by, text: the crossing in whole numbers (half to even), or on which side of the curve it lies (``> 350``), – for none."""
+    good = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(y))
+    ends = good.groupBy(*by).agg(F.min_by(y, F.struct(x, y)).alias("a"), F.max_by(y, F.struct(x, y)).alias("b"), F.min(y).alias("low"), F.max(y).alias("high"), F.min(x).alias("first"), F.max(x).alias("last"))
+    c = F.col
+    before = F.when(c("b") >= c("a"), ~(c("high") < level) & (c("low") >= level)).otherwise(~(c("low") > level) & (c("high") <= level))
+    whole = lambda v: F.concat(F.format_string("%.0f", F.bround(v)), F.lit(f" {unit}" if unit else ""))
+    met = df.select(*by).distinct().join(crossing(df, by, x, F.col(y), level).drop("n"), by, "left").join(ends, by, "left")
+    text = F.when(c("x_cross").isNotNull(), whole(c("x_cross"))).when(c("first").isNull(), "–").when(before, F.concat(F.lit("< "), whole(c("first")))).otherwise(F.concat(F.lit("> "), whole(c("last"))))
+    return met.select(*by, text.alias("text"))
+
+
+def derived_quantities(fit: DataFrame, by: list[str], formulas: dict[str, str], constants: dict[str, float] | None = None) -> DataFrame:
+    """by, and for each formula over m, b and constants its value and u, from a line's u_m and u_b."""
+    from benchloom.operators import evaluate
+
+    inputs = {n: evaluate.Input(F.col(n), F.col(f"u_{n}")) for n in ("m", "b")} | {n: evaluate.Input(F.lit(float(v)), None) for n, v in (constants or {}).items()}
+    out = evaluate.calculate(fit.select(*by, "m", "u_m", "b", "u_b"), formulas, inputs)
+    return out.select(*by, *[x for n in formulas for x in (n, f"u_{n}")])
+
+
 def fit_line(df: DataFrame, by: list[str], x: str, y: str, u_x: str, u_y: str, iterations: int = 5) -> DataFrame:
     """n, m, u_m, b, u_b, chi2_red, birge: effective variance u_y² + (m u_x)², each round five weighted sums.
 
@@ -61,6 +82,30 @@ def covariance(df: DataFrame, key: str, gradients: dict[str, str], random: dict[
     return df.select(F.col(key), *scope, own.alias("own"), *[c[n].alias(f"c_{n}") for n in systematic])
 
 
+def crossing_systematic(df: DataFrame, by: list[str], x: str, y: str, u: str, u_syst: str, level: float) -> DataFrame:
+    """crossing_range by the whole uncertainty, and x_low_syst, x_high_syst by its systematic part alone."""
+    both = crossing_range(df, by, x, y, u, level)
+    part = crossing_range(df, by, x, y, u_syst, level).select(*by, F.col("x_low").alias("x_low_syst"), F.col("x_high").alias("x_high_syst"))
+    return both.join(part, by, "left")
+
+
+def monte_carlo_line(df: DataFrame, by: list[str], key: str, x: str, y: str, u_x: str, u_y: str, draws: int = 200, seed: int = 42) -> DataFrame:
+    """m_mean, m_sd, b_mean, b_sd of lines through points that vary by their uncertainties, weighted as the line through all (one round).
+
+    Draws are functions of seed, draw and key; each task sums its points' products by draw before anything is shuffled.
+    """
+    good = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y) & (F.col(u_y) > 0)).select(*by, F.col(key).alias("k"), F.col(x).alias("x"), F.col(y).alias("y"), F.col(u_x).alias("ux"), F.col(u_y).alias("uy"))
+    slope = good.groupBy(*by).agg(F.regr_slope("y", "x").alias("m"))
+    good = good.join(slope, by).withColumn("w", 1 / (F.col("uy") ** 2 + (F.coalesce("m", F.lit(0.0)) * F.col("ux")) ** 2))
+    drawn = good.withColumn("d", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    drawn = drawn.withColumn("xs", F.col("x") + F.col("ux") * normal_draw(F.concat(F.lit("x"), F.col("k").cast("string")), F.col("d"), seed)).withColumn("ys", F.col("y") + F.col("uy") * normal_draw(F.concat(F.lit("y"), F.col("k").cast("string")), F.col("d"), seed))
+    c = F.col
+    s = drawn.groupBy(*by, "d").agg(F.sum("w").alias("w"), F.sum(c("w") * c("xs")).alias("wx"), F.sum(c("w") * c("ys")).alias("wy"), F.sum(c("w") * c("xs") ** 2).alias("wxx"), F.sum(c("w") * c("xs") * c("ys")).alias("wxy"))
+    det = c("w") * c("wxx") - c("wx") ** 2
+    s = s.withColumn("det", F.when(det > 0, det)).withColumn("m", (c("w") * c("wxy") - c("wx") * c("wy")) / c("det")).withColumn("b", (c("wxx") * c("wy") - c("wx") * c("wxy")) / c("det"))
+    return s.groupBy(*by).agg(F.avg("m").alias("m_mean"), F.stddev_samp("m").alias("m_sd"), F.avg("b").alias("b_mean"), F.stddev_samp("b").alias("b_sd"))
+
+
 def fit_line_gls(df: DataFrame, by: list[str], x: str, y: str, own_x: str, own_y: str, factors_x: list[str], factors_y: list[str], iterations: int = 5) -> DataFrame:
     """n, m, u_m, b, u_b, chi2_red, birge: a straight line by group with the full covariance of cov_y + m² cov_x.
 

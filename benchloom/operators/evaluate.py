@@ -18,11 +18,31 @@ class Input:
     """A quantity with uncertainty: value, standard uncertainty, kind (random or systematic) and the group it shares."""
 
     value: Column
-    u: Column
+    u: Column | None
     kind: str = "random"
     group: str | None = None
 
 
+@dataclass(frozen=True)
+class Own:
+    """A calculation's own uncertainty, a formula whose value counts; it is shared like that of an input of this kind and group."""
+
+    formula: str
+    kind: str = "random"
+    group: str | None = None
+
+
+def merged_inputs(*parts: Mapping[str, tuple[float, float, str, str | None]]) -> dict[str, Input]:
+    """Constants (value, u, kind, group) of several places as inputs; one name with different ones raises, u of 0 is no uncertainty."""
+    out: dict[str, tuple] = {}
+    for part in parts:
+        for name, given in part.items():
+            full = (*given, *(0.0, "systematic", None)[len(given) - 1 :])
+            if out.setdefault(name, full) != full:
+                raise ValueError(f"input {name!r} is given as {out[name]} and as {full}")
+    return {n: Input(F.lit(float(v)), F.lit(float(u)) if u > 0 else None, kind, group) for n, (v, u, kind, group) in out.items()}
+
+
 @dataclass
 class Budget:
     """A calculated quantity: its formula over inputs, and for each input the derivative by it."""
@@ -37,7 +57,7 @@ def differentiate(text: str, known: Mapping[str, Budget], inputs: Mapping[str, I
     full = formula.substitute(node, {name: b.node for name, b in known.items()})
     gradients = {}
     for name in formula.names(full):
-        if name in inputs and (g := formula.derivative(full, name)) != Num(0.0):
+        if name in inputs and inputs[name].u is not None and (g := formula.derivative(full, name)) != Num(0.0):
             gradients[name] = g
     return Budget(full, gradients)
 
@@ -55,21 +75,30 @@ def _root(parts: list[Column]) -> Column:
     return F.sqrt(reduce(lambda a, b: a + b, parts)) if parts else F.lit(0.0)
 
 
-def calculate(df: DataFrame, calculations: Mapping[str, str], inputs: Mapping[str, Input]) -> DataFrame:
+def calculate(df: DataFrame, calculations: Mapping[str, str], inputs: Mapping[str, Input], own: Mapping[str, Own] | None = None) -> DataFrame:
     """Adds for each calculation: name, u_name, u_name_random, u_name_systematic and b_name__input (contributions).
 
     First-order propagation: random parts add in squares; systematic ones add up inside a group, in squares between.
-    Derivatives are taken of the formulas, so all of it is a few projections.
+    Derivatives are taken of the formulas, so all of it is a few projections. A calculation's ``own`` uncertainty is one more
+    input (b_name__own_name), which later calculations inherit; a negative one raises when it is computed.
     """
-    own = df.columns
-    df = df.select("*", *[i.value.cast("double").alias(f"__x_{n}") for n, i in inputs.items()], *[i.u.cast("double").alias(f"__u_{n}") for n, i in inputs.items()])
+    columns = df.columns
+    own = own or {}
+    inputs = {**inputs, **{f"own_{n}": Input(F.lit(0.0), F.lit(0.0), o.kind, o.group) for n, o in own.items()}}
+    uncertain = {n: i for n, i in inputs.items() if i.u is not None}
+    df = df.select("*", *[i.value.cast("double").alias(f"__x_{n}") for n, i in inputs.items()], *[i.u.cast("double").alias(f"__u_{n}") for n, i in uncertain.items()])
     env = {n: F.col(f"__x_{n}") for n in inputs}
-    held = {n: Input(env[n], F.col(f"__u_{n}"), i.kind, i.group) for n, i in inputs.items()}
+    held = {n: Input(env[n], F.col(f"__u_{n}") if n in uncertain else None, i.kind, i.group) for n, i in inputs.items()}
     known: dict[str, Budget] = {}
     values: list[Column] = []
     results: list[Column] = []
     for name, text in calculations.items():
         budget = differentiate(text, known, inputs)
+        if name in own:
+            u = formula.to_column(formula.substitute(formula.parse(own[name].formula, set(known) | set(inputs)), {n: b.node for n, b in known.items()}), env)
+            u = F.when(u < 0, F.raise_error(F.lit(f"calculation {name!r}: its own uncertainty {own[name].formula!r} is negative")).cast("double")).otherwise(u)
+            held[f"own_{name}"] = Input(env[f"own_{name}"], u, own[name].kind, own[name].group)
+            budget = Budget(formula.Op("+", (budget.node, formula.Var(f"own_{name}"))), {**budget.gradients, f"own_{name}": Num(1.0)})
         parts = contributions(budget, held, env)
         values += [formula.to_column(budget.node, env).alias(name), *[c.alias(f"b_{name}__{n}") for n, c in parts.items()]]
         column = {n: F.col(f"b_{name}__{n}") for n in parts}
@@ -83,7 +112,7 @@ def calculate(df: DataFrame, calculations: Mapping[str, str], inputs: Mapping[st
         results += [F.col(name), F.sqrt(u_random**2 + u_systematic**2).alias(f"u_{name}"), u_random.alias(f"u_{name}_random"), u_systematic.alias(f"u_{name}_systematic"), *column.values()]
         known[name] = budget
     # Values and contributions are columns before their squares are summed, so that no formula is written out twice.
-    return df.select(*own, *values).select(*own, *results)
+    return df.select(*columns, *values).select(*columns, *results)
 
 
 def criteria(df: DataFrame, tests: Mapping[str, str]) -> DataFrame:
@@ -131,3 +160,29 @@ def shares(df: DataFrame, name: str) -> DataFrame:
     keep = [c for c in df.columns if not c.startswith("b_")]
     rows = F.array(*[F.struct(F.lit(c.split("__", 1)[1]).alias("input"), F.when(total > 0, F.col(c) ** 2 / F.when(total > 0, total)).alias("share")) for c in parts])
     return df.select(*keep, F.explode(rows).alias("p")).select(*keep, "p.*")
+
+
+def measure_u(stat: str, sem_eff: Column, slope_se_eff: Column, two_point_u: Column, integral_u: Column, reading_u: float = 0.0) -> Column:
+    """The standard uncertainty of a measure: what does not average out is added to a mean, counts have none, others are unknown."""
+    none = F.lit(None).cast("double")
+    return {"mean": F.sqrt(sem_eff**2 + reading_u**2), "slope": slope_se_eff, "two_point": two_point_u, "integral": integral_u, "covered_s": F.lit(0.0), "n": F.lit(0.0)}.get(stat, none)
+
+
+def unknown_names(calculations: Mapping[str, str], tests: Mapping[str, str], classes: Mapping[str, str], names: set[str]) -> list[str]:
+    """Problems of an evaluation as a whole: formulas that name what is not there (yet), names that are taken twice."""
+    out, known = [], set(names)
+    for what, formulas in (("calculation", calculations), ("criterion", tests)):
+        for name, text in formulas.items():
+            try:
+                formula.parse(text, known)
+            except formula.FormulaError as e:
+                out.append(f"{what} {name}: {str(e).splitlines()[0]}")
+            if name in known:
+                out.append(f"{what} {name}: the name is taken")
+            known.add(name)
+    for name, text in classes.items():
+        try:
+            formula.parse(text, known)
+        except formula.FormulaError as e:
+            out.append(f"class {name}: {str(e).splitlines()[0]}")
+    return out

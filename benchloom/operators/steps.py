@@ -5,10 +5,10 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StructField, StructType
+from pyspark.sql.types import BooleanType
 
 from benchloom.functions import formula, ieee
-from benchloom.operators.grouped import map_groups
+from benchloom.operators.grouped import add_by_group
 from benchloom.operators.recording import BEFORE, SO_FAR
 
 
@@ -132,21 +132,15 @@ def changed(df: DataFrame, by: list[str], time: str, column: str, tolerance: flo
 
     The accepted value depends on all before it, so each group is read in order; groups are those of ``by``.
     """
-    rest = [f for f in df.schema.fields if f.name not in by]
-    schema = StructType([*[df.schema[c] for c in by], *rest, StructField("changed", BooleanType())])
-
-    def scan(rows: dict) -> dict:
+    def scan(rows: dict) -> list[bool]:
         held, out = None, []
         for v in rows[column].tolist():
-            if v is None or v != v:
-                out.append(False)
-                continue
-            moved = held is None or abs(v - held) > tolerance * max(abs(v), abs(held))
+            moved = v is not None and v == v and (held is None or abs(v - held) > tolerance * max(abs(v), abs(held)))
             held = v if moved else held
             out.append(moved)
-        return {**{f.name: rows[f.name] for f in rest}, "changed": out}
+        return out
 
-    return map_groups(df, by, [time], scan, schema).select(*df.columns, "changed")
+    return add_by_group(df, by, [time], [column], scan, "changed", BooleanType())
 
 
 def bin_value(c: Column, width: float) -> Column:

@@ -64,12 +64,45 @@ def fill_template(df: DataFrame, template: str, by: list[str]) -> DataFrame:
             parts.append(F.lit(piece[0]))
         elif piece.startswith("{"):
             m = re.fullmatch(r"\{(.*?)(?:\|(\w+))?(?::\.(\d+)f)?\}", piece)
+            name = f"__v{len(aggregates)}"
+            if dict(df.dtypes).get(m[1].strip()) == "string":
+                # Texts of a group are joined, each once.
+                aggregates.append(F.array_join(F.sort_array(F.collect_set(m[1].strip())), ", ").alias(name))
+                parts.append(F.when(F.col(name) == "", "–").otherwise(F.col(name)))
+                continue
             values = formula.compile_formula(m[1], df)
             finite = F.when(ieee.is_finite(values), values)
-            name = f"__v{len(aggregates)}"
             aggregates.append(_REDUCE[m[2] or "mean"](finite).cast("double").alias(name))
             digits = int(m[3]) if m[3] else 6
             parts.append(F.coalesce(F.format_string(f"%.{digits}f", ieee.round_even(F.col(name), digits)), F.lit("–")))
         elif piece:
             parts.append(F.lit(piece))
     return df.groupBy(*by).agg(*aggregates).select(*by, F.concat(*parts).alias("text"))
+
+
+def report_tiles(tables: dict[str, DataFrame], tiles: list[tuple[str, str, str, str | None]]) -> DataFrame:
+    """place, label, text of each tile (label, table, template, filter formula); a table that is not there raises with the tile's label."""
+    out = None
+    for place, (label, name, template, where) in enumerate(tiles):
+        if name not in tables:
+            raise ValueError(f"tile {label!r}: no table {name!r}; there are {', '.join(sorted(tables))}")
+        df = tables[name]
+        try:
+            df = df.filter(ieee.holds(formula.compile_formula(where, df))) if where else df
+            one = fill_template(df, template, [])
+        except formula.FormulaError as e:
+            raise ValueError(f"tile {label!r}: {e}") from None
+        one = one.select(F.lit(place).alias("place"), F.lit(label).alias("label"), "text")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def bars(df: DataFrame, quantity: str, key: list[str], where: str | None = None, labels: dict[str, str] | None = None) -> DataFrame:
+    """key, u, part, share of a budget's bars: the whole uncertainty of a quantity, and the part of its square by input (with labels)."""
+    if where:
+        df = df.filter(ieee.holds(formula.compile_formula(where, df)))
+    prefix = f"b_{quantity}__"
+    parts = [c for c in df.columns if c.startswith(prefix)]
+    total = sum((F.col(c) ** 2 for c in parts), F.lit(0.0))
+    rows = F.array(*[F.struct(F.lit((labels or {}).get(c[len(prefix) :], c[len(prefix) :])).alias("part"), F.when(F.col("__t") > 0, F.col(c) ** 2 / F.when(F.col("__t") > 0, F.col("__t"))).alias("share")) for c in parts])
+    return df.withColumn("__t", total).select(*key, F.col(f"u_{quantity}").alias("u"), F.explode(rows).alias("p")).select(*key, "u", "p.*")

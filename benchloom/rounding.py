@@ -6,6 +6,26 @@ A name may say how many digits; times, which are single operations on both sides
 DIGITS = 6
 
 DOUBLES: dict[str, str] = {
+    "budget_bars": "u share",
+    "derived_quantities": "ea u_ea k0 u_k0",
+    "fixed_constants": "y:4 u_y:4",
+    "looked_up": "found",
+    "manual_steps": "start end",
+    "measure_uncertainty": "u_mean",
+    "monte_carlo_line": "m_mean:4 m_sd:4 b_mean:3 b_sd:3",
+    "named_windows": "low high",
+    "own_uncertainty": "rate u_rate part u_twice",
+    "relations_in_order": "ref step_bin:3 total:4",
+    "relinked_windows": "step_start",
+    "steps_of_a_table": "start end",
+    "window_overrides": "low high",
+    "absolute_time": "s",
+    "constant_range": "low high",
+    "covered_seconds": "covered_s",
+    "long_channels": "value",
+    "robust_range": "low high",
+    "secondary_axis": "x2",
+    "source_span": "start end",
     "aggregate_max": "l_quantity_max",
     "aggregate_mean": "l_quantity_mean",
     "aggregate_median": "l_quantity_median",
