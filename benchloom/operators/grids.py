@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from benchloom.operators.reshape import clean_name
+
 
 def header_key(text: str, unit: bool = True) -> str:
     """Case and spaces do not count; without ``unit`` a bracketed or comma-separated unit does not either."""
@@ -15,10 +17,19 @@ def header_key(text: str, unit: bool = True) -> str:
     return re.sub(r"\s+", "", s).lower().rstrip(":")
 
 
+def suggest_header(name: str, headers: list[str]) -> str | None:
+    """The header that is most like a name."""
+    keys = {header_key(h): h for h in headers if h.strip()}
+    near = difflib.get_close_matches(header_key(name), list(keys), 1)
+    return keys[near[0]] if near else None
+
+
 def match_header(name: str, headers: list[str]) -> int | None:
-    """The column of a header: as text, then without units; several equally good ones raise."""
-    for unit in (True, False):
-        hits = [i for i, h in enumerate(headers) if h.strip() and header_key(h, unit) == header_key(name, unit)]
+    """The column of a header: by its text, without units, by its clean name, by that without units; several equally good ones raise."""
+    readings = (header_key, lambda h: header_key(h, False), clean_name, lambda h: clean_name(re.sub(r"\s*[\[(][^\])]*[\])]\s*$", "", h)))
+    for read in readings:
+        wanted = read(name)
+        hits = [i for i, h in enumerate(headers) if h.strip() and wanted and read(h) == wanted]
         if len(hits) > 1:
             raise LookupError(f"{name!r} fits several headers: {', '.join(headers[i] for i in hits)}")
         if hits:

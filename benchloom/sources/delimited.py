@@ -28,17 +28,39 @@ class Dataset:
     spec: dict = field(default_factory=dict)
 
 
+def numbered_lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+    """value, row_index: the lines of a file, counted from 0; a first pass counts those of each split, one row a split."""
+    lines = spark.read.option("encoding", encoding).text(path).select("value", F.spark_partition_id().alias("__p"), F.monotonically_increasing_id().alias("__i"))
+    counts = lines.groupBy("__p").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.withColumn("__before", before).select("__p", "__before")
+    own = F.col("__i").bitwiseAND(F.lit((1 << 33) - 1))
+    return lines.join(F.broadcast(starts), "__p").select("value", (F.col("__before") + own).alias("row_index"))
+
+
 def read_raw(spark: SparkSession, path: str, sniffed: Sniffed) -> DataFrame:
-    """All cells as text, with ``row_index`` in file order; comment lines, the lines up to the header and the footer are left out."""
-    # Ids of the first split count lines from 0, so the header is met by its line; later splits follow in file order.
-    lines = spark.read.option("encoding", sniffed.encoding).text(path).select("value", F.monotonically_increasing_id().alias("row_index"))
+    """All cells as text, with ``row_index`` (the line, from 0; of files with line ends in cells the record); comments, the header and the footer left out."""
+    names = sniffed.names
+    if sniffed.multiline:
+        # Records of such a file are found by reading it from the start, in one task.
+        cells = spark.read.schema(_ddl(names)).csv(path, sep=sniffed.delimiter, multiLine=True, quote='"', escape='"', encoding=sniffed.encoding, mode="PERMISSIVE", comment="#")
+        raw = cells.select(F.monotonically_increasing_id().alias("row_index"), "*")
+        first = F.coalesce(F.trim(names[0]), F.lit(""))
+        rest = F.lit(False)
+        for n in names[1:]:
+            rest = rest | (F.coalesce(F.trim(F.col(f"`{n}`")), F.lit("")) != "")
+        data = rest & ~first.rlike(r"^(?://|\*)") if len(names) > 1 else first != ""
+        head = raw.filter(F.trim(F.col(f"`{names[-1]}`")).isNotNull()).agg(F.min("row_index")).first()[0]
+        last = raw.filter(data).agg(F.max("row_index")).first()[0]
+        return raw.filter((F.col("row_index") > F.lit(head).cast("bigint")) & (F.col("row_index") <= F.lit(last).cast("bigint")))
+    lines = numbered_lines(spark, path, sniffed.encoding)
     body = lines.filter((F.col("row_index") > sniffed.header_row) & (F.trim("value") != "") & ~F.col("value").startswith("#"))
-    if len(sniffed.names) > 1:
+    if len(names) > 1:
         # The footer, as footer_of has it but over the whole file: all after the last line with a value beside the first.
         d = re.escape(sniffed.delimiter)
         data = F.col("value").rlike(rf"^[^{d}]*{d}[\s{d}]*[^\s{d}]") & ~F.col("value").rlike(r"^(?:#|//|\*)")
         body = body.filter(F.col("row_index") <= F.lit(body.filter(data).agg(F.max("row_index")).first()[0]).cast("bigint"))
-    cells = F.from_csv("value", _ddl(sniffed.names), {"sep": sniffed.delimiter, "mode": "PERMISSIVE"})
+    cells = F.from_csv("value", _ddl(names), {"sep": sniffed.delimiter, "mode": "PERMISSIVE"})
     return body.select("row_index", cells.alias("c")).select("row_index", "c.*")
 
 
@@ -56,28 +78,35 @@ def load(spark: SparkSession, path: str, time_column: str | None = None, kinds:
     """A file as a dataset. With the ``spec`` of an earlier load all decisions are taken from it."""
     spec = spec or {}
     s = Sniffed(**spec["sniffed"]) if "sniffed" in spec else sniff(spark, path)
-    raw = read_raw(spark, path, s)
-    names = unique_names([clean_name(split_unit(n)[0], i) for i, n in enumerate(s.names)])
-    units = {new: u for new, n in zip(names, s.names, strict=True) if (u := split_unit(n)[1])}
+    out = as_dataset(read_raw(spark, path, s), s.names, s.decimal, time_column, kinds, run_columns, ratio, spec)
+    out.spec["sniffed"] = s.__dict__
+    return out
+
+
+def as_dataset(raw: DataFrame, headers: list[str], decimal: str = ".", time_column: str | None = None, kinds: dict[str, str] | None = None, run_columns: tuple[str, ...] = (), ratio: float = 0.5, spec: dict | None = None) -> Dataset:
+    """Cells of text under ``headers``, after ``row_index``, as a dataset."""
+    spec = spec or {}
+    names = unique_names([clean_name(split_unit(n)[0], i) for i, n in enumerate(headers)])
+    units = {new: u for new, n in zip(names, headers, strict=True) if (u := split_unit(n)[1])}
     raw = raw.toDF("row_index", *names)
     wanted = spec.get("time") or time_column
-    time = next((n for n, r in zip(names, s.names, strict=True) if wanted in (n, r)), None) if wanted else next((n for n in names if n in TIME_NAMES), names[0])
+    time = next((n for n, r in zip(names, headers, strict=True) if wanted in (n, r)), None) if wanted else next((n for n in names if n in TIME_NAMES), names[0])
     if time is None:
         raise KeyError(f"no column {wanted!r}; there are {', '.join(names)}")
     found = spec.get("kinds")
     if not found:
         # One pass over the cells decides the kinds of all columns.
-        found = {r.column: r.kind for r in typing.column_kinds(raw, [n for n in names if n != time], ratio=ratio, decimal=s.decimal).collect()}
-        found |= {n: k for raw_name, k in (kinds or {}).items() for n, r in zip(names, s.names, strict=True) if raw_name in (n, r)}
+        found = {r.column: r.kind for r in typing.column_kinds(raw, [n for n in names if n != time], ratio=ratio, decimal=decimal).collect()}
+        found |= {n: k for raw_name, k in (kinds or {}).items() for n, r in zip(names, headers, strict=True) if raw_name in (n, r)}
         found |= {n: "identifier" for n in run_columns if found.get(n) == "numeric"}
-    cells = {n: typing.number_cell(F.col(n), s.decimal) if k == "numeric" else typing.integer_cell(F.col(n)) for n, k in found.items() if k in ("numeric", "identifier")}
+    cells = {n: typing.number_cell(F.col(n), decimal) if k == "numeric" else typing.integer_cell(F.col(n)) for n, k in found.items() if k in ("numeric", "identifier")}
     texts = [F.when(~typing.is_sentinel(F.col(n)), F.trim(n)).alias(n) for n, k in found.items() if k == "categorical"]
     format_ = spec.get("time_format") or time_format(raw, time)
     kept = raw.select("row_index", F.col(time).alias("__raw_time"), *[c["value"].alias(n) for n, c in cells.items()], *texts)
-    df = with_seconds(kept, "__raw_time", format_, s.decimal)
+    df = with_seconds(kept, "__raw_time", format_, decimal)
     bad_time = df.filter(F.col("time_seconds").isNull() & (F.trim("__raw_time") != "")).select("row_index", F.lit(time).alias("column"), F.col("__raw_time").alias("raw_value"), F.lit("invalid_timestamp").alias("reason"))
     audit = typing.audit(raw, "row_index", cells).unionByName(bad_time) if cells else bad_time
-    return Dataset(df.drop("__raw_time"), audit, {time: "time"} | found, units, "time_seconds", {"sniffed": s.__dict__, "time": time, "kinds": found, "time_format": format_})
+    return Dataset(df.drop("__raw_time"), audit, {time: "time"} | found, units, "time_seconds", {"time": time, "kinds": found, "time_format": format_})
 
 
 def time_format(raw: DataFrame, time: str) -> str:

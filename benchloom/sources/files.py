@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import difflib
 import io
 import re
 import sqlite3
@@ -27,6 +28,17 @@ def fetch(spark: SparkSession, path: str) -> bytes:
     return bytes(row.content)
 
 
+def put_bytes(spark: SparkSession, path: str, data: bytes) -> str:
+    """A small file, written by Spark's file system to any store."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+    return path
+
+
 def sha256(spark: SparkSession, path: str) -> DataFrame:
     """source, sha256 and length of every file under a path."""
     return spark.read.format("binaryFile").load(path).select(F.col("path").alias("source"), F.sha2("content", 256).alias("sha256"), "length")
@@ -70,6 +82,11 @@ def read_sqlite(spark: SparkSession, path: str, table: str | None = None, sql: s
     return spark.createDataFrame(data, StructType(kinds))
 
 
+def table_names(spark: SparkSession, path: str) -> list[str]:
+    """Tables and views of an SQLite file."""
+    return [r.name for r in read_sqlite(spark, path, sql="SELECT name FROM sqlite_master WHERE type IN ('table', 'view') ORDER BY name").collect()]
+
+
 def read_xml_meta(spark: SparkSession, path: str, blocks: list[str]) -> dict[str, object]:
     """Leaf values of the listed blocks as ``block.path``; numbers become numbers, secrets are left out."""
     root = ElementTree.fromstring(fetch(spark, path))
@@ -101,6 +118,49 @@ def column_number(letters: str) -> int:
     return n
 
 
+def sheet_names(content: bytes) -> list[str]:
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        return [s.get("name") for s in ElementTree.fromstring(z.read("xl/workbook.xml")).find("m:sheets", _NS)]
+
+
+def key_values(grid: list[list[str]], reach: int = 500) -> dict[str, str]:
+    """A side sheet's pairs: the first filled cell of a row names the second."""
+    out = {}
+    for row in grid[:reach]:
+        cells = [c.strip() for c in row if c.strip()]
+        if len(cells) > 1:
+            out.setdefault(cells[0], cells[1])
+    return out
+
+
+def column_letters(n: int) -> str:
+    """A for 1, AA for 27."""
+    out = ""
+    while n > 0:
+        n, rest = divmod(n - 1, 26)
+        out = chr(65 + rest) + out
+    return out
+
+
+def parse_a1(cell: str) -> tuple[int, int]:
+    """Row and column, from 0, of an address such as B7."""
+    m = re.fullmatch(r"\s*\$?([A-Za-z]{1,3})\$?([1-9][0-9]*)\s*", cell)
+    if not m:
+        raise LookupError(f"{cell!r} is no cell")
+    return int(m[2]) - 1, column_number(m[1].upper()) - 1
+
+
+def display_text(value: object) -> str:
+    """A cell's value as it is read: whole numbers without a point, dates and times in ISO form, nothing for none."""
+    if value is None:
+        return ""
+    if isinstance(value, bool):
+        return str(value)
+    if isinstance(value, float):
+        return str(int(value)) if value == value and abs(value) < 1e15 and value == int(value) else repr(value)
+    return value.isoformat(" ") if hasattr(value, "hour") and hasattr(value, "year") else value.isoformat() if hasattr(value, "isoformat") else str(value).strip()
+
+
 def read_grid(content: bytes, sheet: str | None = None) -> list[list[str]]:
     """All cells of a sheet as text, rows of equal length; an unknown sheet names the others."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
@@ -138,18 +198,24 @@ def read_excel(spark: SparkSession, path: str, sheet: str | None = None, header_
     return spark.createDataFrame(body, StructType([StructField(n, StringType()) for n in names]))
 
 
-def locate(grid: list[list[str]], label: str, direction: str = "right", n: int = 1, reach: int = 50) -> str:
-    """The n-th cell that is not empty right of or below a label (case and spaces do not count)."""
+def locate(grid: list[list[str]], label: str | None = None, direction: str = "right", n: int = 1, reach: int = 50, cell: str | None = None) -> str:
+    """The n-th cell that is not empty right of or below a label (case and spaces do not count), or that at an address."""
+    if cell is not None:
+        i, j = parse_a1(cell)
+        return grid[i][j] if i < len(grid) and j < len(grid[i]) else ""
     key = lambda c: re.sub(r"\s+", "", c).lower().rstrip(":")
-    for i, row in enumerate(grid):
-        for j, cell in enumerate(row):
-            if key(cell) == key(label) and cell.strip():
-                cells = row[j + 1 : j + 1 + reach] if direction == "right" else [r[j] for r in grid[i + 1 : i + 1 + reach]]
-                found = [c for c in cells if c.strip()]
-                if len(found) >= n:
-                    return found[n - 1]
-                raise LookupError(f"{label!r} has {len(found)} values {direction} of it")
-    raise LookupError(f"no cell {label!r}")
+    hits = [(i, j) for i, row in enumerate(grid) for j, c in enumerate(row) if c.strip() and key(c) == key(label or "")]
+    if not hits:
+        near = difflib.get_close_matches(label or "", [c for row in grid for c in row if c.strip()], 1)
+        raise LookupError(f"no cell {label!r}" + (f"; did you mean {near[0]!r}?" if near else ""))
+    if len(hits) > 1:
+        raise LookupError(f"{label!r} is in several cells: " + ", ".join(f"{column_letters(j + 1)}{i + 1}" for i, j in hits))
+    i, j = hits[0]
+    cells = grid[i][j + 1 : j + 1 + reach] if direction == "right" else [r[j] for r in grid[i + 1 : i + 1 + reach]]
+    found = [c for c in cells if c.strip()]
+    if len(found) < n:
+        raise LookupError(f"{label!r} has {len(found)} values {direction} of it")
+    return found[n - 1]
 
 
 def long_format(df: DataFrame, time: str, variable: str, value: str) -> bool:
@@ -160,3 +226,14 @@ def long_format(df: DataFrame, time: str, variable: str, value: str) -> bool:
 def write_result(df: DataFrame, path: str) -> None:
     """Results as text with semicolons and a header."""
     df.write.option("sep", ";").option("header", True).csv(path)
+
+
+def write_analysis(df: DataFrame, path: str, name: str, texts: dict[str, str] | None = None) -> None:
+    """The table of an analysis as text with semicolons: lines of what it rests on (``# key: text``) come before its header.
+
+    Analyses have a row for each group, so one task writes the file.
+    """
+    head = [f"# analysis: {name}", *(f"# {k}: {v}" for k, v in (texts or {}).items()), ";".join(df.columns)]
+    lines = df.select(F.lit(1).alias("part"), F.concat_ws(";", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in df.columns]).alias("value"))
+    first = df.sparkSession.createDataFrame([(0, "\n".join(head))], "part int, value string")
+    first.unionByName(lines).orderBy("part", "value").coalesce(1).select("value").write.text(path)

@@ -6,7 +6,6 @@ from collections import Counter
 from dataclasses import dataclass, field
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from benchloom.functions.typing import SENTINELS
 from benchloom.operators.reshape import unique_names
@@ -25,13 +24,17 @@ class Sniffed:
     decimal: str
     footer: int
     sentinels: list[str] = field(default_factory=list)
+    #: Whether a quoted cell holds line ends, so that lines are no records.
+    multiline: bool = False
 
 
-def decode(data: bytes) -> tuple[str, str]:
-    """Text and encoding: UTF-8 with or without a mark, else Latin-1."""
+def decode(data: bytes, cut: bool = False) -> tuple[str, str]:
+    """Text and encoding: UTF-8 with or without a mark, else Latin-1; ``cut``: the last character may be there in part."""
     try:
         return data.decode("utf-8-sig"), "utf-8"
-    except UnicodeDecodeError:
+    except UnicodeDecodeError as e:
+        if cut and e.start >= len(data) - 3 and e.reason == "unexpected end of data":
+            return data[: e.start].decode("utf-8-sig"), "utf-8"
         return data.decode("latin-1"), "latin-1"
 
 
@@ -90,19 +93,40 @@ def footer_of(lines: list[str], delimiter: str) -> int:
     return n
 
 
+def quoted_line_ends(lines: list[str]) -> bool:
+    """Whether a line opens a quote that it does not close."""
+    return any(line.count('"') % 2 for line in lines[:1000])
+
+
 def sniff_text(text: str, encoding: str = "utf-8", delimiter: str | None = None, decimal: str | None = None) -> Sniffed:
     lines = text.splitlines()
     d = delimiter or delimiter_of(lines)
     at = header_row_of(lines, d)
     body = lines[at + 1 :]
     cells = {c.strip().strip('"') for x in body[:200] for c in x.split(d)}
-    return Sniffed(encoding, d, at, clean_headers(lines[at].split(d)) if lines else [], decimal or decimal_of(body, d), footer_of(body, d), sorted(c for c in cells if c and (c in SENTINELS or c.upper() in SENTINELS)))
+    return Sniffed(encoding, d, at, clean_headers(lines[at].split(d)) if lines else [], decimal or decimal_of(body, d), footer_of(body, d), sorted(c for c in cells if c and (c in SENTINELS or c.upper() in SENTINELS)), quoted_line_ends(body))
 
 
-def sniff(spark: SparkSession, path: str, sample_bytes: int = 1 << 20, **options) -> Sniffed:
-    """Sniffs the file at ``path``, read by Spark in any store; only its first megabyte reaches the driver."""
-    row = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, sample_bytes).alias("head"), F.octet_length("content").alias("n")).first()
-    if row is None:
+def head_bytes(spark: SparkSession, path: str, n: int = 1 << 20) -> tuple[bytes, int]:
+    """The first bytes of a file (of a folder's first file) in any store Spark reaches, and its length; nothing else is read."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    at = hadoop.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [f for f in fs.globStatus(at) or []]
+    if not found:
+        raise FileNotFoundError(path)
+    files = sorted((f for top in found for f in (fs.listStatus(top.getPath()) if top.isDirectory() else [top]) if f.isFile() and f.getPath().getName()[:1] not in "._"), key=lambda f: f.getPath().getName())
+    if not files:
         raise FileNotFoundError(path)
-    text, encoding = decode(bytes(row.head))
-    return sniff_text(text if row.n <= sample_bytes else text.rsplit("\n", 1)[0], encoding, **options)
+    stream = fs.open(files[0].getPath())
+    try:
+        return bytes(stream.readNBytes(n)), files[0].getLen()
+    finally:
+        stream.close()
+
+
+def sniff(spark: SparkSession, path: str, sample_bytes: int = 1 << 20, **options) -> Sniffed:
+    """Sniffs the file at ``path``, in any store; only its first megabyte reaches the driver."""
+    head, length = head_bytes(spark, path, sample_bytes)
+    text, encoding = decode(head, length > len(head))
+    return sniff_text(text.rsplit("\n", 1)[0] if length > len(head) else text, encoding, **options)
