@@ -46,9 +46,11 @@ def free_prefix(columns: list[str]) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the session's spark.checkpoint.dir, or a local one set here where it is unset."""
+    """The folder all executors share: the session's spark.checkpoint.dir. In local mode one is set here where none is; on a cluster that raises."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir names the folder that executors share; it is not set")
         path = tempfile.mkdtemp(prefix="benchloom-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

@@ -7,7 +7,8 @@ starts with one anchor form a span (on average two thirds of ``width - k`` start
 * an anchor piece that appears once means that its span's strings do, too;
 * a span that appears twice, with its anchor at the same place, means that all its strings do, whatever the rest is;
 * the other spans, those where copies begin, end or differ, go with one copy of every span of the same anchor to a shard,
-  whose suffixes are sorted by external induction (see induce); neighbours sharing ``width`` bytes are repeated strings.
+  whose suffixes are sorted by external induction (see induce); neighbours sharing ``width`` bytes, as it carries along, are
+  repeated strings.
 
 An anchor that holds more than ``COMMON`` of all spans is no task's: its spans are counted by partial sums and joined with the
 counts in salted parts. Texts are distinct texts: one that appears twice is repeated as a whole. They are known by a 64-bit
@@ -33,10 +34,12 @@ from benchloom.llm.jaccard import _bounds, _groups
 PIECE = 64
 #: Bytes of spans whose suffixes are sorted at once.
 SHARD = 2 << 20
+#: Suffixes that the queues of a shard hold in memory, beyond which they go to a scratch file of the task.
+MEMORY = 1 << 18
 #: Rows of text hashes that may be sent to all tasks.
 BROADCAST = 2_000_000
 #: An anchor is common from this share of all spans on (and from LOCAL of them, counted in one task); at most twice its inverse are.
-COMMON, LOCAL = 2.0**-20, 500
+COMMON, LOCAL = 2.0**-20, 2000
 #: Parts in which the spans of a common anchor meet their counts.
 SALTS = 32
 
@@ -171,18 +174,20 @@ def _pieces(texts: DataFrame, asked: DataFrame, width: int) -> DataFrame:
     return texts.join(lists, "text_hash").select("text_hash", "text", "own").mapInArrow(run, "anchor bigint, text_hash bigint, low int, bytes binary")
 
 
-def repeated_starts(parts: list[bytes], width: int) -> np.ndarray:
+def repeated_starts(parts: list[bytes], width: int, memory: int = MEMORY) -> np.ndarray:
     """For each place of the joined parts whether its ``width`` bytes lie within its part and start at another place, too."""
     text = np.frombuffer(b"".join(parts), np.uint8)
     size = np.array([len(p) for p in parts])
     end = np.repeat(np.cumsum(size), size)
     inside = np.arange(len(text)) + width <= end
-    order = induce.suffix_array(text)
-    order = order[inside[order]]
-    near = induce.common_prefixes(text, order, width) >= width
+    order, shared = induce.suffix_array(text, memory, width)
+    # Suffixes that share the width with their neighbour are one run; two of them within their parts are repeated strings.
+    run = np.zeros(len(order), np.int64)
+    np.cumsum(shared < width, out=run[1:])
+    within = inside[order]
+    often = np.bincount(run[within], minlength=len(order) and run[-1] + 1) > 1
     out = np.zeros(len(text), bool)
-    out[order[1:][near]] = True
-    out[order[:-1][near]] = True
+    out[order[within & often[run]]] = True
     return out
 
 

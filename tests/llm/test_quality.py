@@ -111,3 +111,33 @@ def test_sparse_weights_are_a_minimum():
     w = quality._sparse_logistic(row, column, 12, y, 0.5, 5000)
     cost = lambda w: np.logaddexp(0, x @ w[:-1] + w[-1]).sum() - y @ (x @ w[:-1] + w[-1]) + 0.5 * np.abs(w[:-1]).sum()
     assert all(cost(w) <= cost(w + rng.normal(0, s, 13)) + 1e-6 for s in (0.1, 0.01, 0.001) for _ in range(200))
+
+
+def test_query_matches_brute_force(spark):
+    from benchloom.llm import queries
+
+    d = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(docs, labels.select("doc_id", "quality", "toxic"))
+    rows, sums = docs.collect(), {}
+    logit, clip = (lambda p: np.log(p / (1 - p))), (lambda z: 1 / (1 + np.exp(-min(max(z, -30.0), 30.0))))
+    odds, sites = [], []
+    for r in rows:
+        data = np.frombuffer((r.text or "").encode(), np.uint8)
+        odds.append([float(x[0]) for x in model.log_odds(data, np.array([0, len(data)]))])
+        host, _, rest = (r.source or "").split("://")[-1].partition("/")
+        sites.append((host.split("?")[0].split("#")[0], f"{rest.split('/')[0].split('?')[0].split('#')[0]}|{r.lang or ''}"))
+    kept = []
+    for kind in range(2):
+        sums = {}
+        for s, o in zip(sites, odds):
+            n, t = sums.get(s, (0, 0.0))
+            sums[s] = n + 1, t + clip(o[kind])
+        rate = (sum(t for _, t in sums.values()) + 1) / (len(rows) + 2)
+        post = brute_sites(sums, rate)
+        kept.append([clip(o[kind] - logit(rate) + logit(post[s])) for s, o in zip(sites, odds)])
+    want = {r.doc_id: (g, t) for r, g, t in zip(rows, *kept) if g >= 0.5 and t < 0.5}
+    got = {r.doc_id: (r.quality_probability, r.toxic_probability) for r in queries.op10_quality(spark, d).collect()}
+    assert got.keys() == want.keys()
+    for k, v in got.items():
+        assert v == pytest.approx(want[k], abs=1e-6)

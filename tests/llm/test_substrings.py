@@ -85,11 +85,14 @@ def test_empty_table(spark):
 @pytest.mark.parametrize("memory", [1 << 20, 3])
 def test_suffix_arrays(text, memory):
     a = np.frombuffer(text, np.uint8)
-    order = induce.suffix_array(a, memory)
+    order, shared = induce.suffix_array(a, memory, 50)
     assert order.tolist() == sorted(range(len(text)), key=lambda i: text[i:])
-    for i, n in enumerate(induce.common_prefixes(a, order, 50)):
-        x, y = text[order[i] :], text[order[i + 1] :]
-        assert n == next((k for k in range(min(len(x), len(y), 50)) if x[k] != y[k]), min(len(x), len(y), 50))
+    assert shared.tolist() == [common(text, i, j, 50) for i, j in zip(order[:-1], order[1:])] == induce.common_prefixes(a, order, 50).tolist()
+
+
+def common(text, i, j, limit):
+    x, y = text[i : i + limit], text[j : j + limit]
+    return next((k for k in range(min(len(x), len(y))) if x[k] != y[k]), min(len(x), len(y)))
 
 
 def test_random_suffix_arrays():
@@ -97,7 +100,24 @@ def test_random_suffix_arrays():
     for _ in range(60):
         a = rng.integers(0, rng.integers(1, 5), rng.integers(2, 300)).astype(np.uint8)
         text = a.tobytes()
-        assert induce.suffix_array(a).tolist() == sorted(range(len(text)), key=lambda i: text[i:])
+        order, shared = induce.suffix_array(a, int(rng.integers(1, 400)), 30)
+        assert order.tolist() == sorted(range(len(text)), key=lambda i: text[i:])
+        assert shared.tolist() == [common(text, i, j, 30) for i, j in zip(order[:-1], order[1:])]
+
+
+def test_a_shard_larger_than_memory(monkeypatch):
+    """Queues of a thousand suffixes for a shard of 300,000 bytes."""
+    monkeypatch.setattr(induce, "STEP", 500)
+    rng = np.random.default_rng(2)
+    words = [bytes(rng.integers(97, 123, rng.integers(2, 9)).astype(np.uint8)) for _ in range(500)]
+    parts = [b" ".join(words[i] for i in rng.integers(0, 500, 900)) for _ in range(50)]
+    parts += [parts[3][100:900] + b"x" + parts[7][:500], parts[9][50:]]
+    whole = b"".join(parts)
+    order, shared = induce.suffix_array(np.frombuffer(whole, np.uint8), 1000, 60)
+    assert (shared == induce.common_prefixes(np.frombuffer(whole, np.uint8), order, 60)).all()
+    count = Counter(p[i : i + 60] for p in parts for i in range(len(p) - 59))
+    want = np.concatenate([[count[p[i : i + 60]] > 1 if i + 60 <= len(p) else False for i in range(len(p))] for p in parts])
+    assert (substrings.repeated_starts(parts, 60, 1000) == want).all()
 
 
 def test_query_over_a_whole_table(spark):
