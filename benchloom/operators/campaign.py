@@ -5,12 +5,14 @@ from __future__ import annotations
 import json
 import os
 import re
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from benchloom.operators import align, evaluate, stats, steps
+from benchloom.functions import formula, ieee
+from benchloom.operators import align, analyses, assembly, byhand, evaluate, reshape, stationary, stats, steps
 from benchloom.operators.evaluate import Input
 from benchloom.operators.recording import Recording
 
@@ -28,16 +30,57 @@ class Source:
     drift_ppm: float = 0.0
     anchors: list[list[float]] = field(default_factory=list)
     derived: dict[str, str] = field(default_factory=dict)
+    clock_u_s: float | None = None
 
 
 @dataclass
 class Measure:
-    """A statistic of a channel in a step's window."""
+    """A statistic of a channel in a step's window: of the first of ``sources`` (all that have it) with enough points and coverage.
+
+    Points with one of ``exclude_flags`` are left out; ``reading_u`` is the uncertainty of one reading.
+    """
 
     channel: str
     stat: str = "mean"
     skip_start: float = 0.0
     skip_end: float = 0.0
+    sources: list[str] = field(default_factory=list)
+    exclude_flags: list[str] = field(default_factory=list)
+    min_n: int = 1
+    min_coverage: float = 0.0
+    reading_u: float = 0.0
+    half_width_s: float = 0.0
+
+
+@dataclass
+class Display:
+    """How a channel is shown: another name, a line style, a colour, and its range (auto, fixed or robust)."""
+
+    alias: str = ""
+    style: str | None = None
+    color: str | None = None
+    scale: str = "auto"
+    low: float | None = None
+    high: float | None = None
+
+    def problems(self) -> list[str]:
+        out = []
+        if self.color is not None and not re.fullmatch("#[0-9a-fA-F]{6}", self.color):
+            out.append(f"{self.color!r} is no colour")
+        if self.scale not in ("auto", "fixed", "robust"):
+            out.append(f"{self.scale!r} is no scale")
+        if self.scale == "fixed" and (self.low is None or self.high is None or self.low >= self.high):
+            out.append("a fixed range needs low < high")
+        return out
+
+    def limits(self, df: DataFrame, channel: str) -> tuple[float, float] | None:
+        """The range to show; None lets the plot fit what is visible. A robust one is between percentiles (1 and 99)."""
+        if self.scale == "fixed":
+            return self.low, self.high
+        if self.scale == "auto":
+            return None
+        r = assembly.robust_range(df.withColumn("__all", F.lit(0)), ["__all"], channel, self.low if self.low is not None else 1.0, self.high if self.high is not None else 99.0).first()
+        return (r.low, r.high) if r else None
 
 
 @dataclass
@@ -49,6 +92,16 @@ class Campaign:
     criteria: dict[str, str] = field(default_factory=dict)
     classes: dict[str, str] = field(default_factory=dict)
     zone: str = "Europe/Zurich"
+    #: Own uncertainties of calculations: formula, kind, group.
+    own: dict[str, list] = field(default_factory=dict)
+    #: Analyses of results by name: kind (crossing, line, aggregate) and its arguments.
+    analyses: dict[str, dict] = field(default_factory=dict)
+    #: Steps and windows set by hand.
+    manual_steps: list[dict] = field(default_factory=list)
+    overrides: list[dict] = field(default_factory=list)
+    display: dict[str, Display] = field(default_factory=dict)
+    #: The step table as it was when the campaign was saved.
+    snapshot: list[dict] = field(default_factory=list)
 
     def to_json(self) -> str:
         return json.dumps(asdict(self), indent=1, sort_keys=True)
@@ -61,8 +114,35 @@ class Campaign:
             raise KeyError(f"unknown keys: {', '.join(sorted(unknown))}")
         d["sources"] = {k: Source(**v) for k, v in d.get("sources", {}).items()}
         d["measures"] = {k: Measure(**v) for k, v in d.get("measures", {}).items()}
+        d["display"] = {k: Display(**v) for k, v in d.get("display", {}).items()}
         return Campaign(**d)
 
+    def relative_to(self, folder: str) -> "Campaign":
+        """A copy whose source paths are relative to a folder, as far as they lie below it."""
+        inside = lambda p: p[len(folder.rstrip("/")) + 1 :] if p.startswith(folder.rstrip("/") + "/") else p
+        return replace(self, sources={k: replace(v, path=inside(v.path)) for k, v in self.sources.items()})
+
+    def below(self, folder: str) -> "Campaign":
+        """A copy whose relative source paths lie below a folder."""
+        full = lambda p: p if p.startswith(("/", "$")) or "://" in p else f"{folder.rstrip('/')}/{p}"
+        return replace(self, sources={k: replace(v, path=full(v.path)) for k, v in self.sources.items()})
+
+    def with_recipe(self, recipe: dict) -> tuple["Campaign", list[str]]:
+        """A copy with the evaluation of a recipe (which has no sources), and what of it the sources here lack."""
+        parts = ("measures", "constants", "calculations", "criteria", "classes", "own", "analyses")
+        if unknown := set(recipe) - set(parts):
+            raise KeyError(f"unknown keys: {', '.join(sorted(unknown))}")
+        given = {k: recipe.get(k, {}) for k in parts}
+        given["measures"] = {k: v if isinstance(v, Measure) else Measure(**v) for k, v in given["measures"].items()}
+        out = replace(self, **given)
+        channels = {c for s in self.sources.values() for c in [*s.channels, *s.derived]}
+        return out, [f"measure {n}: no source has {m.channel}" for n, m in out.measures.items() if m.channel not in channels]
+
+
+def calibrated(source: Source, name: str, channel: str, factor: float, sensitivity: float, zero: float) -> Source:
+    """A copy of a source with one more channel, a channel's calibration line."""
+    return replace(source, derived={**source.derived, name: stationary.calibration_formula(channel, factor, sensitivity, zero)})
+
 
 def expand_path(path: str) -> str:
     """``${NAME}`` from the environment; an unset name raises."""
@@ -72,24 +152,35 @@ def expand_path(path: str) -> str:
 
 
 class Session:
-    """Lazy tables of a campaign; nothing is computed until a result is asked for."""
+    """Lazy tables of a campaign; nothing is computed until a result is asked for. ``flags`` are the quality events of sources."""
 
-    def __init__(self, spark: SparkSession, campaign: Campaign) -> None:
-        self.spark, self.campaign = spark, campaign
-        problems = [f"measure {n}: no channel {m.channel}" for n, m in campaign.measures.items() if not any(m.channel in [*s.channels, *s.derived] for s in campaign.sources.values())]
+    def __init__(self, spark: SparkSession, campaign: Campaign, flags: dict[str, DataFrame] | None = None) -> None:
+        self.spark, self.campaign, self.flags = spark, campaign, flags or {}
+        #: What could not be used, but does not stand in the way of the rest.
+        self.problems: list[str] = []
+        problems = [f"measure {n}: no channel {m.channel}" for n, m in campaign.measures.items() if not self.sources_of(m)]
         names = [*campaign.measures, *campaign.constants, *campaign.calculations, *campaign.criteria]
         problems += [f"name {n} is used twice" for n in sorted({n for n in names if names.count(n) > 1})]
+        problems += [f"display of {n}: {p}" for n, d in campaign.display.items() for p in d.problems()]
+        problems += [f"own uncertainty of {n}, which is no calculation" for n in campaign.own if n not in campaign.calculations]
         if problems:
             raise ValueError("; ".join(problems))
 
-    def recording(self, name: str) -> Recording:
-        """A source on master time (``master_s``), with its calculated channels."""
-        from benchloom.functions import formula
+    def sources_of(self, m: Measure) -> list[str]:
+        """The sources of a measure in order of preference."""
+        having = [k for k, s in self.campaign.sources.items() if m.channel in [*s.channels, *s.derived]]
+        return [k for k in m.sources if k in having] if m.sources else having[:1]
 
+    def recording(self, name: str) -> Recording:
+        """A source on master time (``master_s``), with its calculated channels; one that cannot be calculated is null and a problem."""
         s = self.campaign.sources[name]
         df = self.spark.read.parquet(expand_path(s.path))
         for channel, text in s.derived.items():
-            df = df.withColumn(channel, formula.compile_formula(text, df))
+            try:
+                df = df.withColumn(channel, formula.compile_formula(text, df))
+            except formula.FormulaError as e:
+                self.problems.append(f"{name}/{channel}: {str(e).splitlines()[0]}")
+                df = df.withColumn(channel, F.lit(None).cast("double"))
         own = F.col(s.time) / 1e6
         master = align.clock_anchors(own, [tuple(a) for a in s.anchors]) if s.anchors else align.clock(own, s.offset_s, s.drift_ppm)
         df = df.withColumn("master_s", master)
@@ -98,40 +189,102 @@ class Session:
     def coverage(self, name: str, channel: str) -> DataFrame:
         return align.coverage(self.recording(name), channel)
 
+    def span(self, name: str) -> DataFrame:
+        """start, end of a source on master time."""
+        return assembly.span(self.recording(name), F.col("master_s"))
+
+    def all_steps(self, tables: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
+        """The steps of several tables (status, reason as derived) and those set by hand in order of their starts; and the rows that are none."""
+        both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+        good = both.filter("status = 'step'") if "status" in both.columns else both
+        if self.campaign.manual_steps:
+            hand = self.spark.createDataFrame([(str(m["step_id"]), m.get("label"), float(m["start"]), float(m["end"])) for m in self.campaign.manual_steps], "step_id string, label string, start double, `end` double")
+            good = byhand.with_manual(good.withColumn("step_id", F.col("step_id").cast("string")), hand)
+        return good.orderBy("start"), both.filter("status <> 'step'") if "status" in both.columns else both.limit(0)
+
+    def changes(self, table: DataFrame) -> DataFrame:
+        """key, change of the step table against the snapshot that the campaign was saved with."""
+        content = [c for c in ("label", "start", "end") if c in table.columns]
+        schema = ", ".join(f"`{c}` {table.schema[c].dataType.simpleString()}" for c in ("step_id", *content))
+        old = self.spark.createDataFrame([tuple(r.get(c) for c in ("step_id", *content)) for r in self.campaign.snapshot], schema)
+        return steps.compare_snapshots(old, table.select("step_id", *content), "step_id", content)
+
+    def measure_rows(self, name: str, m: Measure, source: str, table: DataFrame, by: list[str]) -> DataFrame:
+        """step_id, measure, source, n, coverage, value, u, level, checks of a measure on one source."""
+        s, rec = self.campaign.sources[source], self.recording(source)
+        low, high = steps.window_rule(F.col("start"), F.col("end"), m.skip_start, m.skip_end)
+        windows = table.select(*by, "step_id", low.alias("__lo"), high.alias("__hi")).filter("__lo is not null")
+        if m.exclude_flags and source in self.flags:
+            df = assembly.flag_mask(rec, self.flags[source], m.exclude_flags, m.channel, "__out")
+        else:
+            df = rec.df.withColumn("__out", F.lit(False))
+        samples = df.select(*by, F.col(rec.row).alias("__row"), F.col("master_s").alias("__t"), F.col(m.channel).cast("double").alias("__y"), "__out")
+        rows = stats.in_windows(samples, windows, by, "__t", "__lo", "__hi")
+        used = rows.filter(~F.col("__out"))
+        count = stats.counts(rows, ["step_id"], "__y", "__lo", "__hi", "__out")
+        area = stats.integral(samples.withColumn("__y", F.when(~F.col("__out"), F.col("__y"))), windows, by, ["step_id"], "__t", "__y", "__lo", "__hi", "__row")
+        loc = stats.location(used, ["step_id"], "__y").drop("n")
+        auto = stats.autocorrelation(used, ["step_id"], "__y", "__row").select("step_id", "sem_eff")
+        out = windows.select("step_id").join(count, "step_id", "left").join(area, "step_id", "left").join(loc, "step_id", "left").join(auto, "step_id", "left")
+        none = F.lit(None).cast("double")
+        slope_u, two_u = none, none
+        if m.stat == "slope":
+            se = stats.robust(used, ["step_id"], "__t", "__y", "__lo", "__hi").select("step_id", "slope_se_eff")
+            out = out.join(stats.slope(used, ["step_id"], "__t", "__y", "__lo").select("step_id", "slope"), "step_id", "left").join(se, "step_id", "left")
+            slope_u = F.col("slope_se_eff")
+        elif m.stat == "two_point":
+            ends = stats.two_point(used, ["step_id"], "__t", "__y", "__lo", "__hi", "__row", m.half_width_s, m.reading_u, s.clock_u_s or 0.0)
+            out = out.join(ends.select("step_id", "two_point", "two_point_u"), "step_id", "left")
+            two_u = F.col("two_point_u")
+        n = F.coalesce("n", F.lit(0))
+        zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+        u = evaluate.measure_u(m.stat, F.col("sem_eff"), slope_u, two_u, F.col("sem_eff") * F.col("covered_s"), m.reading_u)
+        found = stationary.checks(n, F.coalesce("coverage", F.lit(0.0)), zero("n_excluded"), zero("n_missing"), F.col("sd"))
+        value = n if m.stat == "n" else F.col(m.stat)
+        return out.withColumn("__c", found).select("step_id", F.lit(name).alias("measure"), F.lit(source).alias("source"), n.alias("n"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"), value.cast("double").alias("value"), F.when(value.isNotNull(), u).alias("u"), stationary.level(F.col("__c")).alias("level"), F.transform("__c", lambda x: x["text"]).alias("checks"))
+
     def window_table(self, table: DataFrame, by: list[str]) -> DataFrame:
-        """step_id, measure, n, value, u for each measure: its statistic over its window of every step (step_id, start, end)."""
+        """measure_rows of every measure over its window of every step (step_id, start, end), of its first source that is good enough."""
         parts = []
         for name, m in self.campaign.measures.items():
-            source = next(k for k, s in self.campaign.sources.items() if m.channel in [*s.channels, *s.derived])
-            rec = self.recording(source)
-            low, high = steps.window_rule(F.col("start"), F.col("end"), m.skip_start, m.skip_end)
-            windows = table.select(*by, "step_id", low.alias("__lo"), high.alias("__hi")).filter("__lo is not null")
-            samples = rec.df.select(*by, F.col(rec.row).alias("__row"), F.col("master_s").alias("__t"), F.col(m.channel).alias("__y"))
-            rows = stats.in_windows(samples, windows, by, "__t", "__lo", "__hi")
-            loc = stats.location(rows, ["step_id"], "__y")
-            if m.stat == "slope":
-                se = stats.robust(rows, ["step_id"], "__t", "__y", "__lo", "__hi").select("step_id", F.col("slope_se_eff").alias("u"))
-                line = stats.slope(rows, ["step_id"], "__t", "__y", "__lo").select("step_id", F.col("slope").alias("value")).join(se, "step_id", "left")
-            elif m.stat == "two_point":
-                line = stats.two_point(rows, ["step_id"], "__t", "__y", "__lo", "__hi", "__row").select("step_id", F.col("two_point").alias("value"), F.lit(None).cast("double").alias("u"))
-            else:
-                u = stats.autocorrelation(rows, ["step_id"], "__y", "__row").select("step_id", "sem_eff")
-                line = loc.join(u, "step_id").select("step_id", F.col(m.stat).cast("double").alias("value"), (F.col("sem_eff") if m.stat == "mean" else F.lit(0.0 if m.stat == "n" else None).cast("double")).alias("u"))
-            parts.append(loc.select("step_id", "n").join(line, "step_id").select("step_id", F.lit(name).alias("measure"), "n", "value", "u"))
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
+            for place, source in enumerate(self.sources_of(m)):
+                parts.append(self.measure_rows(name, m, source, table, by).withColumn("__place", F.lit(place)).withColumn("__ok", F.col("value").isNotNull() & (F.col("n") >= m.min_n) & (F.col("coverage") >= m.min_coverage)))
+        out = reduce(lambda a, b: a.unionByName(b), parts)
+        best = F.min_by(F.struct("source", "n", "coverage", "value", "u", "level", "checks"), F.struct(~F.col("__ok"), "__place"))
+        return out.groupBy("step_id", "measure").agg(best.alias("b"), F.max("__ok").alias("__any")).select("step_id", "measure", "b.source", "b.n", "b.coverage", *[F.when(F.col("__any") | (F.col("measure").isin([k for k, m in self.campaign.measures.items() if len(self.sources_of(m)) < 2])), F.col(f"b.{c}")).alias(c) for c in ("value", "u")], "b.level", "b.checks")
+
+    def window_stats(self, table: DataFrame, by: list[str], step_id, source: str, channel: str) -> DataFrame:
+        """stat, value, u of one step's window on one channel."""
+        one = table.filter(F.col("step_id") == F.lit(step_id))
+        found = [self.measure_rows(stat, Measure(channel, stat), source, one, by).select(F.col("measure").alias("stat"), "value", "u") for stat in ("n", "mean", "median", "sd", "min", "max", "slope", "two_point", "integral", "covered_s")]
+        return reduce(lambda a, b: a.unionByName(b), found)
 
     def results(self, table: DataFrame, by: list[str]) -> DataFrame:
-        """The step table with measures and their u, classes, calculations with budgets, and criteria."""
+        """The step table with measures (name, u_name, checks_name, source_name), classes with a note, calculations with budgets, and criteria.
+
+        Formulas that name what is not there raise, all of them at once.
+        """
         c = self.campaign
-        wide = self.window_table(table, by).groupBy("step_id").pivot("measure", list(c.measures)).agg(F.first("value").alias("value"), F.first("u").alias("u"))
-        wide = wide.select("step_id", *[x for m in c.measures for x in (F.col(f"{m}_value").alias(m), F.col(f"{m}_u").alias(f"u_{m}"))])
+        if wrong := evaluate.unknown_names(c.calculations, c.criteria, c.classes, {*table.columns, *c.measures, *c.constants}):
+            raise ValueError("; ".join(wrong))
+        parts = ("value", "u", "checks", "source")
+        wide = self.window_table(table, by).groupBy("step_id").pivot("measure", list(c.measures)).agg(*[F.first(p).alias(p) for p in parts])
+        named = {"value": "{}", "u": "u_{}", "checks": "checks_{}", "source": "source_{}"}
+        wide = wide.select("step_id", *[F.col(f"{m}_{p}").alias(named[p].format(m)) for m in c.measures for p in parts])
         df = table.join(wide, "step_id", "left")
         if c.classes:
             df = steps.classify(df, c.classes)
         inputs = {m: Input(F.col(m), F.coalesce(F.col(f"u_{m}"), F.lit(0.0))) for m in c.measures}
-        inputs |= {k: Input(F.lit(float(v[0])), F.lit(float(v[1])), v[2] if len(v) > 2 else "systematic", v[3] if len(v) > 3 else None) for k, v in c.constants.items()}
-        df = evaluate.calculate(df, c.calculations, inputs)
+        inputs |= evaluate.merged_inputs({k: tuple(v) for k, v in c.constants.items()})
+        df = evaluate.calculate(df, c.calculations, inputs, {n: evaluate.Own(*o) for n, o in c.own.items()})
         return evaluate.criteria(df, c.criteria)
+
+    def analysis(self, name: str, results: DataFrame) -> DataFrame:
+        """An analysis of the results by its kind: crossing (by, x, y, u, level), line (by, x, y, u_x, u_y) or aggregate (rows, value, how, columns)."""
+        spec = dict(self.campaign.analyses[name])
+        kind, where = spec.pop("kind"), spec.pop("where", None)
+        df = results.filter(ieee.holds(formula.compile_formula(where, results))) if where else results
+        known = {"crossing": analyses.crossing_range, "line": analyses.fit_line, "aggregate": reshape.aggregate}
+        if kind not in known:
+            raise ValueError(f"analysis {name}: no kind {kind!r}; there are {', '.join(known)}")
+        return known[kind](df, **spec)

@@ -74,10 +74,10 @@ def _seconds(text: str) -> float | None:
 
 
 def derive_steps(spark: SparkSession, grid: list[list[str]], mapping: Mapping) -> DataFrame:
-    """row, status, reason, step_id, label, start, end, params of every row below the header; sheets are small.
+    """row, status, reason, step_id, label, start, end, params, cells of every row below the header; sheets are small.
 
     A clock time below the start before it is on the next day; an end before its start too. Ends: the column, the next start,
-    the fixed length. Labels are filled down, parameters have their defaults where a cell is empty.
+    the fixed length. Labels are filled down, parameters have their defaults where a cell is empty. ``cells`` has all of a row.
     """
     wanted = [n for n in (mapping.start, mapping.end, mapping.label, *mapping.params.values()) if n]
     head = find_header_row(grid, wanted)
@@ -100,7 +100,8 @@ def derive_steps(spark: SparkSession, grid: list[list[str]], mapping: Mapping) -
                 end = e + day * (":" in cell(row, mapping.end))
                 end += 86400.0 * (end < start and clock)
         params = {k: cell(row, n) or mapping.defaults.get(k, "") for k, n in mapping.params.items()}
-        rows.append({"row": i, "reason": reason, "label": label, "start": start if reason is None else None, "end": end, "params": params})
+        cells = {h.strip(): row[j].strip() for j, h in enumerate(grid[head]) if h.strip() and j < len(row) and row[j].strip()}
+        rows.append({"cells": cells, "row": i, "reason": reason, "label": label, "start": start if reason is None else None, "end": end, "params": params})
     good = [r for r in rows if r["reason"] is None]
     for here, after in zip(good, [*good[1:], None], strict=True):
         if here["end"] is None:
@@ -109,5 +110,5 @@ def derive_steps(spark: SparkSession, grid: list[list[str]], mapping: Mapping) -
             here["reason"] = "no end"
         elif here["end"] <= here["start"]:
             here["reason"] = "end is not after start"
-    data = [(r["row"], "step" if r["reason"] is None else "excluded", r["reason"], f"row{r['row']}" if r["reason"] is None else None, r["label"], r["start"], r["end"], r["params"]) for r in rows]
-    return spark.createDataFrame(data, "row int, status string, reason string, step_id string, label string, start double, `end` double, params map<string,string>")
+    data = [(r["row"], "step" if r["reason"] is None else "excluded", r["reason"], f"row{r['row']}" if r["reason"] is None else None, r["label"], r["start"], r["end"], r["params"], r["cells"]) for r in rows]
+    return spark.createDataFrame(data, "row int, status string, reason string, step_id string, label string, start double, `end` double, params map<string,string>, cells map<string,string>")

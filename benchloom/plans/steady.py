@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from benchloom.operators import stationary, stats
-from benchloom.plans.steps import INSIDE, ROBUST_SQL, inside
+from benchloom.plans.steps import _GRID, _H, INSIDE, ROBUST_SQL, inside
 from benchloom.registry import query
 
 _Z95 = 1.6448536269514722
@@ -43,12 +43,17 @@ def window_checks(spark, d):
     return table.select("step_id", F.transform("c", lambda x: x["text"]).alias("checks"), stationary.level(F.col("c")).alias("level"), F.size(why).alias("n_assumptions"))
 
 
-@query("cross_correlation")
+_LAGS = f"""(SELECT user_id, l, count(*) AS n, CASE WHEN count(*) >= 3 AND var_pop(x) * count(*) > 1e-6 AND var_pop(y) * count(*) > 1e-6 THEN corr(x, y) END AS r FROM
+  (SELECT a.user_id, a.value AS x, b.value AS y, b.k - a.k AS l FROM g a JOIN (SELECT user_id, k + 3 AS k, value FROM g) b ON a.user_id = b.user_id AND b.k - a.k BETWEEN -24 AND 24) GROUP BY 1, 2)"""
+
+
+@query("cross_correlation", f"""WITH g AS MATERIALIZED (SELECT user_id, grid_us // {_H} AS k, value FROM {_GRID} WHERE value IS NOT NULL), c AS MATERIALIZED {_LAGS}, s AS (SELECT user_id, count(*) AS short FROM g GROUP BY 1),
+b AS (SELECT user_id, any_value(short) AS short, arg_max(l, r) AS k, max(r) AS r, arg_max(n, r) AS n FROM c JOIN s USING (user_id) WHERE n >= 0.5 * short AND r IS NOT NULL GROUP BY 1)
+SELECT b.user_id, b.k + CASE WHEN x.r - 2 * b.r + y.r < 0 THEN 0.5 * (x.r - y.r) / (x.r - 2 * b.r + y.r) ELSE 0 END AS lag, b.r, b.n / short AS overlap FROM b LEFT JOIN c x ON x.user_id = b.user_id AND x.l = b.k - 1 LEFT JOIN c y ON y.user_id = b.user_id AND y.l = b.k + 1""")
 def cross_correlation(spark, d):
-    """Clock offset of each user's signal against itself, three grid steps late; the tests hold curves against NumPy."""
+    """Clock offset of each user's signal against itself, three grid steps late; the tests hold curves against NumPy, and checks."""
     from benchloom.operators import align, sync
     from benchloom.plans.recordings import recording
 
-    hour = 3_600_000_000
-    g = align.resample(recording(spark, d), "value", hour, 48 * hour).filter("value is not null").select("user_id", F.floor(F.col("grid_us") / hour).alias("k"), "value")
-    return sync.cross_correlate(g, g.withColumn("k", F.col("k") + 3), ["user_id"], "k", "value", 24)
+    g = align.resample(recording(spark, d), "value", _H, 48 * _H).filter("value is not null").select("user_id", F.floor(F.col("grid_us") / _H).alias("k"), "value")
+    return sync.cross_correlate(g, g.withColumn("k", F.col("k") + 3), ["user_id"], "k", "value", 24).select("user_id", "lag", "r", "overlap")

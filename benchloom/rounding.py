@@ -42,6 +42,7 @@ DOUBLES: dict[str, str] = {
     "channel_availability": "fill_ratio",
     "clock_pairs": "offset mad u",
     "clock_seconds": "seconds",
+    "cross_correlation": "lag:4 r overlap",
     "cumulative_reset": "total",
     "end_rule_fallback": "step_end",
     "fill_ratio": "fill_ratio",

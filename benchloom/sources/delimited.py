@@ -26,6 +26,8 @@ class Dataset:
     units: dict[str, str]
     time: str
     spec: dict = field(default_factory=dict)
+    #: The loaded name of each header; the time column is time_seconds.
+    names: dict[str, str] = field(default_factory=dict)
 
 
 def numbered_lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
@@ -106,7 +108,7 @@ def as_dataset(raw: DataFrame, headers: list[str], decimal: str = ".", time_colu
     df = with_seconds(kept, "__raw_time", format_, decimal)
     bad_time = df.filter(F.col("time_seconds").isNull() & (F.trim("__raw_time") != "")).select("row_index", F.lit(time).alias("column"), F.col("__raw_time").alias("raw_value"), F.lit("invalid_timestamp").alias("reason"))
     audit = typing.audit(raw, "row_index", cells).unionByName(bad_time) if cells else bad_time
-    return Dataset(df.drop("__raw_time"), audit, {time: "time"} | found, units, "time_seconds", {"time": time, "kinds": found, "time_format": format_})
+    return Dataset(df.drop("__raw_time"), audit, {time: "time"} | found, units, "time_seconds", {"time": time, "kinds": found, "time_format": format_}, {r: "time_seconds" if n == time else n for n, r in zip(names, headers, strict=True)})
 
 
 def time_format(raw: DataFrame, time: str) -> str:

@@ -228,6 +228,20 @@ def write_result(df: DataFrame, path: str) -> None:
     df.write.option("sep", ";").option("header", True).csv(path)
 
 
+def to_arrow(df: DataFrame, limit_bytes: int = 1 << 30):
+    """A result as an Arrow table on the driver; one estimated beyond the limit raises, as it belongs in a store."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    rows = df.count() if size > limit_bytes else 0
+    if rows * max(len(df.columns), 1) * 16 > limit_bytes:
+        raise MemoryError(f"{rows} rows are more than {limit_bytes} bytes; write them to a store")
+    return df.toArrow()
+
+
+def column_array(df: DataFrame, name: str):
+    """One column as a NumPy array."""
+    return to_arrow(df.select(name)).column(0).to_numpy()
+
+
 def write_analysis(df: DataFrame, path: str, name: str, texts: dict[str, str] | None = None) -> None:
     """The table of an analysis as text with semicolons: lines of what it rests on (``# key: text``) come before its header.
 
