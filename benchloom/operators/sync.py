@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Limits of the checks: weak and failed correlation, margin of a second peak, overlap.
 WARN_R, FAIL_R, AMBIGUOUS, MIN_OVERLAP = 0.7, 0.3, 0.05, 0.5
@@ -64,13 +65,15 @@ def cross_correlate(a: DataFrame, b: DataFrame, by: list[str], k: str, value: st
         names = [*by, "lag", "r", "overlap", "checks"]
         if not len(left) or not len(right):
             return pd.DataFrame(columns=names)
-        low, high = min(left[k].min(), right[k].min()), max(left[k].max(), right[k].max())
+        low, high = min(left["at"].min(), right["at"].min()), max(left["at"].max(), right["at"].max())
         grid = []
         for side in (left, right):
             v = np.full(int(high - low) + 1, np.nan)
-            v[(side[k] - low).astype(int)] = side[value].astype(float)
+            v[(side["at"] - low).astype(int)] = side["v"].astype(float)
             grid.append(v)
         best = best_lag(grid[0], grid[1], min(max_lag, len(grid[0]) - 1))
         return pd.DataFrame([[*left[by].iloc[0], best["lag"], best["r"], best["overlap"], best["checks"]]], columns=names)
 
-    return a.select(*by, k, value).groupBy(*by).cogroup(b.select(*by, k, value).groupBy(*by)).applyInPandas(one, kinds + ", lag double, r double, overlap double, checks array<string>")
+    # Columns of their own names: both sides may come from one table.
+    side = lambda df: df.select(*by, F.col(k).alias("at"), F.col(value).alias("v")).groupBy(*by)
+    return side(a).cogroup(side(b)).applyInPandas(one, kinds + ", lag double, r double, overlap double, checks array<string>")
