@@ -56,9 +56,22 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+_written: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh place in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
+def remove_written(spark: SparkSession) -> int:
+    """Deletes what this process wrote to the shared folder so far and returns how many folders; results that read them must be stored first."""
+    hadoop, n = spark._jvm.org.apache.hadoop.fs, 0
+    while _written:
+        at = hadoop.Path(_written.pop())
+        n += bool(at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True))
+    return n
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

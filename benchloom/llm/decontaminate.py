@@ -29,6 +29,8 @@ from benchloom.llm.common import bound_batches, free_names, shingle_hashes, text
 
 #: Shingles of items in one block, which bounds what is sent to the executors at once (about 100 bytes each).
 BLOCK = 400_000
+#: Blocks that one pass over the texts looks up.
+TOGETHER = 4
 _BITS = 20
 
 
@@ -96,34 +98,36 @@ def with_matches(docs: DataFrame, items: DataFrame, text: str = "text", item_id:
     total = items.agg(F.sum(F.size(F.split(F.coalesce("t", F.lit("")), r"[\x20\x09-\x0D]+")))).first()[0] or 0
     blocks = max(1, math.ceil(total / BLOCK))
     result = docs
-    columns = []
-    for b in range(blocks):
-        (name,) = free_names([*docs.columns, *columns], f"{out}_{b}")
-        rows = [tuple(r) for r in items.filter(F.pmod(F.xxhash64("id", "t"), F.lit(blocks)) == b).collect()]  # bounded by BLOCK
-        sent = spark.sparkContext.broadcast(build(rows, k, threshold))
-        last = b == blocks - 1
+    columns: list[str] = []
+    for first in range(0, blocks, TOGETHER):
+        (name,) = free_names([*docs.columns, *columns], f"{out}_{first}")
+        sent = []
+        for b in range(first, min(blocks, first + TOGETHER)):
+            rows = [tuple(r) for r in items.filter(F.pmod(F.xxhash64("id", "t"), F.lit(blocks)) == b).collect()]  # bounded by BLOCK
+            sent.append(spark.sparkContext.broadcast(build(rows, k, threshold)))
+        last = first + TOGETHER >= blocks
         fields = [docs.schema[c] for c in (kept if last or text in kept else [*kept, text])] + [StructField(c, match) for c in (*columns, name)]
         result = result.mapInArrow(_matcher(sent, text, k, threshold, [f.name for f in fields[:-1]], name, to_arrow_type(match)), StructType(fields))
         columns.append(name)
     return result.select(*[F.col(f"`{c}`") for c in kept], F.array_sort(F.concat(*[F.col(f"`{c}`") for c in columns])).alias(out))
 
 
-def _matcher(sent, text: str, k: int, threshold: float, passed: list[str], name: str, kind: pa.DataType):
+def _matcher(sent: list, text: str, k: int, threshold: float, passed: list[str], name: str, kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = sent.value
         for batch in batches:
             for rows, data, offsets in text_chunks(batch, text):
                 words, _, _, before = word_hashes(data, offsets)
                 h, row, _ = shingle_hashes(words, before, k)
                 bounds = np.searchsorted(row, np.arange(len(offsets)))
                 found: list[list[dict]] = [[] for _ in range(rows.num_rows)]
-                for i, j in sorted(probe(index, h, row)):
-                    n = len(index.hashes[j])
-                    need = round(threshold * n, 9)
-                    if np.isin(index.hashes[j], h[bounds[i] : bounds[i + 1]]).sum() >= need:
-                        shared = len(shingle_texts(index.texts[j], k) & shingle_texts(data[offsets[i] : offsets[i + 1]].tobytes(), k))
-                        if shared >= need:
-                            found[i].append({"item_id": index.ids[j], "shared": shared, "item_shingles": n, "containment": shared / n})
+                for index in (b.value for b in sent):
+                    for i, j in sorted(probe(index, h, row)):
+                        n = len(index.hashes[j])
+                        need = round(threshold * n, 9)
+                        if np.isin(index.hashes[j], h[bounds[i] : bounds[i + 1]]).sum() >= need:
+                            shared = len(shingle_texts(index.texts[j], k) & shingle_texts(data[offsets[i] : offsets[i + 1]].tobytes(), k))
+                            if shared >= need:
+                                found[i].append({"item_id": index.ids[j], "shared": shared, "item_shingles": n, "containment": shared / n})
                 yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in passed], pa.array(found, kind)], [*passed, name])
 
     return run

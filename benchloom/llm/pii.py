@@ -47,6 +47,8 @@ KINDS = (
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[\x20]?[A-Z0-9]){11,30}(?![A-Za-z0-9])", "[A-Z]{2}[0-9]{2}", False, 0.3, r"(?i)\b(?:iban|account|bank|konto|cuenta|compte)\b", confirmed=0.5),
     Kind("national_id", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "[0-9]-[0-9]", False, 0.3, r"(?i)\b(?:ssn|social security|tax id|national id)\b", boost=0.5),
     Kind("local_phone", r"(?<![0-9+().-])\(?[0-9]{2,4}\)?(?:[\x20.-][0-9]{2,4}){2,3}(?![0-9-])", "[0-9]", False, 0.3, r"(?i)\b(?:tel|phone|call us|fax|mobile|telefon|tel[eé]fono|t[eé]l[eé]phone)\b\W{0,3}$", boost=0.5),
+    Kind("access_key", r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+)", "AKIA|gh[pousr]_|xox[abprs]-|eyJ", False, 0.8, r"(?i)\b(?:key|token|secret)\b"),
+    Kind("secret", r"(?<![A-Za-z0-9_+-])[A-Za-z0-9_+-]{20,}+={0,2}", "[A-Za-z0-9_+-]{20}", False, 0.2, r"(?i)\b(?:token|secret|api[_ -]?key|access[_ -]?key|private[_ -]?key|passwords?|passwd|pwd|credentials?|bearer|auth)\b", boost=0.4, confirmed=0.2),
 )
 #: A span needs this score; base kinds are kept whatever their score.
 THRESHOLD = 0.75
@@ -76,6 +78,8 @@ def _confirmed(kind: Kind, m: Column) -> Column:
         return _mod97(m)
     if kind.name == "national_id":
         return ~m.rlike(r"^(?:000|666|9)|-00-|-0000$")
+    if kind.name == "secret":
+        return m.rlike("[0-9]") & m.rlike("[A-Za-z]") & ~m.rlike("^(.)\\1*$")
     if kind.name == "local_phone":
         return F.length(_digits(m)).between(9, 12)
     return F.lit(True)
@@ -206,10 +210,11 @@ def redact(df: DataFrame, text: str = "text", spans: str = "pii_spans") -> Colum
 
 
 def digest(df: DataFrame, spans: str = "pii_spans") -> DataFrame:
-    """doc_id, counts of base spans by kind, the digest of base spans, and all spans as text."""
+    """doc_id, counts of base spans by kind, the digest of base spans, and all spans as text and number."""
     s = F.col(f"`{spans}`")
     line = lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))
     count = lambda kind: F.size(F.filter(s, _counted(kind))).cast("bigint").alias(f"n_{kind}")
     base = F.array_join(F.transform(F.filter(s, lambda x: x["base"]), line), ",")
     added = F.size(F.filter(s, lambda x: ~x["base"])).cast("bigint").alias("n_added")
-    return df.select("doc_id", *[count(k.name) for k in KINDS if k.base], F.sha2(base, 256).alias("base_sha256"), F.array_join(F.transform(s, line), ",").alias("spans"), added)
+    total = F.size(s).cast("bigint").alias("n_spans")
+    return df.select("doc_id", *[count(k.name) for k in KINDS if k.base], F.sha2(base, 256).alias("base_sha256"), F.array_join(F.transform(s, line), ",").alias("spans"), added, total)
