@@ -13,6 +13,7 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -210,6 +211,62 @@ def compile_formula(text: str, df: DataFrame, extra: Mapping[str, Column] | None
     return to_column(parse(text, env), env, texts)
 
 
+def evaluate(node: Node, env: Mapping[str, np.ndarray | float | str]) -> np.ndarray | float:
+    """The formula over arrays (or numbers), with the meaning that to_column has: IEEE arithmetic, comparisons 1 or 0 and 0 with nan, every number but 0 true."""
+
+    def text(n: Node):
+        return n.value if isinstance(n, Str) else env[n.name] if isinstance(n, Var) else None
+
+    def is_text(n: Node) -> bool:
+        return isinstance(n, Str) or isinstance(n, Var) and np.asarray(env[n.name]).dtype.kind in "OU"
+
+    def value(n: Node):
+        if isinstance(n, Num):
+            return n.value
+        if isinstance(n, Var):
+            return np.asarray(env[n.name], float)
+        return result(n)
+
+    def truth(n: Node):
+        return np.asarray(value(n), float) != 0
+
+    def result(n: Op):
+        if n.name in ("==", "!=") and any(is_text(a) for a in n.args):
+            a, b = (np.asarray(text(x), object) for x in n.args)
+            return ((a == b) if n.name == "==" else (a != b)).astype(float)
+        if n.name == "and":
+            return reduce(np.logical_and, map(truth, n.args)).astype(float)
+        if n.name == "or":
+            return reduce(np.logical_or, map(truth, n.args)).astype(float)
+        if n.name == "not":
+            return (~truth(n.args[0])).astype(float)
+        if n.name == "where":
+            return np.where(truth(n.args[0]), value(n.args[1]), value(n.args[2]))
+        v = [np.asarray(value(a), float) for a in n.args]
+        compared = {"<": np.less, "<=": np.less_equal, ">": np.greater, ">=": np.greater_equal, "==": np.equal, "!=": np.not_equal}
+        simple = {"+": np.add, "-": np.subtract, "*": np.multiply, "/": np.divide, "**": np.power, "neg": np.negative, "log": np.log, "log10": np.log10, "exp": np.exp, "sqrt": np.sqrt, "abs": np.abs, "sign": np.sign}
+        if n.name in compared:
+            return compared[n.name](*v).astype(float)
+        if n.name in ("min", "max"):
+            return reduce(np.minimum if n.name == "min" else np.maximum, v)
+        if n.name == "round":
+            return np.round(v[0], int(n.args[1].value))
+        if n.name == "isfinite":
+            return np.isfinite(v[0]).astype(float)
+        return simple[n.name](*v)
+
+    with np.errstate(all="ignore"):
+        return value(node)
+
+
+def evaluate_with_uncertainty(text: str, env: Mapping[str, tuple[float, float]]) -> tuple[float, float]:
+    """Value and standard uncertainty of a formula over independent inputs (value, u), by its derivatives."""
+    node = parse(text, set(env))
+    values = {n: v for n, (v, _) in env.items()}
+    parts = [(float(evaluate(derivative(node, n), values)), env[n][1]) for n in names(node)]
+    return float(evaluate(node, values)), sum((g * u) ** 2 for g, u in parts if g != 0) ** 0.5
+
+
 def _simplify(name: str, *args: Node) -> Node:
     zero, one = Num(0.0), Num(1.0)
     a, b = (*args, None)[:2]

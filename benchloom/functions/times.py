@@ -48,10 +48,6 @@ def local_to_utc(wall: Column, zone: str) -> Column:
     return F.struct(F.when(back == wall, utc).alias("utc"), reason.alias("reason"))
 
 
-def origin_plus(origin_us: Column, seconds: Column) -> Column:
-    return F.timestamp_micros(origin_us + F.round(seconds * 1e6).cast("long"))
-
-
 _OFFSET = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9:.,]+(?:Z|[+-][0-9]{2}:?[0-9]{2})$"
 
 

@@ -69,6 +69,14 @@ def row_selection(spark, d):
     return steps.select_rows(e, ["user_id"], "row", "start", "value > 10", first_empty=True).select("event_id", "status", "reason")
 
 
+@query("rows_before_a_jump", f"""SELECT event_id, CASE WHEN r IS NULL THEN 'step' ELSE 'excluded' END AS status, r AS reason FROM (SELECT event_id, CASE WHEN bool_or(back) OVER (PARTITION BY user_id ORDER BY row ROWS UNBOUNDED PRECEDING) THEN 'time jumps back' END AS r FROM
+  (SELECT *, coalesce(start < lag(start) OVER (PARTITION BY user_id ORDER BY row) - 3600, false) AS back FROM (SELECT *, us / 1e6 - CASE WHEN row % 40 = 39 THEN 2592000 ELSE 0 END AS start FROM {REC})))""")
+def rows_before_a_jump(spark, d):
+    """A table ends where its starts jump back by more than an hour, as where another day's block lies below."""
+    e = events(spark, d).withColumn("start", F.col("us") / 1e6 - F.when(F.col("row") % 40 == 39, 2592000).otherwise(0))
+    return steps.select_rows(e, ["user_id"], "row", "start", time_jump_s=3600.0).select("event_id", "status", "reason")
+
+
 @query("label_fill_down", f"SELECT event_id, last_value(CASE WHEN event_type = 'signup' THEN event_type || row END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY row ROWS UNBOUNDED PRECEDING) AS label FROM {REC}")
 def label_fill_down(spark, d):
     e = events(spark, d).withColumn("l", F.when(F.col("event_type") == "signup", F.concat("event_type", F.col("row").cast("string"))))

@@ -169,6 +169,14 @@ def json_columns(spark, d):
     return split_json(_t(spark, d, "events").select("event_id", "props"), "props", ["k"]).select("event_id", "k")
 
 
+@query("invalid_json", "SELECT count(*) FILTER (WHERE event_id % 9 = 0) AS invalid FROM events")
+def invalid_json(spark, d):
+    from benchloom.sources import tables
+
+    e = _t(spark, d, "events").select(F.when(F.col("event_id") % 9 == 0, F.concat(F.lit("x"), "props")).otherwise(F.col("props")).alias("props"))
+    return tables.invalid_json(e, "props")
+
+
 _FORMULAS = {
     "ratio": ("l_extendedprice / (l_discount * l_tax)", "CASE WHEN l_discount * l_tax = 0 THEN CASE WHEN l_extendedprice = 0 THEN 'nan'::DOUBLE ELSE 'inf'::DOUBLE END ELSE l_extendedprice / (l_discount * l_tax) END"),
     "logs": ("log(l_discount) + log10(l_quantity)", "CASE WHEN l_discount = 0 THEN '-inf'::DOUBLE ELSE ln(l_discount) + log10(l_quantity) END"),

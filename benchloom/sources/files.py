@@ -218,11 +218,6 @@ def locate(grid: list[list[str]], label: str | None = None, direction: str = "ri
     return found[n - 1]
 
 
-def long_format(df: DataFrame, time: str, variable: str, value: str) -> bool:
-    """Whether a table is long: at least two variables share a time."""
-    return not df.groupBy(time).agg(F.count_distinct(variable).alias("n")).filter("n > 1").isEmpty()
-
-
 def write_result(df: DataFrame, path: str) -> None:
     """Results as text with semicolons and a header."""
     df.write.option("sep", ";").option("header", True).csv(path)
