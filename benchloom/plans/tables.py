@@ -154,11 +154,16 @@ def midnight_rollover(spark, d):
     return e.select("event_id", (seconds + 86400 * F.sum("days").over(w.rowsBetween(-(2**63), 0))).alias("seconds"))
 
 
-@query("local_to_utc", """SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN NULL WHEN o_orderkey % 4 = 1 THEN TIMESTAMP '2024-10-27 00:30:00' ELSE TIMESTAMP '2024-07-01 10:00:00' END AS utc,
-CASE WHEN o_orderkey % 4 = 0 THEN 'nonexistent_local_time' WHEN o_orderkey % 4 = 1 THEN 'ambiguous_local_time' END AS reason FROM orders""")
+_WALL = "(SELECT o_orderkey, o_orderkey % 2 AS autumn, CASE WHEN o_orderkey % 2 = 0 THEN TIMESTAMP '2024-03-31 00:00:00' ELSE TIMESTAMP '2024-10-27 00:00:00' END AS day, (o_orderkey * 61) % 86400 AS s FROM orders)"
+
+
+@query("local_to_utc", f"""SELECT o_orderkey, CASE WHEN autumn = 0 AND s >= 7200 AND s < 10800 THEN NULL ELSE day + to_seconds(s - CASE WHEN autumn = 0 AND s < 7200 OR autumn = 1 AND s >= 10800 THEN 3600 ELSE 7200 END) END AS utc,
+CASE WHEN s >= 7200 AND s < 10800 THEN CASE WHEN autumn = 0 THEN 'nonexistent_local_time' ELSE 'ambiguous_local_time' END END AS reason FROM {_WALL}""")
 def local_to_utc(spark, d):
-    k = F.col("o_orderkey") % 4
-    wall = F.when(k == 0, "2024-03-31 02:30:00").when(k == 1, "2024-10-27 02:30:00").otherwise("2024-07-01 12:00:00")
+    """Every time of the days on which the clocks of a zone go forth and back."""
+    k = F.col("o_orderkey")
+    day = F.when(k % 2 == 0, "2024-03-31 00:00:00").otherwise("2024-10-27 00:00:00").cast("timestamp_ntz")
+    wall = day + F.make_dt_interval(secs=((k * 61) % 86400).cast("decimal(18,6)"))
     return _t(spark, d, "orders").select("o_orderkey", times.local_to_utc(wall, "Europe/Zurich").alias("r")).select("o_orderkey", "r.*")
 
 

@@ -20,8 +20,15 @@ from benchloom.operators.reshape import unique_names
 SECRETS = ("password", "passwd", "secret", "token", "apikey", "api_key", "key")
 
 
+#: Bytes of a database, sheet or settings file that the driver may take; larger ones belong in a table.
+LIMIT = 1 << 30
+
+
 def fetch(spark: SparkSession, path: str) -> bytes:
-    """A file's bytes through Spark; for settings and sheets, which are small."""
+    """A file's bytes through Spark; for settings, sheets and databases of devices, which are small: more than LIMIT raises."""
+    size = spark.read.format("binaryFile").load(path).select("length").first()
+    if size is not None and size.length > LIMIT:
+        raise MemoryError(f"{path}: {size.length} bytes, {LIMIT} can be taken")
     row = spark.read.format("binaryFile").load(path).select("content").first()
     if row is None:
         raise FileNotFoundError(path)
