@@ -48,7 +48,7 @@ KINDS = (
     Kind("national_id", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "[0-9]-[0-9]", False, 0.3, r"(?i)\b(?:ssn|social security|tax id|national id)\b", boost=0.5),
     Kind("local_phone", r"(?<![0-9+().-])\(?[0-9]{2,4}\)?(?:[\x20.-][0-9]{2,4}){2,3}(?![0-9-])", "[0-9]", False, 0.3, r"(?i)\b(?:tel|phone|call us|fax|mobile|telefon|tel[eé]fono|t[eé]l[eé]phone)\b\W{0,3}$", boost=0.5),
     Kind("access_key", r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+)", "AKIA|gh[pousr]_|xox[abprs]-|eyJ", False, 0.8, r"(?i)\b(?:key|token|secret)\b"),
-    Kind("secret", r"(?<![A-Za-z0-9_+-])[A-Za-z0-9_+-]{20,}+={0,2}", "[A-Za-z0-9_+-]{20}", False, 0.2, r"(?i)\b(?:token|secret|api[_ -]?key|access[_ -]?key|private[_ -]?key|passwords?|passwd|pwd|credentials?|bearer|auth)\b", boost=0.4, confirmed=0.2),
+    Kind("secret", r"(?<![A-Za-z0-9_+-])[A-Za-z0-9_+-]{20,}+={0,2}", r"(?<![A-Za-z0-9_+-])[A-Za-z0-9_+-]{20}", False, 0.2, r"(?i)\b(?:token|secret|api[_ -]?key|access[_ -]?key|private[_ -]?key|passwords?|passwd|pwd|credentials?|bearer|auth)\b", boost=0.4, confirmed=0.2),
 )
 #: A span needs this score; base kinds are kept whatever their score.
 THRESHOLD = 0.75
