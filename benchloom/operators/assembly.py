@@ -59,7 +59,7 @@ def last_rows(df: DataFrame, by: list[str], row: str, n: int) -> DataFrame:
 def largest(df: DataFrame, by: list[str], value: str, key: str, n: int) -> DataFrame:
     """The ``n`` rows of largest value of each group (then smallest key), with their rank."""
     w = Window.partitionBy(*by).orderBy(F.desc_nulls_last(value), key)
-    return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+    return df.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= n)
 
 
 def robust_range(df: DataFrame, by: list[str], value: str, low: float = 1.0, high: float = 99.0) -> DataFrame:

@@ -73,7 +73,7 @@ def _database(spark, d) -> str:
         return files.put_bytes(spark, _place(spark, "places.db"), f.read())
 
 
-@query("load_sqlite", "SELECT n_nationkey AS id, n_name AS name, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey")
+@query("load_sqlite", "SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS name, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey")
 def load_sqlite(spark, d):
     return files.read_sqlite(spark, _database(spark, d), sql="SELECT n.id, n.name, r.name AS region FROM nation n JOIN region r ON r.id = n.region")
 

@@ -27,7 +27,7 @@ def window_equivalence(spark, d):
 _CHECKED = f"(SELECT step_id, count(*) FILTER (WHERE value <= 100) AS n, count(*) FILTER (WHERE value > 100) AS x, any_value(s1 - s0) AS window_s, stddev_samp(value) FILTER (WHERE value <= 100) AS sd FROM {INSIDE} GROUP BY 1)"
 
 
-@query("window_counts", f"SELECT step_id, n, x AS n_excluded, 0 AS n_missing, window_s FROM {_CHECKED}")
+@query("window_counts", f"SELECT step_id, n, x AS n_excluded, CAST(0 AS BIGINT) AS n_missing, window_s FROM {_CHECKED}")
 def window_counts(spark, d):
     rows = inside(spark, d).withColumn("out", F.col("value") > 100)
     return stats.counts(rows, ["step_id"], "value", "s0", "s1", "out")

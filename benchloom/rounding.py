@@ -6,7 +6,8 @@ A name may say how many digits; times, which are single operations on both sides
 DIGITS = 6
 
 DOUBLES: dict[str, str] = {
-    "load_delimited": "preis:2",
+    "load_by_profile": "mass_g is_valid",
+    "load_delimited": "preis:2 time_seconds",
     "quality_settings": "jump window_s",
     "budget_bars": "u share",
     "derived_quantities": "ea u_ea k0 u_k0",
