@@ -36,11 +36,11 @@ ASKED = -1
 #: Orders up to this one are sent to all tasks.
 LOW = 2
 #: Trie nodes and bytes of training text for each bucket of grams.
-BUCKET_NODES, BUCKET_BYTES = 1_000_000, 32 << 20
+BUCKET_NODES, BUCKET_BYTES = 600_000, 16 << 20
 #: Buckets at least: a row has a partial sum from each bucket of its rare grams, as with a large corpus.
 LEAST_BUCKETS = 24
 #: Distinct keys a counting task holds before it hands partial counts on.
-HELD = 3_000_000
+HELD = 2_000_000
 
 
 def held_out(doc_id: Column) -> Column:
