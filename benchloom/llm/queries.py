@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from benchloom.llm import ann, decontaminate, html, jaccard, lm, packing, pii, quality, substrings, warc
+from benchloom.llm import ann, decontaminate, html, jaccard, lm, packing, pii, quality, substrings, warc, whitening
 from benchloom.llm.common import materialize, new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +121,9 @@ def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the bytes of 200-byte strings that appear elsewhere."""
     return substrings.remove_repeats(_table(spark, sf_dir, "documents", "doc_id", "text"), 200)
+
+
+@_query
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding in its whitened first eight components."""
+    return whitening.components(_table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
