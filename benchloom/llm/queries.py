@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from benchloom.llm import ann, decontaminate, html, jaccard, lm, packing, pii, quality, substrings, warc, whitening
+from benchloom.llm import ann, decontaminate, html, jaccard, lm, packing, pii, quality, records, substrings, warc, whitening
 from benchloom.llm.common import materialize, new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,3 +127,13 @@ def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every embedding in its whitened first eight components."""
     return whitening.components(_table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+@_query
+def op12_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, written as framed records and read back."""
+    import public_tokenizers
+
+    ids = records.token_ids(_table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), end=2)
+    rows = records.read(spark, records.write(ids, new_path(spark, "records")))
+    return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
