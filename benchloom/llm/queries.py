@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from benchloom.llm import ann, decontaminate, html, jaccard, lm, packing, pii, quality, records, substrings, warc, whitening
+from benchloom.llm import ann, decontaminate, divergence, html, jaccard, lm, packing, pii, quality, records, substrings, warc, whitening
 from benchloom.llm.common import materialize, new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -137,3 +137,28 @@ def op12_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = records.token_ids(_table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), end=2)
     rows = records.read(spark, records.write(ids, new_path(spark, "records")))
     return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@_query
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances between the vocabularies of all sources of a language, and each source's telling terms."""
+    return divergence.audit(_table(spark, sf_dir, "documents", "lang", "source", "text"))
+
+
+_SHARE = "1 + (1000000000::HUGEINT * ({c} + 2)) // ({n} + 2 * {v})"
+_APART = "(({p} - {q}) * ({p} - {q})) // ({p} + {q})"
+ORACLE_SQL["op11_divergence"] = f"""
+WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+w AS (SELECT doc, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term FROM w GROUP BY 1, 2 HAVING count(DISTINCT doc) >= 10),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS c FROM w SEMI JOIN k USING (lang, term) GROUP BY 1, 2, 3),
+full_ AS (SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c FROM g JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+n AS (SELECT *, sum(c) OVER (PARTITION BY lang, source) AS n, count(*) OVER (PARTITION BY lang, source) AS v, sum(c) OVER (PARTITION BY lang, term) AS lc, sum(c) OVER (PARTITION BY lang) AS ln FROM full_),
+p AS (SELECT lang, source, term, c, {_SHARE.format(c="c", n="n", v="v")} AS p, {_SHARE.format(c="lc", n="ln", v="v")} AS q FROM n),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum({_APART.format(p="a.p", q="b.p")}) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+term AS (SELECT lang, source, 'term' AS part, term AS item, ({_APART.format(p="p", q="q")})::BIGINT AS value FROM p WHERE c > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM (FROM pair UNION ALL FROM term))
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
