@@ -39,10 +39,14 @@ def _database():
     import duckdb
 
     con = duckdb.connect(config={"threads": 1})
-    con.execute("SET preserve_insertion_order = false")
+    _done(con, "SET preserve_insertion_order = false")
     return con
 
 
+def _done(con, sql: str) -> list[tuple]:
+    return con.execute(sql).fetchall()
+
+
 def _take(con, sql: str, **tables: pa.Table) -> pa.Table:
     for name, t in tables.items():
         con.register(name, t)
@@ -62,15 +66,15 @@ _PARTIAL = pa.schema([("lang", pa.string()), ("term", pa.string()), ("items", pa
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents to counts by language and term, with the sources of each."""
     con, rows = _database(), 0
-    con.execute("CREATE TABLE seen (lang VARCHAR, term VARCHAR, source VARCHAR, c BIGINT, d BIGINT)")
+    _done(con, "CREATE TABLE seen (lang VARCHAR, term VARCHAR, source VARCHAR, c BIGINT, d BIGINT)")
     sent = "SELECT lang, term, list(struct_pack(source := source, \"count\" := c, docs := d)) AS items FROM (SELECT lang, term, source, sum(c)::BIGINT AS c, sum(d)::BIGINT AS d FROM seen GROUP BY ALL) GROUP BY ALL"
     words = f"SELECT n, lang, source, unnest(regexp_extract_all({_LOWER.format('text')}, '{TERM}')) AS term FROM (SELECT row_number() OVER () AS n, * FROM part)"
     for batch in batches:
         _take(con, f"INSERT INTO seen SELECT lang, term, source, sum(c)::BIGINT, count(*) FROM (SELECT n, lang, source, term, count(*) AS c FROM ({words}) GROUP BY ALL) GROUP BY ALL", part=pa.Table.from_batches([batch]))
-        rows = con.execute("SELECT count(*) FROM seen").fetchone()[0]
+        rows = _done(con, "SELECT count(*) FROM seen")[0][0]
         if rows > ROWS:
             yield from _batches(_take(con, sent), _PARTIAL)
-            con.execute("DELETE FROM seen")
+            _done(con, "DELETE FROM seen")
     if rows:
         yield from _batches(_take(con, sent), _PARTIAL)
 
@@ -83,12 +87,12 @@ def _merge(min_docs: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         con, since = _database(), 0
-        con.execute("CREATE TABLE seen (lang VARCHAR, term VARCHAR, source VARCHAR, c BIGINT, d BIGINT)")
+        _done(con, "CREATE TABLE seen (lang VARCHAR, term VARCHAR, source VARCHAR, c BIGINT, d BIGINT)")
         for batch in batches:
             _take(con, 'INSERT INTO seen SELECT lang, term, i.source, i."count", i.docs FROM (SELECT lang, term, unnest(items) AS i FROM part)', part=pa.Table.from_batches([batch]))
             since += batch.num_rows
             if since > ROWS:  # what repeats is summed before more comes
-                con.execute("CREATE OR REPLACE TABLE seen AS SELECT lang, term, source, sum(c)::BIGINT AS c, sum(d)::BIGINT AS d FROM seen GROUP BY ALL")
+                _done(con, "CREATE OR REPLACE TABLE seen AS SELECT lang, term, source, sum(c)::BIGINT AS c, sum(d)::BIGINT AS d FROM seen GROUP BY ALL")
                 since = 0
         sums = f"""
         WITH s AS (SELECT lang, term, source, sum(c)::BIGINT AS c, sum(d)::BIGINT AS d FROM seen GROUP BY ALL),

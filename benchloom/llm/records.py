@@ -7,8 +7,8 @@ that counted, so repeated, lost or speculative attempts never show, and what the
 records from the manifest, so a large shard is read by many tasks, and checks every length and checksum. ``shuffled`` reads
 single records by the index in an order drawn from a seed.
 
-Texts are cut at ASCII white space where the tokenizer's own rules make pieces independent of each other; each distinct
-piece is then encoded once by the tokenizers library and its ids are gathered by arrays.
+Texts are cut where the tokenizer's own rules make the pieces independent of each other; each distinct piece is then encoded
+once by the tokenizers library and its ids are gathered by arrays.
 
 Defined results: a null text is an empty one: the end id alone. Records are in ascending order of doc_id, nulls first, and of
 a digest of the text at equal ids; repeated rows are records of their own. Other columns are ignored. An empty table is a
@@ -22,6 +22,7 @@ import os
 import re
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,43 @@ KEPT_PIECES, PIECE_BYTES, TEXT_BYTES = 1 << 19, 64, 2 << 20
 _MANIFEST = "manifest.json"
 
 
+#: The pattern of pre-tokens whose pieces ``_BREAKS`` gives.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _classes() -> np.ndarray:
+    """Classes of bytes: white space 0, letters 1, digits 2, other ASCII 3, apostrophe 4, beyond ASCII 5."""
+    out = np.full(256, 3, np.uint8)
+    out[[9, 10, 11, 12, 13, 32]] = 0
+    out[[*range(65, 91), *range(97, 123)]] = 1
+    out[48:58] = 2
+    out[39] = 4
+    out[128:] = 5
+    return out
+
+
+def _breaks() -> np.ndarray:
+    """Whether pre-tokens on both sides of two neighbouring classes never depend on each other.
+
+    White space is in no pre-token. ASCII letters and digits end before other ASCII characters and begin after them, but for
+    what an apostrophe begins. What lies beyond ASCII may be a letter or a mark, so nothing is cut there.
+    """
+    cut = np.zeros((8, 8), bool)
+    cut[0, 1:6] = cut[1:6, 0] = True
+    cut[1, [2, 3, 4]] = cut[2, [1, 2, 3, 4]] = cut[3, [1, 2]] = True
+    return cut.ravel()
+
+
+_CLASS, _BREAKS = _classes(), _breaks()
+_CAPITAL = (np.arange(256) >= 65) & (np.arange(256) < 91)
+
+
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers, and how many lie before each list."""
+    before = np.concatenate([[0], np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists)))]).astype(np.int64)
+    return np.fromiter(chain.from_iterable(lists), np.uint32, int(before[-1])), before
+
+
 class Encoder:
     """Ids of a tokenizer file, by pieces of text where its rules allow it."""
 
@@ -51,75 +89,104 @@ class Encoder:
 
         self.whole = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
-            self.pieces = drops_white_space(json.load(f))
+            spec = json.load(f)
+        self.pieces, self.added = cuts_apply(spec), [t["content"] for t in spec.get("added_tokens", [])]
         self._clear()
 
     def _clear(self) -> None:
         self.place: dict[str, int] = {}
-        self.begins, self.ids = [0], np.zeros(0, np.uint32)
+        self.begins, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+
+    def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and how many lie before each text."""
+        return _flat([e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)])
 
-    def _encoded(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+    def _add(self, words: list[str], ids: np.ndarray, before: np.ndarray) -> None:
+        self.place.update(zip(words, range(len(self.place), len(self.place) + len(words))))
+        self.begins = np.concatenate([self.begins, self.begins[-1] + before[1:]])
+        self.ids = np.concatenate([self.ids, ids])
 
     def _places(self, words: list[str]) -> np.ndarray:
         """Where the ids of distinct ``words`` are kept; encodes those that are new."""
         if len(self.place) > KEPT_PIECES:
             self._clear()
         new = [w for w in words if w not in self.place]
-        if new:
-            found = self._encoded(new)
-            for w, ids in zip(new, found):
-                self.place[w] = len(self.begins) - 1
-                self.begins.append(self.begins[-1] + len(ids))
-            self.ids = np.concatenate([self.ids, *[np.array(ids, np.uint32) for ids in found]])
-        return np.array([self.place[w] for w in words], np.int64)
+        # Small ASCII letters are one pre-token as they are: the library's model alone gives their ids, at half the cost.
+        plain = [w for w in new if w.isascii() and w.isalpha() and w.islower()]
+        if plain:
+            tokenize = self.whole.model.tokenize
+            found = [[t.id for t in tokenize(w)] for w in plain]
+            self._add(plain, *_flat(found))
+        if rest := [w for w in new if w not in self.place]:
+            self._add(rest, *self._encoded(rest))
+        return np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of ``texts``, and how many lie before each (with the total as last)."""
-        if not self.pieces:
-            found = self._encoded(texts.to_pylist())
-            return np.array([i for ids in found for i in ids], np.uint32), np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int64)
-        split = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
-        words = split.flatten().dictionary_encode()
+        special = np.zeros(len(texts), bool)
+        for content in self.added:
+            special |= pc.match_substring(texts, content, ignore_case=True).to_numpy(zero_copy_only=False)
+        if not self.pieces or special.all():
+            return self._encoded(texts.to_pylist())
+        if not special.any():
+            return self._by_pieces(texts)
+        # Texts with added tokens in them go to the library whole.
+        parts = [self._encoded(texts.filter(pa.array(special)).to_pylist()), self._by_pieces(texts.filter(pa.array(~special)))]
+        sizes = np.zeros(len(texts), np.int64)
+        sizes[special], sizes[~special] = (np.diff(before) for _, before in parts)
+        owner = np.repeat(special, sizes)
+        out = np.zeros(len(owner), np.uint32)
+        out[owner], out[~owner] = (ids for ids, _ in parts)
+        return out, np.concatenate([[0], np.cumsum(sizes)])
+
+    def _by_pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        texts = texts.cast(pa.large_binary())
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        offsets = offsets - offsets[0]
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+        kind = _CLASS[data]
+        cut = np.concatenate([[True], _BREAKS[kind[:-1] * np.uint8(8) + kind[1:]]])
+        cut[offsets[offsets < len(data)]] = True
+        starts = np.flatnonzero(cut)
+        # Capitals are lowered where no mark can follow, which the tokenizer would join to the capital.
+        plain = _CAPITAL[data]
+        plain[:-1] &= kind[1:] != 5
+        data = data + plain.astype(np.uint8) * np.uint8(32)
+        ends = np.concatenate([starts, [len(data)]])
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(data)]).dictionary_encode()
         lengths = pc.binary_length(words.dictionary).to_numpy()
-        names = words.dictionary.to_pylist()
+        names = words.dictionary.cast(pa.large_string()).to_pylist()
         short = np.flatnonzero(lengths <= PIECE_BYTES)
         places = np.zeros(len(names), np.int64)
         places[short] = self._places([names[i] for i in short])
-        begins, ids = np.array(self.begins, np.int64), self.ids
+        begins, ids = self.begins, self.ids
         long_ = np.flatnonzero(lengths > PIECE_BYTES)
         if len(long_):  # met once as a rule: encoded for this step alone
-            found = self._encoded([names[i] for i in long_])
+            more, before = self._encoded([names[i] for i in long_])
             places[long_] = len(begins) - 1 + np.arange(len(long_))
-            begins = np.concatenate([begins, begins[-1] + np.cumsum([len(x) for x in found])])
-            ids = np.concatenate([ids, *[np.array(x, np.uint32) for x in found]])
-        at = places[words.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
-        size = begins[at + 1] - begins[at] if len(at) else at
+            begins, ids = np.concatenate([begins, begins[-1] + before[1:]]), np.concatenate([ids, more])
+        at = places[words.indices.to_numpy()]
+        first = begins[at]
+        size = begins[at + 1] - first
         after = np.concatenate([[0], np.cumsum(size)])
-        take = np.arange(after[-1]) + np.repeat(begins[at] - after[:-1], size) if len(at) else at
-        rows = split.offsets.to_numpy()
-        return ids[take], after[rows - rows[0]]
+        take = np.arange(after[-1]) + np.repeat(first - after[:-1], size)
+        return ids[take], after[np.searchsorted(starts, offsets)]
 
 
-def drops_white_space(spec: dict) -> bool:
-    """Whether a tokenizer file encodes a text as its pieces between ASCII white space, one after the other.
+def cuts_apply(spec: dict) -> bool:
+    """Whether a tokenizer file encodes a text as its pieces by ``_BREAKS``, one after the other.
 
-    So it is if normalization works on single characters and marks, pre-tokens are the matches of a pattern that cannot hold
-    or look at white space, and nothing is added at a text's ends.
+    So it does if normalization composes marks, makes white space one and lowers, in this order, if pre-tokens are the matches
+    of ``_PATTERN``, and if nothing is added at a text's ends. Added tokens are looked for apart.
     """
     several = lambda x, key: (x or {}).get(key) or ([x] if x else [])
-    for n in several(spec.get("normalizer"), "normalizers"):
-        if n["type"] not in ("NFC", "NFD", "Lowercase") and not (n["type"] == "Replace" and n["pattern"] == {"Regex": "\\s+"} and n["content"] == " "):
-            return False
+    space = {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}
     first, *rest = several(spec.get("pre_tokenizer"), "pretokenizers") or [{}]
-    pattern = (first.get("pattern") or {}).get("Regex", " ")
-    plain = re.sub(r"\[\^\\s(\\p\{\w+\})*\]|\[?\\p\{\w+\}\]?", "", pattern)
-    if first.get("type") != "Split" or first.get("behavior") != "Removed" or not first.get("invert") or not re.fullmatch(r"['\w|+*]*", plain):
-        return False
-    if any(p["type"] != "ByteLevel" or p.get("add_prefix_space") or p.get("use_regex") for p in rest):
-        return False
-    added = spec.get("added_tokens", [])
-    return not spec.get("truncation") and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or re.search(r"\s", t["content"]) for t in added)
+    split = {"type": "Split", "pattern": {"Regex": _PATTERN}, "behavior": "Removed", "invert": True}
+    bytes_only = all(p["type"] == "ByteLevel" and not p.get("add_prefix_space") and not p.get("use_regex") for p in rest)
+    return several(spec.get("normalizer"), "normalizers") == [{"type": "NFC"}, space, {"type": "Lowercase"}] and first == split and bytes_only and not spec.get("truncation")
 
 
 _encoders: dict[str, Encoder] = {}

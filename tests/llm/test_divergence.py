@@ -29,10 +29,14 @@ def test_whole_table(spark):
 
 
 def test_sums_in_parts_and_long_texts(spark, monkeypatch):
-    """One source with a third of all rows, texts of a megabyte, and tasks that sum after every few rows."""
+    """One source with a third of all rows, texts of a megabyte, many batches a task, and tasks that sum after every few rows."""
     monkeypatch.setattr(divergence, "ROWS", 50)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 20)
     df = spark.createDataFrame(rows(300, 1) + [("en", "hot", f"word{chr(97 + i % 26)} common") for i in range(150)] + [("en", "long", "common wa wb " * 80_000)], SCHEMA).repartition(5)
-    same_rows(divergence.audit(df), SQL, documents=df)
+    try:
+        same_rows(divergence.audit(df), SQL, documents=df)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_clashing_columns(spark):
