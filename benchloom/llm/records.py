@@ -34,6 +34,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 from benchloom.llm import framing
 from benchloom.llm.common import bound_batches
+from benchloom.llm.tokens import byte_of_char
 
 FORMAT = "token_records"
 #: Bytes of a shard after which a task begins the next one, and of records that a task reads or a batch holds.
@@ -71,6 +72,8 @@ def _breaks() -> np.ndarray:
 
 
 _CLASS, _BREAKS = _classes(), _breaks()
+#: Small letters that normalization leaves as they are, and the characters that stand for bytes in byte-level vocabularies.
+_SMALL, _SHOWN = re.compile("[a-zß-öø-ÿ]+"), {b: c for c, b in byte_of_char().items()}
 _CAPITAL = (np.arange(256) >= 65) & (np.arange(256) < 91)
 
 
@@ -111,12 +114,11 @@ class Encoder:
         if len(self.place) > KEPT_PIECES:
             self._clear()
         new = [w for w in words if w not in self.place]
-        # Small ASCII letters are one pre-token as they are: the library's model alone gives their ids, at half the cost.
-        plain = [w for w in new if w.isascii() and w.isalpha() and w.islower()]
+        # Small letters are one pre-token as they are: the library's model alone gives their ids, at half the cost.
+        plain = [w for w in new if _SMALL.fullmatch(w)]
         if plain:
             tokenize = self.whole.model.tokenize
-            found = [[t.id for t in tokenize(w)] for w in plain]
-            self._add(plain, *_flat(found))
+            self._add(plain, *_flat([[t.id for t in tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(_SHOWN))] for w in plain]))
         if rest := [w for w in new if w not in self.place]:
             self._add(rest, *self._encoded(rest))
         return np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
@@ -149,22 +151,27 @@ class Encoder:
         kind = _CLASS[data]
         cut = np.concatenate([[True], _BREAKS[kind[:-1] * np.uint8(8) + kind[1:]]])
         cut[offsets[offsets < len(data)]] = True
-        starts = np.flatnonzero(cut)
         # Capitals are lowered where no mark can follow, which the tokenizer would join to the capital.
         plain = _CAPITAL[data]
         plain[:-1] &= kind[1:] != 5
-        data = data + plain.astype(np.uint8) * np.uint8(32)
-        ends = np.concatenate([starts, [len(data)]])
-        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(data)]).dictionary_encode()
+        data = data + plain.view(np.uint8) * np.uint8(32)
+        # White space is left out, so that pieces lie end to end.
+        solid = kind != 0
+        starts = np.flatnonzero(cut & solid)
+        if not len(starts):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+        dense = data[solid]
+        ends = np.append((np.cumsum(solid, dtype=np.int64) - 1)[starts], len(dense))
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(dense)]).dictionary_encode()
         lengths = pc.binary_length(words.dictionary).to_numpy()
-        names = words.dictionary.cast(pa.large_string()).to_pylist()
+        names = words.dictionary.cast(pa.large_string()).to_numpy(zero_copy_only=False)
         short = np.flatnonzero(lengths <= PIECE_BYTES)
         places = np.zeros(len(names), np.int64)
-        places[short] = self._places([names[i] for i in short])
+        places[short] = self._places(names[short].tolist())
         begins, ids = self.begins, self.ids
         long_ = np.flatnonzero(lengths > PIECE_BYTES)
         if len(long_):  # met once as a rule: encoded for this step alone
-            more, before = self._encoded([names[i] for i in long_])
+            more, before = self._encoded(names[long_].tolist())
             places[long_] = len(begins) - 1 + np.arange(len(long_))
             begins, ids = np.concatenate([begins, begins[-1] + before[1:]]), np.concatenate([ids, more])
         at = places[words.indices.to_numpy()]

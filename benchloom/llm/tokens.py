@@ -11,7 +11,7 @@ from itertools import pairwise
 _loaded: dict[str, "ByteBpe"] = {}
 
 
-def _byte_of_char() -> dict[str, int]:
+def byte_of_char() -> dict[str, int]:
     """The printable stand-ins of byte-level vocabularies: printable Latin-1 stands for itself, others follow 255."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in own]
@@ -48,7 +48,7 @@ class ByteBpe:
         order = [vocab["".join(p)] for p in pairs]
         if any(b <= a for a, b in pairwise(order)) or (order and order[0] < 256):
             return None
-        of = _byte_of_char()
+        of = byte_of_char()
         ranks = {bytes(of[c] for c in token): i for token, i in vocab.items() if all(c in of for c in token)}
         return tiktoken.Encoding("ranked", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}) if len(ranks) == len(vocab) else None
 
