@@ -1,11 +1,17 @@
 """Main text of pages: the maximum-scoring contiguous run of a page's words (positive) and tags (negative).
 
+Some elements are boilerplate by what they say of themselves: their tag (nav, aside, script) or a word of their class, id or
+role. Their texts score nothing, cut nothing and are not part of the result. A page marks its article if at least a quarter of
+its other words lie under elements that speak for content (article, main, class "content"): then these words score, other
+words score nothing and are left out, and the run goes from the first of them to the last. On other pages every word
+scores: less or more by the names of the elements above it, below zero in blocks of links alone (but headings). Tags of blocks
+cost, once between two texts however many they are, so that one-word items still add to a run. One linear scan finds the best
+run; all of it that is not boilerplate is the result.
+
 Weights come from labelled pages, those whose markup names their article (article, main or role main), at most ``sample`` of
-them by smallest hash: for every tag and every name in class, id and role attributes, how many words under such elements lie
-inside and outside the article. Prior counts, from the names below, stand for elements no labelled page has. A text under an
-element that speaks for boilerplate scores nothing and is not part of the result, so that adverts within an article do not
-cut it; other words score by what their elements say. Tags of blocks cost, but for those under an element that speaks for
-content: there empty tags, however many, cut nothing. One linear scan finds the best run.
+them by smallest hash: on how many pages a name of class, id or role stands within or above an article, and on how many
+outside of it. Plain tags say nothing but for those that are listed here: that labelled pages have no list in an article says
+nothing of lists. Names that are listed, too, start from counts that stand for that; labelled pages can outweigh them.
 
 A name of several words (``site-footer``) speaks as its last word does, if the words before are of these lists, too: ``legal-news``
 and ``search-results-explained`` are names of their own, of which labelled pages may say something.
@@ -42,6 +48,7 @@ CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "t
 SCOPE = frozenset("table ul ol dl select menu".split())
 SKIP_TAGS = frozenset("nav footer aside form head script style noscript template iframe button select textarea object dialog menu svg math title search canvas".split())
 MAIN_TAGS = frozenset(("article", "main"))
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SKIP_WORDS = frozenset(
     "nav navbar navigation menu submenu header masthead banner footer sidebar aside widget widgets ad ads adv advert adverts advertisement advertising adsense adslot adbox sponsor sponsored sponsors promo promos promotion cookie cookies consent gdpr notice notices alert alerts popup modal overlay lightbox "
     "subscribe subscription newsletter signup login share sharing social socials related recommended recommendations trending popular teaser comment comments commentlist disqus reply replies respond breadcrumb breadcrumbs pagination pager toolbar topbar copyright legal disclaimer search form hidden skip contentinfo complementary dialog outbrain taboola".split())
@@ -56,8 +63,12 @@ _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 #: Characters of attributes up to which what they say is remembered.
 CACHED = 1000
-#: Words that labelled pages count for at most, under one name; ten times what the names above start with.
-EVIDENCE = 4000.0
+#: Pages of which a name must be known; what a listed name starts with, in pages inside and outside of articles.
+SEEN, LISTED = 3, (0.5, 8.0)
+#: Scores: a word; a word of a block of links; the first tag of a block after a text. How far names move a word's score.
+WORD, LINK, TAG, LEAST, MOST = 0.6, -0.6, -0.35, -1.2, 0.6
+#: The share of words under elements that speak for content from which on a page marks its article.
+MARKED = 0.25
 
 
 def events(page: str) -> Iterator[tuple[str, str, str]]:
@@ -151,35 +162,37 @@ def _names(tag: str, attributes: str) -> tuple[str, ...]:
     return tuple(out)
 
 
-def _prior(name: str) -> tuple[float, float]:
+def _listed(name: str) -> int:
+    """-1: listed as boilerplate, 1: as content, 0: not listed."""
     if name[:1] == "<":
-        tag = name[1:-1]
-        return (0.5, 400.0) if tag in SKIP_TAGS else (400.0, 2.0) if tag in MAIN_TAGS else (30.0, 30.0)
-    return (0.5, 400.0) if name in SKIP_WORDS else (60.0, 20.0) if name in MAIN_WORDS else (30.0, 30.0)
+        return -1 if name[1:-1] in SKIP_TAGS else 1 if name[1:-1] in MAIN_TAGS else 0
+    return -1 if name in SKIP_WORDS else 1 if name in MAIN_WORDS else 0
 
 
 @dataclass
 class Weights:
-    """Words inside and outside articles under elements that say a name; the cost of a tag."""
+    """For names: pages on which they stand within or above an article, and outside of it."""
 
     counts: dict[str, tuple[float, float]] = field(default_factory=dict)
-    tag: float = -0.35
 
     def __post_init__(self) -> None:
-        self._of: dict[tuple[str, str], float] = {}
+        self._of: dict[tuple[str, str], tuple[int, float]] = {}
 
-    def of(self, tag: str, attributes: str) -> float:
-        """Log odds that what an element holds is content; names that appear on both sides say little."""
+    def of(self, tag: str, attributes: str) -> tuple[int, float]:
+        """What an element is (-1 boilerplate, 1 content, 0 neither), and log odds of its names that are not listed."""
         key = (tag, attributes)
         if (got := self._of.get(key)) is None:
-            got = 0.0
+            listed, odds = 0.0, 0.0
             for name in names(tag, attributes):
                 inside, outside = self.counts.get(name, (0.0, 0.0))
-                a, b = _prior(name)
-                seen = inside + outside
-                shrink = min(1.0, EVIDENCE / seen) if seen else 1.0
-                own = log((inside * shrink + a) / (outside * shrink + b))
-                got += own if abs(own) > 0.5 else 0.0
+                if (side := _listed(name)) and name[:1] == "<":
+                    listed += 3.0 * side
+                elif side:
+                    a, b = LISTED if side < 0 else LISTED[::-1]
+                    listed += log((inside + a) / (outside + b))
+                elif name[:1] != "<" and inside + outside >= SEEN:
+                    odds += log((inside + 1) / (outside + 1))
+            got = (-1 if listed <= -1 else 1 if listed >= 1 else 0), odds
             if len(self._of) > 50_000:
                 self._of.clear()
             if len(attributes) <= CACHED:
@@ -195,26 +208,26 @@ class Under:
     form: bool = False
     header: bool = False
     inside: bool = False
-    bonus: float = 0.0
+    odds: float = 0.0
 
-    def then(self, tag: str, weight: float) -> "Under":
+    def then(self, tag: str, said: tuple[int, float]) -> "Under":
         if tag in ("html", "body"):
             return self
+        side, odds = said
         skipped, form, header = self.skipped, self.form, self.header or tag == "header"
-        if weight <= -1.0:
+        if side < 0:
             if tag == "form":
                 form = True  # an article below, which some pages wrap in a form, is content all the same
-            elif not (tag == "header" and self.inside and weight > -1.5):
+            else:
                 skipped = True
-        elif weight >= 1.0:
-            return Under(skipped, form and tag not in MAIN_TAGS, header, True, self.bonus + 0.7)
-        return Under(skipped, form, header, self.inside, self.bonus)
+        elif side > 0:
+            return Under(skipped, form and tag not in MAIN_TAGS, header, True, self.odds + odds)
+        return Under(skipped, form, header, self.inside, self.odds + odds)
 
-    def word(self, marked: bool) -> float:
-        """Score of a word; 0: boilerplate. On a page that marks its article other texts count against a run."""
-        if self.skipped or self.form or self.header and not self.inside:
-            return 0.0
-        return 0.6 + self.bonus if self.inside or not marked else -0.6
+    @property
+    def boilerplate(self) -> bool:
+        """A header is one outside of what speaks for content."""
+        return self.skipped or self.form or self.header and not self.inside
 
 
 @dataclass
@@ -265,36 +278,85 @@ def best_run(scores: list[float]) -> tuple[int, int]:
     return at
 
 
-def extract(page: str, weights: Weights) -> str:
-    """The main text of one page."""
-    if not page:
-        return ""
-    marked = any(k == "open" and v in MAIN_TAGS for k, v, _ in events(page))
-    tokens: list[tuple[str, str, float]] = []
-    scores: list[float] = []
+@dataclass
+class Token:
+    """A text or tag; ``out``: not part of any result."""
+
+    kind: str
+    value: str
+    words: int = 0
+    score: float = 0.0
+    out: bool = False
+
+
+def scored(page: str, weights: Weights) -> list[Token]:
+    """The tokens of a page with their scores."""
+    tokens: list[Token] = []
+    unders: list[Under] = []
+    links, block, heading = [0, 0], [], False
+
+    def end_block() -> None:
+        # A block of links alone: a menu or a list of other pages, but for headings.
+        if links[0] and links[0] == links[1] and not heading:
+            for t in block:
+                t.score = LINK
+        links[:] = [0, 0]
+        block.clear()
+
     top = Under()
     for kind, value, stack in nodes(page, weights):
         under = stack[-1].under if stack else top
-        if kind == "text":
-            word = under.word(marked)
-            tokens.append(("text", value, word))
-            scores.append(word * len(value.split()))
-        else:
-            tokens.append((kind, value, 0.0))
-            scores.append(0.0 if under.inside or value not in BLOCK else weights.tag)
-    low, high = best_run(scores)
+        token = Token(kind, value, len(value.split()) if kind == "text" else 0, out=under.boilerplate)
+        tokens.append(token)
+        unders.append(under)
+        if kind != "text":
+            if value in BLOCK:
+                end_block()
+                heading = kind == "open" and value in HEADINGS
+        elif token.words and not token.out:
+            links[0] += token.words
+            links[1] += token.words if any(e.tag == "a" for e in stack[-4:]) else 0
+            block.append(token)
+    end_block()
+    inside = sum(t.words for t, u in zip(tokens, unders) if u.inside and not t.out)
+    marked = inside > 0 and inside >= MARKED * sum(t.words for t in tokens if not t.out)
+    fresh = False
+    for t, u in zip(tokens, unders):
+        if t.kind != "text":
+            if t.value in BLOCK and fresh and not marked:
+                t.score, fresh = TAG, False
+        elif marked:
+            t.out = t.out or not u.inside
+            t.score = 0.0 if t.out else WORD * t.words
+        elif t.out:
+            t.score = 0.0
+        elif t.words:
+            t.score = t.words * (t.score or WORD + min(MOST, max(LEAST, 0.5 * u.odds)))
+            fresh = True
+    return tokens
+
+
+def text_of(tokens: list[Token]) -> str:
+    """What tokens say: blocks, joined by line ends."""
     blocks, own = [], []
-    for kind, value, word in [*tokens[low:high], ("open", "p", 0.0)]:
-        if kind == "text":
-            if word > 0:
-                own.append(value)
-        elif value in BLOCK:
+    for t in [*tokens, Token("open", "p")]:
+        if t.kind == "text":
+            if not t.out:
+                own.append(t.value)
+        elif t.value in BLOCK:
             if line := " ".join(entities.unescape("".join(own)).split()):
                 blocks.append(line)
             own = []
     return "\n".join(blocks)
 
 
+def extract(page: str, weights: Weights) -> str:
+    """The main text of one page."""
+    tokens = scored(page, weights) if page else []
+    low, high = best_run([t.score for t in tokens])
+    return text_of(tokens[low:high])
+
+
 def fit(pages: DataFrame, page_id: str = "page_id", html: str = "html", sample: int = 1000) -> Weights:
     """Weights of at most ``sample`` pages that name their article."""
     named = pages.filter(F.col(f"`{html}`").rlike(r"(?i)<(?:article|main)[\s>]|role\s*=\s*[\"']?main")).select(F.col(f"`{html}`").alias("html"), F.xxhash64(f"`{page_id}`", f"`{html}`").alias("h"))
@@ -303,24 +365,28 @@ def fit(pages: DataFrame, page_id: str = "page_id", html: str = "html", sample:
     chosen = named.filter(F.col("h") <= F.lit(last).cast("bigint")).dropDuplicates(["h"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat = Weights()
+        flat, sums = Weights(), {}
         for batch in batches:
-            sums: dict[str, list[float]] = {}
             for page in batch.column(0):
+                sides: dict[str, set[int]] = {}
                 for kind, value, stack in nodes(page.as_py() or "", flat):
-                    if kind == "text" and (n := len(value.split())):
+                    if kind == "text" and not value.isspace():
                         top = next((i for i, e in enumerate(stack) if e.tag in MAIN_TAGS or re.search(r"role\s*=\s*[\"']?main", e.attributes)), None)
-                        for i, e in enumerate(stack):
+                        # Within an article, but under a part of it that is boilerplate by its name: neither side.
+                        if top is not None and any(flat.of(e.tag, e.attributes)[0] < 0 for e in stack[top:]):
+                            continue
+                        for e in stack:
                             for name in names(e.tag, e.attributes):
-                                # What lies within an article but under a named part of it is not known to be content.
-                                side = 0 if top is not None and i >= top else 1
-                                if side or not any(_prior(x)[1] > 100 for x in names(e.tag, e.attributes)):
-                                    sums.setdefault(name, [0.0, 0.0])[side if top is None or i >= top else 0] += n
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v[0] for v in sums.values()], pa.float64()), pa.array([v[1] for v in sums.values()], pa.float64())], ["name", "inside", "outside"])
+                                sides.setdefault(name, set()).add(top is None)
+                for name, both in sides.items():
+                    own = sums.setdefault(name, [0.0, 0.0])
+                    # An element above an article holds other things, too: it counts as content alone.
+                    own[0 if False in both else 1] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v[0] for v in sums.values()], pa.float64()), pa.array([v[1] for v in sums.values()], pa.float64())], ["name", "inside", "outside"])
 
     counts = chosen.select("html").repartition(8).mapInArrow(count, "name string, inside double, outside double").groupBy("name").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
-    # Names seen on at least three words, of a bounded sample.
-    return Weights({r.name: (r.inside, r.outside) for r in counts.filter("inside + outside >= 3").collect()})
+    # Names of a bounded sample.
+    return Weights({r.name: (r.inside, r.outside) for r in counts.filter(F.col("inside") + F.col("outside") >= SEEN).collect()})
 
 
 def main_text(pages: DataFrame, html: str = "html", page_id: str = "page_id", out: str = "main_text", keep: list[str] | None = None, sample: int = 1000) -> DataFrame:

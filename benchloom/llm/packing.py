@@ -190,11 +190,17 @@ def program(counts: np.ndarray, capacity: int, eta: float = 0.5, near: float = 0
 def solve(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """Configurations (lengths, descending) with how often each is used, which hold exactly ``counts[length]`` pieces.
 
-    The program places most pieces, at every size of the input; those left go by best fit.
+    The program places most pieces, at every size of the input; those left go by best fit. Where best fit alone takes fewer
+    sequences, its plan is taken: both work on counts.
     """
     plan, rest = program(counts, capacity)
     for c, m in _best_fit(rest, capacity):
         plan[c] = plan.get(c, 0) + m
+    alone = _best_fit(counts, capacity)
+    if sum(m for _, m in alone) < sum(plan.values()):
+        plan = {}
+        for c, m in alone:
+            plan[c] = plan.get(c, 0) + m
     return sorted(plan.items(), key=lambda t: t[0], reverse=True)
 
 

@@ -119,3 +119,67 @@ def test_deep_pages_take_linear_time():
     for part in ("<div>", "<p>", "<b>x", "<li>x", "<span><option>", "</div>", "<dd><i>", "<table><td>"):
         html.extract(part * 20_000, html.Weights())
     assert time.process_time() - start < 20
+
+
+FORTY = " ".join(f"word{i}" for i in range(40))
+ITEMS = "".join(f"<li>item{i}</li>" for i in range(40))
+ITEM_TEXT = "\n".join(f"item{i}" for i in range(40))
+MENU = "<ul>" + "".join(f'<li><a href="/{i}">place{i}</a></li>' for i in range(8)) + "</ul>"
+
+#: Pages of other shapes than the tables have, and their main texts.
+SHAPES = {
+    page(f"<article><h1>Title</h1><div><p>{FORTY}</p></div></article>"): f"Title\n{FORTY}",
+    page(f"<article><h1>Title</h1><ul><li>{FORTY}</li></ul><p>x</p></article>"): f"Title\n{FORTY}\nx",
+    page(f"<article>{FORTY}</article>"): FORTY,
+    page(f"<div><h1>Title</h1><p>{FORTY}</p></div>"): f"Title\n{FORTY}",
+    page(f"<div><h1>Title</h1><p>{FORTY}</p></div>", "", ""): f"Title\n{FORTY}",
+    page(f"<h1>Title</h1><p>{FORTY}</p><ul>{ITEMS}</ul><p>after the list</p>"): f"Title\n{FORTY}\n{ITEM_TEXT}\nafter the list",
+    page(f"<ul>{ITEMS}</ul><p>after the list</p>", "", ""): f"{ITEM_TEXT}\nafter the list",
+    page(f"<article><p>{FORTY}</p></article><div>{'between ' * 240}</div><article><p>second one</p></article>".replace("between " * 240, "between " * 60)): f"{FORTY}\nsecond one",
+    page(f"<article><p>{FORTY}</p></article><div>{'between ' * 240}</div><article><p>{'more ' * 90}</p></article>"): f"{FORTY}\n{('more ' * 90).strip()}",
+    page(f"<article><table><tr><th>a</th><th>b</th></tr><tr><td>1</td><td>{FORTY}</td></tr></table></article>"): f"a\nb\n1\n{FORTY}",
+    page(f"<section><section><section><h2>Deep</h2><div><div><p>{FORTY}</p></div></div></section></section></section>"): f"Deep\n{FORTY}",
+    page(f"<main><section><h2>One</h2><p>{FORTY}</p></section><section><h2>Two</h2><dl><dt>term</dt><dd>meaning</dd></dl></section></main>"): f"One\n{FORTY}\nTwo\nterm\nmeaning",
+    page(f'{MENU}<div class="x1"><h1><a href="/t">Linked title</a></h1><p>{FORTY}</p></div>{MENU}'): f"Linked title\n{FORTY}",
+    page(f"<div><p>{FORTY}</p>{MENU}<p>{FORTY}</p></div>"): FORTY + "\n" + "\n".join(f"place{i}" for i in range(8)) + "\n" + FORTY,
+    page(f'<article class="card"><p>Tiny teaser</p></article><div><h1>Title</h1><p>{FORTY} {FORTY}</p></div>'): f"Tiny teaser\nTitle\n{FORTY} {FORTY}",
+    page(f"<article><blockquote><p>quoted</p></blockquote><pre>{FORTY}</pre><figure><figcaption>caption</figcaption></figure></article>"): f"quoted\n{FORTY}\ncaption",
+    page(f"<article><header><h1>Title</h1></header><div><ul><li><a href='/r'>{FORTY}</a></li></ul></div></article>"): f"Title\n{FORTY}",
+    page(f'<div role="main"><div><p>{FORTY}</p></div><aside>{FORTY}</aside></div>'): FORTY,
+}
+
+
+def fitted(spark, pages):
+    return html.fit(spark.createDataFrame(list(enumerate(pages)), "page_id long, html string"))
+
+
+def test_other_shapes_with_learned_weights(spark):
+    rows = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    for weights in (html.Weights(), fitted(spark, rows), fitted(spark, rows[::2]), fitted(spark, rows[1:3]), fitted(spark, [*rows[:100], *SHAPES])):
+        for source, text in {**SHAPES, **PAGES}.items():
+            assert html.extract(source, weights) == text, source
+
+
+def test_shapes_against_all_runs_of_the_stated_score(spark):
+    rows = [r.html for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("html").limit(20).collect()]
+    weights = fitted(spark, rows)
+    for source in [*SHAPES, *PAGES, *rows[:5]]:
+        tokens = html.scored(source, weights)
+        before = [0.0]
+        for t in tokens:
+            before.append(before[-1] + t.score)
+        best = max((before[b] - before[a] for a in range(len(tokens)) for b in range(a + 1, len(tokens) + 1)), default=0.0)
+        low, high = html.best_run([t.score for t in tokens])
+        assert abs(before[high] - before[low] - max(best, 0.0)) < 1e-9
+        assert html.extract(source, weights) == html.text_of(tokens[low:high])
+
+
+def test_names_learned_from_labelled_pages_help_pages_without_marks(spark):
+    side, body = f'<div class="zq">{"Join us " * 15}</div>', f'<div class="yk"><p>{FORTY}</p></div>'
+    labelled = [page(f"{side}<main>{body}</main>", before="", after="") for _ in range(6)]
+    bare = page(side + body + side, before="", after="")
+    learned = fitted(spark, labelled)
+    assert html.extract(bare, html.Weights()) != FORTY and html.extract(bare, learned) == FORTY
+    wrapped = page(f'<div class="widget"><div><p>{FORTY}</p></div></div>', before="", after="")
+    assert html.extract(wrapped, html.Weights()) == ""
+    assert html.extract(wrapped, fitted(spark, [page(f'<div class="widget"><main><p>{FORTY}</p></main></div>') + " " * i for i in range(30)])) == FORTY

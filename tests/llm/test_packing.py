@@ -109,3 +109,17 @@ def test_the_program_places_pieces_at_every_size(n, share):
         np.add.at(held, list(c), m)
     assert (held == counts).all() and rest.sum() <= (1 - share) * n
     assert bins(packing.solve(counts, 2048)) <= 1.002 * bins(packing._best_fit(counts, 2048)) + 1
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_never_more_sequences_than_best_fit(seed):
+    r = np.random.default_rng(seed)
+    n = (200, 1000, 20_000)[seed % 3]
+    sizes = np.clip(r.lognormal(5.5, 1.2, n).astype(int), 1, 2048) if seed < 3 else r.choice([1044, 552, 532, 472], n)
+    counts = np.bincount(sizes, minlength=2049)
+    plan = packing.solve(counts, 2048)
+    held = np.zeros(2049, np.int64)
+    for c, m in plan:
+        assert sum(c) <= 2048
+        np.add.at(held, list(c), m)
+    assert (held == counts).all() and sum(m for _, m in plan) <= sum(m for _, m in packing._best_fit(counts, 2048))
