@@ -38,9 +38,9 @@ from benchloom.llm.tokens import byte_of_char
 
 FORMAT = "token_records"
 #: Bytes of a shard after which a task begins the next one, and of records that a task reads or a batch holds.
-SHARD_BYTES, SPLIT_BYTES, STEP_BYTES = 256 << 20, 32 << 20, 4 << 20
+SHARD_BYTES, SPLIT_BYTES, STEP_BYTES = 256 << 20, 32 << 20, 2 << 20
 #: Distinct pieces that a worker remembers, their greatest length, and bytes of text encoded in one step.
-KEPT_PIECES, PIECE_BYTES, TEXT_BYTES = 1 << 19, 64, 2 << 20
+KEPT_PIECES, PIECE_BYTES, TEXT_BYTES = 400_000, 64, 1 << 20
 _MANIFEST = "manifest.json"
 
 
