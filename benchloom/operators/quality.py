@@ -8,8 +8,9 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from benchloom.operators import chunks, quantiles, sliding
 from benchloom.operators.grouped import map_groups
-from benchloom.operators.recording import BEFORE, SO_FAR, Recording
+from benchloom.operators.recording import Recording
 
 #: Defaults of the detectors.
 GAP_FACTOR, STUCK_S, STUCK_N, JUMP_FACTOR, DROPOUT_S, SPIKE_STEPS, SPIKE_K = 5.0, 30.0, 3, 10.0, 60.0, 21, 3.0
@@ -17,13 +18,29 @@ GAP_FACTOR, STUCK_S, STUCK_N, JUMP_FACTOR, DROPOUT_S, SPIKE_STEPS, SPIKE_K = 5.0
 
 def with_segments(rec: Recording, factor: float = GAP_FACTOR) -> DataFrame:
     """Adds ``is_gap`` (step to the previous row of the source over ``factor`` × the run's median step) and ``segment``."""
-    dt = F.col(rec.time) - F.lag(rec.time).over(rec.in_source())
-    in_run = F.col(rec.time) - F.lag(rec.time).over(rec.in_run())
-    df = rec.df.withColumn("__dt", dt).withColumn("__in_run", in_run)
-    df = df.withColumn("__median", F.median("__in_run").over(Window.partitionBy(*rec.keys)))
-    gap = F.coalesce((F.col("__median") > 0) & (F.col("__dt") > factor * F.col("__median")), F.lit(False)) if factor else F.lit(False)
-    df = df.withColumn("is_gap", gap)
-    return df.withColumn("segment", F.sum(F.col("is_gap").cast("long")).over(rec.in_source().rowsBetween(*SO_FAR))).drop("__dt", "__in_run", "__median")
+    source, run = chunks.by_row(rec.source, rec.row), chunks.by_row(rec.keys, rec.row)
+    df = source.with_lag(rec.df, {"__before": rec.time})
+    if factor:
+        same = set(rec.keys) == set(rec.source)
+        df = df.withColumn("__in_run", F.col("__before")) if same else run.with_lag(df, {"__in_run": rec.time})
+        df = df.withColumn("__step", F.col(rec.time) - F.col("__in_run"))
+        usual = quantiles.medians(df, list(rec.keys), "__step", "__median")
+        df = _beside(df, usual, rec.keys)
+        gap = F.coalesce((F.col("__median") > 0) & (F.col(rec.time) - F.col("__before") > factor * F.col("__median")), F.lit(False))
+    else:
+        gap = F.lit(False)
+    df = source.with_running_sum(df.withColumn("is_gap", gap), {"segment": F.col("is_gap").cast("long")})
+    return df.drop("__before", "__in_run", "__step", "__median")
+
+
+def _beside(df: DataFrame, by_key: DataFrame, keys: Iterable[str]) -> DataFrame:
+    """``df`` with the columns of ``by_key``, which has one row for each of the keys (nulls meet nulls)."""
+    keys = list(keys)
+    named = by_key.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], *[c for c in by_key.columns if c not in keys])
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    return df.join(named, on, "left").drop(*[f"__k{i}" for i in range(len(keys))])
 
 
 def _events(df: DataFrame, rec: Recording, channel: str | None, flag: str) -> DataFrame:
@@ -36,22 +53,23 @@ def gap_flags(segmented: DataFrame, rec: Recording) -> DataFrame:
 
 def missing_flags(rec: Recording, channel: str, calculated: bool = False) -> DataFrame:
     """Nulls of a channel in runs in which it has a value."""
-    there = F.max(F.col(channel).isNotNull()).over(Window.partitionBy(*rec.keys))
-    return _events(rec.df.withColumn("__there", there).filter(F.col("__there") & F.col(channel).isNull()), rec, channel, "missing_calculated" if calculated else "missing")
+    there = rec.df.groupBy(*rec.keys).agg(F.max(F.col(channel).isNotNull()).alias("__there"))
+    return _events(_beside(rec.df.filter(F.col(channel).isNull()), there, rec.keys).filter("__there"), rec, channel, "missing_calculated" if calculated else "missing")
 
 
 def stuck_blocks(segmented: DataFrame, rec: Recording, channel: str) -> DataFrame:
     """Adds ``block``: runs of equal values; a null or a new segment ends one, a new run does not."""
-    w = rec.in_source()
-    changed = ~F.col(channel).eqNullSafe(F.lag(channel).over(w)) | F.col("is_gap") | F.col(channel).isNull()
-    return segmented.withColumn("__new", F.coalesce(changed, F.lit(True))).withColumn("block", F.sum(F.col("__new").cast("long")).over(w.rowsBetween(*SO_FAR))).drop("__new")
+    source = chunks.by_row(rec.source, rec.row)
+    df = source.with_lag(segmented, {"__last": channel, "__was": F.lit(True)})
+    changed = F.col("__was").isNull() | ~F.col(channel).eqNullSafe(F.col("__last")) | F.col("is_gap") | F.col(channel).isNull()
+    return source.with_running_sum(df, {"block": changed.cast("long")}).drop("__last", "__was")
 
 
 def stuck_flags(segmented: DataFrame, rec: Recording, channel: str, min_s: float = STUCK_S, min_n: int = STUCK_N) -> DataFrame:
     """Rows of blocks of at least ``min_n`` equal values that last at least ``min_s`` seconds."""
-    block = Window.partitionBy(*rec.source, "block")
-    df = stuck_blocks(segmented, rec, channel).withColumn("__n", F.count(channel).over(block)).withColumn("__s", (F.max(rec.time).over(block) - F.min(rec.time).over(block)) / 1e6)
-    return _events(df.filter((F.col("__n") >= min_n) & (F.col("__s") >= min_s) & F.col(channel).isNotNull()), rec, channel, "stuck")
+    blocks = stuck_blocks(segmented, rec, channel)
+    long = blocks.groupBy(*rec.source, "block").agg(F.count(channel).alias("__n"), ((F.max(rec.time) - F.min(rec.time)) / 1e6).alias("__s")).filter((F.col("__n") >= min_n) & (F.col("__s") >= min_s))
+    return _events(_beside(blocks.filter(F.col(channel).isNotNull()), long, [*rec.source, "block"]).filter(F.col("__n").isNotNull()), rec, channel, "stuck")
 
 
 def range_flags(rec: Recording, channel: str, low: float | None = None, high: float | None = None) -> DataFrame:
@@ -65,15 +83,7 @@ def range_flags(rec: Recording, channel: str, low: float | None = None, high: fl
 
 def with_hampel(segmented: DataFrame, rec: Recording, channel: str, half_us: int) -> DataFrame:
     """Adds the centred window's ``med`` and ``mad`` (unscaled); windows stay inside run and segment, both ends closed."""
-    w = Window.partitionBy(*rec.keys, "segment").orderBy(rec.time).rangeBetween(-half_us, half_us)
-    df = segmented.withColumn("__w", F.sort_array(F.collect_list(channel).over(w)))
-
-    def middle(a):
-        n = F.size(a)
-        return F.when(n > 0, (F.get(a, F.floor((n - 1) / 2).cast("int")) + F.get(a, F.floor(n / 2).cast("int"))) / 2)
-
-    df = df.withColumn("med", middle(F.col("__w")))
-    return df.withColumn("mad", middle(F.sort_array(F.transform("__w", lambda x: F.abs(x - F.col("med")))))).drop("__w")
+    return sliding.with_median_mad(segmented, [*rec.keys, "segment"], rec.time, channel, half_us)
 
 
 def spike_flags(segmented: DataFrame, rec: Recording, channel: str, half_us: int, k: float = SPIKE_K, floor: float = 0.0) -> DataFrame:
@@ -90,10 +100,10 @@ def spike_notes(segmented: DataFrame, rec: Recording, channel: str, half_us: int
 
 def jump_threshold(rec: Recording, channel: str, factor: float = JUMP_FACTOR) -> DataFrame:
     """By source: ``factor`` × the 99th percentile (nearest rank) of the positive steps between values of a run."""
-    before = F.last(channel, ignorenulls=True).over(rec.in_run().rowsBetween(*BEFORE))
-    steps = rec.df.filter(F.col(channel).isNotNull()).withColumn("step", F.abs(F.col(channel) - before)).filter("step > 0")
-    ranked = steps.withColumn("place", F.row_number().over(Window.partitionBy(*rec.source).orderBy("step"))).withColumn("n", F.count("*").over(Window.partitionBy(*rec.source)))
-    return ranked.filter(F.col("place") == F.floor((F.col("n") - 1) * 0.99 + 0.5) + 1).select(*rec.source, (factor * F.col("step")).alias("threshold"))
+    before = chunks.by_row(rec.keys, rec.row).with_lag(rec.df, {"__last": channel}, ignore_nulls=True)
+    steps = before.select(*rec.source, F.abs(F.col(channel) - F.col("__last")).alias("step")).filter("step > 0")
+    found = quantiles.at_ranks(steps, list(rec.source), "step", {"step": (0.99, quantiles.nearest(0.99))})
+    return found.select(*rec.source, (factor * F.col("step")).alias("threshold"))
 
 
 def resolution(rec: Recording, channel: str) -> DataFrame:
@@ -104,16 +114,18 @@ def resolution(rec: Recording, channel: str) -> DataFrame:
     return values.withColumn("step", step).filter("step > 0").groupBy(*rec.source).agg(F.min("step").alias("step")).select(*rec.source, F.format_string("%.11e", "step").cast("double").alias("resolution"))
 
 
-def spike_window(rec: Recording, steps: int = SPIKE_STEPS) -> DataFrame:
-    """By source: ``steps`` × the median positive step inside runs, in seconds."""
-    dt = F.col(rec.time) - F.lag(rec.time).over(rec.in_run())
-    return rec.df.withColumn("dt", dt).filter("dt > 0").groupBy(*rec.source).agg((F.median("dt") * steps / 1e6).alias("window_s"))
+def spike_window(rec: Recording, times: int = SPIKE_STEPS) -> DataFrame:
+    """By source: ``times`` × the median positive step inside runs, in seconds."""
+    df = chunks.by_row(rec.keys, rec.row).with_lag(rec.df, {"__before": rec.time})
+    steps = df.select(*rec.source, (F.col(rec.time) - F.col("__before")).alias("dt")).filter("dt > 0")
+    return quantiles.medians(steps, list(rec.source), "dt", "dt").select(*rec.source, (F.col("dt") * times / 1e6).alias("window_s"))
 
 
 def jump_candidates(segmented: DataFrame, rec: Recording, channel: str, threshold: float) -> DataFrame:
     """Values whose step from the previous value of their run and segment exceeds ``threshold``; ``level``: that value."""
-    w = rec.in_run("segment")
-    valid = segmented.filter(F.col(channel).isNotNull()).withColumn("level", F.lag(channel).over(w)).withColumn("ordinal", F.row_number().over(w))
+    own = chunks.by_row((*rec.keys, "segment"), rec.row)
+    valid = own.with_lag(segmented.filter(F.col(channel).isNotNull()), {"level": channel})
+    valid = chunks.numbered(valid, own, "ordinal").withColumn("ordinal", F.col("ordinal") + 1)
     return valid.withColumn("jumps", F.coalesce(F.abs(F.col(channel) - F.col("level")) > threshold, F.lit(False)))
 
 

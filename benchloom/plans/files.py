@@ -51,12 +51,14 @@ def load_audit(spark, d):
     return delimited.load(spark, _export(spark, d)).audit
 
 
-@query("load_quoted", "SELECT CAST(n_nationkey AS DOUBLE) AS time_seconds, n_name || chr(10) || 'x;y' AS name, CAST(n_regionkey AS DOUBLE) AS region FROM nation")
+@query("load_quoted", """SELECT CAST(o_orderkey AS DOUBLE) AS time_seconds, CASE WHEN o_orderkey % 4999 = 4000 THEN o_orderpriority || chr(10) || '#;' || chr(10) || chr(10) || 'say ''"x"''' ELSE o_orderpriority END AS name, CAST(o_custkey AS DOUBLE) AS customer FROM orders""")
 def load_quoted(spark, d):
-    """Cells that hold line ends and delimiters."""
-    rows = spark.read.parquet(f"{d}/nation.parquet").orderBy("n_nationkey").collect()  # 25 rows
-    text = "time;name;region\n" + "".join(f'{r.n_nationkey};"{r.n_name}\nx;y";{r.n_regionkey}\n' for r in rows)
-    return delimited.load(spark, files.put_bytes(spark, _place(spark, "nation.csv"), text.encode())).df.drop("row_index")
+    """Cells that hold line ends, delimiters and quotes, the first of them thousands of lines from the file's head."""
+    k = F.col("o_orderkey")
+    name = F.when(k % 4999 == 4000, F.concat(F.lit('"'), "o_orderpriority", F.lit("\n#;\n\nsay '\"\"x\"\"'\""))).otherwise(F.col("o_orderpriority"))
+    rows = spark.read.parquet(f"{d}/orders.parquet").select(k.alias("at"), F.concat_ws(";", k.cast("string"), name, F.col("o_custkey").cast("string")).alias("value"))
+    head = spark.createDataFrame([(-1, "time;name;customer")], "at long, value string")
+    return delimited.load(spark, _lines(spark, rows.unionByName(head), "quoted.csv")).df.drop("row_index")
 
 
 def _database(spark, d) -> str:

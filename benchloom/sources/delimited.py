@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from benchloom.functions import times, typing
 from benchloom.operators.reshape import clean_name, unique_names
+from benchloom.sources import quoted
 from benchloom.sources.sniff import Sniffed, sniff
 
 # Fixed words that name a time column.
@@ -41,28 +42,17 @@ def numbered_lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
 
 
 def read_raw(spark: SparkSession, path: str, sniffed: Sniffed) -> DataFrame:
-    """All cells as text, with ``row_index`` (the line, from 0; of files with line ends in cells the record); comments, the header and the footer left out."""
+    """All cells as text, with ``row_index`` (the line, from 0, on which a record begins); comments, the header and the footer left out."""
     names = sniffed.names
-    if sniffed.multiline:
-        # Records of such a file are found by reading it from the start, in one task.
-        cells = spark.read.schema(_ddl(names)).csv(path, sep=sniffed.delimiter, multiLine=True, quote='"', escape='"', encoding=sniffed.encoding, mode="PERMISSIVE", comment="#")
-        raw = cells.select(F.monotonically_increasing_id().alias("row_index"), "*")
-        first = F.coalesce(F.trim(names[0]), F.lit(""))
-        rest = F.lit(False)
-        for n in names[1:]:
-            rest = rest | (F.coalesce(F.trim(F.col(f"`{n}`")), F.lit("")) != "")
-        data = rest & ~first.rlike(r"^(?://|\*)") if len(names) > 1 else first != ""
-        head = raw.filter(F.trim(F.col(f"`{names[-1]}`")).isNotNull()).agg(F.min("row_index")).first()[0]
-        last = raw.filter(data).agg(F.max("row_index")).first()[0]
-        return raw.filter((F.col("row_index") > F.lit(head).cast("bigint")) & (F.col("row_index") <= F.lit(last).cast("bigint")))
-    lines = numbered_lines(spark, path, sniffed.encoding)
+    quotes = quoted.has_quotes(spark, path, sniffed.encoding)
+    lines = quoted.records(spark, path, sniffed.encoding, sniffed.delimiter) if quotes else numbered_lines(spark, path, sniffed.encoding)
     body = lines.filter((F.col("row_index") > sniffed.header_row) & (F.trim("value") != "") & ~F.col("value").startswith("#"))
     if len(names) > 1:
         # The footer, as footer_of has it but over the whole file: all after the last line with a value beside the first.
         d = re.escape(sniffed.delimiter)
         data = F.col("value").rlike(rf"^[^{d}]*{d}[\s{d}]*[^\s{d}]") & ~F.col("value").rlike(r"^(?:#|//|\*)")
         body = body.filter(F.col("row_index") <= F.lit(body.filter(data).agg(F.max("row_index")).first()[0]).cast("bigint"))
-    cells = F.from_csv("value", _ddl(names), {"sep": sniffed.delimiter, "mode": "PERMISSIVE"})
+    cells = F.from_csv("value", _ddl(names), {"sep": sniffed.delimiter, "mode": "PERMISSIVE", "escape": '"', "maxCharsPerColumn": "-1"})
     return body.select("row_index", cells.alias("c")).select("row_index", "c.*")
 
 
