@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from benchloom.functions import formula, ieee
+from benchloom.operators.chunks import Chunks
 from benchloom.operators.grouped import add_by_group
 from benchloom.operators.recording import BEFORE, SO_FAR
 
@@ -151,8 +152,15 @@ def bin_value(c: Column, width: float) -> Column:
 def claim_rows(steps: DataFrame, rows: DataFrame, by: list[str], tolerance_s: float = 240.0) -> DataFrame:
     """Each step (step_id, start) takes the nearest row (row_id, time) within the tolerance that none before it took.
 
-    Greedy in the order of starts, so each group of ``by`` is scanned in order; both sides come sorted to it.
+    Greedy in the order of starts. Where neighbours of both sides in time lie more than the tolerance apart nothing reaches
+    across, so groups are cut there; each part, with its steps and rows, is scanned by one task.
     """
+    sides = steps.select(*by, F.col("start").alias("t"), F.lit(0).alias("side"), F.col("step_id").alias("id")).unionByName(rows.select(*by, F.col("time").alias("t"), F.lit(1).alias("side"), F.col("row_id").alias("id")))
+    in_time = Chunks(tuple(by), ("t", "side", "id"), F.floor(F.col("t") / (1000 * max(tolerance_s, 1e-9))))
+    cut = in_time.with_lag(sides, {"__t": "t"}).withColumn("__cut", F.coalesce(F.col("t") - F.col("__t") > tolerance_s, F.lit(False)).cast("long"))
+    cut = in_time.with_running_sum(cut, {"__part": "__cut"})
+    steps = cut.filter("side = 0").select(*by, "__part", F.col("id").alias("step_id"), F.col("t").alias("start"))
+    rows = cut.filter("side = 1").select(*by, "__part", F.col("id").alias("row_id"), F.col("t").alias("time"))
     kinds = {c: steps.schema[c].dataType.simpleString() for c in by}
     schema = ", ".join(f"`{c}` {k}" for c, k in kinds.items()) + ", step_id long, row_id long"
 
@@ -170,7 +178,7 @@ def claim_rows(steps: DataFrame, rows: DataFrame, by: list[str], tolerance_s: fl
             found[c] = (a if len(a) else b)[c].iloc[0]
         return found[[*by, "step_id", "row_id"]]
 
-    return steps.select(*by, "step_id", "start").groupBy(*by).cogroup(rows.select(*by, "row_id", "time").groupBy(*by)).applyInPandas(scan, schema)
+    return steps.groupBy(*by, "__part").cogroup(rows.groupBy(*by, "__part")).applyInPandas(scan, schema)
 
 
 def compare_snapshots(old: DataFrame, new: DataFrame, key: str, content: list[str]) -> DataFrame:

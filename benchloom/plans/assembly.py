@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from benchloom.functions import times
 from benchloom.operators import align, assembly
+from benchloom.operators.chunks import CHUNK_ROWS, Chunks, numbered
 from benchloom.plans.recordings import ALL_FLAGS, FLAGS, REC, _all_flags, _flags, events, recording
 from benchloom.plans.steps import _COVER
 from benchloom.registry import query
@@ -26,12 +27,10 @@ def ordered_flags(spark, d):
     """Events in order, with the place of each (a number over the whole order)."""
     flags = _all_flags(recording(spark, d))
     counts = flags.groupBy("user_id").agg(F.count("*").alias("n"))
-    # The place is that among a user's events plus the events of users before.
-    before = counts.alias("a").join(F.broadcast(counts.select(F.col("user_id").alias("u"), F.col("n").alias("m"))), F.col("u") < F.col("a.user_id"), "left").groupBy("a.user_id").agg(F.coalesce(F.sum("m"), F.lit(0)).alias("before"))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("user_id").orderBy("row", F.asc_nulls_first("channel"), "flag")
-    return assembly.ordered_flags(flags, ["user_id"]).withColumn("own", F.row_number().over(w)).join(before, "user_id").select("user_id", "row", "channel", "flag", (F.col("own") + F.col("before")).alias("place"))
+    # The place is that among a user's events plus the events of users before; both by chunks.
+    before = Chunks((), ("user_id",), F.floor(F.col("user_id") / 1000)).with_running_sum(counts, {"so_far": "n"}).select("user_id", (F.col("so_far") - F.col("n") + 1).alias("first"))
+    own = numbered(flags, Chunks(("user_id",), ("row", "channel", "flag"), F.floor(F.col("row") / CHUNK_ROWS)), "own")
+    return assembly.ordered_flags(own.join(before, "user_id"), ["user_id"]).select("user_id", "row", "channel", "flag", (F.col("own") + F.col("first")).alias("place"))
 
 
 @query("flag_mask", f"SELECT event_id, EXISTS (SELECT 1 FROM ({ALL_FLAGS}) f WHERE f.user_id = r.user_id AND f.row = r.row AND flag IN ('gap', 'out_of_range') AND (channel IS NULL OR channel = 'value')) AS flagged FROM {REC} r")

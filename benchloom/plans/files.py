@@ -7,20 +7,26 @@ import sqlite3
 import tempfile
 import uuid
 import zipfile
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from benchloom.operators import grids
 from benchloom.plans.recordings import REC, recording
 from benchloom.registry import query
-from benchloom.sources import delimited, files, loader, roles
+from benchloom.sources import delimited, files, loader, roles, sqlite
 from benchloom.sources.profiles import detect
 from benchloom.sources.shipped import SHIPPED
 
 
 def _place(spark, name: str) -> str:
-    """A fresh path in the session's shared folder (a local one only where none is set)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
+    """A fresh path in the session's shared folder; a local one only in local mode, where none is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir names the folder that executors share; it is not set")
+        base = tempfile.gettempdir()
     return f"{base.rstrip('/')}/files-{uuid.uuid4().hex}-{name}"
 
 
@@ -62,27 +68,41 @@ def load_quoted(spark, d):
 
 
 def _database(spark, d) -> str:
+    """Nations, regions and customers in a file of a database; customers come to it one by one."""
     nations, regions = (spark.read.parquet(f"{d}/{t}.parquet").collect() for t in ("nation", "region"))  # 25 and 5 rows
     with tempfile.NamedTemporaryFile(suffix=".db") as f:
         con = sqlite3.connect(f.name)
         con.execute("CREATE TABLE nation (id INTEGER, name TEXT, region INTEGER)")
         con.execute("CREATE TABLE region (id INTEGER, name TEXT)")
+        con.execute("CREATE TABLE customer (id INTEGER PRIMARY KEY, name TEXT, nation INTEGER, balance, segment TEXT)")
         con.executemany("INSERT INTO nation VALUES (?, ?, ?)", [(r.n_nationkey, r.n_name, r.n_regionkey) for r in nations])
         con.executemany("INSERT INTO region VALUES (?, ?)", [(r.r_regionkey, r.r_name) for r in regions])
+        customers = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
+        con.executemany("INSERT INTO customer VALUES (?, ?, ?, ?, ?)", (tuple(r) for r in customers.toLocalIterator()))
         con.commit()
         con.close()
         f.seek(0)
         return files.put_bytes(spark, _place(spark, "places.db"), f.read())
 
 
-@query("load_sqlite", "SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS name, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey")
+@query("load_sqlite", "SELECT c_custkey AS id, c_name AS name, n_name AS nation, r_name AS region FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
 def load_sqlite(spark, d):
-    return files.read_sqlite(spark, _database(spark, d), sql="SELECT n.id, n.name, r.name AS region FROM nation n JOIN region r ON r.id = n.region")
+    """A join of three tables inside the database."""
+    return sqlite.read(spark, _database(spark, d), sql="SELECT c.id, c.name, n.name AS nation, r.name AS region FROM customer c JOIN nation n ON n.id = c.nation JOIN region r ON r.id = n.region")
 
 
-@query("sqlite_tables", "SELECT unnest(['nation', 'region']) AS name")
+@query("sqlite_ranges", "SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS row_index, c_custkey AS id, c_name AS name, CAST(c_nationkey AS BIGINT) AS nation, c_acctbal AS balance, c_mktsegment AS segment FROM customer WHERE c_custkey % 3 > 0")
+def sqlite_ranges(spark, d):
+    """A table by ranges of row ids, a condition applied inside the database, rows numbered over all ranges."""
+    return sqlite.read(spark, _database(spark, d), "customer", where="id % 3 > 0", numbered="row_index", split_rows=400)
+
+
+@query("sqlite_tables", "SELECT 'customer' AS name, count(*) AS n FROM customer UNION ALL SELECT 'nation', count(*) FROM nation UNION ALL SELECT 'region', count(*) FROM region")
 def sqlite_tables(spark, d):
-    return spark.createDataFrame([(n,) for n in files.table_names(spark, _database(spark, d))], "name string")
+    """The tables of a database and how many rows each has."""
+    path = _database(spark, d)
+    counts = [sqlite.read(spark, path, t).agg(F.count("*").alias("n")).select(F.lit(t).alias("name"), "n") for t in files.table_names(spark, path)]
+    return reduce(DataFrame.unionByName, counts)
 
 
 def _workbook(spark, d) -> str:

@@ -1,31 +1,30 @@
-"""SQLite tables, XML settings and Excel sheets: small files read with the standard library, fetched by Spark from any store."""
+"""XML settings and Excel sheets: small files read with the standard library, fetched by Spark from any store."""
 
 from __future__ import annotations
 
 import difflib
 import io
 import re
-import sqlite3
-import tempfile
 import zipfile
 from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from benchloom.operators.reshape import unique_names
+from benchloom.sources import sqlite
 
 # Words of settings that are never kept.
 SECRETS = ("password", "passwd", "secret", "token", "apikey", "api_key", "key")
 
 
-#: Bytes of a database, sheet or settings file that the driver may take; larger ones belong in a table.
+#: Bytes of a sheet or settings file that the driver may take; larger ones belong in a table.
 LIMIT = 1 << 30
 
 
 def fetch(spark: SparkSession, path: str) -> bytes:
-    """A file's bytes through Spark; for settings, sheets and databases of devices, which are small: more than LIMIT raises."""
+    """A file's bytes through Spark; for settings and sheets of devices, which are small: more than LIMIT raises."""
     size = spark.read.format("binaryFile").load(path).select("length").first()
     if size is not None and size.length > LIMIT:
         raise MemoryError(f"{path}: {size.length} bytes, {LIMIT} can be taken")
@@ -47,8 +46,26 @@ def put_bytes(spark: SparkSession, path: str, data: bytes) -> str:
 
 
 def sha256(spark: SparkSession, path: str) -> DataFrame:
-    """source, sha256 and length of every file under a path."""
-    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("source"), F.sha2("content", 256).alias("sha256"), "length")
+    """source, sha256 and length of every file under a path: read as a stream, so that files may have any size.
+
+    A digest depends on all bytes in order, so one file is one stream; several files are one after the other.
+    """
+    jvm, rows = spark._jvm, []
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = fs.globStatus(at) or []
+    for f in (f for top in found for f in (fs.listStatus(top.getPath()) if top.isDirectory() else [top])):
+        if f.isFile() and f.getPath().getName()[:1] not in "._":
+            digest = jvm.java.security.MessageDigest.getInstance("SHA-256")
+            stream = jvm.java.security.DigestInputStream(fs.open(f.getPath()), digest)
+            try:
+                stream.transferTo(jvm.java.io.OutputStream.nullOutputStream())
+            finally:
+                stream.close()
+            rows.append((f.getPath().toString(), bytes(digest.digest()).hex(), f.getLen()))
+    if not rows:
+        raise FileNotFoundError(path)
+    return spark.createDataFrame(rows, "source string, sha256 string, length long")
 
 
 def reader_for(head: bytes, name: str) -> str:
@@ -62,36 +79,13 @@ def reader_for(head: bytes, name: str) -> str:
     return "delimited"
 
 
-def read_sqlite(spark: SparkSession, path: str, table: str | None = None, sql: str | None = None) -> DataFrame:
-    """A table or a query of an SQLite file, opened read-only; errors of the query surface, an unknown table names the others."""
-    with tempfile.NamedTemporaryFile(suffix=".db") as f:
-        f.write(fetch(spark, path))
-        f.flush()
-        con = sqlite3.connect(f"file:{f.name}?mode=ro", uri=True)
-        try:
-            tables = [r[0] for r in con.execute("SELECT name FROM sqlite_master WHERE type IN ('table', 'view') ORDER BY name")]
-            if sql is None:
-                table = table or (tables[0] if len(tables) == 1 else None)
-                if table not in tables:
-                    raise KeyError(f"no table {table!r}; there are {', '.join(tables)}")
-                sql = f'SELECT * FROM "{table}"'
-            cursor = con.execute(sql)
-            names = unique_names([c[0] for c in cursor.description])
-            rows = cursor.fetchall()
-        finally:
-            con.close()
-    kinds = []
-    for i, name in enumerate(names):
-        seen = {type(r[i]) for r in rows if r[i] is not None}
-        kinds.append(StructField(name, LongType() if seen == {int} else DoubleType() if seen and seen <= {int, float} else StringType()))
-    cast = {LongType: int, DoubleType: float, StringType: lambda v: v.hex() if isinstance(v, bytes) else str(v)}
-    data = [tuple(None if v is None else cast[type(k.dataType)](v) for v, k in zip(r, kinds, strict=True)) for r in rows]
-    return spark.createDataFrame(data, StructType(kinds))
-
-
 def table_names(spark: SparkSession, path: str) -> list[str]:
     """Tables and views of an SQLite file."""
-    return [r.name for r in read_sqlite(spark, path, sql="SELECT name FROM sqlite_master WHERE type IN ('table', 'view') ORDER BY name").collect()]
+    con = sqlite.connect(sqlite.ship(spark, path))
+    try:
+        return sqlite.tables(con)
+    finally:
+        con.close()
 
 
 def read_xml_meta(spark: SparkSession, path: str, blocks: list[str]) -> dict[str, object]:
@@ -195,14 +189,15 @@ def read_grid(content: bytes, sheet: str | None = None) -> list[list[str]]:
     return [[rows.get(i, {}).get(k, "") for k in range(1, width + 1)] for i in range(1, max(rows, default=0) + 1)]
 
 
-def read_excel(spark: SparkSession, path: str, sheet: str | None = None, header_row: int | None = None) -> DataFrame:
-    """A sheet as text columns; without ``header_row`` (from 1) it is the row with most text cells of the first 50."""
+def read_excel(spark: SparkSession, path: str, sheet: str | None = None, header_row: int | None = None, numbered: str | None = None) -> DataFrame:
+    """A sheet as text columns; without ``header_row`` (from 1) it is the row with most text cells of the first 50. ``numbered``: a first column with the rows' numbers from 0."""
     grid = read_grid(fetch(spark, path), sheet)
     is_text = lambda c: bool(c.strip()) and not re.fullmatch(r"[+-]?\d+(?:[.,]\d+)?(?:[eE][+-]?\d+)?", c.strip())
     at = header_row - 1 if header_row else max(range(min(len(grid), 50)), key=lambda i: (sum(map(is_text, grid[i])), -i), default=0)
     names = unique_names([c.strip() or f"col_{i}" for i, c in enumerate(grid[at])]) if grid else []
     body = [[c if c != "" else None for c in r] for r in grid[at + 1 :] if any(c.strip() for c in r)]
-    return spark.createDataFrame(body, StructType([StructField(n, StringType()) for n in names]))
+    first = [StructField(numbered, LongType())] if numbered else []
+    return spark.createDataFrame([[i, *r] for i, r in enumerate(body)] if numbered else body, StructType([*first, *[StructField(n, StringType()) for n in names]]))
 
 
 def locate(grid: list[list[str]], label: str | None = None, direction: str = "right", n: int = 1, reach: int = 50, cell: str | None = None) -> str:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from benchloom.functions import times
 from benchloom.operators import reshape
-from benchloom.sources import delimited, files, sniff, tables
+from benchloom.sources import delimited, files, sniff, sqlite, tables
 from benchloom.sources.profiles import Profile, detect
 from benchloom.sources.shipped import SHIPPED
 
@@ -47,8 +47,8 @@ def needs_clock_date(loaded: Loaded) -> bool:
     return loaded.origin_us is None and loaded.data is not None and loaded.data.spec["time_format"] == "clock"
 
 
-def _text_rows(df: DataFrame) -> DataFrame:
-    return df.select(F.monotonically_increasing_id().alias("row_index"), *[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns])
+def _text_rows(df: DataFrame, headers: list[str]) -> DataFrame:
+    return df.select("row_index", *[F.col(f"`{c}`").cast("string").alias(c) for c in headers])
 
 
 def load_any(spark: SparkSession, path: str, profile: Profile | None = None, profiles: tuple[Profile, ...] = SHIPPED, spec: dict | None = None) -> Loaded:
@@ -75,14 +75,15 @@ def load_any(spark: SparkSession, path: str, profile: Profile | None = None, pro
         out.data = delimited.load(spark, path, spec=spec, **common)
     else:
         if reader == "sqlite":
-            df = files.read_sqlite(spark, path, options.get("table"), options.get("query"))
+            df = sqlite.read(spark, path, options.get("table"), options.get("query"), numbered="row_index")
             for column in options.get("json_columns", []):
                 df = tables.split_json(df, column)
         else:
-            df = files.read_excel(spark, path, options.get("sheet"), options.get("header_row"))
+            df = files.read_excel(spark, path, options.get("sheet"), options.get("header_row"), numbered="row_index")
             content = files.fetch(spark, path)
             out.meta["sheets"] = {s: files.key_values(files.read_grid(content, s)) for s in options.get("meta_sheets", []) if s in files.sheet_names(content)}
-        out.data = delimited.as_dataset(_text_rows(df), df.columns, spec=spec, **common)
+        headers = [c for c in df.columns if c != "row_index"]
+        out.data = delimited.as_dataset(_text_rows(df, headers), headers, spec=spec, **common)
     out.origin_us = _origin(spark, path, out, options)
     return out
 
@@ -110,20 +111,39 @@ def default_key(time: str, variable: str | None = None) -> list[str]:
     return [time, variable] if variable else [time]
 
 
-def load_many(spark: SparkSession, paths: list[str], key: list[str] | None = None, **options) -> tuple[DataFrame, DataFrame, list[str]]:
+def placed(loaded: Loaded) -> DataFrame:
+    """A loaded table on absolute time: where a file's clock or counter begins at an origin, its seconds count from there.
+
+    Clock times keep their distance from the first of them; date-times are absolute as they are.
+    """
+    df = loaded.data.df
+    if loaded.origin_us is None or loaded.data.spec["time_format"] == "datetime":
+        return df
+    first = df.agg(F.min_by("time_seconds", "row_index").alias("t")).first().t if loaded.data.spec["time_format"] == "clock" else 0.0
+    return df.withColumn("time_seconds", F.col("time_seconds") - F.lit(first or 0.0) + F.lit(loaded.origin_us / 1e6))
+
+
+def load_many(spark: SparkSession, paths: list[str], key: list[str] | None = None, profile: Profile | None = None, profiles: tuple[Profile, ...] = SHIPPED, **choices) -> tuple[DataFrame, DataFrame, list[str]]:
     """All files as one table in the order given: of rows with equal keys those of the last file stay; a file that was given before
-    (by its bytes) is skipped. Returns the table (with source_no), the conflicts, and the paths that were skipped."""
-    seen: dict[str, str] = {}
-    parts, skipped, spec, time = [], [], None, None
+    (by its bytes) is skipped. Each file is read by its profile (``profile`` for all, ``choices`` as with_choices has them)
+    and put on absolute time by its origin. Returns the table (with source_no), the conflicts, and the paths that were skipped."""
+    seen: set[str] = set()
+    parts, skipped, time, variable = [], [], None, None
     for path in paths:
         digest = files.sha256(spark, path).first().sha256
         if digest in seen:
             skipped.append(path)
             continue
-        seen[digest] = path
-        data = delimited.load(spark, path, **options)
-        spec, time = spec or data.spec, time or data.time
-        parts.append(data.df.drop("row_index"))
-    key = key or default_key(time)
+        seen.add(digest)
+        given = with_choices(profile, "delimited", **choices) if choices else profile
+        loaded = load_any(spark, path, given, profiles)
+        if loaded.data is None:
+            raise ValueError(f"{path}: settings are no table")
+        time = time or loaded.data.time
+        variable = variable or (loaded.profile.options.get("variable") if loaded.profile else None)
+        parts.append(placed(loaded).drop("row_index"))
+    if not parts:
+        raise ValueError("no files were given")
+    key = key or default_key(time, variable if variable in parts[0].columns else None)
     columns = [c for c in parts[0].columns if c not in key]
     return reshape.newest_wins(parts, key), reshape.merge_conflicts(parts, key, columns), skipped

@@ -101,3 +101,22 @@ def test_ranks_of_small_groups(spark, n):
     df = spark.createDataFrame([("k", float(i)) for i in range(n)], "k string, x double")
     r = quantiles.at_ranks(df, ["k"], "x", {"p99": (0.99, quantiles.nearest(0.99)), "high": (0.5, quantiles.upper_half)}).first()
     assert (r.p99, r.high) == (float(int((n - 1) * 0.99 + 0.5)), float(n // 2))
+
+
+def test_claims_of_one_group_in_parts(spark):
+    """Greedy over the whole group in one loop, against parts that nothing reaches across."""
+    from benchloom.operators import steps
+
+    r = random.Random(8)
+    starts = sorted((r.choice([0, 500, 5000]) + 10_000 * r.randrange(30) + r.randrange(300), i) for i in range(200))
+    times = sorted((10_000 * r.randrange(30) + r.randrange(900), i) for i in range(260))
+    taken, want = set(), set()
+    for start, step in starts:
+        near = [(abs(t - start), k) for k, (t, _) in enumerate(times) if abs(t - start) <= 240 and k not in taken]
+        if near:
+            taken.add(min(near)[1])
+            want.add((step, times[min(near)[1]][1]))
+    a = spark.createDataFrame([("g", i, float(t)) for t, i in starts], "g string, step_id long, start double")
+    b = spark.createDataFrame([("g", i, float(t)) for t, i in times], "g string, row_id long, time double")
+    got = steps.claim_rows(a, b, ["g"])
+    assert {(x.step_id, x.row_id) for x in got.collect()} == want and got.columns == ["g", "step_id", "row_id"]

@@ -48,7 +48,7 @@ def test_checks_and_counts_of_windows(spark):
     found = df.limit(1).select(stationary.checks(F.lit(6), F.lit(0.5), F.lit(0), F.lit(0), F.lit(0.0)).alias("c")).withColumn("level", stationary.level(F.col("c"))).first()
     assert [x.text for x in found.c] == ["coverage 50% below 80%", "constant values in the window (quantized or frozen?)"] and found.level == "warn"
     why = df.limit(1).select(stationary.assumptions([], 0.5, 0.1, F.lit(False)).alias("a")).first().a
-    assert why[0] == "excluded flags: none" and "0.5 s clock uncertainty" in why[3] and len(why) == 4
+    assert why[0] == "left out: rows flagged nothing" and "off by 0.5 s" in why[3] and len(why) == 4
     area = stats.integral(df.filter("k = 1").withColumn("g", F.lit("a")), spark.createDataFrame([("a", 1, 0.5, 3.5), ("a", 2, 100.0, 110.0)], "g string, w long, lo2 double, hi2 double"), ["g"], ["w"], "x", "y", "lo2", "hi2", "x")
     got = {r.w: r for r in area.collect()}
     assert got[1].integral == pytest.approx(15.0) and got[1].coverage == pytest.approx(1.0) and (got[2].integral, got[2].integral_gap_s) == (0.0, 10.0)

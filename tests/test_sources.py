@@ -1,10 +1,12 @@
+import hashlib
 import io
 import sqlite3
 import zipfile
 
 import pytest
 
-from benchloom.sources import delimited, files, sniff
+from benchloom.sources import delimited, files, loader, sniff, sqlite
+from benchloom.sources.profiles import Profile
 
 CSV = "# device 7\nTime;Temp [°C];Run;State\n0,0;1.234,5;1;on\n1,0;ERR;1;on\n2,0;12f;2;\n3,5;7,25;2;off\n;;;\n"
 
@@ -49,10 +51,10 @@ def test_sqlite(spark, tmp_path):
     con.executemany("INSERT INTO t VALUES (?, ?, ?, ?)", [(1, 1.5, "a", b"\x01"), (2, None, None, None)])
     con.commit()
     con.close()
-    assert [tuple(r) for r in files.read_sqlite(spark, path).collect()] == [(1, 1.5, "a", "01"), (2, None, None, None)]
-    assert files.read_sqlite(spark, path, sql="SELECT sum(id) AS n FROM t").first().n == 3
+    assert [tuple(r) for r in sqlite.read(spark, path).collect()] == [(1, 1.5, "a", "01"), (2, None, None, None)]
+    assert sqlite.read(spark, path, sql="SELECT sum(id) AS n FROM t").first().n == 3
     with pytest.raises(KeyError, match="t"):
-        files.read_sqlite(spark, path, table="u")
+        sqlite.read(spark, path, table="u")
     assert files.reader_for(open(path, "rb").read(16), "c.db") == "sqlite"
 
 
@@ -98,3 +100,47 @@ def test_footer_is_left_out_of_large_files_too(spark, tmp_path, d):
     data = delimited.load(spark, path)
     assert data.df.count() == 100_000 and data.audit.count() == 0
     assert data.df.filter("x is null").count() == 1
+
+
+def test_sqlite_by_ranges(spark, tmp_path):
+    path = str(tmp_path / "r.db")
+    con = sqlite3.connect(path)
+    con.execute("CREATE TABLE t (id INTEGER PRIMARY KEY, x, s TEXT)")
+    con.executemany("INSERT INTO t VALUES (?, ?, ?)", [(i * 3 - 500, i if i < 900 else i + 0.5, None if i % 7 else f"s{i}") for i in range(1000)])
+    con.execute("CREATE TABLE w (k TEXT PRIMARY KEY, v INTEGER) WITHOUT ROWID")
+    con.execute("INSERT INTO w VALUES ('a', 1)")
+    con.execute("CREATE VIEW seen AS SELECT x FROM t WHERE id > 0")
+    con.commit()
+    con.close()
+    df = sqlite.read(spark, path, "t", numbered="row_index", split_rows=100)
+    assert df.rdd.getNumPartitions() >= 20 and dict(df.dtypes) == {"row_index": "bigint", "id": "bigint", "x": "double", "s": "string"}
+    assert [tuple(r) for r in df.orderBy("row_index").collect()] == [(i, i * 3 - 500, float(i if i < 900 else i + 0.5), None if i % 7 else f"s{i}") for i in range(1000)]
+    assert sqlite.read(spark, path, "t", where="x >= 990", split_rows=100).count() == 10
+    assert sqlite.read(spark, path, "w").collect()[0].v == 1 and sqlite.read(spark, path, "seen").count() == 833
+    with pytest.raises(sqlite3.OperationalError):
+        sqlite.read(spark, path, sql="SELECT nothing FROM t")
+    with pytest.raises(KeyError, match="seen, t, w"):
+        sqlite.read(spark, path)
+
+
+def test_many_files_by_profile_on_their_origins(spark, tmp_path):
+    rows = lambda low, high: "Zeit,Masse\n" + "".join(f"{i},{i * 2}\n" for i in range(low, high))
+    a, b = write(tmp_path, "a.csv", rows(0, 5)), write(tmp_path, "b.csv", rows(3, 8))
+    own = Profile("own", "delimited", ("*.csv",), ("Masse",), {"time_column": "Zeit", "zone": "UTC", "origin": "2024-01-01T00:00:00"})
+    table, conflicts, skipped = loader.load_many(spark, [a, b, a], profiles=(own,))
+    base = 1704067200
+    assert [(r.time_seconds - base, r.masse, r.source_no) for r in table.orderBy("time_seconds").collect()] == [(float(i), 2.0 * i, 0 if i < 3 else 1) for i in range(8)]
+    assert skipped == [a] and conflicts.count() == 0
+    clock = write(tmp_path, "c.csv", "Zeit,Masse\n23:59:59,1\n00:00:01,2\n")
+    day = Profile("day", "delimited", ("*.csv",), ("Masse",), {"time_column": "Zeit", "zone": "UTC", "clock_date": "2024-01-01"})
+    times = [r.time_seconds for r in loader.load_many(spark, [clock], profile=day)[0].orderBy("time_seconds").collect()]
+    assert times == [base + 86399.0, base + 86401.0]
+
+
+def test_digests_of_streams(spark, tmp_path):
+    data = bytes(range(256)) * 50_000
+    write(tmp_path, "big.bin", data)
+    r = files.sha256(spark, str(tmp_path / "big.bin")).first()
+    assert (r.sha256, r.length) == (hashlib.sha256(data).hexdigest(), len(data))
+    with pytest.raises(FileNotFoundError):
+        files.sha256(spark, str(tmp_path / "none"))
