@@ -159,15 +159,14 @@ def claim_rows(steps: DataFrame, rows: DataFrame, by: list[str], tolerance_s: fl
     in_time = Chunks(tuple(by), ("t", "side", "id"), F.floor(F.col("t") / (1000 * max(tolerance_s, 1e-9))))
     cut = in_time.with_lag(sides, {"__t": "t"}).withColumn("__cut", F.coalesce(F.col("t") - F.col("__t") > tolerance_s, F.lit(False)).cast("long"))
     cut = in_time.with_running_sum(cut, {"__part": "__cut"})
-    steps = cut.filter("side = 0").select(*by, "__part", F.col("id").alias("step_id"), F.col("t").alias("start"))
-    rows = cut.filter("side = 1").select(*by, "__part", F.col("id").alias("row_id"), F.col("t").alias("time"))
     kinds = {c: steps.schema[c].dataType.simpleString() for c in by}
     schema = ", ".join(f"`{c}` {k}" for c, k in kinds.items()) + ", step_id long, row_id long"
 
-    def scan(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        a, b = a.sort_values(["start", "step_id"]), b.sort_values(["time", "row_id"])
-        times, ids, taken, out = b["time"].to_numpy(), b["row_id"].to_numpy(), set(), []
-        for step, start in zip(a["step_id"], a["start"], strict=True):
+    def scan(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["t", "id"])
+        a, b = part[part["side"] == 0], part[part["side"] == 1]
+        times, ids, taken, out = b["t"].to_numpy(), b["id"].to_numpy(), set(), []
+        for step, start in zip(a["id"], a["t"], strict=True):
             low, high = times.searchsorted(start - tolerance_s, "left"), times.searchsorted(start + tolerance_s, "right")
             best = min(((abs(times[i] - start), i) for i in range(low, high) if i not in taken), default=None)
             if best:
@@ -175,10 +174,10 @@ def claim_rows(steps: DataFrame, rows: DataFrame, by: list[str], tolerance_s: fl
                 out.append((step, ids[best[1]]))
         found = pd.DataFrame(out, columns=["step_id", "row_id"]).astype("int64")
         for c in by:
-            found[c] = (a if len(a) else b)[c].iloc[0]
+            found[c] = part[c].iloc[0]
         return found[[*by, "step_id", "row_id"]]
 
-    return steps.groupBy(*by, "__part").cogroup(rows.groupBy(*by, "__part")).applyInPandas(scan, schema)
+    return cut.groupBy(*by, "__part").applyInPandas(scan, schema)
 
 
 def compare_snapshots(old: DataFrame, new: DataFrame, key: str, content: list[str]) -> DataFrame:
