@@ -17,7 +17,11 @@ GAP_FACTOR, STUCK_S, STUCK_N, JUMP_FACTOR, DROPOUT_S, SPIKE_STEPS, SPIKE_K = 5.0
 
 
 def with_segments(rec: Recording, factor: float = GAP_FACTOR) -> DataFrame:
-    """Adds ``is_gap`` (step to the previous row of the source over ``factor`` × the run's median step) and ``segment``."""
+    """Adds ``is_gap`` (step to the previous row of the source over ``factor`` × the run's median step) and ``segment``.
+
+    Each step by chunks reads its input twice, and detectors go on from here: the result is kept (in memory, then on disk)
+    when it is first read; what a lost executor kept is computed again. ``unpersist`` it when the detectors are done.
+    """
     source, run = chunks.by_row(rec.source, rec.row), chunks.by_row(rec.keys, rec.row)
     df = source.with_lag(rec.df, {"__before": rec.time})
     if factor:
@@ -30,7 +34,7 @@ def with_segments(rec: Recording, factor: float = GAP_FACTOR) -> DataFrame:
     else:
         gap = F.lit(False)
     df = source.with_running_sum(df.withColumn("is_gap", gap), {"segment": F.col("is_gap").cast("long")})
-    return df.drop("__before", "__in_run", "__step", "__median")
+    return df.drop("__before", "__in_run", "__step", "__median").persist()
 
 
 def _beside(df: DataFrame, by_key: DataFrame, keys: Iterable[str]) -> DataFrame:
@@ -67,7 +71,7 @@ def stuck_blocks(segmented: DataFrame, rec: Recording, channel: str) -> DataFram
 
 def stuck_flags(segmented: DataFrame, rec: Recording, channel: str, min_s: float = STUCK_S, min_n: int = STUCK_N) -> DataFrame:
     """Rows of blocks of at least ``min_n`` equal values that last at least ``min_s`` seconds."""
-    blocks = stuck_blocks(segmented, rec, channel)
+    blocks = stuck_blocks(segmented, rec, channel).persist()
     long = blocks.groupBy(*rec.source, "block").agg(F.count(channel).alias("__n"), ((F.max(rec.time) - F.min(rec.time)) / 1e6).alias("__s")).filter((F.col("__n") >= min_n) & (F.col("__s") >= min_s))
     return _events(_beside(blocks.filter(F.col(channel).isNotNull()), long, [*rec.source, "block"]).filter(F.col("__n").isNotNull()), rec, channel, "stuck")
 

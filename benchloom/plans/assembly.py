@@ -25,7 +25,7 @@ def assembled_flags(spark, d):
 @query("ordered_flags", f"SELECT *, row_number() OVER (ORDER BY user_id, row, channel NULLS FIRST, flag) AS place FROM ({ALL_FLAGS})")
 def ordered_flags(spark, d):
     """Events in order, with the place of each (a number over the whole order)."""
-    flags = _all_flags(recording(spark, d))
+    flags = _all_flags(recording(spark, d)).persist()
     counts = flags.groupBy("user_id").agg(F.count("*").alias("n"))
     # The place is that among a user's events plus the events of users before; both by chunks.
     before = Chunks((), ("user_id",), F.floor(F.col("user_id") / 1000)).with_running_sum(counts, {"so_far": "n"}).select("user_id", (F.col("so_far") - F.col("n") + 1).alias("first"))
