@@ -9,13 +9,14 @@ import uuid
 import zipfile
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from benchloom.operators import grids
 from benchloom.plans.recordings import REC, recording
 from benchloom.registry import query
-from benchloom.sources import delimited, files, loader, roles, sqlite
+from benchloom.sources import delimited, files, loader, roles, sqlite, xls
 from benchloom.sources.profiles import detect
 from benchloom.sources.shipped import SHIPPED
 
@@ -124,6 +125,20 @@ def load_excel(spark, d):
     return files.read_excel(spark, _workbook(spark, d))
 
 
+@query("load_xls", "SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS name, CASE WHEN c_custkey % 9 > 0 THEN CAST(c_nationkey AS VARCHAR) END AS nation, c_mktsegment || ' ü€' AS segment FROM customer")
+def load_xls(spark, d):
+    """Customers in books of up to 5,000 rows, each written and read again by a task."""
+    c = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", "c_name", F.when(F.col("c_custkey") % 9 > 0, F.col("c_nationkey")).alias("nation"), F.concat("c_mktsegment", F.lit(" ü€")).alias("segment"))
+
+    def book(part: pd.DataFrame) -> pd.DataFrame:
+        head = [["Export"], [], ["Nr", "Name", "Nation", "Segment"]]
+        rows = [[int(k), n, None if pd.isna(m) else int(m), a] for k, n, m, a in zip(part["c_custkey"], part["c_name"], part["nation"], part["segment"], strict=True)]
+        return pd.DataFrame({"path": [f"{int(part['book'].iloc[0])}.xls"], "content": [xls.write_book({"Notes": [["none"]], "Data": head + rows})]})
+
+    books = c.withColumn("book", F.floor(F.col("c_custkey") / 5000)).groupBy("book").applyInPandas(book, "path string, content binary")
+    return files.sheet_rows(books, "Data").filter("row > 2").select(*[F.col("cells")[i].alias(n) for i, n in enumerate(("id", "name", "nation", "segment"))])
+
+
 @query("sheet_cells", "SELECT 'Tag' AS sheet, '7' AS journal, 'ALGERIA_OR_FIRST' AS at_b4, 2 AS header, 2 AS region")
 def sheet_cells(spark, d):
     """A cell by its label, one by its address, the header row and a column by its name without unit."""

@@ -8,12 +8,13 @@ import re
 import zipfile
 from xml.etree import ElementTree
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from benchloom.operators.reshape import unique_names
-from benchloom.sources import sqlite
+from benchloom.sources import sqlite, xls
 
 # Words of settings that are never kept.
 SECRETS = ("password", "passwd", "secret", "token", "apikey", "api_key", "key")
@@ -120,6 +121,9 @@ def column_number(letters: str) -> int:
 
 
 def sheet_names(content: bytes) -> list[str]:
+    """The sheets of a book, ``.xlsx`` or ``.xls``, in its order."""
+    if content.startswith(xls.MAGIC):
+        return xls.sheet_names(content)
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         return [s.get("name") for s in ElementTree.fromstring(z.read("xl/workbook.xml")).find("m:sheets", _NS)]
 
@@ -163,7 +167,12 @@ def display_text(value: object) -> str:
 
 
 def read_grid(content: bytes, sheet: str | None = None) -> list[list[str]]:
-    """All cells of a sheet as text, rows of equal length; an unknown sheet names the others."""
+    """All cells of a sheet (``.xlsx`` or ``.xls``) as text, rows of equal length; an unknown sheet names the others."""
+    if content.startswith(xls.MAGIC):
+        found: dict[int, dict[int, str]] = {}
+        for i, j, v in xls.cells(content, sheet):
+            found.setdefault(i, {})[j] = v if isinstance(v, str) else display_text(v)
+        return _rectangle(found)
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         shared = []
         if "xl/sharedStrings.xml" in z.namelist():
@@ -184,9 +193,31 @@ def read_grid(content: bytes, sheet: str | None = None) -> list[list[str]]:
             k = column_number(m[1]) if m else i + 1
             v = c.find("m:v", _NS)
             text = "".join(t.text or "" for t in c.iter(f"{{{_NS['m']}}}t")) if c.get("t") == "inlineStr" else shared[int(v.text)] if c.get("t") == "s" and v is not None else v.text if v is not None else ""
-            rows.setdefault(at, {})[k] = text or ""
-    width = max((k for r in rows.values() for k in r), default=0)
-    return [[rows.get(i, {}).get(k, "") for k in range(1, width + 1)] for i in range(1, max(rows, default=0) + 1)]
+            rows.setdefault(at - 1, {})[k - 1] = text or ""
+    return _rectangle(rows)
+
+
+def _rectangle(rows: dict[int, dict[int, str]]) -> list[list[str]]:
+    width = max((k for r in rows.values() for k in r), default=-1) + 1
+    return [[rows.get(i, {}).get(k, "") for k in range(width)] for i in range(max(rows, default=-1) + 1)]
+
+
+def sheet_rows(books: DataFrame, sheet: str | None = None) -> DataFrame:
+    """path, row (from 0) and cells of a sheet of each book in ``books`` (path, content: as Spark's ``binaryFile`` gives them).
+
+    Each book is read by the task that holds it, so any number of books is read at once. Cells are texts, null where empty; rows
+    without any are kept, as their numbers count. An empty file has no rows.
+    """
+
+    def read(batches):
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                grid = read_grid(content, sheet) if content else []
+                for low in range(0, len(grid), 8192):
+                    part = grid[low : low + 8192]
+                    yield pa.RecordBatch.from_arrays([pa.array([path] * len(part), pa.string()), pa.array(range(low, low + len(part)), pa.int64()), pa.array([[c or None for c in r] for r in part], pa.list_(pa.string()))], ["path", "row", "cells"])
+
+    return books.select("path", "content").mapInArrow(read, "path string, row long, cells array<string>")
 
 
 def read_excel(spark: SparkSession, path: str, sheet: str | None = None, header_row: int | None = None, numbered: str | None = None) -> DataFrame:
