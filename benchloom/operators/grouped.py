@@ -25,7 +25,7 @@ def map_groups(df: DataFrame, keys: list[str], order: list[str], f: Callable[[di
         own = batch.take(pa.array(np.array(of, np.int64)))
         return pa.RecordBatch.from_arrays([*[own.column(k) for k in keys], *[pa.array(out.get(c, []), t) for c, t in kinds.items() if c not in keys]], [*keys, *[c for c in kinds if c not in keys]])
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(lambda batches: _runs(batches, keys, applied), schema)
+    return _together(df, keys).sortWithinPartitions(*keys, *order).mapInArrow(lambda batches: _runs(batches, keys, applied), schema)
 
 
 def add_by_group(df: DataFrame, keys: list[str], order: list[str], used: list[str], f: Callable[[dict[str, np.ndarray]], list], out: str, kind: DataType) -> DataFrame:
@@ -37,7 +37,11 @@ def add_by_group(df: DataFrame, keys: list[str], order: list[str], used: list[st
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(values[out], arrow)], [*batch.schema.names, out])
 
     schema = StructType([*df.schema.fields, StructField(out, kind)])
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(lambda batches: _runs(batches, keys, applied), schema)
+    return _together(df, keys).sortWithinPartitions(*keys, *order).mapInArrow(lambda batches: _runs(batches, keys, applied), schema)
+
+
+def _together(df: DataFrame, keys: list[str]) -> DataFrame:
+    return df.repartition(*keys) if keys else df.coalesce(1)
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: list[str], applied: Callable[[list[pa.RecordBatch]], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from benchloom.functions import formula, ieee
-from benchloom.operators import steps
+from benchloom.operators import held, steps
 
 _FUNCTIONS = {**formula.FUNCTIONS, "changed": 1}
 
@@ -70,7 +70,7 @@ def _formula(df: DataFrame, text: str, at: Layout) -> tuple[DataFrame, Column]:
             raise formula.FormulaError(text, 0, "changed takes the name of a column")
         name, column = f"__changed_{n.args[0].name}", n.args[0].name
         if name not in df.columns:
-            df = steps.changed(df, list(at.by), at.start, column).withColumnRenamed("changed", name)
+            df = held.changed(df, list(at.by), at.start, column).withColumnRenamed("changed", name)
         return formula.Var(name)
 
     node = walk(node)

@@ -5,11 +5,9 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
 from benchloom.functions import formula, ieee
 from benchloom.operators.chunks import Chunks
-from benchloom.operators.grouped import add_by_group
 from benchloom.operators.recording import BEFORE, SO_FAR
 
 
@@ -128,22 +126,6 @@ def cumulative(df: DataFrame, by: list[str], start: str, end: str, increment: Co
     return df.withColumn("total", F.when(good, total)).drop("__fresh", "__inc")
 
 
-def changed(df: DataFrame, by: list[str], time: str, column: str, tolerance: float = 1e-5) -> DataFrame:
-    """Adds ``changed``: against the last accepted value, which moves only with a change; the first value counts as one.
-
-    The accepted value depends on all before it, so each group is read in order; groups are those of ``by``.
-    """
-    def scan(rows: dict) -> list[bool]:
-        held, out = None, []
-        for v in rows[column].tolist():
-            moved = v is not None and v == v and (held is None or abs(v - held) > tolerance * max(abs(v), abs(held)))
-            held = v if moved else held
-            out.append(moved)
-        return out
-
-    return add_by_group(df, by, [time], [column], scan, "changed", BooleanType())
-
-
 def bin_value(c: Column, width: float) -> Column:
     """The nearest multiple of ``width``, half to even."""
     return ieee.round_even(c / width) * width

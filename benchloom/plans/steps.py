@@ -6,7 +6,7 @@ from statistics import NormalDist
 
 from pyspark.sql import functions as F
 
-from benchloom.operators import align, stats, steps
+from benchloom.operators import align, held, stats, steps
 from benchloom.plans.recordings import REC, events, recording
 from benchloom.registry import query
 
@@ -217,7 +217,7 @@ def bin_values(spark, d):
 
 @query("changed_values", f"SELECT event_id, coalesce(coarse IS DISTINCT FROM lag(coarse) OVER (PARTITION BY user_id ORDER BY row), true) AS changed FROM {REC}")
 def changed_values(spark, d):
-    return steps.changed(recording(spark, d).df.select("event_id", "user_id", "row", "coarse"), ["user_id"], "row", "coarse").select("event_id", "changed")
+    return held.changed(recording(spark, d).df.select("event_id", "user_id", "row", "coarse"), ["user_id"], "row", "coarse").select("event_id", "changed")
 
 
 _CLAIMED = f"""WITH RECURSIVE s AS MATERIALIZED (SELECT user_id, step_id, s0, row_number() OVER (PARTITION BY user_id ORDER BY s0, step_id) AS k FROM {STEPS}),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from benchloom import registry
 from benchloom.functions import formula, ieee
-from benchloom.operators import analyses, quality, reshape, stats, steps
+from benchloom.operators import analyses, held, quality, reshape, stats, steps
 from benchloom.operators.recording import Recording
 from benchloom.plans.steps import inside
 from benchloom.streaming import live
@@ -46,7 +46,7 @@ def test_stuck_lasts_long_enough(spark, seconds, n):
 
 def test_changed_moves_only_when_accepted(spark):
     df = spark.createDataFrame([("a", i, v) for i, v in enumerate([1.0, 1.05, 1.1, 1.2, None, 1.25])], "g string, t long, v double")
-    got = [r.changed for r in steps.changed(df, ["g"], "t", "v", 0.1).orderBy("t").collect()]
+    got = [r.changed for r in held.changed(df, ["g"], "t", "v", 0.1).orderBy("t").collect()]
     assert got == [True, False, False, True, False, False]
 
 
