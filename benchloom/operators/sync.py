@@ -10,33 +10,56 @@ from pyspark.sql import functions as F
 #: Limits of the checks: weak and failed correlation, margin of a second peak, overlap.
 WARN_R, FAIL_R, AMBIGUOUS, MIN_OVERLAP = 0.7, 0.3, 0.05, 0.5
 
+#: Grid points of a block.
+BLOCK = 1 << 16
+SUMS = ["n", "sx", "sy", "sxx", "syy", "sxy"]
 
-def correlation_curve(a: np.ndarray, b: np.ndarray, max_lag: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Lags, Pearson's r and overlap of ``b`` shifted against ``a``; missing values (nan) take no part; sums by FFT."""
-    n = 1 << int(np.ceil(np.log2(len(a) + len(b) + 1)))
+
+def products(a: np.ndarray, b: np.ndarray, max_lag: int, mean_a: float = 0.0, mean_b: float = 0.0) -> np.ndarray:
+    """Count and sums of x, y, xx, yy, xy (rows) of all pairs ``a[i], b[i + max_lag + lag]`` for each lag (columns), by FFT.
+
+    ``b`` is longer than ``a`` by ``max_lag`` on either side; values are centred by the means; missing ones (nan) take no part.
+    """
+    n = 1 << int(np.ceil(np.log2(max(len(b), 2))))
     ma, mb = np.isfinite(a).astype(float), np.isfinite(b).astype(float)
-    # Values are centred first: sums of squares lose fewer digits.
-    x = np.where(ma > 0, a - (np.nanmean(a) if ma.any() else 0), 0.0)
-    y = np.where(mb > 0, b - (np.nanmean(b) if mb.any() else 0), 0.0)
+    x, y = np.where(ma > 0, a - mean_a, 0.0), np.where(mb > 0, b - mean_b, 0.0)
+    left = {k: np.conj(np.fft.rfft(v, n)) for k, v in (("1", ma), ("x", x), ("xx", x * x))}
+    right = {k: np.fft.rfft(v, n) for k, v in (("1", mb), ("y", y), ("yy", y * y))}
+    pairs = (("1", "1"), ("x", "1"), ("1", "y"), ("xx", "1"), ("1", "yy"), ("x", "y"))
+    out = np.stack([np.fft.irfft(left[p] * right[q], n)[: 2 * max_lag + 1] for p, q in pairs])
+    out[0] = np.round(out[0])
+    return out
 
-    def against(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-        full = np.fft.irfft(np.conj(np.fft.rfft(p, n)) * np.fft.rfft(q, n), n)
-        return np.concatenate([full[n - max_lag :], full[: max_lag + 1]]) if max_lag else full[:1]
 
-    count = np.round(against(ma, mb))
-    sx, sy, sxx, syy, sxy = against(x, mb), against(ma, y), against(x * x, mb), against(ma, y * y), against(x, y)
+def pearson(sums: np.ndarray, square: float) -> np.ndarray:
+    """Pearson's r by lag from ``products``; nan with fewer than three pairs or none but equal values (against ``square``)."""
+    count, sx, sy, sxx, syy, sxy = sums
     safe = np.maximum(count, 1)
     vx, vy = sxx - sx**2 / safe, syy - sy**2 / safe
-    floor = 1e-9 * max(float((x * x).sum()), float((y * y).sum()), 1e-300)
+    floor = 1e-9 * max(square, 1e-300)
     ok = (count >= 3) & (vx > floor) & (vy > floor)
-    r = np.where(ok, (sxy - sx * sy / safe) / np.sqrt(np.where(ok, vx * vy, 1.0)), np.nan)
-    return np.arange(-max_lag, max_lag + 1), r, count
+    return np.where(ok, (sxy - sx * sy / safe) / np.sqrt(np.where(ok, vx * vy, 1.0)), np.nan)
+
+
+def correlation_curve(a: np.ndarray, b: np.ndarray, max_lag: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lags, Pearson's r and overlap of ``b`` shifted against ``a``, two arrays on one grid; missing values (nan) take no part."""
+    means = [float(np.nanmean(v)) if np.isfinite(v).any() else 0.0 for v in (a, b)]
+    beyond = np.full(max_lag, np.nan)
+    around = np.concatenate([beyond, b, np.full(max(len(a) - len(b), 0), np.nan), beyond])
+    sums = products(a, around, max_lag, *means)
+    square = max(float(np.nansum((v - m) ** 2)) for v, m in zip((a, b), means))
+    return np.arange(-max_lag, max_lag + 1), pearson(sums, square), sums[0]
 
 
 def best_lag(a: np.ndarray, b: np.ndarray, max_lag: int) -> dict[str, object]:
-    """lag (with a parabola's fraction), r, overlap (share of the shorter signal) and checks."""
+    """judged_lag of two arrays on one grid."""
     lags, r, count = correlation_curve(a, b, max_lag)
-    short = max(min(np.isfinite(a).sum(), np.isfinite(b).sum()), 1)
+    return judged_lag(lags, r, count, min(np.isfinite(a).sum(), np.isfinite(b).sum()))
+
+
+def judged_lag(lags: np.ndarray, r: np.ndarray, count: np.ndarray, short: int) -> dict[str, object]:
+    """lag (with a parabola's fraction), r, overlap (share of the shorter signal) and checks."""
+    short = max(short, 1)
     usable = np.where(count >= MIN_OVERLAP * short, r, np.nan)
     if not np.isfinite(usable).any():
         return {"lag": np.nan, "r": np.nan, "overlap": 0.0, "checks": ["fail: no lag with enough overlap"]}
@@ -57,23 +80,47 @@ def best_lag(a: np.ndarray, b: np.ndarray, max_lag: int) -> dict[str, object]:
     return {"lag": lag, "r": float(r[k]), "overlap": float(count[k] / short), "checks": checks}
 
 
-def cross_correlate(a: DataFrame, b: DataFrame, by: list[str], k: str, value: str, max_lag: int) -> DataFrame:
-    """by, lag, r, overlap, checks: one row per group of two signals on a grid with index ``k`` (missing points allowed)."""
+def cross_correlate(a: DataFrame, b: DataFrame, by: list[str], k: str, value: str, max_lag: int, block: int | None = None) -> DataFrame:
+    """by, lag, r, overlap, checks: one row per group of two signals on a grid with index ``k`` (missing points allowed).
+
+    The first signal is cut into blocks of the grid; each block meets the second signal's points up to ``max_lag`` beyond it and
+    leaves sums by lag, which are added up over blocks: a task holds one block, and a group's curve has 2 max_lag + 1 lags. Groups
+    that are in one signal only have no row; points without a number take no part; of points with one index one counts.
+    """
+    size = max(block or BLOCK, 2 * max_lag, 1)
     kinds = ", ".join(f"`{c}` {a.schema[c].dataType.simpleString()}" for c in by)
+    # Columns of their own names: both sides may come from one table.
+    left, right = (df.select(*by, F.col(k).cast("long").alias("at"), F.col(value).cast("double").alias("v")).filter("v is not null and not isnan(v) and abs(v) < double('inf')") for df in (a, b))
+    totals = lambda df, n: df.groupBy(*by).agg(F.count("v").alias(f"n_{n}"), F.avg("v").alias(f"mean_{n}"), (F.var_pop("v") * F.count("v")).alias(f"square_{n}"))
+    both = totals(left, "a").join(totals(right, "b"), by)
+    means = both.select(*by, "mean_a", "mean_b")
+    of = F.floor(F.col("at") / size)
+    left = left.join(means, by).withColumn("__block", of)
+    near = F.explode(F.sequence(F.floor((F.col("at") - max_lag) / size), F.floor((F.col("at") + max_lag) / size)))
+    right = right.select(*[F.col(c).alias(f"__{c}") for c in by], "at", "v", near.alias("__near"))
 
-    def one(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        names = [*by, "lag", "r", "overlap", "checks"]
-        if not len(left) or not len(right):
+    def summed(one: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
+        names = [*by, "at", *SUMS]
+        if not len(one) or not len(other):
             return pd.DataFrame(columns=names)
-        low, high = min(left["at"].min(), right["at"].min()), max(left["at"].max(), right["at"].max())
-        grid = []
-        for side in (left, right):
-            v = np.full(int(high - low) + 1, np.nan)
-            v[(side["at"] - low).astype(int)] = side["v"].astype(float)
-            grid.append(v)
-        best = best_lag(grid[0], grid[1], min(max_lag, len(grid[0]) - 1))
-        return pd.DataFrame([[*left[by].iloc[0], best["lag"], best["r"], best["overlap"], best["checks"]]], columns=names)
+        start = int(one["__block"].iloc[0]) * size
+        x, y = np.full(size, np.nan), np.full(size + 2 * max_lag, np.nan)
+        x[one["at"] - start] = one["v"]
+        y[other["at"] - start + max_lag] = other["v"]
+        out = pd.DataFrame(products(x, y, max_lag, one["mean_a"].iloc[0], one["mean_b"].iloc[0]).T, columns=SUMS)
+        out["at"] = np.arange(-max_lag, max_lag + 1)
+        for c in by:
+            out[c] = one[c].iloc[0]
+        return out[names]
 
-    # Columns of their own names: both sides may come from one table.
-    side = lambda df: df.select(*by, F.col(k).alias("at"), F.col(value).alias("v")).groupBy(*by)
-    return side(a).cogroup(side(b)).applyInPandas(one, kinds + ", lag double, r double, overlap double, checks array<string>")
+    parts = left.groupBy(*by, "__block").cogroup(right.groupBy(*[f"__{c}" for c in by], "__near")).applyInPandas(summed, kinds + ", at long, " + ", ".join(f"{c} double" for c in SUMS))
+    curve = parts.groupBy(*by, "at").agg(*[F.sum(c).alias(c) for c in SUMS])
+    curves = both.select(*by, F.least("n_a", "n_b").alias("short"), F.greatest("square_a", "square_b").alias("square")).join(curve, by, "left")
+
+    def judged(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.dropna(subset=["at"]).sort_values("at") if rows["at"].notna().any() else rows.assign(at=0, **dict.fromkeys(SUMS, 0.0))
+        sums = rows[SUMS].to_numpy(float).T
+        best = judged_lag(rows["at"].to_numpy(), pearson(sums, float(rows["square"].iloc[0])), sums[0], int(rows["short"].iloc[0]))
+        return pd.DataFrame([[*rows[by].iloc[0], best["lag"], best["r"], best["overlap"], best["checks"]]], columns=[*by, "lag", "r", "overlap", "checks"])
+
+    return curves.groupBy(*by).applyInPandas(judged, kinds + ", lag double, r double, overlap double, checks array<string>")

@@ -36,3 +36,26 @@ def test_correlation_finds_a_shift(spark):
     row = sync.cross_correlate(frame(a), frame(b), ["g"], "k", "v", 30).first()
     assert row.lag == pytest.approx(7, abs=0.3) and row.r > 0.99 and not [c for c in row.checks if c.startswith("fail")]
     assert "fail: no correlation" in sync.best_lag(rng.normal(size=400), rng.normal(size=400), 5)["checks"]
+
+
+def test_correlation_in_blocks(spark):
+    """Blocks of any size give the curve of the whole, for groups of their own offset, gaps and length."""
+    rng = np.random.default_rng(2)
+    signals, frames = {}, ([], [])
+    for g, n, shift, at in (("p", 900, 5, -300), ("q", 333, -11, 10**9), ("r", 40, 0, 7)):
+        x = rng.normal(size=n + 40).cumsum()
+        a, b = x[20 : 20 + n].copy(), x[20 - shift : 20 - shift + n].copy()
+        a[n // 3 : n // 2], b[::9] = np.nan, np.nan
+        signals[g] = sync.best_lag(a, b, 17)
+        for rows, v in zip(frames, (a, b)):
+            rows += [(g, at + i, float(y)) for i, y in enumerate(v) if np.isfinite(y)]
+    frames[0].append(("alone", 1, 1.0))
+    for side in frames:
+        side += [("apart", i + (10**6 if side is frames[1] else 0), float(i)) for i in range(5)]
+    a, b = (spark.createDataFrame(rows, "g string, k long, v double") for rows in frames)
+    for block in (34, 100, None):
+        got = {r.g: r for r in sync.cross_correlate(a, b, ["g"], "k", "v", 17, block).collect()}
+        assert set(got) == {"p", "q", "r", "apart"} and got["apart"].checks == ["fail: no lag with enough overlap"]
+        for g, want in signals.items():
+            assert (got[g].lag, got[g].r, got[g].overlap) == pytest.approx((want["lag"], want["r"], want["overlap"]), abs=1e-9)
+            assert got[g].checks == want["checks"]
