@@ -5,10 +5,11 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, replace
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from benchloom.functions import formula, ieee
@@ -209,55 +210,83 @@ class Session:
         old = self.spark.createDataFrame([tuple(r.get(c) for c in ("step_id", *content)) for r in self.campaign.snapshot], schema)
         return steps.compare_snapshots(old, table.select("step_id", *content), "step_id", content)
 
-    def measure_rows(self, name: str, m: Measure, source: str, table: DataFrame, by: list[str]) -> DataFrame:
-        """step_id, measure, source, n, coverage, value, u, level, checks of a measure on one source."""
+    def measure_rows(self, source: str, measures: dict[str, Measure], table: DataFrame, by: list[str]) -> DataFrame:
+        """step_id, measure, source, n, coverage, value, u, level, checks of measures on one source, all in one pass over its samples.
+
+        Each measure has its window of a step and the values it takes (a channel less what its flags exclude); samples give their
+        values once for each kind that is taken, windows meet their kind's, and every statistic is one grouping by step and measure.
+        """
         s, rec = self.campaign.sources[source], self.recording(source)
-        low, high = steps.window_rule(F.col("start"), F.col("end"), m.skip_start, m.skip_end)
-        windows = table.select(*by, "step_id", low.alias("__lo"), high.alias("__hi")).filter("__lo is not null")
-        if m.exclude_flags and source in self.flags:
-            df = assembly.flag_mask(rec, self.flags[source], m.exclude_flags, m.channel, "__out")
-        else:
-            df = rec.df.withColumn("__out", F.lit(False))
-        samples = df.select(*by, F.col(rec.row).alias("__row"), F.col("master_s").alias("__t"), F.col(m.channel).cast("double").alias("__y"), "__out")
-        rows = stats.in_windows(samples, windows, by, "__t", "__lo", "__hi")
+        flags = self.flags.get(source)
+        kind_of = {name: (m.channel, tuple(sorted(m.exclude_flags)) if flags is not None else ()) for name, m in measures.items()}
+        kinds = list(dict.fromkeys(kind_of.values()))
+        df, key, place = rec.df, ["step_id", "measure"], [*by, "__of"]
+        if any(names for _, names in kinds):
+            hit = lambda channel, names: F.max(F.col("flag").isin(*names) & (F.col("channel").isNull() | (F.col("channel") == channel)))
+            marked = flags.groupBy(*rec.source, F.col("row").alias(rec.row)).agg(*[hit(*kind).alias(f"__f{i}") for i, kind in enumerate(kinds) if kind[1]])
+            df = df.join(marked, [*rec.source, rec.row], "left")
+        out = {i: F.coalesce(f"__f{i}", F.lit(False)) if names else F.lit(False) for i, (_, names) in enumerate(kinds)}
+        taken = F.inline(F.array(*[F.struct(F.lit(i).alias("__of"), F.col(channel).cast("double").alias("__y"), out[i].alias("__out")) for i, (channel, _) in enumerate(kinds)]))
+        samples = df.select(*by, F.col(rec.row).alias("__row"), F.col("master_s").alias("__t"), taken)
+
+        def window(name: str, m: Measure) -> Column:
+            low, high = steps.window_rule(F.col("start"), F.col("end"), m.skip_start, m.skip_end)
+            return F.struct(F.lit(name).alias("measure"), F.lit(kinds.index(kind_of[name])).alias("__of"), low.alias("__lo"), high.alias("__hi"))
+
+        windows = table.select(*by, "step_id", F.inline(F.array(*[window(*x) for x in measures.items()]))).filter("__lo is not null")
+        rows = stats.in_windows(samples, windows, place, "__t", "__lo", "__hi")
         used = rows.filter(~F.col("__out"))
-        count = stats.counts(rows, ["step_id"], "__y", "__lo", "__hi", "__out")
-        area = stats.integral(samples.withColumn("__y", F.when(~F.col("__out"), F.col("__y"))), windows, by, ["step_id"], "__t", "__y", "__lo", "__hi", "__row")
-        loc = stats.location(used, ["step_id"], "__y").drop("n")
-        auto = stats.autocorrelation(used, ["step_id"], "__y", "__row").select("step_id", "sem_eff")
-        out = windows.select("step_id").join(count, "step_id", "left").join(area, "step_id", "left").join(loc, "step_id", "left").join(auto, "step_id", "left")
-        none = F.lit(None).cast("double")
-        slope_u, two_u = none, none
-        if m.stat == "slope":
-            se = stats.robust(used, ["step_id"], "__t", "__y", "__lo", "__hi").select("step_id", "slope_se_eff")
-            out = out.join(stats.slope(used, ["step_id"], "__t", "__y", "__lo").select("step_id", "slope"), "step_id", "left").join(se, "step_id", "left")
-            slope_u = F.col("slope_se_eff")
-        elif m.stat == "two_point":
-            ends = stats.two_point(used, ["step_id"], "__t", "__y", "__lo", "__hi", "__row", m.half_width_s, m.reading_u, s.clock_u_s or 0.0)
-            out = out.join(ends.select("step_id", "two_point", "two_point_u"), "step_id", "left")
-            two_u = F.col("two_point_u")
-        n = F.coalesce("n", F.lit(0))
+        found = [
+            stats.counts(rows, key, "__y", "__lo", "__hi", "__out"),
+            stats.integral(samples.withColumn("__y", F.when(~F.col("__out"), F.col("__y"))), windows, place, key, "__t", "__y", "__lo", "__hi", "__row"),
+            stats.location(used, key, "__y").drop("n"),
+            stats.autocorrelation(used, key, "__y", "__row").select(*key, "n_eff", "sem_eff"),
+        ]
+        having = lambda stat: [n for n, m in measures.items() if m.stat == stat]
+        if names := having("slope"):
+            some = used.filter(F.col("measure").isin(names))
+            robust = stats.robust(some, key, "__t", "__y", "__lo", "__hi").select(*key, "slope_se_eff", "slope_theil_sen", "ts_ci_low", "ts_ci_high", "halves_diff", "halves_u")
+            found += [stats.slope(some, key, "__t", "__y", "__lo").select(*key, "slope"), robust]
+        if names := having("two_point"):
+            alike: dict[tuple[float, float], list[str]] = {}
+            for n in names:
+                alike.setdefault((measures[n].half_width_s, measures[n].reading_u), []).append(n)
+            ends = [stats.two_point(used.filter(F.col("measure").isin(of)), key, "__t", "__y", "__lo", "__hi", "__row", *how, s.clock_u_s or 0.0) for how, of in alike.items()]
+            found.append(reduce(DataFrame.unionByName, ends).select(*key, "two_point", "two_point_u"))
+        df = reduce(lambda a, b: a.join(b, key, "left"), found, windows.select(*key))
+        col = lambda c: F.col(c) if c in df.columns else F.lit(None).cast("double")
         zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-        u = evaluate.measure_u(m.stat, F.col("sem_eff"), slope_u, two_u, F.col("sem_eff") * F.col("covered_s"), m.reading_u)
-        found = stationary.checks(n, F.coalesce("coverage", F.lit(0.0)), zero("n_excluded"), zero("n_missing"), F.col("sd"))
-        value = n if m.stat == "n" else F.col(m.stat)
-        return out.withColumn("__c", found).select("step_id", F.lit(name).alias("measure"), F.lit(source).alias("source"), n.alias("n"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"), value.cast("double").alias("value"), F.when(value.isNotNull(), u).alias("u"), stationary.level(F.col("__c")).alias("level"), F.transform("__c", lambda x: x["text"]).alias("checks"))
+        n, coverage = zero("n"), F.coalesce("coverage", F.lit(0.0))
+
+        def each(f: Callable[[Measure], Column]) -> Column:
+            return F.coalesce(*[F.when(F.col("measure") == name, f(m)) for name, m in measures.items()])
+
+        df = df.withColumn("__value", each(lambda m: (n if m.stat == "n" else F.col(m.stat)).cast("double")))
+        df = df.withColumn("__u", each(lambda m: evaluate.measure_u(m.stat, F.col("sem_eff"), col("slope_se_eff"), col("two_point_u"), F.col("sem_eff") * F.col("covered_s"), m.reading_u)))
+        trend = stationary.Trend(*[col(c) for c in ("slope", "slope_se_eff", "slope_theil_sen", "ts_ci_low", "ts_ci_high", "halves_diff", "halves_u", "window_s")])
+        df = df.withColumn("__c", stationary.checks(n, coverage, zero("n_excluded"), zero("n_missing"), F.col("sd"), n_eff=F.col("n_eff"), trend=trend))
+        return df.select(*key, F.lit(source).alias("source"), n.alias("n"), coverage.alias("coverage"), F.col("__value").alias("value"), F.when(F.col("__value").isNotNull(), F.col("__u")).alias("u"), stationary.level(F.col("__c")).alias("level"), F.transform("__c", lambda x: x["text"]).alias("checks"))
 
     def window_table(self, table: DataFrame, by: list[str]) -> DataFrame:
         """measure_rows of every measure over its window of every step (step_id, start, end), of its first source that is good enough."""
+        measures = self.campaign.measures
+        sources = {name: self.sources_of(m) for name, m in measures.items()}
+        among = lambda f: F.coalesce(*[F.when(F.col("measure") == name, f(name)) for name in measures])
         parts = []
-        for name, m in self.campaign.measures.items():
-            for place, source in enumerate(self.sources_of(m)):
-                parts.append(self.measure_rows(name, m, source, table, by).withColumn("__place", F.lit(place)).withColumn("__ok", F.col("value").isNotNull() & (F.col("n") >= m.min_n) & (F.col("coverage") >= m.min_coverage)))
-        out = reduce(lambda a, b: a.unionByName(b), parts)
+        for source in dict.fromkeys(x for names in sources.values() for x in names):
+            of = {name: m for name, m in measures.items() if source in sources[name]}
+            place = among(lambda name: F.lit(sources[name].index(source) if source in sources[name] else len(sources[name])))
+            parts.append(self.measure_rows(source, of, table, by).withColumn("__place", place))
+        good = F.col("value").isNotNull() & (F.col("n") >= among(lambda name: F.lit(measures[name].min_n))) & (F.col("coverage") >= among(lambda name: F.lit(measures[name].min_coverage)))
+        out = reduce(DataFrame.unionByName, parts).withColumn("__ok", good)
         best = F.min_by(F.struct("source", "n", "coverage", "value", "u", "level", "checks"), F.struct(~F.col("__ok"), "__place"))
-        return out.groupBy("step_id", "measure").agg(best.alias("b"), F.max("__ok").alias("__any")).select("step_id", "measure", "b.source", "b.n", "b.coverage", *[F.when(F.col("__any") | (F.col("measure").isin([k for k, m in self.campaign.measures.items() if len(self.sources_of(m)) < 2])), F.col(f"b.{c}")).alias(c) for c in ("value", "u")], "b.level", "b.checks")
+        single = F.col("measure").isin([name for name, names in sources.items() if len(names) < 2])
+        return out.groupBy("step_id", "measure").agg(best.alias("b"), F.max("__ok").alias("__any")).select("step_id", "measure", "b.source", "b.n", "b.coverage", *[F.when(F.col("__any") | single, F.col(f"b.{c}")).alias(c) for c in ("value", "u")], "b.level", "b.checks")
 
     def window_stats(self, table: DataFrame, by: list[str], step_id, source: str, channel: str) -> DataFrame:
         """stat, value, u of one step's window on one channel."""
-        one = table.filter(F.col("step_id") == F.lit(step_id))
-        found = [self.measure_rows(stat, Measure(channel, stat), source, one, by).select(F.col("measure").alias("stat"), "value", "u") for stat in ("n", "mean", "median", "sd", "min", "max", "slope", "two_point", "integral", "covered_s")]
-        return reduce(lambda a, b: a.unionByName(b), found)
+        named = {stat: Measure(channel, stat) for stat in ("n", "mean", "median", "sd", "min", "max", "slope", "two_point", "integral", "covered_s")}
+        return self.measure_rows(source, named, table.filter(F.col("step_id") == F.lit(step_id)), by).select(F.col("measure").alias("stat"), "value", "u")
 
     def results(self, table: DataFrame, by: list[str]) -> DataFrame:
         """The step table with measures (name, u_name, checks_name, source_name), classes with a note, calculations with budgets, and criteria.

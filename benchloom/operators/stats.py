@@ -195,12 +195,12 @@ def steady(diff: float, u: float, confidence: float = 0.95) -> bool:
     return abs(diff) <= NormalDist().inv_cdf(1 - (1 - confidence) / 4) * u if u else diff == 0
 
 
-ROBUST = ("slope_se_hac", "slope_se_ar1", "slope_se_eff", "durbin_watson", "slope_theil_sen", "intercept_theil_sen", "ts_ci_low", "ts_ci_high", "halves_diff")
+ROBUST = ("slope_se_hac", "slope_se_ar1", "slope_se_eff", "durbin_watson", "slope_theil_sen", "intercept_theil_sen", "ts_ci_low", "ts_ci_high", "halves_diff", "halves_u")
 
 
 def robust(rows: DataFrame, step: list[str], x: str, y: str, low: str, high: str) -> DataFrame:
     """ROBUST and ``stationary`` per step: standard errors of the slope that allow for correlated neighbours (Newey-West, AR(1), the
-    larger of both), Theil and Sen's slope with its interval, the difference of the window's halves; null where too few points allow none.
+    larger of both), Theil and Sen's slope with its interval, the difference of the window's halves and its error; null where too few points allow none.
 
     Stationary: neither the slope (by the larger error) nor the halves' difference is significant.
     """
@@ -227,8 +227,8 @@ def robust(rows: DataFrame, step: list[str], x: str, y: str, low: str, high: str
         first = t < (g[high][0] - g[low][0]) / 2
         if first.sum() > 2 and (~first).sum() > 2:
             (a, ua), (b, ub) = _half(v[first]), _half(v[~first])
-            out["halves_diff"] = b - a
-            verdicts.append(steady(b - a, (ua + ub) ** 0.5))
+            out["halves_diff"], out["halves_u"] = b - a, (ua + ub) ** 0.5
+            verdicts.append(steady(b - a, out["halves_u"]))
         out["stationary"] = bool(all(verdicts)) if verdicts else None
         return {n: [None if z is None or z != z else z] for n, z in out.items()}
 
