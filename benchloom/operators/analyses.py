@@ -39,16 +39,29 @@ def crossing_text(df: DataFrame, by: list[str], x: str, y: str, level: float, un
 
 
 def derived_quantities(fit: DataFrame, by: list[str], formulas: dict[str, str], constants: dict[str, float] | None = None) -> DataFrame:
-    """by, and for each formula over m, b and constants its value and u, from a line's u_m and u_b."""
+    """by, and for each formula over m, b, constants and formulas before it its value and u, from a line's u_m, u_b and cov_mb.
+
+    Slope and intercept of a line depend on each other: without ``cov_mb`` (see fit_line's ``with_cov``) they are taken as independent.
+    """
+    from benchloom.functions import formula
     from benchloom.operators import evaluate
 
-    inputs = {n: evaluate.Input(F.col(n), F.col(f"u_{n}")) for n in ("m", "b")} | {n: evaluate.Input(F.lit(float(v)), None) for n, v in (constants or {}).items()}
-    out = evaluate.calculate(fit.select(*by, "m", "u_m", "b", "u_b"), formulas, inputs)
-    return out.select(*by, *[x for n in formulas for x in (n, f"u_{n}")])
+    c, given = F.col, {n: F.lit(float(v)) for n, v in (constants or {}).items()}
+    env = {"m": c("m"), "b": c("b"), **given}
+    inputs = {n: evaluate.Input(v, c(f"u_{n}") if n in ("m", "b") else None) for n, v in env.items()}
+    cov = c("cov_mb") if "cov_mb" in fit.columns else F.lit(0.0)
+    known: dict[str, evaluate.Budget] = {}
+    out = []
+    for name, text in formulas.items():
+        budget = known[name] = evaluate.differentiate(text, known, inputs)
+        by_m, by_b = (formula.to_column(budget.gradients[n], env) if n in budget.gradients else F.lit(0.0) for n in ("m", "b"))
+        square = (by_m * c("u_m")) ** 2 + (by_b * c("u_b")) ** 2 + 2 * by_m * by_b * cov
+        out += [formula.to_column(budget.node, env).alias(name), F.sqrt(F.greatest(square, F.lit(0.0))).alias(f"u_{name}")]
+    return fit.select(*by, *out)
 
 
-def fit_line(df: DataFrame, by: list[str], x: str, y: str, u_x: str, u_y: str, iterations: int = 5) -> DataFrame:
-    """n, m, u_m, b, u_b, chi2_red, birge: effective variance u_y² + (m u_x)², each round five weighted sums.
+def fit_line(df: DataFrame, by: list[str], x: str, y: str, u_x: str, u_y: str, iterations: int = 5, with_cov: bool = False) -> DataFrame:
+    """n, m, u_m, b, u_b, chi2_red, birge (and cov_mb): effective variance u_y² + (m u_x)², each round five weighted sums.
 
     Uncertainties of m and b are widened by the Birge factor where it exceeds 1. Groups with fewer than three points or
     one x have no line.
@@ -63,11 +76,11 @@ def fit_line(df: DataFrame, by: list[str], x: str, y: str, u_x: str, u_y: str, i
         det = F.when(det > 1e-12 * F.col("w") * F.col("wxx"), det)
         m = (F.col("w") * F.col("wxy") - F.col("wx") * F.col("wy")) / det
         b = (F.col("wxx") * F.col("wy") - F.col("wx") * F.col("wxy")) / det
-        line = s.withColumn("m", m).withColumn("b", b).withColumn("u_m", F.sqrt(F.col("w") / det)).withColumn("u_b", F.sqrt(F.col("wxx") / det))
+        line = s.withColumn("m", m).withColumn("b", b).withColumn("u_m", F.sqrt(F.col("w") / det)).withColumn("u_b", F.sqrt(F.col("wxx") / det)).withColumn("cov_mb", -F.col("wx") / det)
     c = F.col
     chi2 = c("wyy") + c("m") ** 2 * c("wxx") + c("b") ** 2 * c("w") - 2 * c("m") * c("wxy") - 2 * c("b") * c("wy") + 2 * c("m") * c("b") * c("wx")
     line = line.filter("n > 2").withColumn("chi2_red", F.greatest(chi2, F.lit(0.0)) / (c("n") - 2)).withColumn("birge", F.greatest(F.sqrt("chi2_red"), F.lit(1.0)))
-    return line.select(*by, "n", "m", (c("u_m") * c("birge")).alias("u_m"), "b", (c("u_b") * c("birge")).alias("u_b"), "chi2_red", "birge")
+    return line.select(*by, "n", "m", (c("u_m") * c("birge")).alias("u_m"), "b", (c("u_b") * c("birge")).alias("u_b"), "chi2_red", "birge", *([(c("cov_mb") * c("birge") ** 2).alias("cov_mb")] if with_cov else []))
 
 
 def covariance(df: DataFrame, key: str, gradients: dict[str, str], random: dict[str, str], systematic: dict[str, str], scope: list[str]) -> DataFrame:
@@ -106,8 +119,8 @@ def monte_carlo_line(df: DataFrame, by: list[str], key: str, x: str, y: str, u_x
     return s.groupBy(*by).agg(F.avg("m").alias("m_mean"), F.stddev_samp("m").alias("m_sd"), F.avg("b").alias("b_mean"), F.stddev_samp("b").alias("b_sd"))
 
 
-def fit_line_gls(df: DataFrame, by: list[str], x: str, y: str, own_x: str, own_y: str, factors_x: list[str], factors_y: list[str], iterations: int = 5) -> DataFrame:
-    """n, m, u_m, b, u_b, chi2_red, birge: a straight line by group with the full covariance of cov_y + m² cov_x.
+def fit_line_gls(df: DataFrame, by: list[str], x: str, y: str, own_x: str, own_y: str, factors_x: list[str], factors_y: list[str], iterations: int = 5, with_cov: bool = False) -> DataFrame:
+    """n, m, u_m, b, u_b, chi2_red, birge (and cov_mb): a straight line by group with the full covariance of cov_y + m² cov_x.
 
     Covariances are diagonals and factors (see covariance): their inverse needs the sums of products of a group's columns
     alone (Woodbury), one aggregate a round; small matrices are solved where those sums meet. Groups with fewer than three points
@@ -137,14 +150,14 @@ def fit_line_gls(df: DataFrame, by: list[str], x: str, y: str, own_x: str, own_y
                 mb = cov @ w[[1, 0], 2]
                 chi2 = max(w[2, 2] - 2 * mb @ w[[1, 0], 2] + mb @ a @ mb, 0.0) / max(n - 2, 1)
                 birge = max(1.0, chi2**0.5)
-                rows.append((*r[: len(by)], n, mb[0], max(cov[0, 0], 0) ** 0.5 * birge, mb[1], max(cov[1, 1], 0) ** 0.5 * birge, chi2, birge))
-            yield pd.DataFrame(rows, columns=[*by, "n", "m", "u_m", "b", "u_b", "chi2_red", "birge"])
+                rows.append((*r[: len(by)], n, mb[0], max(cov[0, 0], 0) ** 0.5 * birge, mb[1], max(cov[1, 1], 0) ** 0.5 * birge, chi2, birge, cov[0, 1] * birge**2))
+            yield pd.DataFrame(rows, columns=[*by, "n", "m", "u_m", "b", "u_b", "chi2_red", "birge", "cov_mb"])
 
     for _ in range(iterations):
         met = good.join(line.select(*by, "n", "m"), by).withColumn("d", 1 / (F.col("vy") + F.col("m") ** 2 * F.col("vx")))
         sums = met.groupBy(*by, "n", "m").agg(*[F.sum(F.col("d") * F.col(columns[i]) * F.col(columns[j])).alias(f"s{i}_{j}") for i, j in pairs])
-        line = sums.mapInPandas(solved, kinds + ", n long, m double, u_m double, b double, u_b double, chi2_red double, birge double")
-    return line
+        line = sums.mapInPandas(solved, kinds + ", n long, m double, u_m double, b double, u_b double, chi2_red double, birge double, cov_mb double")
+    return line if with_cov or not iterations else line.drop("cov_mb")
 
 
 def fit_gls(x: np.ndarray, y: np.ndarray, cov_x: np.ndarray, cov_y: np.ndarray, iterations: int = 5) -> dict[str, float]:

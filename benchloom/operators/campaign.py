@@ -309,11 +309,30 @@ class Session:
         return evaluate.criteria(df, c.criteria)
 
     def analysis(self, name: str, results: DataFrame) -> DataFrame:
-        """An analysis of the results by its kind: crossing (by, x, y, u, level), line (by, x, y, u_x, u_y) or aggregate (rows, value, how, columns)."""
+        """An analysis of the results by its kind and the arguments of its function (KINDS), of the rows for which ``where`` holds.
+
+        ``columns_of`` names formulas that are computed first; ``derived`` of a line names formulas over its m and b and the campaign's
+        constants, which come with their u beside the line's columns.
+        """
         spec = dict(self.campaign.analyses[name])
-        kind, where = spec.pop("kind"), spec.pop("where", None)
+        kind, where, computed, derived = (spec.pop(k, None) for k in ("kind", "where", "columns_of", "derived"))
+        if kind not in KINDS:
+            raise ValueError(f"analysis {name}: no kind {kind!r}; there are {', '.join(KINDS)}")
+        if derived and kind not in LINES:
+            raise ValueError(f"analysis {name}: {kind} has no derived quantities; {', '.join(LINES)} have")
         df = results.filter(ieee.holds(formula.compile_formula(where, results))) if where else results
-        known = {"crossing": analyses.crossing_range, "line": analyses.fit_line, "aggregate": reshape.aggregate}
-        if kind not in known:
-            raise ValueError(f"analysis {name}: no kind {kind!r}; there are {', '.join(known)}")
-        return known[kind](df, **spec)
+        for column, text in (computed or {}).items():
+            df = df.withColumn(column, formula.compile_formula(text, df))
+        if not derived:
+            return KINDS[kind](df, **spec)
+        line = KINDS[kind](df, **spec, with_cov=True)
+        found = analyses.derived_quantities(line, spec["by"], derived, {k: v[0] for k, v in self.campaign.constants.items()})
+        return line.drop("cov_mb").join(found, spec["by"])
+
+
+#: Analyses of a campaign by kind; lines can have derived quantities.
+LINES = {"line": analyses.fit_line, "line_gls": analyses.fit_line_gls}
+KINDS = {
+    **LINES, "crossing": analyses.crossing_range, "crossing_systematic": analyses.crossing_systematic, "crossing_text": analyses.crossing_text,
+    "monte_carlo_crossing": analyses.monte_carlo_crossing, "monte_carlo_line": analyses.monte_carlo_line, "aggregate": reshape.aggregate,
+}

@@ -154,6 +154,18 @@ def derived_quantities(spark, d):
     return analyses.derived_quantities(fit, ["l_suppkey"], {"ea": "-m * r", "k0": "exp(b / 10)"}, {"r": 8.314})
 
 
+_BOTH = f"(SELECT l_suppkey, m, b, u_m, u_b, -wx / det * birge * birge AS c FROM {_FIT1})"
+
+
+@query("derived_correlated", f"""SELECT l_suppkey, 20 * m + b AS at_20, sqrt(400 * u_m * u_m + u_b * u_b + 40 * c) AS u_at_20, -b / m AS zero, sqrt(pow(b / m / m * u_m, 2) + pow(u_b / m, 2) - 2 * b / pow(m, 3) * c) AS u_zero,
+  (20 * m + b) / m AS ratio, sqrt(pow(b / m / m * u_m, 2) + pow(u_b / m, 2) - 2 * b / pow(m, 3) * c) AS u_ratio FROM {_BOTH}""")
+def derived_correlated(spark, d):
+    """Quantities of slope and intercept with their covariance; one rests on another."""
+    df = spark.read.parquet(f"{d}/lineitem.parquet").select("l_suppkey", "l_quantity", (F.col("l_extendedprice") / 1000).alias("y"), F.lit(0.0).alias("u_x"), (0.02 * F.col("l_extendedprice") / 1000).alias("u_y"))
+    fit = analyses.fit_line(df, ["l_suppkey"], "l_quantity", "y", "u_x", "u_y", 1, with_cov=True)
+    return analyses.derived_quantities(fit, ["l_suppkey"], {"at_20": "20 * m + b", "zero": "-b / m", "ratio": "at_20 / m"})
+
+
 def _draw(kind: str) -> str:
     at = "CAST('0x' || substr(md5('42|' || d || '|{k}' || key), {a}, 8) AS BIGINT) + 1"
     return f"(sqrt(-2 * ln(({at.format(k=kind, a=1)}) / 4294967297.0)) * cos(2 * pi() * ({at.format(k=kind, a=9)}) / 4294967297.0))"

@@ -167,7 +167,7 @@ _WIDE = "CASE WHEN {r} > 0 AND {r} < 1 THEN (1 + {r}) / (1 - {r}) ELSE 1 END"
 _LAG1 = "CASE WHEN count(*) > 2 AND sum({d} * {d}) > 0 THEN sum({d} * p) / sum({d} * {d}) END"
 _PAIRS = "(SELECT a.step_id, (b.value - a.value) / (b.x - a.x) AS s FROM i a JOIN i b ON a.step_id = b.step_id AND a.place < b.place AND a.x <> b.x)"
 #: Every window by the definitions of stats.robust, sums written out.
-ROBUST_SQL = f"""WITH i AS MATERIALIZED (SELECT *, t - s0 AS x, row_number() OVER (PARTITION BY step_id ORDER BY t, row) AS place, count(*) OVER (PARTITION BY step_id) AS n FROM {INSIDE}),
+ROBUST_PARTS = f"""WITH i AS MATERIALIZED (SELECT *, t - s0 AS x, row_number() OVER (PARTITION BY step_id ORDER BY t, row) AS place, count(*) OVER (PARTITION BY step_id) AS n FROM {INSIDE}),
 g AS (SELECT step_id, any_value(n) AS n, avg(x) AS mx, avg(value) AS my, regr_slope(value, x) AS m, regr_sxx(value, x) AS sxx FROM i GROUP BY 1),
 e AS MATERIALIZED (SELECT i.step_id, place, g.n, sxx, m, x - mx AS c, value - my - m * (x - mx) AS e, lag(value - my - m * (x - mx)) OVER (PARTITION BY i.step_id ORDER BY place) AS p, floor(4 * pow(g.n / 100, 2 / 9)) AS lags FROM i JOIN g USING (step_id) WHERE sxx > 0 AND g.n > 2),
 l AS (SELECT step_id, any_value(m) AS m, sqrt(sum(e * e) / (any_value(n) - 2) / any_value(sxx)) AS se, {_LAG1.format(d='e')} AS rho, CASE WHEN sum(e * e) > 0 THEN sum((e - p) * (e - p)) / sum(e * e) END AS durbin_watson FROM e GROUP BY 1),
@@ -179,7 +179,8 @@ k AS (SELECT step_id, sum(c * (c - 1) * (2 * c + 5)) AS ties FROM (SELECT step_i
 h AS (SELECT q.step_id, b, mid, ranked, pairs, {NormalDist().inv_cdf(0.975)!r} * sqrt((n * (n - 1) * (2 * n + 5) - ties) / 18 * {_WIDE.format(r='coalesce(rho, 0)')}) AS half FROM q JOIN p USING (step_id) JOIN g USING (step_id) JOIN k USING (step_id)),
 f AS (SELECT step_id, late, count(*) AS n, avg(value) AS mean, var_samp(value) AS v, {_LAG1.format(d='d')} AS rho FROM (SELECT *, lag(d) OVER (PARTITION BY step_id, late ORDER BY place) AS p FROM (SELECT *, value - avg(value) OVER (PARTITION BY step_id, late) AS d FROM (SELECT *, x >= (s1 - s0) / 2 AS late FROM i))) GROUP BY 1, 2),
 b AS (SELECT y.step_id, z.mean - y.mean AS diff, sqrt(y.v / greatest(y.n / {_WIDE.format(r='coalesce(y.rho, 0)')}, 1) + z.v / greatest(z.n / {_WIDE.format(r='coalesce(z.rho, 0)')}, 1)) AS u FROM f y JOIN f z ON y.step_id = z.step_id AND NOT y.late AND z.late AND y.n > 2 AND z.n > 2),
-o AS (SELECT g.step_id, hac, se * sqrt({_WIDE.format(r='coalesce(l.rho, 0)')}) AS ar1, greatest(hac, se * sqrt({_WIDE.format(r='coalesce(l.rho, 0)')})) AS eff, durbin_watson, l.m, h.b AS ts, mid, ranked[CAST(greatest(round_even((pairs - half) / 2, 0) - 1, 0) AS BIGINT) + 1] AS lo, ranked[CAST(least(round_even((pairs + half) / 2, 0), pairs - 1) AS BIGINT) + 1] AS hi, diff, u FROM g LEFT JOIN l USING (step_id) LEFT JOIN w USING (step_id) LEFT JOIN h USING (step_id) LEFT JOIN b USING (step_id))
+o AS (SELECT g.step_id, hac, se * sqrt({_WIDE.format(r='coalesce(l.rho, 0)')}) AS ar1, greatest(hac, se * sqrt({_WIDE.format(r='coalesce(l.rho, 0)')})) AS eff, durbin_watson, l.m, h.b AS ts, mid, ranked[CAST(greatest(round_even((pairs - half) / 2, 0) - 1, 0) AS BIGINT) + 1] AS lo, ranked[CAST(least(round_even((pairs + half) / 2, 0), pairs - 1) AS BIGINT) + 1] AS hi, diff, u FROM g LEFT JOIN l USING (step_id) LEFT JOIN w USING (step_id) LEFT JOIN h USING (step_id) LEFT JOIN b USING (step_id))"""
+ROBUST_SQL = f"""{ROBUST_PARTS}
 SELECT step_id, hac * 1e6 AS slope_se_hac_e6, ar1 * 1e6 AS slope_se_ar1_e6, eff * 1e6 AS slope_se_eff_e6, durbin_watson, ts * 1e6 AS slope_theil_sen_e6, mid AS intercept_theil_sen, lo * 1e6 AS ts_ci_low_e6, hi * 1e6 AS ts_ci_high_e6, diff AS halves_diff,
   CASE WHEN eff IS NULL AND diff IS NULL THEN NULL ELSE coalesce(abs(m) <= {NormalDist().inv_cdf(0.9875)!r} * eff, true) AND coalesce(abs(diff) <= {NormalDist().inv_cdf(0.9875)!r} * u, true) END AS stationary FROM o"""
 

@@ -8,6 +8,9 @@ DIGITS = 6
 DOUBLES: dict[str, str] = {
     "load_by_profile": "mass_g is_valid",
     "load_delimited": "preis:2 time_seconds",
+    "derived_correlated": "at_20 u_at_20 zero u_zero ratio u_ratio",
+    "step_statistics": "value",
+    "window_measures": "value",
     "quality_settings": "jump window_s",
     "budget_bars": "u share",
     "derived_quantities": "ea u_ea k0 u_k0",

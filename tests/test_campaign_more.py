@@ -196,3 +196,65 @@ def test_flags_mask_whole_rows(spark):
     flags = spark.createDataFrame([("a", 1, None, "gap"), ("a", 2, "x", "spike"), ("a", 3, "y", "spike")], "s string, row long, channel string, flag string")
     got = [r.flagged for r in assembly.flag_mask(rec, flags, ["gap", "spike"], "x").orderBy("row").collect()]
     assert got == [False, True, True, False]
+
+
+def test_reads_do_not_grow_with_measures(spark, tmp_path):
+    source, table = recordings(spark, tmp_path)
+    flags = spark.createDataFrame([("d", 3, "x", "spike"), ("d", 4, None, "gap"), ("d", 5, "y", "spike")], "dev string, row long, channel string, flag string")
+
+    def session(**measures):
+        return Session(spark, Campaign({"a": source("a", derived={"y": "2 * x"})}, measures), {"a": flags})
+
+    few = session(m=Measure("x")).window_table(table, ["dev"])
+    named = {f"{c}{stat}{skip}": Measure(c, stat, skip_start=skip) for c in ("x", "y") for stat in ("mean", "sd", "max", "n") for skip in (0.0, 2.0)}
+    many = session(**named, z=Measure("y", exclude_flags=["spike"]), g=Measure("x", exclude_flags=["gap", "spike"])).window_table(table, ["dev"])
+    scans = lambda df: df._jdf.queryExecution().executedPlan().toString().count("FileScan")
+    assert scans(few) == scans(many) > 0
+    rows = {(r.step_id, r.measure): r for r in many.collect()}
+    assert len(rows) == 36 and rows[1, "xmean0.0"].value == few.filter("step_id = 1").first().value
+    assert (rows[1, "g"].n, rows[1, "z"].n, rows[1, "xn2.0"].value, rows[2, "ymax2.0"].value) == (9, 10, 9.0, 12.0)
+    assert rows[1, "z"].value == pytest.approx((sum(2 * (i % 7) for i in range(11)) - 10) / 10)
+
+
+def test_findings_of_a_windows_course(spark):
+    from benchloom.operators import stationary
+
+    def found(values, delta=None):
+        rows = spark.createDataFrame([(1, float(i), float(v), 0.0, float(len(values) - 1)) for i, v in enumerate(values)], "s long, t double, v double, a double, b double")
+        df = stats.robust(rows, ["s"], "t", "v", "a", "b").join(stats.slope(rows, ["s"], "t", "v", "a"), "s").join(stats.counts(rows, ["s"], "v", "a", "b"), "s").join(stats.autocorrelation(rows, ["s"], "v", "t"), "s")
+        trend = stationary.Trend(*[F.col(c) for c in ("slope", "slope_se_eff", "slope_theil_sen", "ts_ci_low", "ts_ci_high", "halves_diff", "halves_u", "window_s")])
+        zero = F.lit(0)
+        return [c.text for c in df.select(stationary.checks(F.col("n"), F.lit(1.0), zero, zero, F.lit(2.0), n_eff=F.col("n_eff"), trend=trend, delta=delta).alias("c")).first().c]
+
+    noise = [0.3, -0.2, 0.1, -0.4, 0.2, -0.1, 0.4, -0.3, 0.2, -0.2] * 4
+    assert found(noise) == [] and found(noise, 0.5) == []
+    drifting = found([x + 0.1 * i for i, x in enumerate(noise)], 0.01)
+    assert drifting[0].startswith("40 points count as") and [t.split(" ")[1] for t in drifting[1:3]] == ["slope", "the"] and drifting[-1].startswith("not steady in practice")
+    assert any(t.startswith("straight line") for t in found([x + (60 if i in (37, 38, 39) else 0) for i, x in enumerate(noise)]))
+    assert found([1.0, 2.0], 0.1) == ["only 2 points (min 5)", "practical steadiness is not tested: no slope with an error"]
+
+
+def test_analyses_of_every_kind(spark):
+    rows = [("g", i, float(i), 2.0 + 3.0 * i + (0.1 if i % 2 else -0.1), 0.1, 0.2) for i in range(1, 9)]
+    df = spark.createDataFrame(rows, "g string, id long, x double, y double, ux double, uy double").withColumns({"vx": F.col("ux") ** 2, "vy": F.col("uy") ** 2, "f": F.lit(0.1)})
+    line = {"by": ["g"], "x": "x", "y": "y", "u_x": "ux", "u_y": "uy"}
+    gls = {"by": ["g"], "x": "x", "y": "y", "own_x": "vx", "own_y": "vy", "factors_x": []}
+    kinds = {
+        "a": {"kind": "line", **line, "derived": {"e": "-m * r", "mid": "4.5 * m + b"}}, "b": {"kind": "line_gls", **gls, "factors_y": [], "derived": {"mid": "4.5 * m + b"}}, "c": {"kind": "line_gls", **gls, "factors_y": ["f"], "derived": {"mid": "4.5 * m + b"}},
+        "d": {"kind": "monte_carlo_line", **line, "key": "id"}, "e": {"kind": "crossing", "by": ["g"], "x": "x", "y": "y", "u": "uy", "level": 10.0, "where": "x > 1"}, "f": {"kind": "crossing_systematic", "by": ["g"], "x": "x", "y": "y", "u": "uy", "u_syst": "ux", "level": 10.0},
+        "g": {"kind": "crossing_text", "by": ["g"], "x": "x", "y": "y2", "level": 20.0, "unit": "K", "columns_of": {"y2": "2 * y"}}, "h": {"kind": "monte_carlo_crossing", "by": ["g"], "key": "id", "x": "x", "y": "y", "u": "uy", "level": 10.0},
+        "i": {"kind": "aggregate", "rows": "g", "value": "y", "how": "n"}, "j": {"kind": "none"}, "k": {"kind": "aggregate", "derived": {"q": "m"}},
+    }
+    s = Session(spark, Campaign({}, {}, {"r": [8.314, 0.0]}, analyses=kinds))
+    got = {n: s.analysis(n, df).first() for n in "abcdefgh"}
+    a, b, c = got["a"], got["b"], got["c"]
+    assert a.e == pytest.approx(-8.314 * a.m) and a.u_e == pytest.approx(8.314 * a.u_m)
+    # In the middle of the points a line is known best, far better than its slope and intercept alone would say.
+    assert a.u_mid == pytest.approx(0.36 / 8**0.5, rel=0.02) and a.u_mid < 0.5 * ((4.5 * a.u_m) ** 2 + a.u_b**2) ** 0.5
+    assert (b.m, b.u_m, b.u_mid) == pytest.approx((a.m, a.u_m, a.u_mid)) and c.u_mid == pytest.approx((b.u_mid**2 + 0.01) ** 0.5)
+    assert got["d"].m_mean == pytest.approx(3, abs=0.1) and got["e"].x_low < got["e"].x_cross < got["e"].x_high and got["f"].x_low_syst > got["f"].x_low
+    assert got["g"].text == "3 K" and got["h"]["mean"] == pytest.approx(got["e"].x_cross, abs=0.02) and s.analysis("i", df).count() == 1
+    with pytest.raises(ValueError, match="no kind 'none'"):
+        s.analysis("j", df)
+    with pytest.raises(ValueError, match="no derived"):
+        s.analysis("k", df)
