@@ -139,14 +139,15 @@ def load_xls(spark, d):
     return files.sheet_rows(books, "Data").filter("row > 2").select(*[F.col("cells")[i].alias(n) for i, n in enumerate(("id", "name", "nation", "segment"))])
 
 
-@query("sheet_cells", "SELECT 'Tag' AS sheet, '7' AS journal, 'ALGERIA_OR_FIRST' AS at_b4, 2 AS header, 2 AS region")
+@query("sheet_cells", "SELECT n_name AS label, CAST(n_regionkey AS VARCHAR) AS beside, 'Tag' AS sheet, 2 AS header, 2 AS region, (SELECT n_name FROM nation ORDER BY n_nationkey LIMIT 1) AS at_b4 FROM nation")
 def sheet_cells(spark, d):
-    """A cell by its label, one by its address, the header row and a column by its name without unit."""
+    """Of a journal of nations: the cell beside each name, a cell by its address, the header row and a column by its name without unit."""
     content = files.fetch(spark, _workbook(spark, d))
     grid = files.read_grid(content)
     head = grids.find_header_row(grid, ["Nr", "region"])
-    found = (files.sheet_names(content)[0], files.locate(grid, "journal"), "ALGERIA_OR_FIRST" if files.locate(grid, cell="B4") == grid[3][1] else None, head, grids.match_header("region", grid[head]))
-    return spark.createDataFrame([found], "sheet string, journal string, at_b4 string, header int, region int")
+    common = (files.sheet_names(content)[0], head, grids.match_header("region", grid[head]), files.locate(grid, cell="B4"))
+    found = [(row[1], files.locate(grid, row[1]), *common) for row in grid[head + 1 :]]
+    return spark.createDataFrame(found, "label string, beside string, sheet string, header int, region int, at_b4 string")
 
 
 @query("load_settings", "SELECT 'cal.r' || r_regionkey AS name, CAST(r_regionkey AS DOUBLE) + 0.5 AS value FROM region")
@@ -170,10 +171,18 @@ _HEADS = {
 }
 
 
-@query("profile_of_file", " UNION ALL ".join(f"SELECT '{n}' AS file, {repr(p) if p else 'NULL'} AS profile" for n, (_, p) in _HEADS.items()))
+@query("profile_of_file", "SELECT c_custkey || '-' || f.file AS file, f.profile FROM customer JOIN (VALUES " + ", ".join(f"({i}, '{n}', {repr(p) if p else 'NULL'})" for i, (n, (_, p)) in enumerate(_HEADS.items())) + ") f(i, file, profile) ON c_custkey % 6 = f.i")
 def profile_of_file(spark, d):
-    found = [(n, getattr(detect(SHIPPED, n, head.encode()), "name", None)) for n, (head, _) in _HEADS.items()]
-    return spark.createDataFrame(found, "file string, profile string")
+    """Each customer's file, of one of six kinds, by its name and first bytes; heads are looked at where they are read."""
+    kinds = spark.createDataFrame([(i, n, head.encode()) for i, (n, (head, _)) in enumerate(_HEADS.items())], "i long, name string, head binary")
+    heads = spark.read.parquet(f"{d}/customer.parquet").withColumn("i", F.col("c_custkey") % 6).join(F.broadcast(kinds), "i").select(F.concat_ws("-", "c_custkey", "name").alias("file"), "head")
+
+    def found(parts):
+        for part in parts:
+            names = [getattr(detect(SHIPPED, n, bytes(h)), "name", None) for n, h in zip(part["file"], part["head"], strict=True)]
+            yield pd.DataFrame({"file": part["file"], "profile": pd.Series(names, dtype=object, index=part.index)})
+
+    return heads.mapInPandas(found, "file string, profile string")
 
 
 @query("load_by_profile", "SELECT CAST(n_nationkey AS BIGINT) AS frame, n_regionkey * 1.5 AS mass_g, n_name AS raw_text, CAST(1 AS DOUBLE) AS is_valid FROM nation")
