@@ -73,8 +73,17 @@ def _seconds(text: str) -> float | None:
         return None
 
 
+#: Columns of derived steps.
+STEPS = "row int, status string, reason string, step_id string, label string, start double, `end` double, params map<string,string>, cells map<string,string>"
+
+
 def derive_steps(spark: SparkSession, grid: list[list[str]], mapping: Mapping) -> DataFrame:
-    """row, status, reason, step_id, label, start, end, params, cells of every row below the header; sheets are small.
+    """The steps of one sheet that the driver holds (``step_rows``); for many books see ``sources.journals``."""
+    return spark.createDataFrame(step_rows(grid, mapping), STEPS)
+
+
+def step_rows(grid: list[list[str]], mapping: Mapping) -> list[tuple]:
+    """row, status, reason, step_id, label, start, end, params, cells of every row below the header.
 
     A clock time below the start before it is on the next day; an end before its start too. Ends: the column, the next start,
     the fixed length. Labels are filled down, parameters have their defaults where a cell is empty. ``cells`` has all of a row.
@@ -110,5 +119,4 @@ def derive_steps(spark: SparkSession, grid: list[list[str]], mapping: Mapping) -
             here["reason"] = "no end"
         elif here["end"] <= here["start"]:
             here["reason"] = "end is not after start"
-    data = [(r["row"], "step" if r["reason"] is None else "excluded", r["reason"], f"row{r['row']}" if r["reason"] is None else None, r["label"], r["start"], r["end"], r["params"], r["cells"]) for r in rows]
-    return spark.createDataFrame(data, "row int, status string, reason string, step_id string, label string, start double, `end` double, params map<string,string>, cells map<string,string>")
+    return [(r["row"], "step" if r["reason"] is None else "excluded", r["reason"], f"row{r['row']}" if r["reason"] is None else None, r["label"], r["start"], r["end"], r["params"], r["cells"]) for r in rows]

@@ -218,7 +218,13 @@ def written_analysis(spark, d):
     return spark.read.text(path).select(F.col("value").alias("line"))
 
 
-@query("long_roles", "SELECT 'event_type' AS variable, 'value' AS \"value\", 'kind' AS attributes, 'user_id' AS metadata, 'event_id' AS dropped")
+_ROLES = """WITH e AS (SELECT user_id AS t, event_type AS v, user_id, event_id, length(event_type) AS kind FROM events), c AS (""" + " UNION ALL ".join(
+    f"SELECT '{c}' AS c, (SELECT max(d) FROM (SELECT count(DISTINCT {c}) AS d FROM e GROUP BY t)) AS at_time, (SELECT max(d) FROM (SELECT count(DISTINCT {c}) AS d FROM e GROUP BY v)) AS of_variable" for c in ("user_id", "event_id", "kind")
+) + ")"
+
+
+@query("long_roles", f"""{_ROLES} SELECT 'event_type' AS variable, 'value' AS "value", coalesce((SELECT string_agg(c, ',') FROM c WHERE at_time > 1 AND of_variable <= 1), '') AS attributes,
+  coalesce((SELECT string_agg(c, ',') FROM c WHERE at_time <= 1), '') AS metadata, coalesce((SELECT string_agg(c, ',') FROM c WHERE at_time > 1 AND of_variable > 1), '') AS dropped WHERE (SELECT count(DISTINCT v) > 1 AND count(DISTINCT t) < count(*) FROM e)""")
 def long_roles(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("t"), "user_id", "event_id", "event_type", F.length("event_type").alias("kind"), "value")
     r = roles.long_roles(e, {"event_type": "categorical", "value": "numeric"}, "t", variable="event_type")

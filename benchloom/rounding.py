@@ -6,6 +6,7 @@ A name may say how many digits; times, which are single operations on both sides
 DIGITS = 6
 
 DOUBLES: dict[str, str] = {
+    "recipe_results": "level scaled",
     "load_by_profile": "mass_g is_valid",
     "load_delimited": "preis:2 time_seconds",
     "derived_correlated": "at_20 u_at_20 zero u_zero ratio u_ratio",
