@@ -11,7 +11,8 @@ starts with one anchor form a span (on average two thirds of ``width - k`` start
   repeated strings.
 
 An anchor that holds more than ``COMMON`` of all spans is no task's: its spans are counted by partial sums and joined with the
-counts in salted parts. Texts are distinct texts: one that appears twice is repeated as a whole. They are known by a 64-bit
+counts in salted parts. One whose different spans have over ``SPLIT`` bytes is dealt by ever more of the strings' content, until
+no group has (see _judged_by_sorting). Texts are distinct texts: one that appears twice is repeated as a whole. They are known by a 64-bit
 hash of all bytes, or by a second one where two texts share the first.
 Defined results: null and empty texts have no bytes and nothing removed; texts shorter than ``width`` stay; repeated rows
 are copies of each other; other columns are ignored; an empty table stays empty.
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,8 @@ from benchloom.llm.jaccard import _bounds, _groups
 PIECE = 64
 #: Bytes of spans whose suffixes are sorted at once.
 SHARD = 2 << 20
+#: Bytes of one anchor's spans beyond which they are dealt by more of their content (some shards' worth, and several strings').
+SPLIT = 8 << 20
 #: Suffixes that the queues of a shard hold in memory, beyond which they go to a scratch file of the task.
 MEMORY = 1 << 18
 #: Rows of text hashes that may be sent to all tasks.
@@ -50,12 +54,12 @@ def _hashes(total: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray
 
 
 def spans(data: np.ndarray, offsets: np.ndarray, width: int, k: int) -> tuple[np.ndarray, ...]:
-    """For each span: row, first and last start (from the row's begin), hash of its anchor, hash of its bytes and places."""
+    """For each span: row, first and last start (from the row's begin), hash of its anchor, hash of its bytes and places, place of its anchor."""
     n = len(data)
     empty = np.zeros(0, np.int64)
     size = np.diff(offsets)
     if n < width or (size < width).all():
-        return empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64)
+        return empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64), empty
     with np.errstate(over="ignore"):
         p = _power_table(n + 1)[0]
         total = np.zeros(n + 1, np.uint64)
@@ -78,7 +82,7 @@ def spans(data: np.ndarray, offsets: np.ndarray, width: int, k: int) -> tuple[np
         last = np.append(first[1:], len(row)) - 1
         low, high, at, row = start[first], start[last], anchor[first], row[first]
         whole = mix(_hashes(total, low, high + width) + (at - low).astype(np.uint64) * _ODD + (high - low).astype(np.uint64))
-        return row, low - offsets[row], high - offsets[row], h[at], whole
+        return row, low - offsets[row], high - offsets[row], h[at], whole, at - offsets[row]
 
 
 def _deal(texts: DataFrame, width: int, k: int) -> DataFrame:
@@ -99,7 +103,7 @@ def _deal(texts: DataFrame, width: int, k: int) -> DataFrame:
         for batch in batches:
             for rows, data, offsets in text_chunks(batch, "text"):
                 hashes = rows.column(0).to_numpy()
-                row, low, high, anchor, whole = spans(data, offsets, width, k)
+                row, low, high, anchor, whole, _ = spans(data, offsets, width, k)
                 fresh = np.array([not (h in seen or seen.add(h)) for h in hashes.tolist()], bool)
                 keep = fresh[row] if len(row) else np.zeros(0, bool)
                 if len(seen) > 1_000_000:
@@ -230,6 +234,79 @@ def _sorted(pieces: DataFrame, width: int) -> DataFrame:
     return pieces.repartition(F.col("anchor")).sortWithinPartitions("anchor").mapInArrow(run, "text_hash bigint, start int, end int")
 
 
+def _grown(pieces: DataFrame, width: int, k: int, level: int) -> DataFrame:
+    """Pieces (anchor, text_hash, low, bytes, a, b) dealt by more of their content: [a, b) of a piece is what all its strings hold.
+
+    At level 0 that is the anchor. A string has R more bytes, and so at least half of them on the left of [a, b) or half on its right:
+    the piece is cut into the strings of either kind, [a, b) grows by that half, and its bytes name the new group. Equal strings
+    have their anchor in the same place, go to the same side and meet in the same group; a string is in one piece. Where R is 0 a
+    piece is one string and its group has no other.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pydict()
+            if level == 0 and batch.num_rows:
+                size = np.array([len(x) for x in rows["bytes"]])
+                at = spans(np.frombuffer(b"".join(rows["bytes"]), np.uint8), np.append(0, np.cumsum(size)), width, k)[5]
+                rows["a"], rows["b"] = at.tolist(), (at + k).tolist()
+            out: list[tuple] = []
+            held = 0
+            for anchor, text, low, data, a, b in zip(*(rows[c] for c in ("anchor", "text_hash", "low", "bytes", "a", "b")), strict=True):
+                half = (width - (b - a) + 1) // 2
+                before = max(a - half + 1, 0)
+                sides = []
+                if a >= half:
+                    sides.append((b"<", 0, min(before + width - 1, len(data)), a - half, b))
+                if before + width <= len(data):
+                    sides.append((b">", before, len(data), a, b + half))
+                for side, start, end, x, y in sides:
+                    name = hashlib.blake2b(anchor.to_bytes(8, "little", signed=True) + side + data[x:y], digest_size=8).digest()
+                    out.append((int.from_bytes(name, "little", signed=True), text, low + start, data[start:end], x - start, y - start))
+                    held += end - start
+                if held > 4 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+                    out, held = [], 0
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+
+    names = ["anchor", "text_hash", "low", "bytes", "a", "b"]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32()]
+    given = pieces if level else pieces.select("*", F.lit(0).alias("a"), F.lit(0).alias("b"))
+    return given.select(*names).mapInArrow(run, "anchor bigint, text_hash bigint, low int, bytes binary, a int, b int")
+
+
+def _large(sized: DataFrame) -> tuple[DataFrame, int]:
+    """The anchors whose pieces (anchor, size) have over ``SPLIT`` bytes, and their number, at most all bytes by ``SPLIT``."""
+    found = materialize(sized.groupBy("anchor").agg(F.sum("size").alias("size")).filter(F.col("size") > SPLIT).select("anchor"), "large")
+    return found, found.count()
+
+
+def _judged_by_sorting(texts: DataFrame, asked: DataFrame, width: int, k: int) -> DataFrame:
+    """Removed intervals of the spans that are still to be judged; an anchor with over ``SPLIT`` bytes is dealt by more than its anchor.
+
+    A group that stays large until its strings are known as a whole has equal strings alone, all of them repeated.
+    """
+    sides = lambda df, large, n, how: df.join(F.broadcast(large) if n <= BROADCAST else large, "anchor", how)
+    large, n = _large(asked.select("anchor", (F.col("high") + width - F.col("low")).cast("bigint").alias("size")))
+    if not n:
+        return _sorted(_pieces(texts, asked, width), width)
+    parts = [_pieces(texts, sides(asked, large, n, "left_anti"), width)]
+    same = []
+    grown = materialize(_grown(_pieces(texts, sides(asked, large, n, "left_semi"), width), width, k, 0), "grown")
+    level = 0
+    while True:
+        large, n = _large(grown.select("anchor", F.octet_length("bytes").cast("bigint").alias("size")))
+        parts.append((sides(grown, large, n, "left_anti") if n else grown).select("anchor", "text_hash", "low", "bytes"))
+        if not n:
+            break
+        more, level = sides(grown, large, n, "left_semi"), level + 1
+        same.append(more.filter(F.col("b") - F.col("a") >= width).select("text_hash", F.col("low").alias("start"), (F.col("low") + width).alias("end")))
+        grown = materialize(_grown(more.filter(F.col("b") - F.col("a") < width), width, k, level), "grown")
+    out = _sorted(reduce(DataFrame.unionByName, parts), width)
+    return reduce(DataFrame.unionByName, same, out)
+
+
 def _cut(texts: DataFrame, intervals: DataFrame, with_text: bool) -> DataFrame:
     """text_hash, n_removed, n_spans, kept_sha256 (and the kept bytes) of texts that lose some, not all, bytes."""
     lists = intervals.groupBy("text_hash").agg(F.collect_set(F.struct("start", "end")).alias("own"))  # bounded by a text's length
@@ -279,7 +356,7 @@ def remove_repeats(docs: DataFrame, width: int = 200, doc_id: str = "doc_id", te
     # The texts that have repeated anchors, once each, without the rest of the table.
     texts = long.select("text_hash", "text").join(F.broadcast(named) if n <= BROADCAST else named, "text_hash", "left_semi")
     texts = materialize(texts.dropDuplicates(["text_hash"]), "texts")
-    some = _sorted(_pieces(texts, judged.filter("not repeated"), width), width)
+    some = _judged_by_sorting(texts, judged.filter("not repeated"), width, k)
     intervals = judged.filter("repeated").select("text_hash", F.col("low").alias("start"), (F.col("high") + width).alias("end")).unionByName(some)
     cut = materialize(_cut(texts.join(copied, "text_hash", "left_anti"), intervals, with_text), "cut")
     rows = docs.select("doc_id", "text_hash", F.octet_length("text").cast("bigint").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"), *([F.col("text").cast("binary").alias("__text")] if with_text else []))

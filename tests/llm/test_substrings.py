@@ -67,6 +67,33 @@ def test_common_anchors(spark, monkeypatch):
     assert sorted((tuple(r) for r in substrings.remove_repeats(df, 60, k=20).collect()), key=str) == brute(rows, 60)
 
 
+@pytest.mark.parametrize(("split", "k"), [(400, 20), (1500, 37), (600, 30)])
+def test_large_anchors_are_dealt_by_more_of_their_content(spark, monkeypatch, split, k):
+    """One line in many surroundings: its anchors' spans all differ, and no task gets a group beyond the bound."""
+    monkeypatch.setattr(substrings, "SPLIT", split)
+    seen = {"sorted": [], "grown": 0}
+    own_sorted, own_grown = substrings._sorted, substrings._grown
+
+    def sort(pieces, width):
+        groups = pieces.groupBy("anchor").agg(F.sum(F.octet_length("bytes")).alias("b"))
+        seen["sorted"].append(groups.agg(F.max("b")).first()[0])
+        return own_sorted(pieces, width)
+
+    def grow(*args):
+        seen["grown"] += 1
+        return own_grown(*args)
+
+    monkeypatch.setattr(substrings, "_sorted", sort)
+    monkeypatch.setattr(substrings, "_grown", grow)
+    rng = random.Random(12)
+    make = lambda m: "".join(rng.choice("abcdé \n") for _ in range(m))
+    short, long = make(45), make(75)
+    rows = corpus(8, 30) + [(3000 + i, make(rng.randrange(50)) + rng.choice([short, long]) + make(rng.randrange(50))) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted((tuple(r) for r in substrings.remove_repeats(df, 60, k=k).collect()), key=str) == brute(rows, 60)
+    assert seen["grown"] > 2 and max(seen["sorted"]) <= split
+
+
 def test_texts_with_one_hash_are_told_apart(spark, monkeypatch):
     rows = corpus(7)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
