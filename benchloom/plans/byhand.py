@@ -9,6 +9,7 @@ from benchloom.plans.evaluation import _RATE, _curve, _inputs, _CURVE, _cross_sq
 from benchloom.plans.recordings import REC, events, recording
 from benchloom.plans.steps import _AUTO, _CLAIMED, INSIDE, STEPS, inside, samples, step_table
 from benchloom.registry import query
+from benchloom.rounding import rounded
 
 _REL = f"""(SELECT *, CASE WHEN b IS NOT NULL AND f IS NOT NULL THEN (b + f) / 2 ELSE coalesce(b, f) END AS ref FROM (SELECT a.*, arg_max(b.amount, (b.s1, -b.row)) FILTER (WHERE b.s1 <= a.s0) AS b, arg_min(b.amount, (b.s0, b.row)) FILTER (WHERE b.s0 >= a.s1) AS f
   FROM {STEPS} a LEFT JOIN {STEPS} b ON a.user_id = b.user_id AND b.amount > 60 AND a.step_id <> b.step_id GROUP BY ALL))"""
@@ -23,7 +24,7 @@ def relations_in_order(spark, d):
         relations.Nearest("ref", "amount", "amount > 60", ("user_id",), fallback="50"), relations.Bin("step_bin", "amount / ref", 0.25), relations.Cumulative("total", "amount - ref", None, "changed(half)"),
     ]
     out = relations.apply(s, todo, relations.Layout(("user_id",), "row_id", "s0", "s1"))
-    return out.select("step_id", "ref", "ref_kind", "step_bin", (F.round("total", 6) + F.lit(0.0)).alias("total"), "total_run")
+    return out.select("step_id", "ref", "ref_kind", "step_bin", (rounded("total", 6) + F.lit(0.0)).alias("total"), "total_run")
 
 
 @query("own_uncertainty", f"SELECT step_id, rate, sqrt(ra * ra + rh * rh + rk * rk + pow(0.02 * rate, 2)) AS u_rate, abs(0.02 * rate) AS part, 2 * sqrt(ra * ra + rh * rh + rk * rk + pow(0.02 * rate, 2)) AS u_twice FROM {_RATE} WHERE amount > 0")
@@ -140,7 +141,7 @@ def crossing_text(spark, d):
 def crossing_systematic(spark, d):
     curve = _curve(spark, d).withColumn("us", F.col("u") / 4)
     out = analyses.crossing_systematic(curve, ["user_id"], "x", "y", "u", "us", 500)
-    return out.select("user_id", *[F.round(c, 4).alias(c) for c in ("x_cross", "x_low_syst", "x_high_syst")])
+    return out.select("user_id", *[rounded(c, 4).alias(c) for c in ("x_cross", "x_low_syst", "x_high_syst")])
 
 
 _FIT1 = """(SELECT *, sqrt(w / det) * birge AS u_m, sqrt(wxx / det) * birge AS u_b FROM (SELECT *, greatest(sqrt(greatest(wyy + m * m * wxx + b * b * w - 2 * m * wxy - 2 * b * wy + 2 * m * b * wx, 0) / (n - 2)), 1) AS birge FROM (SELECT *, w * wxx - wx * wx AS det, (w * wxy - wx * wy) / (w * wxx - wx * wx) AS m, (wxx * wy - wx * wxy) / (w * wxx - wx * wx) AS b FROM

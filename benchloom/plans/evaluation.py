@@ -9,6 +9,7 @@ from benchloom.operators.evaluate import Input
 from benchloom.plans.recordings import events
 from benchloom.plans.steps import INSIDE, SAMPLES, STEPS, inside, samples, step_table
 from benchloom.registry import query
+from benchloom.rounding import rounded
 
 CALCULATIONS = {"rate": "amount / hours * k", "share": "rate / (rate + zero)", "bounded": "min(rate, 100) if hours > 1 else rate"}
 
@@ -90,7 +91,7 @@ def _cross_sql(y: str) -> str:
 @query("level_crossing", f"SELECT m.user_id, m.n, round(m.c, 4) AS x_cross, round(least(a.c, b.c), 4) AS x_low, round(greatest(a.c, b.c), 4) AS x_high FROM {_cross_sql('y')} m JOIN {_cross_sql('y - u')} a USING (user_id) JOIN {_cross_sql('y + u')} b USING (user_id)")
 def level_crossing(spark, d):
     out = analyses.crossing_range(_curve(spark, d), ["user_id"], "x", "y", "u", 500)
-    return out.select("user_id", "n", *[F.round(c, 4).alias(c) for c in ("x_cross", "x_low", "x_high")])
+    return out.select("user_id", "n", *[rounded(c, 4).alias(c) for c in ("x_cross", "x_low", "x_high")])
 
 
 def _fit_sql(rounds: int) -> str:
@@ -185,4 +186,4 @@ def monte_carlo_crossing(spark, d):
     w = Window.partitionBy("user_id").orderBy("us", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     curve = events(spark, d).select("user_id", "event_id", (F.col("us") / 1e6).alias("x"), F.sum("value").over(w).alias("y"), (0.1 * F.col("value")).alias("u"))
     out = analyses.monte_carlo_crossing(curve, ["user_id"], "event_id", "x", "y", "u", 500, 40)
-    return out.select("user_id", "share", F.round("mean", 2).alias("mean"), F.round("sd", 2).alias("sd"))
+    return out.select("user_id", "share", rounded("mean", 2).alias("mean"), rounded("sd", 2).alias("sd"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from benchloom.operators import quality, runs
 from benchloom.operators.recording import Recording
 from benchloom.registry import query
+from benchloom.rounding import rounded
 
 
 def events(spark: SparkSession, d: str) -> DataFrame:
@@ -135,7 +136,7 @@ def jump_threshold(spark, d):
 
 @query("resolution", f"""SELECT user_id, round(min(step), 9) AS resolution FROM (SELECT user_id, v - lag(v) OVER (PARTITION BY user_id ORDER BY v) AS step FROM (SELECT DISTINCT user_id, value AS v FROM {REC} WHERE isfinite(value))) WHERE step > 0 GROUP BY 1""")
 def resolution(spark, d):
-    return quality.resolution(recording(spark, d), "value").withColumn("resolution", F.round("resolution", 9))
+    return quality.resolution(recording(spark, d), "value").withColumn("resolution", rounded("resolution", 9))
 
 
 @query("spike_window", f"SELECT user_id, median(dt) * 21 / 1e6 AS window_s FROM (SELECT user_id, us - lag(us) OVER (PARTITION BY user_id ORDER BY row) AS dt FROM {REC}) WHERE dt > 0 GROUP BY 1")

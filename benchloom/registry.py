@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from benchloom.rounding import DIGITS, DOUBLES
+from benchloom.rounding import DIGITS, DOUBLES, rounded
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -23,12 +23,12 @@ def query(name: str, sql: str | None = None):
         @wraps(f)
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             df = f(spark, sf_dir)
-            return df.withColumns({c: F.round(F.col(f"`{c}`"), n) + F.lit(0.0) for c, n in doubles.items()}) if sql and doubles else df
+            return df.withColumns({c: rounded(F.col(f"`{c}`"), n) + F.lit(0.0) for c, n in doubles.items()}) if sql and doubles else df
 
         QUERIES[name] = run
         if sql:
-            rounded = ", ".join(f'round(CAST("{c}" AS DOUBLE), {n}) + 0.0 AS "{c}"' for c, n in doubles.items())
-            ORACLE_SQL[name] = f"SELECT * REPLACE ({rounded}) FROM ({sql})" if doubles else sql
+            replaced = ", ".join(f'round(CAST("{c}" AS DOUBLE), {n}) + 0.0 AS "{c}"' for c, n in doubles.items())
+            ORACLE_SQL[name] = f"SELECT * REPLACE ({replaced}) FROM ({sql})" if doubles else sql
         return f
 
     return add

@@ -3,8 +3,24 @@
 A name may say how many digits; times, which are single operations on both sides, are left as they are.
 """
 
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 DIGITS = 6
 
+
+def rounded(c: Column | str, digits: int) -> Column:
+    """A double rounded as SQL twins do it: scaled, to the nearest whole number (half away from zero), scaled back.
+
+    Spark's round goes by the shortest decimal text of a number instead and differs where that ends in a five.
+    """
+    c = (F.col(c) if isinstance(c, str) else c).cast("double")
+    scaled = c * 10.0**digits
+    return F.when(F.abs(scaled) == float("inf"), c).otherwise(F.round(scaled) / 10.0**digits)
+
+
 DOUBLES: dict[str, str] = {
     "recipe_results": "level scaled",
     "load_by_profile": "mass_g is_valid",
