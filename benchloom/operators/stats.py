@@ -119,14 +119,14 @@ def autocorrelation(rows: DataFrame, step: list[str], y: str, order: str) -> Dat
     return s.withColumn("n_eff", n_eff).select(*step, "rho1", "n_eff", (F.col("sd") / F.sqrt("n_eff")).alias("sem_eff"))
 
 
-def durbin_watson(rows: DataFrame, step: list[str], x: str, y: str, low: str, order: str) -> DataFrame:
-    """Durbin-Watson of the residuals of the straight line."""
+def durbin_watson(rows: DataFrame, step: list[str], x: str, y: str, low: str, order: str, floor: float = 1e-12) -> DataFrame:
+    """Durbin-Watson of the residuals of the straight line; null where their squares sum up to ``floor`` at most."""
     good = rows.filter(F.col(y).isNotNull() & ~F.isnan(y)).withColumn("__x", F.col(x) - F.col(low))
     line = good.groupBy(*step).agg(F.regr_slope(y, "__x").alias("__m"), F.regr_intercept(y, "__x").alias("__b"), F.count(y).alias("__n"))
     r = good.join(line, step).filter("__n > 2").withColumn("__r", F.col(y) - F.col("__m") * F.col("__x") - F.col("__b"))
     r = r.withColumn("__d", F.col("__r") - F.lag("__r").over(Window.partitionBy(*step).orderBy(order)))
     s = r.groupBy(*step).agg(F.sum(F.col("__d") ** 2).alias("a"), F.sum(F.col("__r") ** 2).alias("b"))
-    return s.select(*step, F.when(F.col("b") > 1e-12, F.col("a") / F.when(F.col("b") > 1e-12, F.col("b"))).alias("durbin_watson"))
+    return s.select(*step, F.when(F.col("b") > floor, F.col("a") / F.when(F.col("b") > floor, F.col("b"))).alias("durbin_watson"))
 
 
 def hac_slope_se(x: np.ndarray, y: np.ndarray) -> float:
