@@ -89,12 +89,13 @@ def looked_up(table: DataFrame, rows: DataFrame, by: list[str], tolerance_s: flo
 def steps_from_table(df: DataFrame, by: list[str], row: str, start: str, end: str | None, day: Column, label: str | None = None) -> DataFrame:
     """A table of cells as steps: row, step_id, label (filled down), start, end (seconds), status, reason.
 
-    Cells are clock times on ``day``, serial numbers or date-times; an end before its start is on the next day.
+    Cells are clock times on ``day``, serial numbers or date-times; an end before its start is on the next day. Steps of one
+    start follow each other in the order of their rows.
     """
     at = lambda c: F.unix_micros(times.cell_datetime(F.col(c), day)) / 1e6
     out = df.withColumn("__s", at(start)).withColumn("__e", at(end) if end else F.lit(None).cast("double"))
     out = out.withColumn("__e", F.when(F.col("__e") < F.col("__s"), F.col("__e") + 86400.0).otherwise(F.col("__e")))
-    out = steps.end_rule(out.filter("__s is not null"), by, "__s", "__e")
+    out = steps.end_rule(out.filter("__s is not null"), by, "__s", "__e", row=row)
     name = steps.fill_down("__label", by, row) if label else F.lit(None).cast("string")
     text = df.withColumn("__label", F.when(F.trim(F.col(label)) != "", F.trim(F.col(label)))) if label else df
     named = text.select(*by, F.col(row).alias("__row"), F.col(row), *([F.col("__label")] if label else []), F.col(start)).withColumn("label", name)
