@@ -25,6 +25,11 @@ class Recording:
     def with_df(self, df: DataFrame) -> "Recording":
         return Recording(df, self.source, self.run, self.row, self.time, self.channels)
 
+    def narrow(self, *channels: str) -> "Recording":
+        """With these channels alone: what is kept or read by Python carries no column that no one reads."""
+        df = self.df.select(*dict.fromkeys([*self.source, *self.run, self.row, self.time, *channels]))
+        return Recording(df, self.source, self.run, self.row, self.time, channels)
+
     @property
     def keys(self) -> tuple[str, ...]:
         return tuple(dict.fromkeys((*self.source, *self.run)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from benchloom.functions import times
-from benchloom.operators import align, assembly
+from benchloom.operators import align, assembly, quality
 from benchloom.operators.chunks import CHUNK_ROWS, Chunks, numbered
 from benchloom.plans.recordings import ALL_FLAGS, FLAGS, REC, _all_flags, _flags, events, recording
 from benchloom.plans.steps import _COVER
@@ -36,7 +36,9 @@ def ordered_flags(spark, d):
 @query("flag_mask", f"SELECT event_id, EXISTS (SELECT 1 FROM ({ALL_FLAGS}) f WHERE f.user_id = r.user_id AND f.row = r.row AND flag IN ('gap', 'out_of_range') AND (channel IS NULL OR channel = 'value')) AS flagged FROM {REC} r")
 def flag_mask(spark, d):
     rec = recording(spark, d)
-    return assembly.flag_mask(rec, _all_flags(rec), ["gap", "out_of_range"], "value").select("event_id", "flagged")
+    # The mask takes gaps and ranges alone: segments are kept without channels.
+    flags = quality.gap_flags(quality.with_segments(rec.narrow()), rec).unionByName(quality.range_flags(rec, "value", 5, 120))
+    return assembly.flag_mask(rec, flags, ["gap", "out_of_range"], "value").select("event_id", "flagged")
 
 
 @query("rows_in", f"SELECT event_id FROM {REC} r WHERE (user_id, row) IN (SELECT (user_id, row) FROM ({FLAGS['range']}))")

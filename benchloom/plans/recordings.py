@@ -76,7 +76,7 @@ ALL_FLAGS = " UNION ALL ".join(FLAGS.values())
 
 
 def _flags(rec: Recording) -> dict[str, DataFrame]:
-    seg = quality.with_segments(rec)
+    seg = quality.with_segments(rec.narrow(*rec.channels))
     return {
         "gap": quality.gap_flags(seg, rec), "missing": quality.missing_flags(rec, "sparse"), "stuck": quality.stuck_flags(seg, rec, "coarse"), "range": quality.range_flags(rec, "value", 5, 120),
     }
@@ -118,13 +118,13 @@ HAMPEL = f"""(SELECT *, {_median_sql('list_transform(w, lambda x: abs(x - mid))'
 
 @query("hampel_spikes", f"SELECT user_id, row, 'value' AS channel, 'spike' AS flag FROM {HAMPEL} WHERE mad > 0 AND abs(value - mid) > 3.0::DOUBLE * (1.4826::DOUBLE * mad)")
 def hampel_spikes(spark, d):
-    rec = recording(spark, d)
+    rec = recording(spark, d).narrow("value")
     return quality.spike_flags(quality.with_segments(rec), rec, "value", _HALF)
 
 
 @query("spike_notes", f"SELECT 'value' AS channel, 'spike_mad_zero' AS note, count(*) AS n FROM {HAMPEL} WHERE mad = 0 AND value <> mid HAVING count(*) > 0")
 def spike_notes(spark, d):
-    rec = recording(spark, d)
+    rec = recording(spark, d).narrow("value")
     return quality.spike_notes(quality.with_segments(rec), rec, "value", _HALF)
 
 
@@ -146,7 +146,7 @@ def spike_window(spark, d):
 
 @query("jump_candidates", f"""SELECT user_id, row, level FROM (SELECT *, lag(value) OVER (PARTITION BY user_id, segment ORDER BY row) AS level FROM {SEG} WHERE value IS NOT NULL) WHERE abs(value - level) > 30""")
 def jump_candidates(spark, d):
-    rec = recording(spark, d)
+    rec = recording(spark, d).narrow("value")
     return quality.jump_candidates(quality.with_segments(rec), rec, "value", 30).filter("jumps").select("user_id", "row", "level")
 
 
@@ -161,7 +161,7 @@ SELECT v.user_id, v.row, 'value' AS channel, CASE WHEN n.back IS NULL THEN 'jump
 @query("jump_dropout", _SPANS)
 def jump_dropout(spark, d):
     """A scan in order: what a dropout covers is not judged again."""
-    rec = recording(spark, d)
+    rec = recording(spark, d).narrow("value")
     return quality.jump_flags(quality.with_segments(rec), rec, "value", 30, 4 * 86400)
 
 
