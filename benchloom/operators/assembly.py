@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from benchloom.functions import formula, ieee, times
+from benchloom.operators import quantiles
 from benchloom.operators.recording import Recording
 
 #: Padding of the range of a channel that is constantly zero.
@@ -65,7 +66,7 @@ def largest(df: DataFrame, by: list[str], value: str, key: str, n: int) -> DataF
 def robust_range(df: DataFrame, by: list[str], value: str, low: float = 1.0, high: float = 99.0) -> DataFrame:
     """low, high: percentiles of finite values; a constant channel gets a band of 5 % (1 about zero)."""
     finite = df.filter(F.col(value).isNotNull() & ieee.is_finite(F.col(value).cast("double")))
-    p = finite.groupBy(*by).agg(F.percentile(value, low / 100).alias("low"), F.percentile(value, high / 100).alias("high"))
+    p = quantiles.percentiles(finite, by, value, {"low": low / 100, "high": high / 100})
     pad = F.when(F.col("high") <= F.col("low"), F.when(F.col("low") == 0, CONSTANT_PAD).otherwise(F.abs("low") * 0.05)).otherwise(0.0)
     return p.withColumn("__p", pad).select(*by, (F.col("low") - F.col("__p")).alias("low"), (F.when(F.col("high") <= F.col("low"), F.col("low")).otherwise(F.col("high")) + F.col("__p")).alias("high"))
 

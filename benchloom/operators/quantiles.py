@@ -61,3 +61,17 @@ def medians(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     """keys and the median of each group."""
     both = at_ranks(df, keys, value, {"__low": (0.5, lower_half), "__high": (0.5, upper_half)})
     return both.select(*keys, ((F.col("__low") + F.col("__high")) / 2).alias(name))
+
+
+def percentiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """keys and by name the percentile at a share (0 to 1) of each group, linear between the two nearest ranks."""
+    at = lambda q: lambda n: (n - 1) * q
+    below = {f"__b{i}": (q, lambda n, q=q: F.floor(at(q)(n))) for i, q in enumerate(shares.values())}
+    above = {f"__a{i}": (q, lambda n, q=q: F.ceil(at(q)(n))) for i, q in enumerate(shares.values())}
+    found = at_ranks(df, keys, value, below | above)
+
+    def between(i: int, q: float) -> Column:
+        low, high, part = F.col(f"__b{i}").cast("double"), F.col(f"__a{i}").cast("double"), at(q)(F.col("n")) - F.floor(at(q)(F.col("n")))
+        return F.when(low == high, low).otherwise(low * (1 - part) + high * part)
+
+    return found.select(*keys, *[between(i, q).alias(name) for i, (name, q) in enumerate(shares.items())])
