@@ -174,6 +174,10 @@ def fit_gls(x: np.ndarray, y: np.ndarray, cov_x: np.ndarray, cov_y: np.ndarray,
     return {"m": float(m), "b": float(b), "u_m": float(cov[0, 0] ** 0.5 * birge), "u_b": float(cov[1, 1] ** 0.5 * birge), "chi2_red": chi2, "birge": birge}
 
 
+#: No draw is larger: its uniform number is 1/4294967297 at least, of which sqrt(-2 ln u) is 6.6604.
+REACH = 6.7
+
+
 def normal_draw(key: Column, draw: Column, seed: int = 42) -> Column:
     """A standard normal number that a row's key and the number of a draw determine (Box-Muller of a digest)."""
     h = F.md5(F.concat_ws("|", F.lit(str(seed)), draw.cast("string"), key.cast("string")))
@@ -185,11 +189,13 @@ def monte_carlo_crossing(df: DataFrame, by: list[str], key: str, x: str, y: str,
     """share, mean, sd of the first crossing in x order (then by ``key``, unique in a group) when every y varies by its u; null without one.
 
     Draws are functions of seed, draw and key, so neighbours are joined once and each makes the draws of both ends: only
-    crossings are shuffled, whatever the number of draws.
+    crossings are shuffled, whatever the number of draws. Links that no draw brings to the level make none.
     """
     good = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(y)).select(*by, F.col(key).alias("k0"), F.col(x).cast("double").alias("x0"), F.col(y).alias("y0"), F.coalesce(u, F.lit(0.0)).alias("u0"))
     w = Window.partitionBy(*by).orderBy("x0", "k0")
     links = good.select("*", *[F.lead(f"{c}0").over(w).alias(f"{c}1") for c in "kxyu"]).filter("x1 is not null")
+    beyond = [F.col(f"y{i}") + sign * REACH * F.abs(F.col(f"u{i}")) for sign in (-1, 1) for i in (0, 1)]
+    links = links.filter(~((beyond[0] > level) & (beyond[1] > level)) & ~((beyond[2] < level) & (beyond[3] < level)))
 
     def crossed(d: Column) -> Column:
         a, b = (F.col(f"y{i}") + F.col(f"u{i}") * normal_draw(F.col(f"k{i}"), d, seed) for i in (0, 1))
