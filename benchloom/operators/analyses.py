@@ -105,11 +105,13 @@ def crossing_systematic(df: DataFrame, by: list[str], x: str, y: str, u: str, u_
 def monte_carlo_line(df: DataFrame, by: list[str], key: str, x: str, y: str, u_x: str, u_y: str, draws: int = 200, seed: int = 42) -> DataFrame:
     """m_mean, m_sd, b_mean, b_sd of lines through points that vary by their uncertainties, weighted as the line through all (one round).
 
-    Draws are functions of seed, draw and key; each task sums its points' products by draw before anything is shuffled.
+    Draws are functions of seed, draw and key. Points are dealt evenly first, as tasks of their file are few for so much work;
+    each task sums its points' products by draw before these are shuffled.
     """
     good = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y) & (F.col(u_y) > 0)).select(*by, F.col(key).alias("k"), F.col(x).alias("x"), F.col(y).alias("y"), F.col(u_x).alias("ux"), F.col(u_y).alias("uy"))
     slope = good.groupBy(*by).agg(F.regr_slope("y", "x").alias("m"))
     good = good.join(slope, by).withColumn("w", 1 / (F.col("uy") ** 2 + (F.coalesce("m", F.lit(0.0)) * F.col("ux")) ** 2))
+    good = good.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, "k")
     drawn = good.withColumn("d", F.explode(F.sequence(F.lit(1), F.lit(draws))))
     drawn = drawn.withColumn("xs", F.col("x") + F.col("ux") * normal_draw(F.concat(F.lit("x"), F.col("k").cast("string")), F.col("d"), seed)).withColumn("ys", F.col("y") + F.col("uy") * normal_draw(F.concat(F.lit("y"), F.col("k").cast("string")), F.col("d"), seed))
     c = F.col
