@@ -32,9 +32,9 @@ def _place(spark, name: str) -> str:
 
 
 def _lines(spark, parts, name: str) -> str:
-    """One text file of lines (at, value) in order."""
+    """Lines (at, value) in order, as a folder whose files are one text in the order of their names; each task writes its own."""
     path = _place(spark, name)
-    parts.orderBy("at").coalesce(1).select("value").write.text(path)
+    parts.orderBy("at").select("value").write.text(path)
     return path
 
 

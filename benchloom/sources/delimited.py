@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from benchloom.functions import times, typing
 from benchloom.operators.reshape import clean_name, unique_names
 from benchloom.sources import quoted
+from benchloom.sources.lines import numbered_lines
 from benchloom.sources.sniff import Sniffed, sniff
 
 # Fixed words that name a time column.
@@ -31,16 +32,6 @@ class Dataset:
     names: dict[str, str] = field(default_factory=dict)
 
 
-def numbered_lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
-    """value, row_index: the lines of a file, counted from 0; a first pass counts those of each split, one row a split."""
-    lines = spark.read.option("encoding", encoding).text(path).select("value", F.spark_partition_id().alias("__p"), F.monotonically_increasing_id().alias("__i"))
-    counts = lines.groupBy("__p").agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.withColumn("__before", before).select("__p", "__before")
-    own = F.col("__i").bitwiseAND(F.lit((1 << 33) - 1))
-    return lines.join(F.broadcast(starts), "__p").select("value", (F.col("__before") + own).alias("row_index"))
-
-
 def read_raw(spark: SparkSession, path: str, sniffed: Sniffed) -> DataFrame:
     """All cells as text, with ``row_index`` (the line, from 0, on which a record begins); comments, the header and the footer left out."""
     names = sniffed.names

@@ -65,8 +65,7 @@ def load_any(spark: SparkSession, path: str, profile: Profile | None = None, pro
             text = " ".join([*files.sheet_names(content), *(c for s in files.sheet_names(content) for row in files.read_grid(content, s)[:50] for c in row)])
         profile = detect(profiles, name, head, text)
     options = profile.options if profile else {}
-    row = files.sha256(spark, path).first()
-    out = Loaded(None, profile, {"source": name, "sha256": row.sha256, "reader": reader, "profile": profile.name if profile else None})
+    out = Loaded(None, profile, {"source": name, "sha256": files.digest(spark, path), "reader": reader, "profile": profile.name if profile else None})
     common = {"time_column": options.get("time_column"), "kinds": options.get("kinds"), "run_columns": tuple(options.get("run_columns", ()))}
     if reader == "xml":
         out.meta["settings"] = files.read_xml_meta(spark, path, options.get("blocks", []))
@@ -100,7 +99,7 @@ def _origin(spark: SparkSession, path: str, loaded: Loaded, options: dict) -> in
     if options.get("origin"):
         return times.origin_us(form, zone, origin=datetime.fromisoformat(options["origin"]))
     if options.get("origin_rule") == "file_mtime_end" and form != "datetime" and ends["last"] is not None:
-        saved = spark.read.format("binaryFile").load(path).select(F.unix_micros("modificationTime").alias("us")).first().us
+        saved = spark.read.format("binaryFile").load(path).agg(F.unix_micros(F.max("modificationTime")).alias("us")).first().us
         loaded.meta["origin_rule"] = {"rule": "file_mtime_end", "file_saved": (datetime(1970, 1, 1, tzinfo=timezone.utc) + timedelta(microseconds=saved)).astimezone(ZoneInfo(zone or "UTC")).isoformat(), "note": "the file is taken to be saved right after its last sample"}
         return saved - round((ends["last"] - ends["first"]) * 1e6)
     return None
@@ -130,7 +129,7 @@ def load_many(spark: SparkSession, paths: list[str], key: list[str] | None = Non
     seen: set[str] = set()
     parts, skipped, time, variable = [], [], None, None
     for path in paths:
-        digest = files.sha256(spark, path).first().sha256
+        digest = files.digest(spark, path)
         if digest in seen:
             skipped.append(path)
             continue

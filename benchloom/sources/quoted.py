@@ -3,7 +3,8 @@
 A line maps what it begins in (outside of quotes or within a quoted cell) to what it ends in. Each split composes the maps of
 its lines without knowing how it begins; a scan over splits, one row each, then says how each begins and which record is
 open there, and a second pass cuts records in all splits at once. Only the lines of records that cross an edge of splits are
-shuffled.
+shuffled. A folder's files are one text in the order of their names, and a record may go on in the next one; a task that
+holds several splits treats lines that follow one another as one split.
 
 A quote opens a cell only as its first character, and closes it where no second quote follows; quotes elsewhere are text. A
 quote that nothing closes up to the end of the file is text, too: from its line on every line is a record of its own.
@@ -20,6 +21,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from benchloom.sources.lines import numbered_lines
+
 OUT, IN = 0, 1
 
 
@@ -53,71 +56,93 @@ def _states(values: pa.Array, begin: tuple[int, int], delimiter: str, regexes) -
     return out
 
 
+def _splits(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bool, pa.RecordBatch]]:
+    """A task's batches, cut where a line does not follow the one before: the first line's number, whether a split begins there."""
+    follows = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        numbers = batch.column("row_index").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(numbers) != 1) + 1).tolist(), len(numbers)]
+        for low, high in zip(cuts, cuts[1:]):
+            at = int(numbers[low])
+            yield at, at != follows, batch.slice(low, high - low)
+            follows = at + high - low
+
+
 def _summaries(lines: DataFrame, delimiter: str) -> list:
-    """By split: lines, what it ends in for both beginnings, and its last record start for both (-1: none)."""
+    """By split: its first line, lines, what it ends in for both beginnings, and its last record start for both (-1: none)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         regexes, now, n, last, split = patterns(delimiter), (OUT, IN), 0, [-1, -1], None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            split = batch.column("split")[0].as_py()
+
+        def row() -> pa.RecordBatch:
+            return pa.record_batch({"split": pa.array([split], pa.int64()), "n": pa.array([n], pa.int64()), "from_out": pa.array([now[0]], pa.int32()), "from_in": pa.array([now[1]], pa.int32()), "last_out": pa.array([last[0]], pa.int64()), "last_in": pa.array([last[1]], pa.int64())})
+
+        for at, fresh, batch in _splits(batches):
+            if fresh:
+                if split is not None:
+                    yield row()
+                now, n, last, split = (OUT, IN), 0, [-1, -1], at
             states = _states(batch.column("value"), now, delimiter, regexes)
             for k in (0, 1):
                 if (starts := np.flatnonzero(states[:-1, k] == OUT)).size:
                     last[k] = n + int(starts[-1])
             now, n = tuple(int(x) for x in states[-1]), n + batch.num_rows
         if split is not None:
-            yield pa.record_batch({"split": pa.array([split], pa.int32()), "n": pa.array([n]), "from_out": pa.array([now[0]], pa.int32()), "from_in": pa.array([now[1]], pa.int32()), "last_out": pa.array([last[0]], pa.int64()), "last_in": pa.array([last[1]], pa.int64())})
+            yield row()
 
-    return lines.mapInArrow(run, "split int, n long, from_out int, from_in int, last_out long, last_in long").collect()  # a row a split
+    return lines.mapInArrow(run, "split long, n long, from_out int, from_in int, last_out long, last_in long").collect()  # a row a split
 
 
 def records(spark: SparkSession, path: str, encoding: str, delimiter: str) -> DataFrame:
     """value, row_index: the records of a file, by the number (from 0) of the line on which they begin."""
-    lines = spark.read.option("encoding", encoding).text(path).select("value", F.spark_partition_id().alias("split"))
-    carry, before, state, start = {}, 0, OUT, 0
+    lines = numbered_lines(spark, path, encoding)
+    carry, end, state, start = {}, 0, OUT, 0
     for r in sorted(_summaries(lines, delimiter)):
-        carry[r.split] = (before, state, start)
+        carry[r.split] = (state, start)
         last = r.last_in if state else r.last_out
-        start = before + last if last >= 0 else start
-        before, state = before + r.n, r.from_in if state else r.from_out
+        start = r.split + last if last >= 0 else start
+        end, state = r.split + r.n, r.from_in if state else r.from_out
     # The line whose quote nothing closes; from it on lines stand alone.
-    alone = start if state == IN else before
+    alone = start if state == IN else end
     known = spark.sparkContext.broadcast(carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        regexes, at, state, start = patterns(delimiter), None, OUT, 0
+        regexes, end, state, start = patterns(delimiter), 0, OUT, 0
         held: list[str] = []  # the lines so far of the record that is open
         crosses = False  # whether that record began in another split
 
         def row(values: list[str], starts: list[int], line: list[int], part: list[bool]) -> pa.RecordBatch:
             return pa.record_batch({"value": pa.array(values, pa.string()), "row_index": pa.array(starts, pa.int64()), "line": pa.array(line, pa.int64()), "part": pa.array(part, pa.bool_())})
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            if at is None:
-                at, state, start = known.value[batch.column("split")[0].as_py()]
+        def left() -> pa.RecordBatch:
+            """Open at the end of the split: the rest comes from the next ones."""
+            return row(["\n".join(held)], [start], [end - len(held)], [crosses or state == IN and start < alone])
+
+        for at, fresh, batch in _splits(batches):
+            if fresh:
+                if held:
+                    yield left()
+                held, (state, start) = [], known.value[at]
                 crosses = state == IN and start < alone
             states = _states(batch.column("value"), (state, state), delimiter, regexes)[:, 0]
             number = at + np.arange(batch.num_rows)
             begins = (states[:-1] == OUT) | (number >= alone)
             values, starts, line, part = [], [], [], []
             texts = batch.column("value").to_pylist()
-            for i, fresh in enumerate(begins.tolist()):
-                if fresh:
+            for i, first in enumerate(begins.tolist()):
+                if first:
                     if held:
                         values.append("\n".join(held)), starts.append(start), line.append(int(number[i]) - len(held)), part.append(crosses)
                     held, start, crosses = [texts[i]], int(number[i]), False
                 else:
                     held.append(texts[i])
-            at, state = at + batch.num_rows, int(states[-1])
+            end, state = at + batch.num_rows, int(states[-1])
             if values:
                 yield row(values, starts, line, part)
         if held:
-            # Open at the end of the split: the rest comes from the next ones.
-            yield row(["\n".join(held)], [start], [at - len(held)], [crosses or state == IN and start < alone])
+            yield left()
 
     found = lines.mapInArrow(run, "value string, row_index long, line long, part boolean")
     pieces = found.filter("part").groupBy("row_index").agg(F.sort_array(F.collect_list(F.struct("line", "value"))).alias("p"))

@@ -101,21 +101,28 @@ def sniff_text(text: str, encoding: str = "utf-8", delimiter: str | None = None,
 
 
 def head_bytes(spark: SparkSession, path: str, n: int = 1 << 20) -> tuple[bytes, int]:
-    """The first bytes of a file (of a folder's first file) in any store Spark reaches, and its length; nothing else is read."""
+    """The first bytes of a file (of a folder's files in the order of their names, as one) in any store Spark reaches, and its length; nothing else is read."""
     hadoop = spark._jvm.org.apache.hadoop.fs
     at = hadoop.Path(path)
     fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
     found = [f for f in fs.globStatus(at) or []]
     if not found:
         raise FileNotFoundError(path)
-    files = sorted((f for top in found for f in (fs.listStatus(top.getPath()) if top.isDirectory() else [top]) if f.isFile() and f.getPath().getName()[:1] not in "._"), key=lambda f: f.getPath().getName())
+    files = sorted((f for top in found for f in (fs.listStatus(top.getPath()) if top.isDirectory() else [top]) if f.isFile() and f.getPath().getName()[:1] not in "._"), key=lambda f: (f.getPath().getName(), f.getPath().toString()))
     if not files:
         raise FileNotFoundError(path)
-    stream = fs.open(files[0].getPath())
-    try:
-        return bytes(stream.readNBytes(n)), files[0].getLen()
-    finally:
-        stream.close()
+    head, length = b"", sum(f.getLen() for f in files)
+    for f in files:
+        if len(head) >= n:
+            break
+        if head and not head.endswith(b"\n"):
+            head, length = head + b"\n", length + 1  # a file's end ends its last line
+        stream = fs.open(f.getPath())
+        try:
+            head += bytes(stream.readNBytes(n - len(head)))
+        finally:
+            stream.close()
+    return head, length
 
 
 def sniff(spark: SparkSession, path: str, sample_bytes: int = 1 << 20, **options) -> Sniffed:
